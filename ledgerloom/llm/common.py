@@ -143,10 +143,22 @@ def word_spans(buf: np.ndarray, offs: np.ndarray, kind: np.ndarray = NOT_SPACE,
     return starts, ends, np.searchsorted(offs, starts, "right") - 1, hashes
 
 
-def row_blocks(offs: np.ndarray, block: int = BLOCK):
-    """Runs of rows (from, to) of about ``block`` bytes; a longer row is a run of its own."""
+def row_blocks(offs: np.ndarray, block: int = BLOCK, most: int = 4096):
+    """Runs of at most ``most`` rows (from, to) of about ``block`` bytes; a longer row is a run of its own."""
     i, n = 0, len(offs) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + block, "right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
+        j = min(j, n, i + most)
+        yield i, j
+        i = j
+
+
+def sorted_pairs(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (row, value) with their counts, in order; rows below 4096, values cut to 52 bits."""
+    bits = np.uint64(52)
+    key = np.sort((rows.astype(np.uint64) << bits) | (values >> np.uint64(12)))
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    at = np.flatnonzero(first)
+    key = key[at]
+    return (key >> bits).astype(np.int64), key & ((np.uint64(1) << bits) - np.uint64(1)), np.diff(np.append(at, len(first)))

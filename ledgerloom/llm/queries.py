@@ -11,6 +11,8 @@ from .common import read_table
 from .decontaminate import find_contamination
 from .licenses import duckdb_sql as licenses_sql
 from .licenses import scan_licenses
+from .neardup import near_duplicates
+from .quality import fit_quality, label_fold, score_quality
 from .sharding import shard_rows
 
 
@@ -20,6 +22,12 @@ def op1_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_super_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 85 % of their three-word shingles."""
+    out = near_duplicates(read_table(spark, sf_dir, "documents"), words=3, similarity="17/20")
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op4_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document words inside occurrences of ten-word windows of the benchmark items."""
     out = find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10)
@@ -49,6 +57,14 @@ FROM docs d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN found f ON d.doc_id
 """
 
 
+def op5_factorisation_machine_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt outside the held-out third of the labels."""
+    docs = read_table(spark, sf_dir, "documents")
+    machine = fit_quality(docs, read_table(spark, sf_dir, "labels"), "quality", folds=3, held=1)
+    out = score_quality(docs, machine)
+    return out.select("doc_id", F.coalesce(label_fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op8_license_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known license sentences and the licenses they make, for every document."""
     return scan_licenses(read_table(spark, sf_dir, "documents"))
