@@ -14,6 +14,7 @@ from .licenses import scan_licenses
 from .neardup import near_duplicates
 from .quality import fit_quality, label_fold, score_quality
 from .sharding import shard_rows
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def op1_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +66,14 @@ def op5_factorisation_machine_quality(spark: SparkSession, sf_dir: str) -> DataF
     return out.select("doc_id", F.coalesce(label_fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op6_subsequence_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learnt outside the held-out fifth of the labels."""
+    docs = read_table(spark, sf_dir, "documents")
+    machine = fit_toxicity(docs, read_table(spark, sf_dir, "labels"), "toxic", folds=5, held=0)
+    out = score_toxicity(docs, machine)
+    return out.select("doc_id", F.coalesce(label_fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op8_license_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known license sentences and the licenses they make, for every document."""
     return scan_licenses(read_table(spark, sf_dir, "documents"))
