@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bitpack import pack_and_read
+from .bpe import encode_documents
 from .common import read_table
 from .decontaminate import find_contamination
 from .licenses import duckdb_sql as licenses_sql
@@ -74,11 +77,21 @@ def op6_subsequence_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFra
     return out.select("doc_id", F.coalesce(label_fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op7_duckdb_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts encoded with the byte-level ranks and decoded again."""
+    return encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_license_sentence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known license sentences and the licenses they make, for every document."""
     return scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op9_bit_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as bit-packed ids in files, read back."""
+    return pack_and_read(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items(), key=lambda x: (len(x[0].split("_")[0]), x[0])) if name.startswith("op") and callable(f)}
 
