@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
@@ -17,6 +18,7 @@ from .licenses import scan_licenses
 from .neardup import near_duplicates
 from .quality import fit_quality, label_fold, score_quality
 from .sharding import shard_rows
+from .suffix import repeated_bytes
 from .toxicity import fit_toxicity, score_toxicity
 
 
@@ -92,8 +94,13 @@ def op9_bit_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_and_read(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op10_suffix_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of all texts without the 100-byte strings that came before."""
+    return repeated_bytes(read_table(spark, sf_dir, "documents"), threshold=100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in sorted(globals().items(), key=lambda x: (len(x[0].split("_")[0]), x[0])) if name.startswith("op") and callable(f)}
+    return {name: f for name, f in sorted(globals().items()) if re.match(r"op\d+_", name)}
 
 
 def oracle_sql() -> dict[str, str]:
