@@ -1,18 +1,66 @@
-"""The corpus pipeline: stages that each hand their result to the next one."""
+"""The corpus pipeline: five stages, each working on all that the stage before kept.
+
+Quality classifier, near-duplicates, repeated passages, benchmark decontamination, tokenizing.
+All stages but the last return whole rows of ``documents``; the last returns one row of token
+counts and digests for each document that is left.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm.common import read_table
+from ledgerloom.llm.bpe import encode_documents
+from ledgerloom.llm.common import materialize, read_table
+from ledgerloom.llm.decontaminate import remove_contamination
+from ledgerloom.llm.neardup import keep_one_each
+from ledgerloom.llm.quality import fit_quality, keep_quality
+from ledgerloom.llm.suffix import remove_repeats
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    machine = fit_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), "quality")
+    return keep_quality(docs, machine)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five words, 0.8)."""
+    return keep_one_each(docs, words=5, similarity="4/5")
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the strings of 100 bytes that came before , as in the passage search."""
+    return remove_repeats(docs, threshold=100)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark; those that are mostly benchmark go."""
+    return remove_contamination(docs, read_table(spark, sf_dir, "benchmark"), window=10)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the documents, encoded and decoded."""
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality", classify),
+    ("near_duplicates", near_duplicates),
+    ("suffix_dedup", suffix_dedup),
+    ("decontamination", decontaminate),
+    ("tokens", tokenize),
+]
 
-STAGES: list = []
+#: The quality model, signatures and merges have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``, each written and read again."""
     docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialize(docs, name)
     return docs
