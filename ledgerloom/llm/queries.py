@@ -16,6 +16,7 @@ from .decontaminate import find_contamination
 from .licenses import duckdb_sql as licenses_sql
 from .licenses import scan_licenses
 from .neardup import near_duplicates
+from .ordermh import edited_likeness
 from .quality import fit_quality, label_fold, score_quality
 from .sharding import shard_rows
 from .suffix import repeated_bytes
@@ -28,6 +29,11 @@ def op1_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_order_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and of their edits, and how like they are."""
+    return edited_likeness(read_table(spark, sf_dir, "documents"))
+
+
 def op3_super_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share 85 % of their three-word shingles."""
     out = near_duplicates(read_table(spark, sf_dir, "documents"), words=3, similarity="17/20")
