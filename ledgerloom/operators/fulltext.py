@@ -68,7 +68,7 @@ def _bm25(hits: DataFrame, postings: DataFrame, lengths: DataFrame, terms: list[
 
 
 def _ranked(scored: DataFrame, docs: DataFrame, k: int, doc_id: str, created: str | None) -> DataFrame:
-    order = [F.desc(F.round("score", 9)), *([F.desc("_created")] if created else []), F.asc("doc_id")]
+    order = [F.desc(F.round("score", 6)), *([F.desc("_created")] if created else []), F.asc("doc_id")]
     if created:
         scored = scored.join(docs.select(F.col(doc_id).alias("doc_id"), F.col(created).alias("_created")), "doc_id")
     top = scored.orderBy(*order).limit(k)
@@ -95,6 +95,11 @@ def parse_web_query(query: str) -> list[list[tuple[bool, list[str]]]]:
     return [c for c in clauses if any(wanted for wanted, _ in c)]
 
 
+def _moved(by: int) -> Column:
+    """Where a phrase would start if its word number ``by`` stood at these positions."""
+    return F.transform("positions", lambda p: p - by)
+
+
 def search_web(docs: DataFrame, query: str, k: int, doc_id: str = "doc_id", text: str = "text", created: str | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Web syntax; words of a clause in a row make a phrase when they were quoted together."""
     postings, lengths = index or text_index(docs, doc_id, text)
@@ -105,7 +110,7 @@ def search_web(docs: DataFrame, query: str, k: int, doc_id: str = "doc_id", text
             return postings.where(F.col("term") == words[0]).select("doc_id")
         at = None
         for i, w in enumerate(words):
-            one = postings.where(F.col("term") == w).select("doc_id", F.transform("positions", lambda p, i=i: p - i).alias(f"p{i}"))
+            one = postings.where(F.col("term") == w).select("doc_id", _moved(i).alias(f"p{i}"))
             at = one if at is None else at.join(one, "doc_id")
         starts = F.col("p0")
         for i in range(1, len(words)):

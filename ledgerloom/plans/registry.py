@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from . import register_queries, report_queries, search_queries, stream_queries, text_queries  # noqa: F401
+from .base import ORACLES, QUERIES
+
 FLAGSHIP = "rrf"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -41,3 +41,16 @@ def local_session(cores: int | str = "*", partitions: int = 8, **settings: str)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_own_folder: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one where it is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base:
+        return base.rstrip("/")
+    if not _own_folder:
+        _own_folder.append("file://" + tempfile.mkdtemp(prefix="ledgerloom-"))
+    return _own_folder[0]
