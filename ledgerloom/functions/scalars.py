@@ -67,7 +67,7 @@ def cosine(a: Column | str, b: Column | str, norm_a: Column, norm_b: Column) ->
 def recency_weight(created: Column | str, as_of: Column, half_life_days: float = 14.0, boost: float = 1.0) -> Column:
     """1 + boost * 0.5^(age / half-life); a null date weighs 1, a future one as today."""
     age = F.greatest(F.lit(0.0), (F.unix_micros(as_of) - F.unix_micros(col(created))) / F.lit(86_400_000_000.0))
-    return F.coalesce(1 + boost * F.pow(F.lit(0.5), age / half_life_days), F.lit(1.0))
+    return F.when(col(created).isNull(), F.lit(1.0)).otherwise(1 + boost * F.pow(F.lit(0.5), age / half_life_days))
 
 
 def percent(confidence: Column | str) -> Column:
