@@ -7,20 +7,22 @@ as soon as every position holds a value that later rounds cannot undercut; a lon
 after one or two rounds.
 
 Documents with equal shingle sets are one *node*.  Nodes that share a band bucket are candidates:
-the least node of a bucket is verified against all others first (no pair list of a bucket is ever
-built), and only in buckets that still hold several components afterwards are the pairs between
-different components verified as well.  Links are confirmed on the full shingle sets, so a
+the node of a bucket that meets most others is verified against the rest first (no pair list of a
+bucket is ever built), and only in buckets that still hold several components afterwards are pairs
+between different components verified as well, unless the prefix filter, set sizes or signatures
+rule the link out.  Links are confirmed on the full shingle sets, so a
 component is a component of the exact similarity graph over all candidates.  With 24 bands of 4
 rows a pair at similarity 0.85 misses all bands with probability 2e-8.
 """
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, materialize, mix64, row_blocks, sorted_pairs, text_bytes, text_key, word_spans
@@ -157,7 +159,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, words: int, share: Fraction) ->
 def _plausible(pairs: DataFrame, sketches: DataFrame, floor: float) -> DataFrame:
     """Pairs whose sizes allow the similarity and whose signatures agree at ``floor`` of the positions or more.
 
-    ``floor`` lies over six standard deviations below the similarity asked for.
+    ``floor`` lies five standard deviations below the similarity asked for.
     """
     first = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
     second = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
@@ -173,6 +175,36 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, floor: float) -> DataFrame
     return pairs.join(first, "a").join(second, "b").select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long")
 
 
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame, words: int, share: Fraction) -> DataFrame:
+    """Pairs (a, b) of different components whose sets may reach the similarity; none that does is missed.
+
+    Prefix and positional filter (Xiao et al., 2008): with each set in order of rising frequency,
+    two sets that are similar enough share an element among the first ones of both, and what
+    follows it must still hold the overlap that is needed.  Copies of one text with many edits of
+    their own begin with those, which nobody shares, so they meet nobody.
+    """
+
+    def work(batches):
+        for batch in batches:
+            buf, offs = text_bytes(batch.column(1))
+            for a, b in row_blocks(offs):
+                rows, values = shingle_sets(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], words)
+                ids = batch.column(0).slice(a, b - a).to_numpy()
+                for i in range(0, len(rows), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows[i : i + 100_000]]), pa.array(values[i : i + 100_000].astype(np.int64))], names=["node", "shingle"])
+
+    found = materialize(sets.select("node", "text").mapInArrow(work, "node long, shingle long"), "shingles")
+    often = found.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle")) - 1
+    num, den = share.numerator, share.denominator
+    first = found.join(often, "shingle").withColumn("at", place).join(nodes, "node")
+    first = materialize(first.where("often > 1").where(f"(n - at) * {den} >= n * {num}").drop("often"), "prefixes")
+    left = first.select("shingle", F.col("node").alias("a"), "n", F.col("at").alias("pa"), F.col("comp").alias("ca"))
+    right = first.select("shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("pb"), F.col("comp").alias("cb"))
+    enough = f"least(n - pa, m - pb) * {num + den} >= (n + m) * {num}"
+    return left.join(right, "shingle").where("a < b AND ca != cb").where(enough).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: Fraction | str = "4/5", doc_id: str = "doc_id", text: str = "text", positions: int = POSITIONS, rows_per_band: int = ROWS) -> DataFrame:
     """Components of the graph that links documents whose word-shingle sets have that Jaccard similarity or more.
 
@@ -190,29 +222,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: Fraction | str
     nodes = some.groupBy("node").agg(F.min(F.struct("doc_id", "tkey", "n_shingles", "bands", "sketch")).alias("r"))
     nodes = materialize(nodes.select("node", "r.*"), "nodes")
     entries = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
-    members = materialize(entries.join(shared.select("bucket", "low"), "bucket"), "members")
+    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = materialize(entries.join(shared, "bucket"), "members")
+    # The pivot of a bucket is the member that meets most others: in a group of edited copies, the original.
+    degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
+    met = members.join(degree, "node")
+    pivots = met.groupBy("bucket").agg(F.max(F.struct("degree", "node", "n")).alias("p")).select("bucket", F.col("p.node").alias("a"), F.col("p.n").alias("m"))
     num, den = share.numerator, share.denominator
     sized = f"least(n, m) * {den} >= greatest(n, m) * {num}"
-    floor = max(0.0, float(share) - 0.25)
-    sizes = nodes.select(F.col("node").alias("low"), F.col("n_shingles").alias("m"))
-    stars = members.where("low != node").select("low", "node", "n").distinct().join(sizes, "low").where(sized)
+    floor = max(0.0, float(share) - 5 * math.sqrt(float(share) * (1 - float(share)) / positions))
+    stars = members.join(pivots, "bucket").where("a != node").where(sized)
+    stars = stars.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     wanted = members.select("node").distinct()
     sketches = materialize(nodes.select("node", "sketch").join(wanted, "node"), "sketches")
     # The text of one document for each candidate node; copies of it do not match the doc_id and stay behind.
     homes = nodes.join(wanted, "node").select("node", F.coalesce("doc_id", F.lit(-(2**63))).alias("home"), "tkey")
     texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("home"), text_key(text).alias("tkey"), F.col(text).alias("text"))
     sets = materialize(texts.join(homes, ["home", "tkey"]).select("node", "text").dropDuplicates(["node"]), "sets")
-    stars = _plausible(stars.select(F.col("low").alias("a"), F.col("node").alias("b")), sketches, floor)
-    links = materialize(_verified(stars, sets, words, share), "links")
+    links = materialize(_verified(_plausible(stars, sketches, floor), sets, words, share), "links")
     groups = connected_components(links)
     # Buckets that still hold several components: their pairs across components.
     labelled = members.join(groups, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("comp"))
     split = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket")
-    open_members = materialize(labelled.join(split, "bucket"), "open")
-    left = open_members.select("bucket", F.col("node").alias("a"), F.col("n"), F.col("comp").alias("ca"))
-    right = open_members.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("cb"))
-    crossing = left.join(right, "bucket").where("a < b AND ca != cb").where(sized).select("a", "b").distinct()
+    open_nodes = labelled.join(split, "bucket").select("node", "n", "comp").distinct()
+    open_nodes = materialize(open_nodes, "open")
+    crossing = _prefix_pairs(open_nodes, sets.join(open_nodes.select("node"), "node"), words, share)
     more = materialize(_verified(_plausible(crossing, sketches, floor), sets, words, share), "more")
     if more.limit(1).count():
         groups = connected_components(links.unionByName(more))
