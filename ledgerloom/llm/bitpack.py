@@ -18,6 +18,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -130,8 +131,8 @@ class ChunkEncoder:
     """The library's ids of whole texts, with each distinct chunk between white space encoded once.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its
-    chunks in order.  Texts that hold one of the tokenizer's special strings go to the library
-    whole.  The cache is bounded; when it is full it starts anew.
+    chunks in order.  Texts that hold one of the tokenizer's special strings, or a character
+    that only Python takes for white space, go to the library whole.  The cache is bounded; when it is full it starts anew.
     """
 
     def __init__(self, path: str, most: int = 800_000):
@@ -139,17 +140,36 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most, self.cache = most, dict[str, bytes]()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Four control characters split words in Python and are no white space to the tokenizer.
+        self.special = [*(t.content for t in self.tokenizer.get_added_tokens_decoder().values()), *map(chr, range(28, 32))]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Put the ids of new chunks into the cache."""
+        words, rest = [c for c in fresh if c.isalpha()], [c for c in fresh if not c.isalpha()]
+        # Letters only make one word each, whose last token is marked; so many go to the library as one text.
+        for i in range(0, len(words), 2_000):
+            part = words[i : i + 2_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cut) != len(part):
+                rest += part
+                continue
+            raw = ids.tobytes()
+            self.cache.update(zip(part, (raw[a:b] for a, b in zip([0, *cut[:-1]], cut))))
+        for i in range(0, len(rest), 2_000):
+            part = rest[i : i + 2_000]
+            for chunk, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.cache[chunk] = array("I", got.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        chunks = [() if any(s in t for s in self.special) else t.split() for t in texts]
+        # The tokenizer lower-cases anyway; doing so first makes fewer distinct chunks.
+        chunks = [() if any(s in t for s in self.special) else (t.lower() if t.isascii() else t).split() for t in texts]
         if len(self.cache) > self.most:
             self.cache = {}
-        fresh = list(set().union(*chunks).difference(self.cache))
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            for chunk, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[chunk] = np.array(got.ids, np.uint32).tobytes()
+        self._learn(list(set().union(*chunks).difference(self.cache)))
         ids, out = self.cache.__getitem__, []
         for text, words in zip(texts, chunks):
             if words == ():
