@@ -13,7 +13,7 @@ lengths, and positions that have become unique leave before the next one:
    the name of a start is the pair of the names of its first and second part, each again a pair
    at half the offset, as in prefix doubling.  A start whose name came before is a repeat.
 
-Texts are written once as a table bucketed by *block* (the rows of one input partition); all
+Texts are written once as a table bucketed by *block* (a part of one input partition); all
 rounds read their block from it without a shuffle.  What is shuffled are packed arrays of
 (fingerprint, position), one for each block and range of fingerprints, without repeats within
 the block, so a string that a third of all rows share arrives once for each block.  Sorting
@@ -36,7 +36,9 @@ from pyspark.sql import functions as F
 from .common import _TABLE, materialize, mix64, powers, shared_path, text_bytes
 
 PREFIX = 32
-SEGMENT = 1 << 19
+SEGMENT = 1 << 18
+#: An input partition is dealt to blocks of about so many (compressed) bytes.
+BLOCK_BYTES = 4 << 20
 PACKED = "block long, bucket int, n int, names binary, seconds binary, places binary, lengths binary, docs binary"
 MARKS = "block long, kind string, places binary, lengths binary"
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -95,7 +97,7 @@ def runs(buf: np.ndarray, doc_end: np.ndarray, threshold: int):
         a, b = np.flatnonzero(first), np.flatnonzero(last)
         x = anchor[a]
         content = mix64(mix64((sums[b + threshold] - sums[a]) * inverse[a]) + (b - a).astype(np.uint64) * np.uint64(256) + (x - a).astype(np.uint64))
-        out.append((a + s, b - a + 1, names[x], content))
+        out.append((a + s, b - a + 1, mix64(names[x]), content))  # least values: mixed again, they spread evenly
     if not out:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
     return tuple(np.concatenate([o[i] for o in out]) for i in range(4))
@@ -172,6 +174,7 @@ def _marks(block: np.ndarray, places: np.ndarray, lengths: np.ndarray, kind: str
 
 
 def _as_table(rows: list[dict], schema: list[tuple[str, pa.DataType]]) -> pa.Table:
+    pa.default_memory_pool().release_unused()
     return pa.table({name: pa.array([r[name] for r in rows], kind) for name, kind in schema})
 
 
@@ -196,12 +199,22 @@ def _starts(column_places: list[bytes], column_lengths: list[bytes]) -> np.ndarr
     return np.repeat(place, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
 
 
+def _bytes_setting(spark) -> int:
+    """The largest input partition in bytes."""
+    text = spark.conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b")
+    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(text[-1], 1)
+    return int(text.rstrip("kmg")) * unit
+
+
 def repeated_marks(docs: DataFrame, threshold: int, doc_id: str, text: str):
     """The bucketed table of texts and the marks of string starts that came before, by block."""
     spark = docs.sparkSession
-    blocks = max(1, docs.rdd.getNumPartitions())
+    ranges = max(1, docs.rdd.getNumPartitions())
+    pieces = max(1, _bytes_setting(spark) // BLOCK_BYTES)
+    blocks = ranges * pieces
     name = f"blocks_{uuid.uuid4().hex}"
-    rows = docs.withColumn("_block", F.spark_partition_id().cast("long"))
+    piece = F.pmod(F.xxhash64(doc_id, text), F.lit(pieces))
+    rows = docs.withColumn("_block", F.spark_partition_id().cast("long") * pieces + piece)
     rows.write.format("parquet").option("path", shared_path(spark, "blocks")).option("compression", "zstd").bucketBy(blocks, "_block").saveAsTable(name)
     table = spark.table(name)
     own = table.select(F.col("_block"), F.col(doc_id).cast("long").alias("_doc"), F.col(text).alias("_text"))
@@ -215,7 +228,7 @@ def repeated_marks(docs: DataFrame, threshold: int, doc_id: str, text: str):
         order = np.lexsort((content, names))  # stable: the earliest of equal runs comes first
         first = np.zeros(len(order), bool)
         first[order[_first_of(names[order], content[order])]] = True
-        rows = _pack(block, names[first], content[first], place[first], length[first], numbers[first], blocks, 6)
+        rows = _pack(block, names[first], content[first], place[first], length[first], numbers[first], ranges, 6)
         rows.append({"block": block, "bucket": -1, "n": int((~first).sum()), "names": b"", "seconds": b"", "places": place[~first].astype("<u4").tobytes(), "lengths": length[~first].astype(np.uint8).tobytes(), "docs": b""})
         return _as_table(rows, _PACKED_TYPES)
 
@@ -248,7 +261,7 @@ def repeated_marks(docs: DataFrame, threshold: int, doc_id: str, text: str):
         order = np.argsort(names, kind="stable")
         first = np.zeros(len(order), bool)
         first[order[_first_of(names[order])]] = True
-        rows = _pack(block, names[first], None, places[first], None, numbers[first], blocks, 7)
+        rows = _pack(block, names[first], None, places[first], None, numbers[first], ranges, 7)
         again = places[~first]
         rows.append({"block": block, "bucket": -1, "n": len(again), "names": b"", "seconds": b"", "places": again.astype("<u4").tobytes(), "lengths": np.ones(len(again), np.uint8).tobytes(), "docs": b""})
         return _as_table(rows, _PACKED_TYPES)
