@@ -116,17 +116,19 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def with_next(docs: DataFrame, order: str, columns: list[str], tie: str, buckets: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, order: str, columns: list[str], tie: str, keys: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
     """Each row with ``columns`` of the next row by ``order`` as ``next_<column>``; the last one meets the first.
 
     Rows are dealt to ranges of ``order`` whose bounds come from approximate quantiles.  The first
     row of each range is sent to the range before as well, so each range finds all its next rows
-    by itself: one shuffle, and no task sees more than its range.  Nulls come first.
+    by itself: one shuffle, and no task sees more than its range.  Nulls come first.  ``keys``
+    has the same ``order`` values where ``docs`` is costly to make; the ranges are found in it.
     """
+    keys = docs.select(order) if keys is None else keys
     spark = docs.sparkSession
     buckets = buckets or max(2, docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     error = min(0.001, 0.2 / buckets)
-    bounds = sorted(set(docs.where(F.col(order).isNotNull()).stat.approxQuantile(order, [i / buckets for i in range(1, buckets)], error)))
+    bounds = sorted(set(keys.where(F.col(order).isNotNull()).stat.approxQuantile(order, [i / buckets for i in range(1, buckets)], error)))
     bounds = [int(b) for b in bounds]
 
     def range_of(value: Column) -> Column:
@@ -145,7 +147,7 @@ def with_next(docs: DataFrame, order: str, columns: list[str], tie: str, buckets
         return F.coalesce(F.when(value.isNotNull(), found), F.lit(0))
 
     placed = docs.withColumn("_range", range_of(F.col(order)))
-    firsts = placed.groupBy("_range").agg(F.max(F.col(order).isNull()).alias("null"), F.min(order).alias("least")).orderBy("_range").collect()
+    firsts = keys.withColumn("_range", range_of(F.col(order))).groupBy("_range").agg(F.max(F.col(order).isNull()).alias("null"), F.min(order).alias("least")).orderBy("_range").collect()
     # One row for each range at most: the order value that opens a range, and the range before it.
     ghosts = [(None if r["null"] else r["least"], firsts[i - 1]["_range"]) for i, r in enumerate(firsts)]
     small = F.broadcast(spark.createDataFrame(ghosts, "_least long, _before int"))
@@ -178,7 +180,7 @@ def edited_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = _once(rows, "sig", signature(F.col("text")))
-    rows = with_next(rows, "doc_id", ["text", "sig"], "text")
+    rows = with_next(rows, "doc_id", ["text", "sig"], "text", docs.select(F.col(doc_id).cast("long").alias("doc_id")))
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - quarter), F.substring(F.col("next_text"), F.lit(1), quarter))
