@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import caches, lean_worker, shared_path
 
 MAGIC, HEAD = b"LLBP", struct.Struct("<4sIIIQQ")
 BLOCK_IDS = 1 << 14
@@ -135,7 +135,7 @@ class ChunkEncoder:
     that only Python takes for white space, go to the library whole.  The cache is bounded; when it is full it starts anew.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -186,7 +186,7 @@ def _encoder(path: str) -> ChunkEncoder:
     return found
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[str, ChunkEncoder] = caches.setdefault("packed", {})
 
 
 def _open(path: str):
@@ -207,6 +207,7 @@ def write_packed(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2,
     ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").withColumn("part", F.spark_partition_id())
 
     def work(batches: Iterable[pa.RecordBatch]):
+        lean_worker("packed")
         encoder, writer, part = _encoder(tokenizer), PackedWriter(bits), None
         end = np.array([end_id], np.uint32)
         for batch in batches:

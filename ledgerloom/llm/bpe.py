@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import caches, lean_worker
+
 MOST_CACHED = 800_000
 WORDS_AT_ONCE = 50_000
 
@@ -52,14 +54,14 @@ def merge_table(ranks: dict[bytes, int]) -> list[tuple[int, int, int]]:
 class DuckBpe:
     """An encoder and decoder that keeps its tables in an in-memory DuckDB."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, cached: int = MOST_CACHED):
         import duckdb
         import regex
 
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.split = regex.compile(pattern).findall
-        self.cache: dict[str, bytes] = {}
+        self.most, self.cache = cached, dict[str, bytes]()
         self.decimals = list(map(str, range(max(self.ranks.values()) + 1)))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
@@ -91,7 +93,7 @@ class DuckBpe:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.split(t) for t in texts]
-        if len(self.cache) > MOST_CACHED:
+        if len(self.cache) > self.most:
             self.cache = {}
         fresh = list(set().union(*cut).difference(self.cache))
         self.cache.update(zip(fresh, self.contract(fresh)))
@@ -113,13 +115,13 @@ class DuckBpe:
         return [bytes.fromhex(found.get(i, "")) for i in range(len(ids))]
 
 
-_encoders: dict[str, DuckBpe] = {}
+_encoders: dict[tuple, DuckBpe] = caches.setdefault("bpe", {})
 
 
-def _encoder(path: str, pattern: str) -> DuckBpe:
-    if path not in _encoders:
-        _encoders[path] = DuckBpe(path, pattern)
-    return _encoders[path]
+def _encoder(*key) -> DuckBpe:
+    if key not in _encoders:
+        _encoders[key] = DuckBpe(*key)
+    return _encoders[key]
 
 
 def text_pieces(texts: list[str], most: int = 1 << 22):
@@ -134,18 +136,21 @@ def text_pieces(texts: list[str], most: int = 1 << 22):
         i = j
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False, cached: int = MOST_CACHED, piece: int = 1 << 22) -> DataFrame:
     """Encode and decode every text: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids).
 
     Null texts count as empty and have no tokens.  One row for each input row, repeated and null
     doc_ids included; other columns are not read.  ``path`` must exist on every executor.
+    ``cached`` words stay in a worker and ``piece`` characters are worked on at a time: less of
+    either takes less memory and more time.
     """
 
     def work(batches):
-        bpe = _encoder(path, pattern)
+        lean_worker("bpe")
+        bpe = _encoder(path, pattern, cached)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in text_pieces(texts):
+            for a, b in text_pieces(texts, piece):
                 ids = bpe.encode(texts[a:b])
                 back = bpe.decode(ids)
                 cols = [

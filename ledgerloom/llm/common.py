@@ -7,6 +7,9 @@ block, so that memory stays bounded for very long texts too.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -51,6 +54,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What operators keep in a worker between tasks, by operator.
+caches: dict[str, dict] = {}
+
+
+def lean_worker(keep: str = "") -> None:
+    """Free what other operators have kept in this worker, and give the memory back."""
+    for name, kept in caches.items():
+        if name != keep:
+            kept.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library is glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_key(col: str | Column = "text") -> Column:
     """A 64-bit key of a text; a null text has the key of the empty one."""
     return F.xxhash64(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")))

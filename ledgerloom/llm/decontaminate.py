@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, row_blocks, text_bytes, word_spans
+from .common import ALNUM, lean_worker, row_blocks, text_bytes, word_spans
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -237,6 +237,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     shared = docs.sparkSession.sparkContext.broadcast(item_blocks(rows))
 
     def work(batches):
+        lean_worker()
         automata = _Blocks(shared.value, window)
         for batch in batches:
             found = _hits(batch.column(1), automata)
@@ -302,6 +303,7 @@ def remove_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW
     at = names.index(text)
 
     def work(batches):
+        lean_worker()
         automata = _Blocks(shared.value, window)
         for batch in batches:
             found = _hits(batch.column(at), automata)

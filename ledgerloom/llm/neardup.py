@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, materialize, mix64, row_blocks, sorted_pairs, text_bytes, text_key, word_spans
+from .common import NOT_SPACE, lean_worker, materialize, mix64, row_blocks, sorted_pairs, text_bytes, text_key, word_spans
 from .components import connected_components
 
 POSITIONS, ROWS = 96, 4
@@ -97,6 +97,7 @@ PROFILE = "doc_id long, tkey long, node long, n_shingles long, bands array<long>
 
 def profile(docs: DataFrame, words: int, doc_id: str, text: str, positions: int, rows_per_band: int) -> DataFrame:
     def work(batches):
+        lean_worker()
         for batch in batches:
             buf, offs = text_bytes(batch.column(2))
             for a, b in row_blocks(offs):
@@ -134,6 +135,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, words: int, share: Fraction) ->
     num, den = share.numerator, share.denominator
 
     def work(batches):
+        lean_worker()
         for batch in batches:
             kept_a, kept_b = [], []
             last, last_set = None, None
@@ -165,6 +167,7 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, floor: float) -> DataFrame
     second = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
 
     def work(batches):
+        lean_worker()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -185,6 +188,7 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, words: int, share: Fraction
     """
 
     def work(batches):
+        lean_worker()
         for batch in batches:
             buf, offs = text_bytes(batch.column(1))
             for a, b in row_blocks(offs):

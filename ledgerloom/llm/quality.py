@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, row_blocks, sorted_pairs, text_bytes, word_spans
+from .common import NOT_SPACE, lean_worker, row_blocks, sorted_pairs, text_bytes, word_spans
 
 BUCKETS = 1 << 12
 BINS = 24
@@ -195,6 +195,7 @@ def score_quality(docs: DataFrame, machine: FactorisationMachine | None, doc_id:
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # a few hundred kilobytes at any input
 
     def work(batches):
+        lean_worker()
         fm = shared.value
         for batch in batches:
             buf, offs = text_bytes(batch.column(1))
@@ -215,6 +216,7 @@ def keep_quality(docs: DataFrame, machine: FactorisationMachine | None, threshol
     at = docs.columns.index(text)
 
     def work(batches):
+        lean_worker()
         fm = shared.value
         for batch in batches:
             buf, offs = text_bytes(batch.column(at))

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _TABLE, materialize, mix64, powers, shared_path, text_bytes
+from .common import _TABLE, lean_worker, materialize, mix64, powers, shared_path, text_bytes
 
 PREFIX = 32
 SEGMENT = 1 << 18
@@ -149,19 +149,31 @@ def _pack(block: int, names: np.ndarray, seconds: np.ndarray | None, places: np.
     for b in range(buckets):
         i = order[cut[b] : cut[b + 1]]
         if len(i):
-            ids = np.array([low], "<i8").tobytes() + (docs[i] - low).astype("<u4").tobytes() if small else docs[i].astype("<i8").tobytes()
+            ids = np.array([low], "<i8").tobytes() + (docs[i] - low).astype("<u4").tobytes() if small else docs[i].astype("<i8").tobytes() + b"w"
             out.append({"block": block, "bucket": b, "n": len(i), "names": _low_bytes(names[i] >> np.uint64(64 - 8 * wide), wide), "seconds": _low_bytes(seconds[i], 6) if seconds is not None else b"", "places": places[i].astype("<u4").tobytes(), "lengths": lengths[i].astype(np.uint8).tobytes() if lengths is not None else b"", "docs": ids})
     return out
 
 
-def _unpack(table: pa.Table, wide: int):
+def _local(block: int, buckets: int, places: np.ndarray, lengths: np.ndarray) -> dict:
+    """Marks that the block found by itself; they travel with the packed rows and pass through unchanged."""
+    return {"block": block, "bucket": block % buckets, "n": -1, "names": b"", "seconds": b"", "places": places.astype("<u4").tobytes(), "lengths": lengths.astype(np.uint8).tobytes(), "docs": b""}
+
+
+def _passed(rows: list[dict]) -> list[dict]:
+    return [{"block": r["block"], "kind": "repeat", "places": r["places"], "lengths": r["lengths"]} for r in rows if r["n"] < 0 and r["places"]]
+
+
+def _unpack(rows: list[dict], wide: int):
     parts = []
-    for r in table.to_pylist():
+    for r in rows:
+        if r["n"] < 0:
+            continue
         n = r["n"]
         raw = r["docs"]
-        docs = np.frombuffer(raw, "<i8") if len(raw) == 8 * n else np.frombuffer(raw[8:], "<u4").astype(np.int64) + np.frombuffer(raw[:8], "<i8")[0]
+        docs = np.frombuffer(raw[:-1], "<i8") if len(raw) % 2 else np.frombuffer(raw[8:], "<u4").astype(np.int64) + np.frombuffer(raw[:8], "<i8")[0]
         parts.append((np.full(n, r["block"]), _wide(r["names"], wide), _wide(r["seconds"], 6) if r["seconds"] else np.zeros(n, np.uint64), np.frombuffer(r["places"], "<u4").astype(np.int64), np.frombuffer(r["lengths"], np.uint8).astype(np.int64) if r["lengths"] else np.ones(n, np.int64), docs))
-    return tuple(np.concatenate([p[i] for p in parts]) for i in range(6))
+    kinds = (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64)
+    return tuple(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kinds[i]) for i in range(6))
 
 
 def _marks(block: np.ndarray, places: np.ndarray, lengths: np.ndarray, kind: str) -> list[dict]:
@@ -174,7 +186,7 @@ def _marks(block: np.ndarray, places: np.ndarray, lengths: np.ndarray, kind: str
 
 
 def _as_table(rows: list[dict], schema: list[tuple[str, pa.DataType]]) -> pa.Table:
-    pa.default_memory_pool().release_unused()
+    lean_worker()
     return pa.table({name: pa.array([r[name] for r in rows], kind) for name, kind in schema})
 
 
@@ -221,6 +233,7 @@ def repeated_marks(docs: DataFrame, threshold: int, doc_id: str, text: str):
     least = -(2**63)
 
     def anchors(group: pa.Table) -> pa.Table:
+        lean_worker()
         ids, buf, offs, _ = _block(group, 1, 2)
         block = group.column(0)[0].as_py()
         place, length, names, content = runs(buf, offs[1:], threshold)
@@ -229,13 +242,14 @@ def repeated_marks(docs: DataFrame, threshold: int, doc_id: str, text: str):
         first = np.zeros(len(order), bool)
         first[order[_first_of(names[order], content[order])]] = True
         rows = _pack(block, names[first], content[first], place[first], length[first], numbers[first], ranges, 6)
-        rows.append({"block": block, "bucket": -1, "n": int((~first).sum()), "names": b"", "seconds": b"", "places": place[~first].astype("<u4").tobytes(), "lengths": length[~first].astype(np.uint8).tobytes(), "docs": b""})
+        rows.append(_local(block, ranges, place[~first], length[~first]))
         return _as_table(rows, _PACKED_TYPES)
 
-    packed = materialize(own.groupBy("_block").applyInArrow(anchors, PACKED), "anchors")
+    packed = own.groupBy("_block").applyInArrow(anchors, PACKED)
 
     def rank_runs(group: pa.Table) -> pa.Table:
-        block, names, content, place, length, doc = _unpack(group, 6)
+        rows = group.to_pylist()
+        block, names, content, place, length, doc = _unpack(rows, 6)
         order = np.lexsort((place, block, doc, content, names))
         block, names, content, place, length = (x[order] for x in (block, names, content, place, length))
         distinct = _first_of(names, content)
@@ -244,11 +258,9 @@ def repeated_marks(docs: DataFrame, threshold: int, doc_id: str, text: str):
         kinds = np.add.reduceat(distinct, head) if len(head) else np.zeros(0, int)
         several = np.repeat(kinds, size) > 1
         opened = distinct & several
-        return _as_table(_marks(block[~distinct], place[~distinct], length[~distinct], "repeat") + _marks(block[opened], place[opened], length[opened], "open"), _MARK_TYPES)
+        return _as_table(_passed(rows) + _marks(block[~distinct], place[~distinct], length[~distinct], "repeat") + _marks(block[opened], place[opened], length[opened], "open"), _MARK_TYPES)
 
-    ranked = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(rank_runs, MARKS)
-    local = packed.where("bucket < 0").select("block", F.lit("repeat").alias("kind"), "places", "lengths")
-    ranked = materialize(ranked, "runs")
+    ranked = materialize(packed.groupBy("bucket").applyInArrow(rank_runs, MARKS), "runs")
 
     def names_of_open(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -263,22 +275,20 @@ def repeated_marks(docs: DataFrame, threshold: int, doc_id: str, text: str):
         first[order[_first_of(names[order])]] = True
         rows = _pack(block, names[first], None, places[first], None, numbers[first], ranges, 7)
         again = places[~first]
-        rows.append({"block": block, "bucket": -1, "n": len(again), "names": b"", "seconds": b"", "places": again.astype("<u4").tobytes(), "lengths": np.ones(len(again), np.uint8).tobytes(), "docs": b""})
+        rows.append(_local(block, ranges, again, np.ones(len(again), np.uint8)))
         return _as_table(rows, _PACKED_TYPES)
 
     opened = ranked.where("kind = 'open'").select("block", "places", "lengths")
     fine = own.groupBy("_block").cogroup(opened.groupBy("block")).applyInArrow(names_of_open, PACKED)
-    fine = materialize(fine, "names")
 
     def rank_names(group: pa.Table) -> pa.Table:
-        block, names, _, place, length, doc = _unpack(group, 7)
+        rows = group.to_pylist()
+        block, names, _, place, length, doc = _unpack(rows, 7)
         order = np.lexsort((place, block, doc, names))
         again = order[~_first_of(names[order])]
-        return _as_table(_marks(block[again], place[again], length[again], "repeat"), _MARK_TYPES)
+        return _as_table(_passed(rows) + _marks(block[again], place[again], length[again], "repeat"), _MARK_TYPES)
 
-    again = fine.where("bucket >= 0").groupBy("bucket").applyInArrow(rank_names, MARKS)
-    marks = ranked.where("kind = 'repeat'").unionByName(local).unionByName(again)
-    marks = marks.unionByName(fine.where("bucket < 0").select("block", F.lit("repeat").alias("kind"), "places", "lengths"))
+    marks = ranked.where("kind = 'repeat'").unionByName(fine.groupBy("bucket").applyInArrow(rank_names, MARKS))
     return table, materialize(marks.select("block", "places", "lengths").where(F.length("places") > 0), "marks")
 
 
