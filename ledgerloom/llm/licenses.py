@@ -2,9 +2,14 @@
 
 Two tables drive it.  ``SENTENCES`` maps a normalised sentence to an identifier; ``RULES`` names,
 for each license, the identifiers that must occur in a text in this order (others may stand
-between).  A text is cut into sentences, each is normalised and looked up, and the resulting
-identifier sequence is matched against all rules.  Everything happens row by row inside one
-projection: no join, no shuffle, no Python.
+between).  A text is normalised into words with marks for the ends of sentences, paragraphs and
+lines; known sentences are found in it, and the resulting identifier sequence is matched against
+all rules.  Everything happens row by row inside one projection: no join, no shuffle, no Python.
+
+Licenses are wrapped, stand in comments and have notices inside longer sentences.  So a single
+line end, with any comment mark after it, is white space, as are colons and semicolons; a known
+sentence matches inside a longer one, the longest first, but never across a blank line or the end
+of a sentence.  Titles alone must fill a line or a sentence.
 """
 
 from __future__ import annotations
@@ -80,9 +85,16 @@ RULES: list[tuple[str, list[str]]] = [
     ("Unlicense", ["unlicense"]),
 ]
 
-#: A sentence ends at a line end, or at . ! ? : ; that white space follows or that ends the text.
-SENTENCE_END = r"[.!?:;]+(?=\s|$)|[\r\n]+"
-NOT_WORD = r"[^a-z0-9]+"
+#: Identifiers of titles: too short to mean anything inside a sentence, they fill a line or a sentence.
+TITLES = {"mit-title"}
+
+_LINE_END = r"(?>\r\n?|\n)"
+#: Comment marks that are words; those of other signs are no words anyway.
+_MARK = r"(?:(?:dnl|@?rem)\b)?"
+#: A blank line (a comment mark may stand in it), or . ! ? that white space follows or that ends the text (but not in 'v. 2.0').
+SENTENCE_END = _LINE_END + r"[^\p{L}\p{N}\r\n]*" + _MARK + r"[^\p{L}\p{N}\r\n]*(?=[\r\n])|(?<!\bv)[.!?]+(?=\s|$)"
+#: A line end with the comment mark after it, or : ; that white space follows or that ends the text.
+PART_END = _LINE_END + r"[^\p{L}\p{N}\r\n]*" + _MARK + r"|[:;]+(?=\s|$)"
 
 
 def trigger_pattern(sentences: list[tuple[str, str]] = SENTENCES) -> str:
@@ -105,6 +117,28 @@ def _lookup(sentences: list[tuple[str, str]]) -> Column:
     return F.map_from_arrays(F.array(*map(F.lit, known)), F.array(*map(F.lit, known.values())))
 
 
+def sentence_pattern(sentences: list[tuple[str, str]]) -> str:
+    """Known sentences in the words that ``marked_words`` gives, the longest first.
+
+    Not after a negation, and not before 'or any later version', which makes another license.
+    """
+    gap = "[ ~]"
+    any_of = lambda some: "|".join(gap.join(s.split()) for s in sorted(some, key=lambda s: (-len(s), s)))
+    titles = {s for k, s in sentences if k in TITLES}
+    whole = rf"(?<![a-z0-9 ])(?:{any_of(titles)})(?![a-z0-9 ])" if titles else ""
+    later = rf"(?!{gap}(?:or|and){gap}(?:at{gap}your{gap}option{gap})?(?:any{gap})?(?:later|newer|greater|higher|above)(?![a-z0-9]))"
+    inside = rf"(?<![a-z0-9])(?<!\bnot{gap})(?<!n{gap}t{gap})(?:{any_of({s for _, s in sentences} - titles)})(?![a-z0-9]){later}"
+    return f"{inside}|{whole}" if whole else inside
+
+
+def marked_words(text: Column) -> Column:
+    """Lower-case ASCII words and numbers; between two of them a blank, ``~`` (end of a line or part) or ``|`` (of a sentence)."""
+    out = F.regexp_replace(F.lower(text), "[|~]", " ")
+    for pattern, mark in ((SENTENCE_END, "|"), (PART_END, "~"), ("[^a-z0-9|~]+", " "), (r"[ ~]*\|[ ~|]*", "|"), (" ?~[ ~]*", "~")):
+        out = F.regexp_replace(out, pattern, mark)
+    return F.trim(out)
+
+
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences: list[tuple[str, str]] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
     """Known license sentences and the licenses they make, for every document.
 
@@ -114,9 +148,9 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     each input row, repeated or null doc_ids included; other columns are not read.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    normal = lambda s: F.trim(F.regexp_replace(F.lower(s), NOT_WORD, " "))
     table = _lookup(sentences)
-    ids = F.filter(F.transform(F.split(body, SENTENCE_END), lambda s: F.element_at(table, normal(s))), lambda k: k.isNotNull())
+    met = F.regexp_extract_all(marked_words(body), F.lit(sentence_pattern(sentences)), F.lit(0))
+    ids = F.transform(met, lambda s: F.element_at(table, F.translate(s, "~", " ")))
     empty = F.array().cast("array<string>")
     found = docs.select(F.col(doc_id).alias("doc_id"), F.when(body.rlike(trigger_pattern(sentences)), ids).otherwise(empty).alias("_ids"))
     line = F.concat(F.lit(","), F.array_join("_ids", ","), F.lit(","))
@@ -133,7 +167,7 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
 
 def duckdb_sql() -> str:
-    """The same scan as DuckDB SQL over the view ``documents``."""
+    """The scan as DuckDB SQL over the view ``documents``, for texts whose known sentences are whole lines or sentences of a line."""
     known = dict((s, k) for k, s in SENTENCES)
     pairs = ", ".join(f"('{s}', '{k}')" for s, k in known.items())
     checks = ", ".join(f"CASE WHEN regexp_matches(line, '{',' + ',(?:[^,]+,)*'.join(steps) + ','}') THEN '{name}' END" for name, steps in RULES)

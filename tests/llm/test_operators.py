@@ -448,6 +448,81 @@ def test_licenses(spark, odd, none):
     assert all(any(w in s.split() for w in words_) for _, s in licenses.SENTENCES)
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2026 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD_FILE = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_THIRD = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL_NOTICE = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+
+
+def test_wrapped_licenses(spark):
+    remark = lambda mark, t: "".join(f"{mark}{x}".rstrip() + "\n" for x in t.splitlines())
+    cases = [
+        (MIT_FILE, "mit-title,mit-grant,mit-notice,as-is,mit-liability", "MIT"),
+        (MIT_FILE.replace("\n", "\r\n"), "mit-title,mit-grant,mit-notice,as-is,mit-liability", "MIT"),
+        ("/*\n" + remark(" * ", MIT_FILE) + " */\nint x;", "mit-title,mit-grant,mit-notice,as-is,mit-liability", "MIT"),
+        (BSD_FILE, "bsd-permit,bsd-source,bsd-binary", "BSD-2-Clause"),
+        (remark("# ", BSD_FILE + BSD_THIRD), "bsd-permit,bsd-source,bsd-binary,bsd-endorse", "BSD-2-Clause,BSD-3-Clause"),
+        (remark("dnl ", GPL_NOTICE), "gpl-free,gpl-hope,gpl-details", "GPL-3.0-or-later"),
+        (remark("// ", GPL_NOTICE.replace("version 3", "version 2")), "gpl2-free,gpl-hope,gpl-details", "GPL-2.0-or-later"),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "isc-permit", "ISC"),
+        ("To the extent possible under law, the author has waived all\ncopyright and related or neighboring rights to this work.", "cc0", "CC0-1.0"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy", "mpl2-subject", "MPL-2.0"),
+        ("This file is licensed under the MIT License.", "mit-licensed", "MIT"),
+        ("x\nThe MIT License\ny", "mit-title", ""),
+        ("We like the MIT License a lot. It was\nreleased under\nthe MIT License | ~ for all.", "mit-released", "MIT"),
+        ("This file is not licensed under the MIT License.", "", ""),
+        ("This is licensed under the GNU General Public License, version 3 or (at your option) any later version.", "", ""),
+        ("It was released under the\n\nMIT License", "mit-title", ""),
+    ]
+    rows = frame(spark, [(i, t) for i, (t, _, _) in enumerate(cases)])
+    got = {r["doc_id"]: (r["sentence_ids"], r["licenses"]) for r in licenses.scan_licenses(rows).collect()}
+    for i, (t, ids, names) in enumerate(cases):
+        assert got[i] == (ids, names), t
+
+
 # 10 --------------------------------------------------------------------------------------------
 
 
