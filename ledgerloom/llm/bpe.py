@@ -6,6 +6,12 @@ pair of neighbours to the merge table, contracts the word's leftmost pair of min
 goes on until no pair of any word is in the table.  An ordered aggregate gathers ids, and another
 one decodes them.  Words and their ids stay in a bounded cache, so a word is contracted once for
 each worker, not once for each time it occurs.
+
+A word may be as long as its text.  Contraction costs the square of a word's length, so a word of
+more than ``SHORT`` bytes is cut into pieces, and the ids of neighbouring pieces are joined by
+contracting what lies around the cut once more.  That is exact for any merge table: ids are those
+of their text if and only if each two neighbours are the ids of their own joined bytes, since
+contraction inside a stretch that no merge leaves goes the same way with or without its surroundings.
 """
 
 from __future__ import annotations
@@ -22,6 +28,14 @@ from .common import caches, lean_worker
 
 MOST_CACHED = 800_000
 WORDS_AT_ONCE = 50_000
+BYTES_AT_ONCE = 1 << 21
+#: Words up to so many bytes are contracted whole; longer ones in pieces of so many characters.
+SHORT = 256
+PIECE = 64
+#: Ids around a cut that are contracted again at first, on either side; four times as many after each miss.
+REACH = 8
+MOST_FITTING = 200_000
+NO_PAIR = np.iinfo(np.int64).max
 
 #: Contract all words of the table ``words`` (number, tokens); a key keeps only a word's last state.
 CONTRACT = """
@@ -36,8 +50,6 @@ WITH RECURSIVE steps(number, tokens) USING KEY (number) AS (
     GROUP BY p.number))
 SELECT number, tokens AS ids FROM steps ORDER BY number
 """
-#: Longer words than this (in bytes) have positions that the query's keys do not hold.
-LONGEST = 1048575
 
 
 def merge_table(ranks: dict[bytes, int]) -> list[tuple[int, int, int]]:
@@ -65,7 +77,13 @@ class DuckBpe:
         self.decimals = list(map(str, range(max(self.ranks.values()) + 1)))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        first, second, merged = (pa.array(x, pa.int32()) for x in zip(*merge_table(self.ranks)))
+        self.bytes_of = {i: t for t, i in self.ranks.items()}
+        self.fitting: dict[tuple[int, int], bool] = {}
+        pairs = merge_table(self.ranks)
+        first, second, merged = (np.array(x, np.int64) for x in zip(*pairs))
+        order = np.argsort(first << 32 | second)
+        self.pair_keys, self.pair_merged = (first << 32 | second)[order], merged[order]
+        first, second, merged = (pa.array(x, pa.int32()) for x in zip(*pairs))
         tables = {
             "merges": pa.table({"first": first, "second": second, "merged": merged}),
             "vocabulary": pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]}),
@@ -77,20 +95,111 @@ class DuckBpe:
 
     def contract(self, words: list[str]) -> list[bytes]:
         """Token ids of each word, as the bytes of 32-bit integers."""
+        raw = [w.encode() for w in words]
+        long = [i for i, w in enumerate(raw) if len(w) > SHORT]
+        if not long:
+            return self._short(raw)
+        short = iter(self._short([w for w in raw if len(w) <= SHORT]))
+        joined = iter(self._long([words[i] for i in long]))
+        return [next(joined if len(w) > SHORT else short) for w in raw]
+
+    def _short(self, words: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
-        for i in range(0, len(words), WORDS_AT_ONCE):
-            part = [w.encode() for w in words[i : i + WORDS_AT_ONCE]]
-            if max(map(len, part)) > LONGEST:
-                raise ValueError(f"a word of more than {LONGEST} bytes")
-            offs = pa.array(np.concatenate([[0], np.cumsum([len(w) for w in part])]), pa.int32())
+        ends = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)])
+        i = 0
+        while i < len(words):
+            j = min(i + WORDS_AT_ONCE, max(i + 1, int(np.searchsorted(ends, ends[i] + BYTES_AT_ONCE, "right")) - 1), len(words))
+            part = words[i:j]
+            offs = pa.array(ends[i : j + 1] - ends[i], pa.int32())
             tokens = pa.ListArray.from_arrays(offs, pa.array(self.byte_ids[np.frombuffer(b"".join(part), np.uint8)]))
             self.db.register("words", pa.table({"number": pa.array(range(len(part)), pa.int64()), "tokens": tokens}))
             lists = self.db.sql(CONTRACT).to_arrow_table().column("ids").combine_chunks()
             self.db.unregister("words")
-            flat, ends = lists.values.to_numpy().astype(np.int32).tobytes(), (lists.offsets.to_numpy() * 4).tolist()
-            out += [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+            flat, cuts = lists.values.to_numpy().astype(np.int32).tobytes(), (lists.offsets.to_numpy() * 4).tolist()
+            out += [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+            i = j
+        return out
+
+    def _long(self, words: list[str]) -> list[bytes]:
+        """Words in pieces, neighbours joined in rounds until each word is one."""
+        cut = [[w[i : i + PIECE].encode() for i in range(0, len(w), PIECE)] for w in words]
+        met = list(set().union(*cut))
+        ids = {w: np.frombuffer(x, np.int32) for w, x in zip(met, self._short(met))}
+        parts = [[ids[x] for x in pieces] for pieces in cut]
+        while max(map(len, parts)) > 1:
+            joined = iter(self._join([(p[i], p[i + 1]) for p in parts for i in range(0, len(p) - 1, 2)]))
+            parts = [[next(joined) if i + 1 < len(p) else p[i] for i in range(0, len(p), 2)] for p in parts]
+        return [p[0].tobytes() for p in parts]
+
+    def _join(self, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """The ids of each two neighbours' joined text."""
+        out: list = [None] * len(pairs)
+        left, reach = list(range(len(pairs))), REACH
+        while left:
+            around = [b"".join(map(self.bytes_of.__getitem__, [*pairs[k][0][-reach:].tolist(), *pairs[k][1][:reach].tolist()])) for k in left]
+            distinct = list(set(around))
+            ids = dict(zip(distinct, self._exact(distinct)))
+            edges = {}
+            for k, text in zip(left, around):
+                (a, b), middle = pairs[k], ids[text]
+                edges[k] = []
+                if len(a) > reach and a[-reach] != middle[0]:
+                    edges[k].append((int(a[-reach - 1]), int(middle[0])))
+                if len(b) > reach and b[reach - 1] != middle[-1]:
+                    edges[k].append((int(middle[-1]), int(b[reach])))
+            self._learn({e for es in edges.values() for e in es})
+            missed = []
+            for k, text in zip(left, around):
+                if all(self.fitting[e] for e in edges[k]):
+                    a, b = pairs[k]
+                    out[k] = np.concatenate([a[:-reach], ids[text], b[reach:]])
+                else:
+                    missed.append(k)
+            left, reach = missed, reach * 4
         return out
 
+    def _learn(self, edges: set[tuple[int, int]]) -> None:
+        """Whether two tokens are the ids of their joined bytes."""
+        if len(self.fitting) > MOST_FITTING:
+            self.fitting = {}
+        fresh = list(edges.difference(self.fitting))
+        got = self._exact([self.bytes_of[a] + self.bytes_of[b] for a, b in fresh])
+        self.fitting.update((e, e == tuple(x.tolist())) for e, x in zip(fresh, got))
+
+    def _exact(self, words: list[bytes]) -> list[np.ndarray]:
+        short = iter(self._short([w for w in words if len(w) <= SHORT]))
+        return [np.frombuffer(next(short), np.int32) if len(w) <= SHORT else self._wide(w) for w in words]
+
+    def _wide(self, word: bytes) -> np.ndarray:
+        """The ids of a stretch whose pieces never fall into step, such as a long period: few ranks, often.
+
+        Pairs of the minimum rank that do not overlap are contracted at once, from the left up to
+        the first one whose new token makes a pair of a lower rank.
+        """
+        ids = self.byte_ids[np.frombuffer(word, np.uint8)]
+        while len(ids) > 1:
+            rank = self._pair_ranks(ids[:-1], ids[1:])
+            least = rank.min()
+            if least == NO_PAIR:
+                break
+            hit = np.flatnonzero(rank == least)
+            count = np.arange(len(hit))
+            start = np.maximum.accumulate(np.where(np.diff(hit, prepend=-2) != 1, count, 0))
+            hit = hit[(count - start) % 2 == 0]
+            before = np.where(np.diff(hit, prepend=-3) == 2, least, ids[hit - 1])
+            lower = (hit > 0) & (self._pair_ranks(before, np.full(len(hit), least)) < least)
+            lower |= (hit + 2 < len(ids)) & (self._pair_ranks(np.full(len(hit), least), ids[np.minimum(hit + 2, len(ids) - 1)]) < least)
+            if lower.any():
+                hit = hit[: int(np.argmax(lower)) + 1]
+            ids[hit] = least
+            ids = np.delete(ids, hit + 1)
+        return ids
+
+    def _pair_ranks(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        key = (first.astype(np.int64) << 32) | second
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_merged[at], NO_PAIR)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.split(t) for t in texts]
         if len(self.cache) > self.most:
@@ -98,7 +207,11 @@ class DuckBpe:
         fresh = list(set().union(*cut).difference(self.cache))
         self.cache.update(zip(fresh, self.contract(fresh)))
         ids = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(ids, words)), np.int32) for words in cut]
+        out = [np.frombuffer(b"".join(map(ids, words)), np.int32) for words in cut]
+        for word in fresh:  # the cache is bounded by words, so it keeps no long ones
+            if len(word) > SHORT:
+                del self.cache[word]
+        return out
 
     def digest(self, ids: np.ndarray) -> str:
         """The SHA-256 of the decimal ids, joined by spaces."""

@@ -396,6 +396,29 @@ def test_bpe_equals_the_library(spark, odd, none):
     assert bpe.encode_documents(none, path, P.PATTERN).count() == 0
 
 
+def test_bpe_of_very_long_runs(spark):
+    """Runs of one pattern match: over 1 MiB, and all ways to cut shorter ones."""
+    import tiktoken
+
+    path, rng = P.path("byte_bpe_50k.tiktoken"), random.Random(8)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    mixed = lambda n, letters: "".join(rng.choices(letters, k=n))
+    most = (1 << 20) + 77
+    texts = [mixed(most, "acgt"), mixed(most, "abcdefghijklmnopqrstuvwxyz"), " " * most, "中" * (most // 3)]
+    texts += [mixed(rng.randrange(250, 3000), rng.choice(["ab", "the", "éü中a", "АБВГДЕабвгде", "etaoinshr"])) for _ in range(60)]
+    texts += [(mixed(k, "haloe") * 3000)[: 1500 + k] for k in range(1, 40)] + ["\n" * 5000 + " " * 777 + "y", "a" * 257, "é" * 129]
+    got = {r["doc_id"]: r for r in bpe.encode_documents(frame(spark, list(enumerate(texts))), path, P.PATTERN, with_ids=True).collect()}
+    for i, t in enumerate(texts):
+        want = lib._encode_single_piece(t) if i < 4 else lib.encode_ordinary(t)  # the library's own pattern fails on long white space
+        assert got[i]["ids"] == want, (i, t[:40])
+        assert got[i]["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+    coder = bpe.DuckBpe(path, P.PATTERN)
+    for t in texts[4:70]:
+        if not re.search(r"\s", t):
+            assert coder._wide(t.encode()).tolist() == lib.encode_ordinary(t)
+
+
 def test_packed_files(spark, odd, none):
     from tokenizers import Tokenizer
 
