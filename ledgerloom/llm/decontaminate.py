@@ -6,13 +6,16 @@ that reaches the window, the covered words are hit, and the state tells which it
 
 The items go into automata of at most ``BLOCK_WORDS`` words each.  A task keeps one of them
 built at a time and runs its batch of documents through each in turn, so that a large set of
-items costs time, not memory; beyond ``MAX_ITEM_BYTES`` of items (checked) they are not
-broadcast and ``hits_by_join`` does the work with a shuffle on hashed windows instead.
+items costs time, not memory.  Items of more than ``MAX_ITEM_BYTES`` in all are broadcast slice by
+slice: the documents stream through the blocks of each slice, only hits are written, and the
+spans of all slices are merged by document.  Results are the same at every size.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, lean_worker, row_blocks, text_bytes, word_spans
+from .common import ALNUM, lean_worker, materialize, row_blocks, text_bytes, word_spans
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -161,7 +164,7 @@ def item_blocks(rows: list[tuple[int, str | None]], block_words: int = BLOCK_WOR
 
 
 def _hits(batch_text: pa.Array, automata: _Blocks):
-    """For each row: words, merged hit spans (word numbers), byte spans of the words, items."""
+    """For each row: words, merged hit spans (word numbers in the row), byte spans of the words, items."""
     buf, offs = text_bytes(batch_text)
     low = np.arange(256, dtype=np.uint8)
     low[65:91] += 32
@@ -196,7 +199,8 @@ def _hits(batch_text: pa.Array, automata: _Blocks):
                     merged[-1][1] = max(merged[-1][1], b)
                 else:
                     merged.append([a, b])
-            out.append((int(first[row + 1] - first[row]), merged, [(int(starts[a]) - int(local[row]), int(ends[b - 1]) - int(local[row])) for a, b in merged], items.get(row, set())))
+            base = int(first[row])
+            out.append((int(first[row + 1]) - base, [[a - base, b - base] for a, b in merged], [(int(starts[a]) - int(local[row]), int(ends[b - 1]) - int(local[row])) for a, b in merged], items.get(row, set())))
     return out
 
 
@@ -215,12 +219,95 @@ def items_digest(items: set) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
 
-def collect_items(items: DataFrame, item_id: str = "item_id", text: str = "text", max_bytes: int = MAX_ITEM_BYTES) -> list[tuple[int, str | None]] | None:
-    """The items, or None if they exceed ``max_bytes`` in all."""
-    size = items.agg(F.sum(F.octet_length(F.col(text)) + 32)).first()[0] or 0
-    if size > max_bytes:
-        return None
-    return [(r[0], r[1]) for r in items.select(item_id, text).orderBy(item_id, text).collect()]
+def item_slices(items: DataFrame, item_id: str = "item_id", text: str = "text", max_bytes: int = MAX_ITEM_BYTES) -> Iterator[list[tuple[int, str | None]]]:
+    """The items in slices: all in one, or by hash in slices of about half of ``max_bytes``."""
+    size, count = items.agg(F.sum(F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 32), F.count(F.lit(1))).first()
+    slices = 1 if (size or 0) <= max_bytes else min(-(-2 * size // max_bytes), count)
+    which = F.pmod(F.xxhash64(item_id, text), F.lit(slices))
+    for k in range(slices):
+        part = items.where(which == k) if slices > 1 else items
+        yield [(r[0], r[1]) for r in part.select(item_id, text).orderBy(item_id, text).collect()]
+        if slices == 1:
+            return
+
+
+#: Hit spans in words (a, b) and bytes (start, stop) of a document.
+FOUND = "array<struct<a: long, b: long, start: long, stop: long>>"
+_FOUND_TYPES = pa.schema([("__place", pa.int64()), ("__spans", pa.list_(pa.struct([(n, pa.int64()) for n in ("a", "b", "start", "stop")]))), ("__items", pa.list_(pa.string()))])
+
+
+def _merged(found: list[dict]) -> tuple[list[list[int]], list[tuple[int, int]]]:
+    """Hit spans of several slices as one: in words and in bytes."""
+    words: list[list[int]] = []
+    places: list[list[int]] = []
+    for x in sorted(found, key=lambda x: (x["a"], x["b"])):
+        if words and x["a"] <= words[-1][1]:
+            if x["b"] > words[-1][1]:
+                words[-1][1], places[-1][1] = x["b"], x["stop"]
+        else:
+            words.append([x["a"], x["b"]])
+            places.append([x["start"], x["stop"]])
+    return words, [(a, b) for a, b in places]
+
+
+def _finder(docs: DataFrame, items: DataFrame, window: int, text: str, max_bytes: int):
+    """``docs`` and a function that makes, inside a task, the function from batches to what ``_hits`` gives.
+
+    Where the items take several slices, two columns with their hits follow those of ``docs``.
+    """
+    context, at = docs.sparkSession.sparkContext, docs.columns.index(text)
+    slices = item_slices(items, text="text", max_bytes=max_bytes)
+    rows, second = next(slices), next(slices, None)
+    if second is None:
+        shared = context.broadcast(item_blocks(rows))
+
+        def begin():
+            automata = _Blocks(shared.value, window)
+            return lambda batch: _hits(batch.column(at), automata)
+
+        return docs, begin
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    numbered = materialize(docs.select(*columns, F.monotonically_increasing_id().alias("__place")), "numbered")
+    texts = numbered.select("__place", F.col(f"`{text}`"))
+
+    def hits_of(shared):
+        def work(batches):
+            lean_worker()
+            automata = _Blocks(shared.value, window)
+            for batch in batches:
+                found = _hits(batch.column(1), automata)
+                rows = [
+                    {"__place": place, "__spans": [{"a": a, "b": b, "start": s, "stop": e} for (a, b), (s, e) in zip(m, spans)], "__items": sorted(map(str, ids))}
+                    for place, (_, m, spans, ids) in zip(batch.column(0).to_pylist(), found)
+                    if m
+                ]
+                yield pa.RecordBatch.from_pylist(rows, schema=_FOUND_TYPES)
+
+        return work
+
+    parts = []
+    for part in itertools.chain([rows, second], slices):
+        if blocks := item_blocks(part):
+            shared = context.broadcast(blocks)
+            parts.append(materialize(texts.mapInArrow(hits_of(shared), f"__place long, __spans {FOUND}, __items array<string>"), "hits"))
+            shared.destroy()
+    met = functools.reduce(DataFrame.unionByName, parts) if parts else None
+    none = [F.lit(None).cast(FOUND).alias("__spans"), F.lit(None).cast("array<string>").alias("__items")]
+    if met is None:
+        joined = numbered.select(*columns, *none)
+    else:
+        met = met.groupBy("__place").agg(F.flatten(F.collect_list("__spans")).alias("__spans"), F.array_distinct(F.flatten(F.collect_list("__items"))).alias("__items"))
+        joined = numbered.join(met, "__place", "left").select(*columns, "__spans", "__items")
+
+    def begin_merging():
+        def found(batch):
+            spans, ids = (batch.column(batch.num_columns - k).to_pylist() for k in (2, 1))
+            return [(n, *_merged(s or []), set(i or [])) for (n, *_), s, i in zip(_hits(batch.column(at), ()), spans, ids)]
+
+        return found
+
+    return joined, begin_merging
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
@@ -231,16 +318,13 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     Items without words match nothing; repeated items count by their id.  Every input row gives
     one row, repeated doc_ids and null ones too.  Columns other than the two named are not read.
     """
-    rows = collect_items(items, text=text, max_bytes=max_item_bytes)
-    if rows is None:
-        return hits_by_join(docs, items, window, doc_id, text)
-    shared = docs.sparkSession.sparkContext.broadcast(item_blocks(rows))
+    docs, begin = _finder(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), items, window, "text", max_item_bytes)
 
     def work(batches):
         lean_worker()
-        automata = _Blocks(shared.value, window)
+        find = begin()
         for batch in batches:
-            found = _hits(batch.column(1), automata)
+            found = find(batch)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -255,58 +339,25 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "spans"],
             )
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(work, RESULT)
-
-
-def hits_by_join(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The same rows for item sets too large to broadcast: an equi-join on windows of words."""
-    cut = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    lowered = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.filter(F.split(lowered, cut), lambda w: w != "")
-    gram = lambda n: F.expr(f"IF(size(_w) >= {n}, transform(sequence(1, size(_w) - {n} + 1), i -> struct(i - 1 AS at, array_join(slice(_w, i, {n}), ' ') AS gram)), array())")
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("_u"), words.alias("_w"))
-    i = items.select(F.col("item_id").cast("string").alias("item_id"), words.alias("_w")).where(F.size("_w") > 0)
-    wide = i.where(F.size("_w") >= window).select("item_id", F.lit(window).alias("n"), F.explode(gram(window)).alias("g"))
-    short = i.where(F.size("_w") < window).select("item_id", F.size("_w").alias("n"), F.struct(F.lit(0).alias("at"), F.array_join("_w", " ").alias("gram")).alias("g"))
-    wanted = wide.unionByName(short).select("item_id", "n", F.col("g.gram").alias("gram")).distinct()
-    sizes = [r["n"] for r in wanted.select("n").distinct().collect()]
-    parts = [d.select("_u", F.lit(n).alias("n"), F.explode(gram(n)).alias("g")).select("_u", "n", "g.at", "g.gram") for n in sorted(sizes)]
-    out = d.select("_u", "doc_id", F.size("_w").cast("long").alias("n_words"))
-    if parts:
-        grams = parts[0]
-        for p in parts[1:]:
-            grams = grams.unionByName(p)
-        met = grams.join(wanted, ["n", "gram"])
-        spans = met.groupBy("_u").agg(
-            F.size(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(at, at + n - 1)"))))).cast("long").alias("n_hit"),
-            F.array_sort(F.collect_set("item_id")).alias("item_ids"),
-        )
-        out = out.join(spans, "_u", "left")
-    else:
-        out = out.withColumns({"n_hit": F.lit(None).cast("long"), "item_ids": F.lit(None).cast("array<string>")})
-    ids = F.coalesce("item_ids", F.expr("cast(array() as array<string>)"))
-    hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), ids.alias("item_ids"), F.expr("cast(null as array<struct<start: int, stop: int>>)").alias("spans"))
+    return docs.mapInArrow(work, RESULT)
 
 
-def remove_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_words: int = 200, max_share: float = 0.5, text: str = "text", drop: bool = True) -> DataFrame:
+def remove_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_words: int = 200, max_share: float = 0.5, text: str = "text", drop: bool = True, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
     """Documents without their hit spans; those with over ``max_words`` hit words or a hit share over ``max_share`` go.
 
     All columns stay, with ``text`` cut (and ``n_chars`` recounted where it exists).  Null texts
     stay as they are.  Words that a cut separated are never joined: one space takes its place.
     """
-    rows = collect_items(items)
-    if rows is None:
-        raise ValueError(f"the items exceed {MAX_ITEM_BYTES} bytes; cut spans with hits_by_join on blocks of items")
-    shared = docs.sparkSession.sparkContext.broadcast(item_blocks(rows))
     names, schema = docs.columns, docs.schema
     at = names.index(text)
+    docs, begin = _finder(docs, items, window, text, max_item_bytes)
 
     def work(batches):
         lean_worker()
-        automata = _Blocks(shared.value, window)
+        find = begin()
         for batch in batches:
-            found = _hits(batch.column(at), automata)
+            found = find(batch)
+            batch = pa.RecordBatch.from_arrays(batch.columns[: len(names)], schema=pa.schema(list(batch.schema)[: len(names)]))
             texts = batch.column(at)
             keep = [i for i, (n, m, _, _) in enumerate(found) if not (drop and (sum(b - a for a, b in m) > max_words or sum(b - a for a, b in m) > max_share * n))]
             changed = {}

@@ -297,6 +297,18 @@ def test_contaminated_spans_go(spark):
     assert 2 not in got and got[4]["text"] is None and got[5]["text"] == ""
 
 
+def test_large_benchmarks_cut_the_same(spark):
+    """Items beyond the bound go slice by slice and give the same spans and texts."""
+    items = spark.createDataFrame([*ITEMS, (7, words(40, 60)), (8, " ".join(words(40, 60).split()[20:]) + " " + words(15, 61))], "item_id long, text string")
+    long, ours = words(40, 60), ITEMS[0][1]
+    rows = [*ODD, (30, f"{BASE} é {long} {words(15, 61)}, {BASE}"), (31, f"{BASE}. {ours[:90]} x {long} end"), (32, long), (33, f"short item here {BASE}"), (34, None)]
+    docs = frame(spark, rows * 2).repartition(3)
+    one, many = ([sorted(map(str, f(docs, items, max_item_bytes=n).collect())) for f in (decontaminate.find_contamination, decontaminate.remove_contamination)] for n in (1 << 20, 300))
+    assert one == many and sum("spans=[]" not in r for r in one[0]) >= 8
+    assert list(decontaminate.item_slices(items, max_bytes=300))[1:] and not list(decontaminate.item_slices(items))[1:]
+    assert decontaminate.remove_contamination(docs, items, max_item_bytes=300).columns == docs.columns
+
+
 # 5, 6 ------------------------------------------------------------------------------------------
 
 
