@@ -93,7 +93,7 @@ def context_blocks(spark, d):
     """Each document as a decision's text block, and its estimated tokens."""
     rows = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
     rows = rows.withColumns({
-        "decision_statement": F.left("text", F.lit(60)),
+        "decision_statement": F.col("text"),
         "rationale": F.concat(F.lit("quality "), F.col("quality").cast("string")),
         "alternatives_considered": F.when(F.col("lang") == "en", F.array().cast("array<string>")).otherwise(F.array("lang", "source")),
         "confidence": F.coalesce("quality", F.lit(0)) * 0.945,
@@ -105,7 +105,7 @@ def context_blocks(spark, d):
 def searchable_text(spark, d):
     rationale = F.when(F.col("lang") != "fr", F.col("source"))
     options = F.when(F.col("lang") == "en", F.array("lang", "source")).otherwise(F.array().cast("array<string>"))
-    return table(spark, d, "documents").select("doc_id", tx.searchable_text(F.left("text", F.lit(40)), rationale, options).alias("body"))
+    return table(spark, d, "documents").select("doc_id", tx.searchable_text(F.col("text"), rationale, options).alias("body"))
 
 
 @query("SELECT event_id, 'k=' || json_extract_string(props, '$.k') AS body FROM events")

@@ -74,3 +74,15 @@ def test_json_and_names(spark):
     row = spark.sql("SELECT '{\"a\":\"1\",\"b\":\"2\"}' AS x, '{\"b\":\"3\"}' AS y, 'Ann.Lee@x.org' AS mail, 'ABCDEF01-2345-6789-0000-000000000000' AS id")
     got = row.select(scalars.json_merge("x", "y"), scalars.json_without("x", "a"), scalars.workspace_slug("mail", F.lower("id"))).first()
     assert got[0] in ('{"a":"1","b":"3"}',) and got[1] == '{"b":"2"}' and got[2] == "ann-lee-abcdef01"
+
+
+def test_blocks_hold_whole_texts(spark, tmp_path):
+    from ledgerloom.plans import registry
+
+    text = "We decided to keep every word of a long statement, " * 40 + "to its end."
+    spark.createDataFrame([(1, text, "de", "wiki")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    block = registry.queries()["context_blocks"](spark, str(tmp_path)).first()["block"]
+    assert f"\nStatement: {text}\nRationale: quality 1\n" in block
+    body = registry.queries()["searchable_text"](spark, str(tmp_path)).first()["body"]
+    assert body == f"Decision: {text}\nRationale: wiki"
