@@ -55,6 +55,15 @@ def _wide(data: bytes, n: int) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
+def _length_bytes(lengths: np.ndarray) -> bytes:
+    """Run lengths in one byte each, or in four where one is longer (a threshold from 287 up allows that)."""
+    return lengths.astype(np.uint8 if not len(lengths) or lengths.max() < 256 else "<u4").tobytes()
+
+
+def _lengths(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if len(data) == n else "<u4").astype(np.int64)
+
+
 def _prints(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Running sums for fingerprints of any stretch, and the factors that align them."""
     p, inverse = powers(len(part) + 1)
@@ -150,13 +159,13 @@ def _pack(block: int, names: np.ndarray, seconds: np.ndarray | None, places: np.
         i = order[cut[b] : cut[b + 1]]
         if len(i):
             ids = np.array([low], "<i8").tobytes() + (docs[i] - low).astype("<u4").tobytes() if small else docs[i].astype("<i8").tobytes() + b"w"
-            out.append({"block": block, "bucket": b, "n": len(i), "names": _low_bytes(names[i] >> np.uint64(64 - 8 * wide), wide), "seconds": _low_bytes(seconds[i], 6) if seconds is not None else b"", "places": places[i].astype("<u4").tobytes(), "lengths": lengths[i].astype(np.uint8).tobytes() if lengths is not None else b"", "docs": ids})
+            out.append({"block": block, "bucket": b, "n": len(i), "names": _low_bytes(names[i] >> np.uint64(64 - 8 * wide), wide), "seconds": _low_bytes(seconds[i], 6) if seconds is not None else b"", "places": places[i].astype("<u4").tobytes(), "lengths": _length_bytes(lengths[i]) if lengths is not None else b"", "docs": ids})
     return out
 
 
 def _local(block: int, buckets: int, places: np.ndarray, lengths: np.ndarray) -> dict:
     """Marks that the block found by itself; they travel with the packed rows and pass through unchanged."""
-    return {"block": block, "bucket": block % buckets, "n": -1, "names": b"", "seconds": b"", "places": places.astype("<u4").tobytes(), "lengths": lengths.astype(np.uint8).tobytes(), "docs": b""}
+    return {"block": block, "bucket": block % buckets, "n": -1, "names": b"", "seconds": b"", "places": places.astype("<u4").tobytes(), "lengths": _length_bytes(lengths), "docs": b""}
 
 
 def _passed(rows: list[dict]) -> list[dict]:
@@ -171,7 +180,7 @@ def _unpack(rows: list[dict], wide: int):
         n = r["n"]
         raw = r["docs"]
         docs = np.frombuffer(raw[:-1], "<i8") if len(raw) % 2 else np.frombuffer(raw[8:], "<u4").astype(np.int64) + np.frombuffer(raw[:8], "<i8")[0]
-        parts.append((np.full(n, r["block"]), _wide(r["names"], wide), _wide(r["seconds"], 6) if r["seconds"] else np.zeros(n, np.uint64), np.frombuffer(r["places"], "<u4").astype(np.int64), np.frombuffer(r["lengths"], np.uint8).astype(np.int64) if r["lengths"] else np.ones(n, np.int64), docs))
+        parts.append((np.full(n, r["block"]), _wide(r["names"], wide), _wide(r["seconds"], 6) if r["seconds"] else np.zeros(n, np.uint64), np.frombuffer(r["places"], "<u4").astype(np.int64), _lengths(r["lengths"], n) if r["lengths"] else np.ones(n, np.int64), docs))
     kinds = (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64)
     return tuple(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kinds[i]) for i in range(6))
 
@@ -181,7 +190,7 @@ def _marks(block: np.ndarray, places: np.ndarray, lengths: np.ndarray, kind: str
     order = np.argsort(block, kind="stable")
     values, first = np.unique(block[order], return_index=True)
     for value, i in zip(values.tolist(), np.split(order, first[1:])):
-        out.append({"block": value, "kind": kind, "places": places[i].astype("<u4").tobytes(), "lengths": lengths[i].astype(np.uint8).tobytes()})
+        out.append({"block": value, "kind": kind, "places": places[i].astype("<u4").tobytes(), "lengths": _length_bytes(lengths[i])})
     return out
 
 
@@ -207,7 +216,7 @@ def _starts(column_places: list[bytes], column_lengths: list[bytes]) -> np.ndarr
     if not column_places:
         return np.zeros(0, np.int64)
     place = np.frombuffer(b"".join(column_places), "<u4").astype(np.int64)
-    length = np.frombuffer(b"".join(column_lengths), np.uint8).astype(np.int64)
+    length = np.concatenate([_lengths(x, len(p) // 4) for x, p in zip(column_lengths, column_places)])
     return np.repeat(place, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
 
 

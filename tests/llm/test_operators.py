@@ -587,6 +587,13 @@ def test_repeated_strings(spark, odd, none, size):
     assert suffix.repeated_bytes(odd, size).count() == len(ODD) and suffix.repeated_bytes(none, size).count() == 0
 
 
+def test_repeated_strings_of_long_runs(spark):
+    """At this threshold a run has more than 255 starts."""
+    rows = [(i, f"{words(20, 300 + i)} {words(400, 77)[31 * i :]} {words(30, 400 + i)}") for i in range(12)] + [(40, "ab" * 900), (41, "z" * 2000), (42, None)]
+    got = suffix.repeated_bytes(frame(spark, rows[::-1]).repartition(3), 400).collect()
+    assert sorted(str((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])) for r in got) == brute_repeats(rows, 400)
+
+
 def test_removed_repeats_keep_columns(spark):
     passage = words(80, 12)
     docs = frame(spark, [(1, f"first {passage} end"), (2, f"second {passage} stop"), (3, passage), (4, None), (5, ""), (6, "é" * 400)])
