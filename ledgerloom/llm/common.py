@@ -32,11 +32,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where that setting is missing (local mode, tests) a temporary folder takes its place.
+    Where that setting is missing a temporary folder takes its place, in local mode only.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="ledgerloom-"))
     return _own_dir[0]
@@ -47,11 +49,40 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: its lineage ends there."""
-    path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Remove the shuffle files of a query when it ends, here of a write whose rows are read from its folder afterwards.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, tag: str, folders: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: its lineage and its shuffle files end there.
+
+    The folder is added to ``folders``, so that the caller can remove it with ``clear_path``.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, tag)
+    if folders is not None:
+        folders.append(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def fresh_name(name: str, taken: list[str]) -> str:
+    """``name`` behind as many underscores as tell it from the columns in ``taken``, upper and lower case aside."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
 
 
 #: What operators keep in a worker between tasks, by operator.

@@ -1,31 +1,32 @@
-"""Repeated byte strings across a corpus, by prefix doubling over sampled suffixes.
-
-A suffix is worth sorting only while its prefix may still repeat.  Ranks are taken at growing
-lengths, and positions that have become unique leave before the next one:
-
-1. *Length 32.*  Any ``threshold`` bytes hold an anchor: the place where the 32-byte prefix has the
-   least fingerprint among all of them.  Equal strings have their anchor at the same offset, so
-   only anchors are ranked (one for about 32 bytes).  Consecutive string starts with one anchor
-   are a *run*.  An anchor whose prefix is unique settles its whole run: nothing there repeats.
-2. *Run length.*  Runs around equal prefixes are ranked by all bytes that they cover.  A run that
-   came before settles all of its starts as repeats.
-3. *Length 100 (the threshold).*  Runs that are left, one for each distinct content, are opened:
-   the name of a start is the pair of the names of its first and second part, each again a pair
-   at half the offset, as in prefix doubling.  A start whose name came before is a repeat.
-
-Texts are written once as a table bucketed by *block* (a part of one input partition); all
-rounds read their block from it without a shuffle.  What is shuffled are packed arrays of
-(fingerprint, position), one for each block and range of fingerprints, without repeats within
-the block, so a string that a third of all rows share arrives once for each block.  Sorting
-positions of every byte instead would shuffle about 16 bytes for each input byte and round.
-
-Names are 48 bits of 64-bit fingerprints (anchors, runs) and 56 bits (threshold names).
+"""Repeated byte strings across a corpus, by distributed prefix doubling.
+
+Documents are written once in document order, cut into *blocks* of consecutive documents; a
+position is (block, byte), so positions order as the documents do.  Then:
+
+1. *Which positions are worth sorting.*  Any ``threshold`` bytes hold an anchor: the place where
+   the ``BASE``-byte prefix has the least fingerprint.  Equal strings have their anchor at the same
+   offset, so consecutive string starts with one anchor form a *run*, and anchors are sorted first.
+   A run whose anchor prefix is unique holds no repeat and leaves; one whose bytes all came before
+   is a repeat as a whole; the starts of the others are *open*.
+2. *Rank at ``BASE`` bytes.*  The prefixes at all open positions are sorted and numbered.
+3. *Doubling.*  Pairs (rank here, rank ``offset`` further on) are sorted and numbered again, at
+   offsets 32, 64, ... until they cover ``threshold`` bytes.  Positions that have become unique
+   leave before every round, and with them all starts whose string holds one.
+4. Starts whose ``threshold``-byte rank also stands at an earlier position are repeats.
+
+What Spark shuffles are packed arrays: for each block and range of keys the block's distinct
+pairs, and back their ranks.  A string that a third of all rows share is sent once by each block,
+so no group grows with its copies.  Ranges and blocks are sized in bytes.  Base names and whole
+runs are told apart by 128 bits of fingerprint; all later ranks are exact.
+
+Sorting every byte's position instead would shuffle about 16 bytes for each byte and round.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
+import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -33,51 +34,59 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _TABLE, lean_worker, materialize, mix64, powers, shared_path, text_bytes
+from .common import _TABLE, clear_path, fresh_name, lean_worker, materialize, mix64, powers, text_bytes
 
-PREFIX = 32
+BASE = 32
 SEGMENT = 1 << 18
-#: An input partition is dealt to blocks of about so many (compressed) bytes.
-BLOCK_BYTES = 4 << 20
-PACKED = "block long, bucket int, n int, names binary, seconds binary, places binary, lengths binary, docs binary"
-MARKS = "block long, kind string, places binary, lengths binary"
-_PAIR = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text in a block, and bytes of text for which there is one range of keys: the least and the most.
+BLOCK_BYTES = 8 << 20, 64 << 20
+RANGE_BYTES = 32 << 20, 128 << 20
+#: One message: from a block to a range of keys (kind ``ask``, ``run``), back (``rank``), or a block's own (``state``, ``repeat``, ``open``).
+MESSAGE = "kind string, block long, place long, a binary, b binary, c binary, d binary"
+_TYPES = [("kind", pa.string()), ("block", pa.int64()), ("place", pa.int64()), *((c, pa.binary()) for c in "abcd")]
+_SECOND = np.random.Generator(np.random.PCG64(20260202)).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _low_bytes(x: np.ndarray, n: int) -> bytes:
-    """The low ``n`` bytes of unsigned integers."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
+def _row(kind: str, block: int, place: int, *parts: np.ndarray) -> dict:
+    return {"kind": kind, "block": block, "place": place} | {c: p.tobytes() for c, p in zip("abcd", parts)}
 
 
-def _wide(data: bytes, n: int) -> np.ndarray:
-    out = np.zeros((len(data) // n, 8), np.uint8)
-    out[:, :n] = np.frombuffer(data, np.uint8).reshape(-1, n)
-    return out.view("<u8").reshape(-1)
+def _table(rows: list[dict]) -> pa.Table:
+    lean_worker()
+    return pa.table({name: pa.array([r.get(name) for r in rows], kind) for name, kind in _TYPES})
+
+
+def _ints(data: bytes | None, kind: str = "<u4") -> np.ndarray:
+    return np.frombuffer(data or b"", kind)
 
 
-def _length_bytes(lengths: np.ndarray) -> bytes:
-    """Run lengths in one byte each, or in four where one is longer (a threshold from 287 up allows that)."""
-    return lengths.astype(np.uint8 if not len(lengths) or lengths.max() < 256 else "<u4").tobytes()
+def doubling_lengths(threshold: int) -> list[int]:
+    """The lengths at which positions are ranked: a base, its doubles, the threshold."""
+    length = min(BASE, threshold)
+    out = [length]
+    while length < threshold:
+        length = min(2 * length, threshold)
+        out.append(length)
+    return out
 
 
-def _lengths(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, np.uint8 if len(data) == n else "<u4").astype(np.int64)
+# Fingerprints -------------------------------------------------------------------------------------
 
 
-def _prints(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _prints(part: np.ndarray, table: np.ndarray = _TABLE) -> tuple[np.ndarray, np.ndarray]:
     """Running sums for fingerprints of any stretch, and the factors that align them."""
     p, inverse = powers(len(part) + 1)
     sums = np.zeros(len(part) + 1, np.uint64)
-    np.cumsum(_TABLE[part] * p[: len(part)], out=sums[1:])
+    np.cumsum(table[part] * p[: len(part)], out=sums[1:])
     return sums, inverse
 
 
 def runs(buf: np.ndarray, doc_end: np.ndarray, threshold: int):
-    """Start, length, anchor name and content name of each run of string starts.
+    """Start, length, anchor name and two content names of each run of string starts.
 
     ``doc_end`` holds for each document its end in ``buf``, in order.
     """
-    prefix = min(PREFIX, threshold)
+    prefix = min(BASE, threshold)
     window = threshold - prefix + 1
     out = []
     for s in range(0, len(buf), SEGMENT):
@@ -105,200 +114,355 @@ def runs(buf: np.ndarray, doc_end: np.ndarray, threshold: int):
         last[:-1] &= ~whole[1:] | first[1:]
         a, b = np.flatnonzero(first), np.flatnonzero(last)
         x = anchor[a]
-        content = mix64(mix64((sums[b + threshold] - sums[a]) * inverse[a]) + (b - a).astype(np.uint64) * np.uint64(256) + (x - a).astype(np.uint64))
-        out.append((a + s, b - a + 1, mix64(names[x]), content))  # least values: mixed again, they spread evenly
+        shape = (b - a).astype(np.uint64) << np.uint64(32) | (x - a).astype(np.uint64)
+        content = mix64(mix64((sums[b + threshold] - sums[a]) * inverse[a]) + shape)
+        sums, inverse = _prints(part, _SECOND)
+        second = mix64((sums[b + threshold] - sums[a]) * inverse[a] + shape)
+        out.append((a + s, b - a + 1, mix64(names[x]), content, second))  # least values: mixed again, they spread evenly
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
-    return tuple(np.concatenate([o[i] for o in out]) for i in range(4))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.uint64))
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(5))
 
 
-def threshold_names(buf: np.ndarray, places: np.ndarray, threshold: int) -> np.ndarray:
-    """Names of the ``threshold`` bytes at each place (ascending), by doubling from ``PREFIX``."""
-    prefix = min(PREFIX, threshold)
-    out = np.zeros(len(places), np.uint64)
+def base_names(buf: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two names of the ``length`` bytes at each place (ascending)."""
+    out = np.zeros((2, len(places)), np.uint64)
     cut = np.searchsorted(places, np.arange(0, len(buf) + SEGMENT, SEGMENT))
     for k, (i, j) in enumerate(zip(cut[:-1], cut[1:])):
-        if i == j:
-            continue
-        s = k * SEGMENT
-        part = buf[s : s + SEGMENT + threshold]
-        sums, inverse = _prints(part)
+        if i < j:
+            s = k * SEGMENT
+            at = places[i:j] - s
+            for row, table in enumerate((_TABLE, _SECOND)):
+                sums, inverse = _prints(buf[s : s + SEGMENT + length], table)
+                out[row, i:j] = mix64((sums[at + length] - sums[at]) * inverse[at])
+    return out[0], out[1]
 
-        def named(at, length):
-            if length == prefix:
-                return mix64((sums[at + prefix] - sums[at]) * inverse[at])
-            half = max(prefix, 1 << ((length - 1).bit_length() - 1))
-            return mix64(named(at, half) * _PAIR + named(at + length - half, half))
 
-        out[i:j] = named(places[i:j] - s, threshold)
-    return out
+# Packed positions ---------------------------------------------------------------------------------
 
 
-def _block(table: pa.Table, doc: int, text: int):
-    """A block's rows in document order: doc_ids (int64 arrow), bytes, offsets, and the order."""
-    if not table.num_rows:
-        return pa.array([], pa.int64()), np.zeros(0, np.uint8), np.zeros(1, np.int64), pa.array([], pa.int64())
-    pair = pa.table([table.column(doc), table.column(text)], names=["d", "t"]).combine_chunks()
-    order = pc.sort_indices(pair, sort_keys=[("d", "ascending"), ("t", "ascending")], null_placement="at_start")
-    ids, body = (pair.column(c).combine_chunks() for c in ("d", "t"))
-    ids, body = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (ids, body))
-    ids, body = ids.take(order), body.take(order)
-    buf, offs = text_bytes(body)
-    return ids, buf, offs, order
-
+def _spread(place: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All positions of stretches (place, length)."""
+    return np.repeat(place, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
 
-def _pack(block: int, names: np.ndarray, seconds: np.ndarray | None, places: np.ndarray, lengths: np.ndarray | None, docs: np.ndarray, buckets: int, wide: int) -> list[dict]:
-    """Packed rows of one block, one for each range of names."""
-    which = ((names >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(which, kind="stable")
-    cut = np.searchsorted(which[order], np.arange(buckets + 1))
-    low = int(docs.min()) if len(docs) else 0
-    small = bool(len(docs)) and int(docs.max()) - low < 2**32
-    out = []
-    for b in range(buckets):
-        i = order[cut[b] : cut[b + 1]]
-        if len(i):
-            ids = np.array([low], "<i8").tobytes() + (docs[i] - low).astype("<u4").tobytes() if small else docs[i].astype("<i8").tobytes() + b"w"
-            out.append({"block": block, "bucket": b, "n": len(i), "names": _low_bytes(names[i] >> np.uint64(64 - 8 * wide), wide), "seconds": _low_bytes(seconds[i], 6) if seconds is not None else b"", "places": places[i].astype("<u4").tobytes(), "lengths": _length_bytes(lengths[i]) if lengths is not None else b"", "docs": ids})
-    return out
 
+def _stretches(positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending positions as stretches (place, length)."""
+    if not len(positions):
+        return np.zeros(0, "<u4"), np.zeros(0, "<u4")
+    first = np.flatnonzero(np.diff(positions, prepend=-2) != 1)
+    return positions[first].astype("<u4"), np.diff(np.append(first, len(positions))).astype("<u4")
 
-def _local(block: int, buckets: int, places: np.ndarray, lengths: np.ndarray) -> dict:
-    """Marks that the block found by itself; they travel with the packed rows and pass through unchanged."""
-    return {"block": block, "bucket": block % buckets, "n": -1, "names": b"", "seconds": b"", "places": places.astype("<u4").tobytes(), "lengths": _length_bytes(lengths), "docs": b""}
 
+def _first_of(*keys: np.ndarray) -> np.ndarray:
+    """Whether each entry of sorted keys differs from the one before."""
+    first = np.ones(len(keys[0]), bool)
+    if len(first):
+        first[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return first
 
-def _passed(rows: list[dict]) -> list[dict]:
-    return [{"block": r["block"], "kind": "repeat", "places": r["places"], "lengths": r["lengths"]} for r in rows if r["n"] < 0 and r["places"]]
 
+def _range_of(a: np.ndarray, b: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of a pair: of its mixed value, so that pairs with one frequent half are spread."""
+    mixed = mix64(a * np.uint64(0x9E3779B97F4A7C15) + b)
+    return ((mixed >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
-def _unpack(rows: list[dict], wide: int):
-    parts = []
-    for r in rows:
-        if r["n"] < 0:
-            continue
-        n = r["n"]
-        raw = r["docs"]
-        docs = np.frombuffer(raw[:-1], "<i8") if len(raw) % 2 else np.frombuffer(raw[8:], "<u4").astype(np.int64) + np.frombuffer(raw[:8], "<i8")[0]
-        parts.append((np.full(n, r["block"]), _wide(r["names"], wide), _wide(r["seconds"], 6) if r["seconds"] else np.zeros(n, np.uint64), np.frombuffer(r["places"], "<u4").astype(np.int64), _lengths(r["lengths"], n) if r["lengths"] else np.ones(n, np.int64), docs))
-    kinds = (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64)
-    return tuple(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kinds[i]) for i in range(6))
 
+def _ask(block: int, a: np.ndarray, b: np.ndarray, starts: np.ndarray, positions: np.ndarray, ranges: int) -> list[dict]:
+    """A block's distinct pairs, to their ranges; and its state: where it is open and which pair stands at each position.
 
-def _marks(block: np.ndarray, places: np.ndarray, lengths: np.ndarray, kind: str) -> list[dict]:
+    In a message ``place`` is the range and ``d`` tells whether the block holds the pair twice.
+    """
+    order = np.lexsort((b, a))
+    first = _first_of(a[order], b[order])
+    group = np.cumsum(first) - 1
+    count = np.bincount(group) if len(group) else np.zeros(0, np.int64)
+    keys = order[first]
+    which = _range_of(a[keys], b[keys], ranges)
+    by = np.argsort(which, kind="stable")
+    number = np.empty(len(by), np.int64)
+    number[by] = np.arange(len(by))
+    pair = np.empty(len(a), np.int64)
+    pair[order] = number[group]
+    cut = np.searchsorted(which[by], np.arange(ranges + 1))
     out = []
-    order = np.argsort(block, kind="stable")
-    values, first = np.unique(block[order], return_index=True)
-    for value, i in zip(values.tolist(), np.split(order, first[1:])):
-        out.append({"block": value, "kind": kind, "places": places[i].astype("<u4").tobytes(), "lengths": _length_bytes(lengths[i])})
+    for r in np.flatnonzero(np.diff(cut)).tolist():
+        i = by[cut[r] : cut[r + 1]]
+        out.append(_row("ask", block, r, a[keys[i]], b[keys[i]], np.array([cut[r]], "<u4"), (count[i] > 1).astype(np.uint8)))
+    if len(a):
+        out.append(_row("state", block, block % ranges, np.concatenate(_stretches(starts)), np.concatenate(_stretches(positions)), pair.astype("<u4")))
     return out
 
 
-def _as_table(rows: list[dict], schema: list[tuple[str, pa.DataType]]) -> pa.Table:
-    lean_worker()
-    return pa.table({name: pa.array([r[name] for r in rows], kind) for name, kind in schema})
-
-
-_PACKED_TYPES = [("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in ("names", "seconds", "places", "lengths", "docs"))]
-_MARK_TYPES = [("block", pa.int64()), ("kind", pa.string()), ("places", pa.binary()), ("lengths", pa.binary())]
+def _pairs_of(rows: list[dict]):
+    """All asked pairs of a range: a, b, the message of each, its number in the block, whether it is there twice."""
+    asks = [r for r in rows if r["kind"] == "ask"]
+    if not asks:
+        return (asks, *(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, bool)))
+    a, b, twice = (np.concatenate([_ints(r[c], k) for r in asks]) for c, k in (("a", "<u8"), ("b", "<u8"), ("d", np.uint8)))
+    sizes = [len(r["d"]) for r in asks]
+    number = np.concatenate([int(_ints(r["c"])[0]) + np.arange(n) for r, n in zip(asks, sizes)])
+    return asks, a, b, np.repeat(np.arange(len(asks)), sizes), number, twice.astype(bool)
+
+
+def _ranked(group: pa.Table) -> pa.Table:
+    """A range's pairs sorted and numbered; those that stand at one position only get no rank."""
+    rows = group.to_pylist()
+    asks, a, b, source, number, twice = _pairs_of(rows)
+    order = np.lexsort((b, a))
+    first = _first_of(a[order], b[order])
+    key = np.cumsum(first) - 1
+    often = np.bincount(key, 1 + twice[order], minlength=1) > 1
+    keep = often[key] if len(key) else np.zeros(0, bool)
+    base = np.uint64(rows[0]["place"] + 1) << np.uint64(32)
+    at, rank = order[keep], base + key[keep].astype(np.uint64)
+    out = [r for r in rows if r["kind"] != "ask"]
+    by = np.argsort(source[at], kind="stable")
+    at, rank = at[by], rank[by]
+    cut = np.searchsorted(source[at], np.arange(len(asks) + 1))
+    for k, r in enumerate(asks):
+        i = slice(cut[k], cut[k + 1])
+        if cut[k + 1] > cut[k]:
+            out.append(_row("rank", r["block"], 0, number[at[i]].astype("<u4"), rank[i]))
+    return _table(out)
+
+
+def _doubled(rows: list[dict], length: int, longer: int, threshold: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """From a block's state and ranks at ``length``: block, open starts, positions, and their rank pairs at ``longer``."""
+    state = next((r for r in rows if r["kind"] == "state"), None)
+    if state is None:
+        return None
+    starts, positions = (_spread(*x.astype(np.int64).reshape(2, -1)) for x in (_ints(state["a"]), _ints(state["b"])))
+    pair = _ints(state["c"])
+    by_pair = np.zeros(int(pair.max()) + 1, np.uint64)
+    for r in rows:
+        if r["kind"] == "rank":
+            by_pair[_ints(r["a"])] = _ints(r["b"], "<u8")
+    rank = by_pair[pair]
+    # A start stays open if no position that its string needs has become unique.
+    gone = np.concatenate([[0], np.cumsum(rank == 0)])
+    at = np.searchsorted(positions, starts)
+    starts = starts[gone[at + threshold - length + 1] == gone[at]]
+    if not len(starts):
+        return None
+    edges = np.zeros(int(positions[-1]) + threshold + 2, np.int32)
+    np.add.at(edges, starts, 1)
+    np.add.at(edges, starts + threshold - longer + 1, -1)
+    needed = np.flatnonzero(np.cumsum(edges) > 0)
+    at = np.searchsorted(positions, needed)
+    return state["block"], starts, needed, rank[at], rank[at + longer - length]
+
+
+# The corpus ---------------------------------------------------------------------------------------
+
+
+class Corpus:
+    """Documents written in their order, in blocks; and the marks of what came before."""
+
+    def __init__(self, docs: DataFrame, threshold: int, doc_id: str, text: str, block_bytes: int | None = None, range_bytes: int | None = None):
+        self.columns, self.schema, self.threshold, self.text = docs.columns, docs.schema, threshold, text
+        self.block, self.at = fresh_name("block", docs.columns), fresh_name("at", docs.columns)
+        size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+        self.block_bytes = block_bytes or min(max(size >> 12, BLOCK_BYTES[0]), BLOCK_BYTES[1])
+        self.ranges = max(1, math.ceil(size / (range_bytes or min(max(size >> 12, RANGE_BYTES[0]), RANGE_BYTES[1]))))
+        blocks = max(1, math.ceil(size / self.block_bytes))
+        spread = docs.sparkSession.sparkContext.defaultParallelism
+        self.parts = min(blocks, max(3 * spread, blocks // 16))
+        self.folders: list[str] = []
+        self.table = self._keep(self._in_order(docs, doc_id), "blocks")
+        self.texts = self.table.select(F.col(self.block).alias("block"), F.col(self.at).alias("at"), F.col(f"`{text}`").alias("text"))
+
+    def _keep(self, df: DataFrame, tag: str) -> DataFrame:
+        return materialize(df, tag, self.folders)
+
+    def _in_order(self, docs: DataFrame, doc_id: str) -> DataFrame:
+        """Rows by doc_id (nulls first), equal ones by a hash of the text, with block and place in the block."""
+        names = [fresh_name(n, docs.columns) for n in ("doc", "mark", "row", "part")]
+        doc, mark, row, part = names
+        own = [F.col(f"`{c}`") for c in self.columns]
+        rows = docs.select(*own, F.col(f"`{doc_id}`").cast("long").alias(doc), F.xxhash64(f"`{self.text}`").alias(mark), F.monotonically_increasing_id().alias(row))
+        order = [F.col(doc).asc_nulls_first(), F.col(mark), F.col(row)]  # the row tells only equal texts of equal ids apart
+        rows = rows.repartitionByRange(self.parts, *order).sortWithinPartitions(*order)
+        rows = rows.select(*own, F.spark_partition_id().alias(part))
+        at, most, block_name, at_name = self.columns.index(self.text), self.block_bytes, self.block, self.at
+
+        def place(batches):
+            lean_worker()
+            done, number, begun = 0, -1, 0
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                _, offs = text_bytes(batch.column(at))
+                before = done + offs[:-1]
+                blocks = before // most
+                new = np.flatnonzero(np.diff(blocks, prepend=number) != 0)
+                start = np.full(len(blocks), begun)
+                for i in new.tolist():
+                    start[i:] = before[i]
+                done, number, begun = done + int(offs[-1]), int(blocks[-1]), int(start[-1])
+                where = (batch.column(batch.num_columns - 1)[0].as_py() << 32) + blocks
+                columns = [*batch.columns[:-1], pa.array(where), pa.array(before - start)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], block_name, at_name])
+
+        schema = docs.select(*own, F.lit(0).cast("long").alias(self.block), F.lit(0).cast("long").alias(self.at)).schema
+        return rows.mapInArrow(place, schema)
+
+    def marks(self) -> DataFrame:
+        """(block, place, length) arrays of all string starts that came before."""
+        threshold, ranges, lengths = self.threshold, self.ranges, doubling_lengths(self.threshold)
+
+        def anchors(batches):
+            lean_worker()
+            for batch in batches:
+                block, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                buf, offs = text_bytes(batch.column(2))
+                cut = np.append(np.flatnonzero(_first_of(block)), len(block)) if len(block) else np.zeros(1, int)
+                out = []
+                for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                    out += _runs_of(int(block[i]), int(at[i]), buf[offs[i] : offs[j]], offs[i + 1 : j + 1] - offs[i], threshold, ranges)
+                yield from _table(out).to_batches()
+
+        runs_by_name = self.texts.mapInArrow(anchors, MESSAGE).groupBy("place")
+        settled = self._keep(runs_by_name.applyInArrow(_settled, MESSAGE), "runs")
+
+        def first_round(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows or not right.num_rows:
+                return _table([])
+            _, buf, _, _ = _block_rows(left, 1, 2)
+            starts = np.sort(_marked(right))
+            edges = np.zeros(len(buf) + threshold + 1, np.int32)
+            np.add.at(edges, starts, 1)
+            np.add.at(edges, starts + threshold - lengths[0] + 1, -1)
+            positions = np.flatnonzero(np.cumsum(edges) > 0)
+            a, b = base_names(buf, positions, lengths[0])
+            return _table(_ask(left.column(0)[0].as_py(), a, b, starts, positions, ranges) if len(lengths) > 1 else _last(left.column(0)[0].as_py(), a, b, positions, ranges))
+
+        opened = settled.where("kind = 'open'")
+        asked = self.texts.groupBy("block").cogroup(opened.groupBy("block")).applyInArrow(first_round, MESSAGE)
+        for length, longer in zip(lengths[:-1], lengths[1:]):
+            ranked = self._keep(asked.groupBy("place").applyInArrow(_ranked, MESSAGE), f"rank{length}")
+            asked = ranked.groupBy("block").applyInArrow(_round(length, longer, threshold, ranges), MESSAGE)
+        again = asked.groupBy("place").applyInArrow(_came_before, MESSAGE)
+        found = self._keep(settled.where("kind = 'repeat'").unionByName(again).select("block", "a", "b"), "marks")
+        for folder in self.folders[1:-1]:  # the rounds; the result still reads the blocks and the marks
+            clear_path(self.table.sparkSession, folder)
+        return found
+
+
+def _runs_of(block: int, at: int, buf: np.ndarray, ends: np.ndarray, threshold: int, ranges: int) -> list[dict]:
+    """Runs of a stretch of documents, each distinct anchor once, to the ranges of their names.
+
+    Runs whose anchor stands in the stretch with other bytes around are open at once, so that only
+    one message for each anchor leaves: its bytes, or (second content 0) that there are several.
+    """
+    place, length, names, content, second = runs(buf, ends, threshold)
+    order = np.lexsort((second, content, names))  # stable: the earliest of equal runs comes first
+    distinct = _first_of(names[order], content[order], second[order])
+    head = np.flatnonzero(_first_of(names[order]))
+    kinds = np.add.reduceat(distinct.astype(np.int64), head) if len(head) else np.zeros(0, np.int64)
+    several = np.repeat(kinds, np.diff(np.append(head, len(order)))) > 1
+    place = place + at
+    again, opened = order[~distinct], order[distinct & several]
+    sent = order[head]
+    content, second = content.copy(), second | np.uint64(1)
+    second[order[head[kinds > 1]]] = 0
+    which = ((names[sent] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    by = np.argsort(which, kind="stable")
+    cut = np.searchsorted(which[by], np.arange(ranges + 1))
+    out = []
+    for r in np.flatnonzero(np.diff(cut)).tolist():
+        i = sent[by[cut[r] : cut[r + 1]]]
+        out.append(_row("run", block, r, names[i], content[i], second[i], np.concatenate([place[i], length[i]]).astype("<u4")))
+    for kind, i in (("repeat", again), ("open", opened)):
+        if len(i):
+            out.append(_row(kind, block, block % ranges, place[i].astype("<u4"), length[i].astype("<u4")))
+    return out
 
 
-def _first_of(*keys: np.ndarray) -> np.ndarray:
-    """Whether each entry of sorted keys differs from the one before."""
-    first = np.ones(len(keys[0]), bool)
-    if len(first):
-        first[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    return first
+def _settled(group: pa.Table) -> pa.Table:
+    """A range's runs: repeats as a whole, open ones, or unique (gone)."""
+    rows = group.to_pylist()
+    out, sent = [r for r in rows if r["kind"] != "run"], [r for r in rows if r["kind"] == "run"]
+    if not sent:
+        return _table(out)
+    names, content, second = (np.concatenate([_ints(r[c], "<u8") for r in sent]) for c in "abc")
+    place, length = (np.concatenate(x) for x in zip(*(_ints(r["d"]).reshape(2, -1) for r in sent)))
+    block = np.repeat([r["block"] for r in sent], [len(r["a"]) // 8 for r in sent])
+    order = np.lexsort((place, block, second, content, names))
+    names, content, second, block, place, length = (x[order] for x in (names, content, second, block, place, length))
+    known = second != 0  # else its own block has opened it
+    distinct = _first_of(names, content, second)
+    head = np.flatnonzero(_first_of(names))
+    size = np.diff(np.append(head, len(names)))
+    kinds = np.add.reduceat(np.where(known, distinct, 2), head)
+    opened = distinct & known & (np.repeat(kinds, size) > 1)
+    for kind, hit in (("repeat", ~distinct & known), ("open", opened)):
+        i = np.flatnonzero(hit)
+        i = i[np.argsort(block[i], kind="stable")]
+        for part in np.split(i, np.flatnonzero(np.diff(block[i])) + 1) if len(i) else []:
+            out.append(_row(kind, int(block[part[0]]), 0, place[part].astype("<u4"), length[part].astype("<u4")))
+    return _table(out)
+
+
+def _round(length: int, longer: int, threshold: int, ranges: int) -> Callable[[pa.Table], pa.Table]:
+    """The step of a block from ranks at ``length`` to pairs at ``longer``."""
+
+    def step(group: pa.Table) -> pa.Table:
+        found = _doubled(group.to_pylist(), length, longer, threshold)
+        if found is None:
+            return _table([])
+        block, starts, positions, a, b = found
+        return _table(_ask(block, a, b, starts, positions, ranges) if longer < threshold else _last(block, a, b, positions, ranges))
+
+    return step
+
+
+def _last(block: int, a: np.ndarray, b: np.ndarray, places: np.ndarray, ranges: int) -> list[dict]:
+    """The block's distinct pairs at the threshold with their first places, to their ranges; later places are repeats."""
+    order = np.lexsort((b, a))  # stable, and places ascend
+    first = _first_of(a[order], b[order])
+    again, keys = np.sort(places[order[~first]]), order[first]
+    which = _range_of(a[keys], b[keys], ranges)
+    by = np.argsort(which, kind="stable")
+    cut = np.searchsorted(which[by], np.arange(ranges + 1))
+    out = []
+    for r in np.flatnonzero(np.diff(cut)).tolist():
+        i = keys[by[cut[r] : cut[r + 1]]]
+        out.append(_row("ask", block, r, a[i], b[i], places[i].astype("<u4")))
+    if len(again):
+        out.append(_row("repeat", block, block % ranges, *_stretches(again)))
+    return out
 
 
-def _starts(column_places: list[bytes], column_lengths: list[bytes]) -> np.ndarray:
-    """All marked starts."""
-    if not column_places:
-        return np.zeros(0, np.int64)
-    place = np.frombuffer(b"".join(column_places), "<u4").astype(np.int64)
-    length = np.concatenate([_lengths(x, len(p) // 4) for x, p in zip(column_lengths, column_places)])
-    return np.repeat(place, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+def _came_before(group: pa.Table) -> pa.Table:
+    """Repeats among a range's pairs at the threshold: all but the one of the first block."""
+    rows = group.to_pylist()
+    out, asks = [r for r in rows if r["kind"] != "ask"], [r for r in rows if r["kind"] == "ask"]
+    if asks:
+        a, b, place = (np.concatenate([_ints(r[c], k) for r in asks]) for c, k in (("a", "<u8"), ("b", "<u8"), ("c", "<u4")))
+        block = np.repeat([r["block"] for r in asks], [len(r["c"]) // 4 for r in asks])
+        order = np.lexsort((block, b, a))
+        again = order[~_first_of(a[order], b[order])]
+        again = again[np.lexsort((place[again], block[again]))]
+        for part in np.split(again, np.flatnonzero(np.diff(block[again])) + 1) if len(again) else []:
+            out.append(_row("repeat", int(block[part[0]]), 0, *_stretches(place[part].astype(np.int64))))
+    return _table(out)
+
+
+def _block_rows(table: pa.Table, at: int, text: int):
+    """A block's rows in document order: their order, bytes, offsets and the texts."""
+    order = pc.sort_indices(table.column(at).combine_chunks())
+    body = table.column(text).combine_chunks().take(order)
+    body = pa.concat_arrays(body.chunks) if isinstance(body, pa.ChunkedArray) and body.num_chunks > 1 else body.chunk(0) if isinstance(body, pa.ChunkedArray) else body
+    buf, offs = text_bytes(body)
+    return order, buf, offs, body
 
 
-def _bytes_setting(spark) -> int:
-    """The largest input partition in bytes."""
-    text = spark.conf.get("spark.sql.files.maxPartitionBytes").lower().rstrip("b")
-    unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(text[-1], 1)
-    return int(text.rstrip("kmg")) * unit
-
-
-def repeated_marks(docs: DataFrame, threshold: int, doc_id: str, text: str):
-    """The bucketed table of texts and the marks of string starts that came before, by block."""
-    spark = docs.sparkSession
-    ranges = max(1, docs.rdd.getNumPartitions())
-    pieces = max(1, _bytes_setting(spark) // BLOCK_BYTES)
-    blocks = ranges * pieces
-    name = f"blocks_{uuid.uuid4().hex}"
-    piece = F.pmod(F.xxhash64(doc_id, text), F.lit(pieces))
-    rows = docs.withColumn("_block", F.spark_partition_id().cast("long") * pieces + piece)
-    rows.write.format("parquet").option("path", shared_path(spark, "blocks")).option("compression", "zstd").bucketBy(blocks, "_block").saveAsTable(name)
-    table = spark.table(name)
-    own = table.select(F.col("_block"), F.col(doc_id).cast("long").alias("_doc"), F.col(text).alias("_text"))
-    least = -(2**63)
-
-    def anchors(group: pa.Table) -> pa.Table:
-        lean_worker()
-        ids, buf, offs, _ = _block(group, 1, 2)
-        block = group.column(0)[0].as_py()
-        place, length, names, content = runs(buf, offs[1:], threshold)
-        numbers = ids.fill_null(least).to_numpy()[np.searchsorted(offs[1:], place, "right")]
-        order = np.lexsort((content, names))  # stable: the earliest of equal runs comes first
-        first = np.zeros(len(order), bool)
-        first[order[_first_of(names[order], content[order])]] = True
-        rows = _pack(block, names[first], content[first], place[first], length[first], numbers[first], ranges, 6)
-        rows.append(_local(block, ranges, place[~first], length[~first]))
-        return _as_table(rows, _PACKED_TYPES)
-
-    packed = own.groupBy("_block").applyInArrow(anchors, PACKED)
-
-    def rank_runs(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        block, names, content, place, length, doc = _unpack(rows, 6)
-        order = np.lexsort((place, block, doc, content, names))
-        block, names, content, place, length = (x[order] for x in (block, names, content, place, length))
-        distinct = _first_of(names, content)
-        head = np.flatnonzero(_first_of(names))
-        size = np.diff(np.append(head, len(names)))
-        kinds = np.add.reduceat(distinct, head) if len(head) else np.zeros(0, int)
-        several = np.repeat(kinds, size) > 1
-        opened = distinct & several
-        return _as_table(_passed(rows) + _marks(block[~distinct], place[~distinct], length[~distinct], "repeat") + _marks(block[opened], place[opened], length[opened], "open"), _MARK_TYPES)
-
-    ranked = materialize(packed.groupBy("bucket").applyInArrow(rank_runs, MARKS), "runs")
-
-    def names_of_open(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _as_table([], _PACKED_TYPES)
-        ids, buf, offs, _ = _block(left, 1, 2)
-        block = left.column(0)[0].as_py()
-        places = np.sort(_starts(right.column("places").to_pylist(), right.column("lengths").to_pylist()))
-        names = threshold_names(buf, places, threshold)
-        numbers = ids.fill_null(least).to_numpy()[np.searchsorted(offs[1:], places, "right")]
-        order = np.argsort(names, kind="stable")
-        first = np.zeros(len(order), bool)
-        first[order[_first_of(names[order])]] = True
-        rows = _pack(block, names[first], None, places[first], None, numbers[first], ranges, 7)
-        again = places[~first]
-        rows.append(_local(block, ranges, again, np.ones(len(again), np.uint8)))
-        return _as_table(rows, _PACKED_TYPES)
-
-    opened = ranked.where("kind = 'open'").select("block", "places", "lengths")
-    fine = own.groupBy("_block").cogroup(opened.groupBy("block")).applyInArrow(names_of_open, PACKED)
-
-    def rank_names(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        block, names, _, place, length, doc = _unpack(rows, 7)
-        order = np.lexsort((place, block, doc, names))
-        again = order[~_first_of(names[order])]
-        return _as_table(_passed(rows) + _marks(block[again], place[again], length[again], "repeat"), _MARK_TYPES)
-
-    marks = ranked.where("kind = 'repeat'").unionByName(fine.groupBy("bucket").applyInArrow(rank_names, MARKS))
-    return table, materialize(marks.select("block", "places", "lengths").where(F.length("places") > 0), "marks")
+def _marked(marks: pa.Table) -> np.ndarray:
+    """All marked starts of a block."""
+    rows = marks.select(["a", "b"]).to_pylist()
+    place, length = (np.concatenate([np.zeros(0, "<u4"), *(_ints(r[c]) for r in rows)]).astype(np.int64) for c in "ab")
+    return _spread(place, length)
 
 
 def _covered(places: np.ndarray, size: int, threshold: int) -> np.ndarray:
@@ -309,55 +473,57 @@ def _covered(places: np.ndarray, size: int, threshold: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def repeated_bytes(docs: DataFrame, threshold: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_bytes(docs: DataFrame, threshold: int = 100, doc_id: str = "doc_id", text: str = "text", block_bytes: int | None = None, range_bytes: int | None = None) -> DataFrame:
     """What a cut of all repeated ``threshold``-byte strings leaves: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte goes if a string of ``threshold`` bytes that covers it also starts earlier: in a
-    document with a smaller doc_id (null is the smallest; among equal ids the order of the rows
-    is open), or earlier in the same one.  Null and empty texts have no bytes.  One row for each
-    input row.  Documents of equal id count as different documents.  An empty table gives no rows.
+    document with a smaller doc_id (null is the smallest; equal ids go by a hash of their texts),
+    or earlier in the same one.  Null and empty texts have no bytes; a text may be as long as its
+    column allows.  One row for each input row: rows of equal id count as different documents, so
+    a repeated row is cut whole.  An empty table gives no rows.  Other columns are not read.
     """
-    table, marks = repeated_marks(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_body")), threshold, "_id", "_body")
+    corpus = Corpus(docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), threshold, "doc_id", "text", block_bytes, range_bytes)
+    names = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean_worker()
         if not left.num_rows:
             return pa.table({n: pa.array([], t) for n, t in names})
-        ids, buf, offs, _ = _block(left, 1, 2)
-        gone = _covered(_starts(right.column("places").to_pylist(), right.column("lengths").to_pylist()), len(buf), threshold)
+        order, buf, offs, _ = _block_rows(left, 2, 1)
+        gone = _covered(_marked(right), len(buf), threshold)
         rows = []
         for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
             g = gone[a:b]
             edge = int(g[:1].sum()) + int((g[1:] & ~g[:-1]).sum())
             rows.append((b - a, int(g.sum()), edge, hashlib.sha256(buf[a:b][~g].tobytes()).hexdigest()))
         cols = list(zip(*rows))
-        return pa.table([ids, *(pa.array(c, t) for c, (_, t) in zip(cols, names[1:]))], names=[n for n, _ in names])
+        return pa.table([left.column(0).combine_chunks().take(order), *(pa.array(c, t) for c, (_, t) in zip(cols, names[1:]))], names=[n for n, _ in names])
 
-    names = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
-    rows = table.select("_block", F.col("_id").cast("long").alias("_doc"), F.col("_body").alias("_text"))
-    return rows.groupBy("_block").cogroup(marks.groupBy("block")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = corpus.table.select("doc_id", "text", corpus.at, corpus.block)
+    return rows.groupBy(corpus.block).cogroup(corpus.marks().groupBy("block")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, threshold: int = 100, doc_id: str = "doc_id", text: str = "text", drop_empty: bool = True) -> DataFrame:
     """The documents without their repeated strings, all columns kept; those with nothing left go.
 
     Cuts fall between characters: a character of which a byte stays, stays.  A null text, and a
-    text that was empty before, stay as they are.  ``n_chars`` is recounted where it exists.
+    text that was empty before, stay as they are.  ``n_chars`` is recounted where it exists.  Ties,
+    repeated rows, null ids and empty tables are as in ``repeated_bytes``; columns may have any name.
     """
-    columns = docs.columns
-    table, marks = repeated_marks(docs, threshold, doc_id, text)
+    columns, schema = docs.columns, docs.schema
+    corpus = Corpus(docs, threshold, doc_id, text)
     at, count = columns.index(text), columns.index("n_chars") if "n_chars" in columns else None
-    at_doc = columns.index(doc_id)
-    schema = docs.schema
+    width = len(columns)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.drop_columns(["_block"]).combine_chunks()
+        lean_worker()
+        left = left.combine_chunks()
         if not left.num_rows or not right.num_rows:
-            return left
-        work = pa.table([left.column(at_doc).cast(pa.int64()), left.column(at)], names=["d", "t"])
-        _, buf, offs, order = _block(work, 0, 1)
-        gone = _covered(_starts(right.column("places").to_pylist(), right.column("lengths").to_pylist()), len(buf), threshold)
-        left = left.take(order)
-        texts, sizes, keep = left.column(at).to_pylist(), left.column(count).to_pylist() if count is not None else None, []
+            return left.select(left.column_names[:width])
+        order, buf, offs, _ = _block_rows(left, width, at)
+        left = left.select(left.column_names[:width]).take(order)
+        gone = _covered(_marked(right), len(buf), threshold)
+        texts, sizes, empty = left.column(at).to_pylist(), left.column(count).to_pylist() if count is not None else None, []
         touched = np.add.reduceat(np.append(gone, False).astype(np.int64), offs[:-1]) * (np.diff(offs) > 0)
         for i in np.flatnonzero(touched).tolist():
             part, g = buf[offs[i] : offs[i + 1]], gone[offs[i] : offs[i + 1]]
@@ -367,13 +533,13 @@ def remove_repeats(docs: DataFrame, threshold: int = 100, doc_id: str = "doc_id"
             if sizes is not None:
                 sizes[i] = len(texts[i])
             if drop_empty and not texts[i].strip():
-                keep.append(i)
+                empty.append(i)
         left = left.set_column(at, left.schema.field(at), pa.array(texts, left.schema.field(at).type))
         if sizes is not None:
             left = left.set_column(count, left.schema.field(count), pa.array(sizes, left.schema.field(count).type))
         stay = np.ones(left.num_rows, bool)
-        stay[keep] = False
+        stay[empty] = False
         return left.filter(pa.array(stay))
 
-    rows = table.select("_block", *[F.col(f"`{c}`") for c in columns])
-    return rows.groupBy("_block").cogroup(marks.groupBy("block")).applyInArrow(cut, schema)
+    rows = corpus.table.select(*[F.col(f"`{c}`") for c in columns], corpus.at, corpus.block)
+    return rows.groupBy(corpus.block).cogroup(corpus.marks().groupBy("block")).applyInArrow(cut, schema)

@@ -576,15 +576,40 @@ def brute_repeats(rows, size):
     return sorted(out)
 
 
-@pytest.mark.parametrize("size", [20, 100])
-def test_repeated_strings(spark, odd, none, size):
+@pytest.mark.parametrize(("size", "block_bytes", "range_bytes"), [(20, None, None), (100, None, None), (100, 300, 700), (33, 1000, 20_000), (257, 4, 4000)])
+def test_repeated_strings(spark, odd, none, size, block_bytes, range_bytes):
     passage, rng = words(60, 77), random.Random(4)
     rows = [(i, " ".join([words(20, 300 + i), passage[rng.randrange(100) :], words(5, 400 + i)])) for i in range(30)]
     rows += [(40, "ab" * 200), (41, "z" * 500), (42, "éü" * 90), (43, None), (44, ""), (45, rows[3][1]), (46, passage[:99]), (47, passage[:100])]
+    rows += [(50, f"{words(9, 500)} {rows[0][1]}"), (50, f"{words(9, 501)} {passage}"), (50, f"{words(9, 501)} {passage}")]  # equal ids
+    tie = {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for i, t in rows if i == 50], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    rows = rows[:-3] + sorted(rows[-3:], key=lambda r: tie[r[1]])
     docs = frame(spark, rows[::-1]).repartition(3)
-    got = suffix.repeated_bytes(docs, size).collect()
+    got = suffix.repeated_bytes(docs, size, block_bytes=block_bytes, range_bytes=range_bytes).collect()
     assert sorted(str((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])) for r in got) == brute_repeats(rows, size)
-    assert suffix.repeated_bytes(odd, size).count() == len(ODD) and suffix.repeated_bytes(none, size).count() == 0
+    if block_bytes is None:
+        assert suffix.repeated_bytes(odd, size).count() == len(ODD) and suffix.repeated_bytes(none, size).count() == 0
+
+
+def test_blocks_are_numbered_in_document_order(spark):
+    """Thousands of blocks, long and empty texts among them."""
+    rng = random.Random(6)
+    rows = [(i, words(rng.randrange(0, 12), i)) for i in range(3000)] + [(5000, words(4000, 1)), (5001, ""), (5002, None)]
+    corpus = suffix.Corpus(frame(spark, rows[::-1]).repartition(7), 100, "doc_id", "text", block_bytes=10)
+    got = corpus.table.select("doc_id", F.octet_length("text").alias("n"), F.col(corpus.block).alias("b"), F.col(corpus.at).alias("at")).collect()
+    order = sorted(got, key=lambda r: (r["b"], r["at"], (r["n"] or 0) > 0, r["doc_id"]))
+    assert [r["doc_id"] for r in order if r["n"]] == [i for i, t in rows if t] and len({r["b"] for r in got}) > 2000
+    for before, after in zip(order, order[1:]):
+        assert after["at"] == (before["at"] + (before["n"] or 0) if after["b"] == before["b"] else 0)
+
+
+def test_caller_columns_may_have_any_name(spark):
+    docs = frame(spark, [(1, words(80, 12)), (2, words(80, 12))])
+    for name in ("block", "at", "_block", "tkey", "_home", "__place", "part", "mark", "row", "doc"):
+        docs = docs.withColumn(name, F.lit(f"own {name}"))
+    for f in (suffix.remove_repeats, neardup.keep_one_each):
+        got = f(docs).collect()
+        assert [r.asDict() for r in got] == [docs.where("doc_id = 1").first().asDict()]
 
 
 def test_repeated_strings_of_long_runs(spark):
