@@ -12,11 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-
-
-#: Up to so many forest edges (counted first) are joined in one task; more go through star rounds.
-ONE_TASK_EDGES = 500_000
+from .common import clear_path, materialize
 
 
 def _forest(batches):
@@ -61,19 +57,17 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Self-loops and repeated edges change nothing; rows with a null are ignored; no edges, no rows.
     """
+    spark, folders = edges.sparkSession, list[str]()
     pairs = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a IS NOT NULL AND b IS NOT NULL AND a != b")
-    now = materialize(pairs.mapInArrow(_forest, "a long, b long").distinct(), "forest")
-    if now.count() <= ONE_TASK_EDGES:  # the forests are small: one more union-find joins them
-        now, most_rounds = now.coalesce(1).mapInArrow(_forest, "a long, b long"), 0
-    mark = None
+    now, mark = materialize(pairs.mapInArrow(_forest, "a long, b long").distinct(), "forest", folders), None
     for _ in range(most_rounds):
         sums = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(sums) == mark or sums[0] == 0:
             break
         mark = tuple(sums)
-        now = materialize(_star(_star(now, True), False), "stars")
+        now = materialize(_star(_star(now, True), False), "stars", folders)
+        clear_path(spark, folders.pop(0))
     else:
-        if most_rounds:
-            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

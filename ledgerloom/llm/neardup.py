@@ -9,8 +9,8 @@ after one or two rounds.
 Documents with equal shingle sets are one *node*.  Nodes that share a band bucket are candidates:
 the node of a bucket that meets most others is verified against the rest first (no pair list of a
 bucket is ever built), and only in buckets that still hold several components afterwards are pairs
-between different components verified as well, unless the prefix filter, set sizes or signatures
-rule the link out.  Links are confirmed on the full shingle sets, so a
+between different components verified as well, unless the prefix filter or set sizes, which are
+exact, rule the link out.  Links are confirmed on the full shingle sets, so a
 component is a component of the exact similarity graph over all candidates.  With 24 bands of 4
 rows a pair at similarity 0.85 misses all bands with probability 2e-8.
 """
@@ -18,6 +18,7 @@ rows a pair at similarity 0.85 misses all bands with probability 2e-8.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from fractions import Fraction
 
 import numpy as np
@@ -25,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, lean_worker, materialize, mix64, row_blocks, sorted_pairs, text_bytes, text_key, word_spans
+from .common import NOT_SPACE, clear_path, fresh_name, lean_worker, materialize, mix64, row_blocks, sorted_pairs, text_bytes, text_key, word_spans
 from .components import connected_components
 
 POSITIONS, ROWS = 96, 4
+#: Parts over which the rows of a large group are dealt when they get their name.
+PARTS = 16
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +127,7 @@ def profile(docs: DataFrame, words: int, doc_id: str, text: str, positions: int,
                     names=["doc_id", "tkey", "node", "n_shingles", "bands", "sketch"],
                 )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(text).alias("tkey"), F.col(text).alias("text")).mapInArrow(work, PROFILE)
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_key(F.col(f"`{text}`")).alias("tkey"), F.col(f"`{text}`").alias("text")).mapInArrow(work, PROFILE)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, words: int, share: Fraction) -> DataFrame:
@@ -178,7 +181,7 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, floor: float) -> DataFrame
     return pairs.join(first, "a").join(second, "b").select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long")
 
 
-def _prefix_pairs(nodes: DataFrame, sets: DataFrame, words: int, share: Fraction) -> DataFrame:
+def _prefix_pairs(nodes: DataFrame, sets: DataFrame, words: int, share: Fraction, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Pairs (a, b) of different components whose sets may reach the similarity; none that does is missed.
 
     Prefix and positional filter (Xiao et al., 2008): with each set in order of rising frequency,
@@ -197,16 +200,20 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, words: int, share: Fraction
                 for i in range(0, len(rows), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[rows[i : i + 100_000]]), pa.array(values[i : i + 100_000].astype(np.int64))], names=["node", "shingle"])
 
-    found = materialize(sets.select("node", "text").mapInArrow(work, "node long, shingle long"), "shingles")
+    found = keep(sets.select("node", "text").mapInArrow(work, "node long, shingle long"), "shingles")
     often = found.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle")) - 1
     num, den = share.numerator, share.denominator
     first = found.join(often, "shingle").withColumn("at", place).join(nodes, "node")
-    first = materialize(first.where("often > 1").where(f"(n - at) * {den} >= n * {num}").drop("often"), "prefixes")
+    first = keep(first.where("often > 1").where(f"(n - at) * {den} >= n * {num}").drop("often"), "prefixes")
     left = first.select("shingle", F.col("node").alias("a"), "n", F.col("at").alias("pa"), F.col("comp").alias("ca"))
     right = first.select("shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("pb"), F.col("comp").alias("cb"))
     enough = f"least(n - pa, m - pb) * {num + den} >= (n + m) * {num}"
-    return left.join(right, "shingle").where("a < b AND ca != cb").where(enough).select("a", "b").distinct()
+    # Which components meet in a shingle: only their members are paired, never those of one component.
+    there = first.select("shingle", F.col("comp").alias("ca")).distinct()
+    meet = there.join(there.select("shingle", F.col("ca").alias("cb")), "shingle").where("ca < cb")
+    found = meet.join(left, ["shingle", "ca"]).join(right, ["shingle", "cb"]).where(enough)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: Fraction | str = "4/5", doc_id: str = "doc_id", text: str = "text", positions: int = POSITIONS, rows_per_band: int = ROWS) -> DataFrame:
@@ -219,15 +226,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: Fraction | str
     Repeated rows appear as often as they come, each kept or not as its doc_id says.  An empty
     table gives no rows.  Other columns are not read.
     """
-    share = Fraction(similarity)
-    known = materialize(profile(docs, words, doc_id, text, positions, rows_per_band), "profile")
+    share, spark, folders = Fraction(similarity), docs.sparkSession, list[str]()
+
+    def keep(df: DataFrame, tag: str) -> DataFrame:
+        return materialize(df, tag, folders)
+
+    known = keep(profile(docs, words, doc_id, text, positions, rows_per_band), "profile")
     some = known.where("n_shingles > 0")
     # One row for each node: with the text of one document that has this set.
-    nodes = some.groupBy("node").agg(F.min(F.struct("doc_id", "tkey", "n_shingles", "bands", "sketch")).alias("r"))
-    nodes = materialize(nodes.select("node", "r.*"), "nodes")
+    nodes = some.groupBy("node").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "tkey", "n_shingles", "bands", "sketch")).alias("r"))
+    nodes = keep(nodes.select("node", "least", "r.*"), "nodes")
     entries = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialize(entries.join(shared, "bucket"), "members")
+    members = keep(entries.join(shared, "bucket"), "members")
     # The pivot of a bucket is the member that meets most others: in a group of edited copies, the original.
     degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
     met = members.join(degree, "node")
@@ -238,25 +249,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: Fraction | str
     stars = members.join(pivots, "bucket").where("a != node").where(sized)
     stars = stars.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     wanted = members.select("node").distinct()
-    sketches = materialize(nodes.select("node", "sketch").join(wanted, "node"), "sketches")
+    sketches = keep(nodes.select("node", "sketch").join(wanted, "node"), "sketches")
     # The text of one document for each candidate node; copies of it do not match the doc_id and stay behind.
     homes = nodes.join(wanted, "node").select("node", F.coalesce("doc_id", F.lit(-(2**63))).alias("home"), "tkey")
-    texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("home"), text_key(text).alias("tkey"), F.col(text).alias("text"))
-    sets = materialize(texts.join(homes, ["home", "tkey"]).select("node", "text").dropDuplicates(["node"]), "sets")
-    links = materialize(_verified(_plausible(stars, sketches, floor), sets, words, share), "links")
-    groups = connected_components(links)
-    # Buckets that still hold several components: their pairs across components.
+    texts = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-(2**63))).alias("home"), text_key(F.col(f"`{text}`")).alias("tkey"), F.col(f"`{text}`").alias("text"))
+    sets = keep(texts.join(homes, ["home", "tkey"]).select("node", "text").dropDuplicates(["node"]), "sets")
+    links = keep(_verified(_plausible(stars, sketches, floor), sets, words, share), "links")
+    groups = keep(connected_components(links), "groups")
+    # Buckets that still hold several components: their pairs across components, those that signatures had ruled out too.
     labelled = members.join(groups, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("comp"))
     split = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket")
-    open_nodes = labelled.join(split, "bucket").select("node", "n", "comp").distinct()
-    open_nodes = materialize(open_nodes, "open")
-    crossing = _prefix_pairs(open_nodes, sets.join(open_nodes.select("node"), "node"), words, share)
-    more = materialize(_verified(_plausible(crossing, sketches, floor), sets, words, share), "more")
+    open_nodes = keep(labelled.join(split, "bucket").select("node", "n", "comp").distinct(), "open")
+    crossing = _prefix_pairs(open_nodes, sets.join(open_nodes.select("node"), "node"), words, share, keep)
+    more = keep(_verified(crossing, sets, words, share), "more")
     if more.limit(1).count():
-        groups = connected_components(links.unionByName(more))
-    labels = materialize(some.select("node").distinct().join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "labels")
-    least = some.join(labels, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = materialize(labels.join(least, "root").select("node", "component_id"), "named")
+        groups = keep(connected_components(links.unionByName(more)), "groups")
+    # Nodes outside of all groups name themselves; the rest take the least doc_id, whose rows are dealt out for large groups.
+    ids = nodes.select("node", "least")
+    grouped = groups.join(ids, "node")
+    least = grouped.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    grouped = grouped.withColumn("part", F.pmod(F.col("node"), F.lit(PARTS)).cast("int")).join(least, ["root", "part"]).select("node", "component_id")
+    alone = ids.join(groups, "node", "left_anti").select("node", F.col("least").alias("component_id"))
+    named = keep(grouped.unionByName(alone), "named")
+    for folder in folders[1:-1]:  # all but the profile and the names
+        clear_path(spark, folder)
     out = known.join(named, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "tkey", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -265,8 +281,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: Fraction | str
 def keep_one_each(docs: DataFrame, words: int = 5, similarity: Fraction | str = "4/5", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents of which one stays from each group: whole rows, all columns.
 
-    Of rows with the same doc_id and text one is kept.
+    Of rows with the same doc_id and text one is kept.  Null texts count as empty, and documents
+    without words are kept; a null doc_id stays only where its group has no other id, or its text
+    has no words.  Columns may have any name; texts may be of any length; no rows give no rows.
     """
-    kept = near_duplicates(docs, words, similarity, doc_id, text).where("kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_home"), F.col("tkey").alias("_tkey")).distinct()
-    keyed = docs.withColumn("_home", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))).withColumn("_tkey", text_key(text))
-    return keyed.join(kept, ["_home", "_tkey"]).dropDuplicates(["_home", "_tkey"]).select(*docs.columns)
+    home, key = fresh_name("home", docs.columns), fresh_name("key", docs.columns)
+    kept = near_duplicates(docs, words, similarity, doc_id, text).where("kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias(home), F.col("tkey").alias(key)).distinct()
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(*own, F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-(2**63))).alias(home), text_key(F.col(f"`{text}`")).alias(key))
+    return keyed.join(kept, [home, key]).dropDuplicates([home, key]).select(*own)

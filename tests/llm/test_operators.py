@@ -237,13 +237,6 @@ def test_components(spark):
     want = {x: root(x) for x in parent}
     df = spark.createDataFrame(edges, "a long, b long").repartition(4)
     assert {r["node"]: r["root"] for r in connected_components(df).collect()} == want
-    from ledgerloom.llm import components
-
-    kept, components.ONE_TASK_EDGES = components.ONE_TASK_EDGES, -1  # the star rounds
-    try:
-        assert {r["node"]: r["root"] for r in connected_components(df).collect()} == want
-    finally:
-        components.ONE_TASK_EDGES = kept
 
 
 # 4 ---------------------------------------------------------------------------------------------
