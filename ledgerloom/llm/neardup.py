@@ -209,11 +209,9 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, words: int, share: Fraction
     left = first.select("shingle", F.col("node").alias("a"), "n", F.col("at").alias("pa"), F.col("comp").alias("ca"))
     right = first.select("shingle", F.col("node").alias("b"), F.col("n").alias("m"), F.col("at").alias("pb"), F.col("comp").alias("cb"))
     enough = f"least(n - pa, m - pb) * {num + den} >= (n + m) * {num}"
-    # Which components meet in a shingle: only their members are paired, never those of one component.
-    there = first.select("shingle", F.col("comp").alias("ca")).distinct()
-    meet = there.join(there.select("shingle", F.col("ca").alias("cb")), "shingle").where("ca < cb")
-    found = meet.join(left, ["shingle", "ca"]).join(right, ["shingle", "cb"]).where(enough)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # Shingles within one component link nothing new; of the others the filters are part of the join.
+    several = first.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("shingle")
+    return left.join(several, "shingle", "left_semi").join(right, "shingle").where("a < b AND ca != cb").where(enough).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: Fraction | str = "4/5", doc_id: str = "doc_id", text: str = "text", positions: int = POSITIONS, rows_per_band: int = ROWS) -> DataFrame:
