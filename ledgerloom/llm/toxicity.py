@@ -1,17 +1,22 @@
 """Toxicity: a support vector machine over a gapped subsequence string kernel, with Nyström landmarks.
 
-The kernel compares words by their subsequences of three characters; an occurrence that spans
-s characters weighs LAMBDA**s (Lodhi et al., 2002, with spans bounded by ``SPAN`` and lengths
-normalised by the word's own length), so inserted and dropped characters cost little.  Words are
-read through marks and single spaced letters: "i.d-i o t" and "IDIOT!!" are both "idiot".
-
-Training takes labelled documents, at most ``max_train`` of them.  Words that stand in toxic
-documents far beyond chance are the positive instances of their sentences, the words of other
-documents the negative ones.  Landmarks are the strongest positives and the negatives nearest to
-them; a linear SVM is trained on the Nyström features.  Since the kernel has explicit features,
-the trained machine collapses into one weight for each three-character subsequence, and scoring
-a text is a sum over its characters.  A logistic step maps the largest and summed word scores of
-a document to a probability.
+The kernel compares *windows* of sentences, one to ``MOST_WORDS`` words in a row, by their
+subsequences of three characters; an occurrence that spans s characters weighs LAMBDA**s (Lodhi et
+al., 2002, with spans bounded by ``SPAN``), so inserted and dropped characters cost little, and a
+space is a character like others, so insults of several words have a shape too.  Values are divided
+by the windows' norms, counting occurrences as distinct.  Texts are read through marks and single
+spaced letters: "i.d-i o t" and "IDIOT!!" are both "idiot"; letters of other scripts stay apart as
+far as ``SYMBOLS`` allows.
+
+Training takes labelled documents, at most ``max_train`` of them, and their sentences; a label says
+that some window of a document is toxic, not which one, so the machine is a multiple-instance SVM
+(Andrews et al., 2002).  At first windows are ranked by the difference of the two classes' mean
+feature vectors, in units of its spread; the best window of each toxic document and the best ones of
+the others are the instances; a linear SVM is trained on their Nyström features, whose landmarks
+are windows of both kinds; and the trained machine ranks the windows of the next round.  Since the
+kernel has explicit features, a machine collapses into one weight for each subsequence, so scoring
+is linear in the text.  A logistic step maps a document's largest, summed and frequent window
+scores to a probability.
 """
 
 from __future__ import annotations
@@ -23,122 +28,176 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, NOT_SPACE, row_blocks, text_bytes, word_spans
+from .common import lean_worker, materialize, row_blocks, text_bytes
 from .quality import training_rows
 
 LAMBDA, SPAN = 0.6, 7
-PIECE, STRIDE = 16, 8
-LANDMARKS = 192
-MAX_TRAIN = 9000
-MAX_NEGATIVES = 20_000
-#: A positive word is less likely than this to stand in so many toxic documents by chance.
-CHANCE = 1e-6
-
-#: Symbols: 1-26 letters, 27 and 28 word ends, 29-38 digits, 39-63 characters beyond ASCII.
-_SYMBOL = np.zeros(256, np.uint8)
-_SYMBOL[97:123] = np.arange(1, 27)
-_SYMBOL[65:91] = np.arange(1, 27)
-_SYMBOL[48:58] = np.arange(29, 39)
-_SYMBOL[128:192] = 39 + np.arange(64) % 25
-_FIRST, _LAST = 27, 28
-#: Bytes that stay: letters, digits, white space; the lead bytes of UTF-8 carry little and go.
-_KEPT = ALNUM | ~NOT_SPACE
-_KEPT[192:] = False
-
-
-def clean_words(buf: np.ndarray, offs: np.ndarray):
-    """The texts without marks and with single spaced letters joined, and their words."""
-    for joined in (False, True):
-        if joined:
-            starts, ends, rows, _ = word_spans(buf, offs)
-            single = ends - starts == 1
-            pair = np.flatnonzero(single[:-1] & single[1:] & (rows[:-1] == rows[1:])) if len(single) else np.zeros(0, int)
-            if not len(pair):
-                break
-            kept = np.ones(len(buf), bool)
-            gap = np.concatenate([np.arange(ends[i], starts[i + 1]) for i in pair])
-            kept[gap] = False
-        else:
-            kept = _KEPT[buf]
-        sums = np.concatenate([[0], np.cumsum(kept)])
-        buf, offs = buf[kept], sums[offs]
-    return LOWER[buf], offs
-
-
-def word_codes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-    """Symbols of words end to end, each between word-end symbols; and the n + 1 offsets.  Long words come as pieces.
-
-    Returns codes, offsets, and the word that each piece belongs to.
+MOST_WORDS = 3
+#: Longer words count as several, without a space between them.
+LONG_WORD = 32
+#: Windows of fewer places are measured as if they had so many.
+SHORTEST = 7
+LANDMARKS = 256
+ROUNDS = 3
+#: Bounds of the training: labelled documents, and the windows that the driver sees of each in a round.
+MAX_TRAIN = 6000
+TOP = 3
+#: A subsequence counts at first if its classes differ by so many standard deviations.
+SURE = 3.0
+
+#: Symbols of characters: 0 none (between sentences), 1 a space, letters from 2, digits from 28, others from 38.
+SYMBOLS, _BITS = 128, 7
+_BREAK, _SPACE, _MARK, _GONE = 0, 1, 254, 255
+
+
+def _symbol_of(point: int) -> int:
+    """The symbol of a code point, case aside: its own for a-z and 0-9, else one of the last 90."""
+    low = chr(point).lower()[0]
+    if "a" <= low <= "z":
+        return 2 + ord(low) - 97
+    if "0" <= low <= "9":
+        return 28 + ord(low) - 48
+    return 38 + ord(low) % (SYMBOLS - 38)
+
+
+_FOLDED = np.array([_symbol_of(p) for p in range(0x590)], np.uint8)  # Latin, Greek, Cyrillic
+_ASCII = np.full(256, _GONE, np.uint8)
+for _c in range(128):
+    if chr(_c).isalnum():
+        _ASCII[_c] = _FOLDED[_c]
+_ASCII[[32, 9, 11, 12]] = _SPACE
+_ASCII[[10, 13]] = _BREAK
+_ASCII[[33, 46, 63]] = _MARK  # ends a sentence if white space follows
+
+
+def characters(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of UTF-8 texts without marks, and the rows' offsets."""
+    sym = _ASCII[buf]
+    lead = np.flatnonzero(buf >= 0xC0)
+    if len(lead):
+        byte = lambda k: buf[np.minimum(lead + k, len(buf) - 1)].astype(np.int64)
+        one, two, three, four = byte(0), byte(1) & 63, byte(2) & 63, byte(3) & 63
+        point = np.where(one < 0xE0, (one & 31) << 6 | two, np.where(one < 0xF0, (one & 15) << 12 | two << 6 | three, (one & 7) << 18 | two << 12 | three << 6 | four))
+        sym[lead] = np.where(point < len(_FOLDED), _FOLDED[np.minimum(point, len(_FOLDED) - 1)], 38 + point % (SYMBOLS - 38))
+    ends = np.flatnonzero(sym == _MARK)
+    if len(ends):
+        follows = ends + 1 >= len(buf)
+        follows |= sym[np.minimum(ends + 1, len(buf) - 1)] <= _SPACE
+        sym[ends] = np.where(follows, _BREAK, _GONE)
+    kept = sym != _GONE
+    sums = np.concatenate([[0], np.cumsum(kept)])
+    return sym[kept], sums[offs]
+
+
+def _word_bounds(sym: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    inside = sym >= 2
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    edge = offs[(offs > 0) & (offs < len(sym))]
+    first[edge] = inside[edge]
+    last[edge - 1] = inside[edge - 1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+class Sentences:
+    """Texts as symbols, sentence by sentence, and their words.
+
+    ``codes`` has each sentence's words with a space before and after each, and ``SPAN - 1`` zeros
+    behind, so that no subsequence reaches into the next one.  ``start``, ``end``: where a word's
+    leading space and its own end stand; ``row``, ``sentence`` of each word.
     """
-    size = ends - starts
-    n = np.where(size <= PIECE, 1, (size - PIECE + STRIDE - 1) // STRIDE + 1)
-    word = np.repeat(np.arange(len(starts)), n)
-    turn = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
-    s = starts[word] + turn * STRIDE
-    e = np.minimum(s + PIECE, ends[word])
-    length = e - s + 2
-    offs = np.concatenate([[0], np.cumsum(length)])
-    at = np.arange(offs[-1]) - np.repeat(offs[:-1], length) - 1
-    source = np.repeat(s, length) + at
-    codes = _SYMBOL[buf[np.clip(source, 0, max(len(buf) - 1, 0))]] if len(buf) else np.zeros(0, np.uint8)
-    codes[offs[:-1]] = _FIRST
-    codes[offs[1:] - 1] = _LAST
-    return codes, offs, word
-
-
-def triples(codes: np.ndarray, offs: np.ndarray):
-    """For each pair of gaps: positions, subsequence numbers, and weight of the occurrences inside one word."""
-    end = np.repeat(offs[1:], np.diff(offs))
-    c = codes.astype(np.int32)
+
+    def __init__(self, buf: np.ndarray, offs: np.ndarray):
+        sym, offs = characters(buf, offs)
+        s, e = _word_bounds(sym, offs)
+        single = e - s == 1
+        row = np.searchsorted(offs, s, "right") - 1
+        joined = np.flatnonzero(single[:-1] & single[1:] & (row[1:] == row[:-1]) & (s[1:] == e[:-1] + 1) & (sym[np.minimum(e[:-1], max(len(sym) - 1, 0))] == _SPACE)) if len(s) else np.zeros(0, int)
+        if len(joined):  # letters with spaces between them are one word
+            kept = np.ones(len(sym), bool)
+            kept[e[joined]] = False
+            sums = np.concatenate([[0], np.cumsum(kept)])
+            sym, offs = sym[kept], sums[offs]
+            s, e = _word_bounds(sym, offs)
+        breaks = np.concatenate([[0], np.cumsum(sym == _BREAK)])
+        number = np.searchsorted(offs, s, "right") - 1
+        mark = breaks[s] if len(s) else np.zeros(0, np.int64)
+        # Long words in pieces.
+        n = np.maximum(1, -(-(e - s) // LONG_WORD))
+        word = np.repeat(np.arange(len(s)), n)
+        turn = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
+        ps = s[word] + turn * LONG_WORD
+        pe = np.minimum(ps + LONG_WORD, e[word])
+        self.row, mark = number[word], mark[word]
+        last_piece = np.append(word[1:] != word[:-1], True) if len(word) else np.zeros(0, bool)
+        new = np.ones(len(word), bool)
+        new[1:] = (self.row[1:] != self.row[:-1]) | (mark[1:] != mark[:-1])
+        self.sentence = np.cumsum(new) - 1
+        ends = np.append(new[1:], True) if len(new) else new
+        # A space opens each sentence, and one follows each whole word; zeros close the sentence.
+        size = new.astype(np.int64) + (pe - ps) + last_piece + (SPAN - 1) * ends
+        at = np.cumsum(size) - size + new
+        self.codes = np.zeros(int(size.sum()), np.uint8)
+        self.codes[at[new] - 1] = _SPACE
+        length = pe - ps
+        where = np.repeat(at, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        self.codes[where] = sym[np.repeat(ps, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)]
+        self.codes[(at + length)[last_piece]] = _SPACE
+        self.start, self.end = at - 1, at + length
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and row of all windows: one to ``MOST_WORDS`` words of a sentence."""
+        starts, ends, rows = [], [], []
+        for n in range(MOST_WORDS):
+            m = max(len(self.start) - n, 0)
+            i = np.flatnonzero(self.sentence[:m] == self.sentence[n : n + m]) if m else np.zeros(0, int)
+            starts.append(self.start[i])
+            ends.append(self.end[i + n])
+            rows.append(self.row[i])
+        return np.concatenate(starts), np.concatenate(ends), np.concatenate(rows)
+
+
+def triples(codes: np.ndarray):
+    """For each pair of gaps: the number of the subsequence that starts at each place, and its weight."""
+    c = np.concatenate([codes.astype(np.int32), np.zeros(SPAN, np.int32)])
+    n = len(codes)
     for d2 in range(2, SPAN):
-        inside = np.flatnonzero(np.arange(len(c)) + d2 < end)
-        first, third = c[inside] << 12, c[inside + d2]
+        outer = c[:n] << (2 * _BITS) | c[d2 : d2 + n]
+        outer[(c[:n] == 0) | (c[d2 : d2 + n] == 0)] = 0
         for d1 in range(1, d2):
-            yield inside, first | (c[inside + d1] << 6) | third, LAMBDA ** (d2 + 1)
-
-
-def _norms(most: int = PIECE + 3) -> np.ndarray:
-    """The norm of a word of each length, counting its occurrences as distinct."""
-    out = np.ones(most)
-    for n in range(3, most):
-        out[n] = math.sqrt(sum((n - d2) * (d2 - 1) * LAMBDA ** (2 * (d2 + 1)) for d2 in range(2, min(SPAN, n))))
-    return out
+            middle = c[d1 : d1 + n]
+            yield np.where((outer > 0) & (middle > 0), outer | middle << _BITS, 0), LAMBDA ** (d2 + 1)
 
 
-NORM = _norms()
+def norms(length: np.ndarray) -> np.ndarray:
+    """The norm of a window of so many places, counting its occurrences as distinct."""
+    each = math.sqrt(sum((d2 - 1) * LAMBDA ** (2 * (d2 + 1)) for d2 in range(2, SPAN)))
+    return each * np.sqrt(np.maximum(length, SHORTEST))
 
 
-def words_matrix(words: list[str]):
-    """Codes of strings of one byte a character."""
-    buf = np.frombuffer(" ".join(words).encode("latin-1"), np.uint8)
-    size = np.array([len(w) for w in words], np.int64)
-    starts = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-    codes, offs, word = word_codes(buf, starts, starts + np.minimum(size, PIECE))
-    return codes, offs
-
-
-def kernel(left: list[str], right: list[str]) -> np.ndarray:
-    """The normalised kernel between two lists of words (their first ``PIECE`` characters)."""
-    rc, ro = words_matrix(right)
-    found = list(triples(rc, ro))
-    numbers = np.unique(np.concatenate([k for _, k, _ in found]))
-    column = np.full(1 << 18, -1, np.int64)
+def kernel(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """The kernel between two lists of windows: symbols with ``SPAN - 1`` following ones."""
+    found = [np.unique(np.concatenate([k[: max(len(w) - SPAN + 1, 0)] for k, _ in triples(np.frombuffer(w, np.uint8))])) for w in right]
+    numbers = np.unique(np.concatenate(found))
+    numbers = numbers[numbers > 0]
+    column = np.full(SYMBOLS**3, -1, np.int32)
     column[numbers] = np.arange(len(numbers))
 
-    def dense(codes, offs):
-        word = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-        m = np.zeros((len(offs) - 1) * len(numbers))
-        for at, k, weight in triples(codes, offs):
-            j = column[k]
-            ok = j >= 0
-            m += np.bincount(word[at[ok]] * len(numbers) + j[ok], minlength=len(m)) * weight
-        return m.reshape(len(offs) - 1, len(numbers)) / NORM[np.diff(offs)][:, None]
+    def dense(windows: list[bytes]) -> np.ndarray:
+        m = np.zeros(len(windows) * len(numbers), np.float32)
+        size = np.array([len(w) for w in windows])
+        codes = np.frombuffer(b"".join(windows), np.uint8)
+        which = np.repeat(np.arange(len(windows)), size)
+        offs = np.cumsum(size) - size
+        inside = np.arange(len(codes)) - offs[which] < size[which] - SPAN + 1
+        for k, weight in triples(codes):
+            ok = np.flatnonzero(inside & (column[k] >= 0))
+            np.add.at(m, which[ok] * len(numbers) + column[k[ok]], np.float32(weight))
+        return m.reshape(len(windows), len(numbers)) / norms(size - SPAN + 1)[:, None].astype(np.float32)
 
-    other = dense(rc, ro)
-    out = []
-    for i in range(0, len(left), 500):
-        out.append(dense(*words_matrix(left[i : i + 500])) @ other.T)
-    return np.concatenate(out)
+    other = dense(right)
+    return np.concatenate([dense(left[i : i + 256]) @ other.T for i in range(0, len(left), 256)]).astype(np.float64) if left else np.zeros((0, len(right)))
 
 
 class SubsequenceMachine:
@@ -148,30 +207,34 @@ class SubsequenceMachine:
         self.weights, self.bias = weights.astype(np.float32), bias
         self.mean, self.scale, self.logit = np.zeros(3), np.ones(3), np.zeros(4)
 
-    def word_scores(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        codes, offs, word = word_codes(buf, starts, ends)
-        per = np.zeros(len(codes))
-        for at, k, weight in triples(codes, offs):
-            per[at] += self.weights[k] * weight
-        pieces = np.add.reduceat(per, offs[:-1]) / NORM[np.diff(offs)] + self.bias if len(codes) else np.zeros(0)
-        out = np.full(len(starts), -np.inf)
-        np.maximum.at(out, word, pieces)
-        return out
+    def window_scores(self, text: Sentences) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end, row and score of all windows."""
+        per = np.zeros(len(text.codes), np.float32)
+        for k, weight in triples(text.codes):
+            per += self.weights[k] * np.float32(weight)
+        sums = np.concatenate([[0], np.cumsum(per, dtype=np.float64)])
+        start, end, row = text.windows()
+        return start, end, row, (sums[end] - sums[start]) / norms(end - start) + self.bias
 
     def row_inputs(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Largest word score, summed positive word scores, and the share of positive words of each row."""
+        """Largest window score, summed positive scores, and the share of positive windows of each row."""
         n = len(offs) - 1
-        text, offs = clean_words(buf, offs)
-        starts, ends, rows, h = word_spans(text, offs)
         out = np.zeros((n, 3))
         out[:, 0] = -3.0
-        if len(h):
-            _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-            f = self.word_scores(text, starts[first], ends[first])[inverse]
-            np.maximum.at(out[:, 0], rows, f)
-            count = np.bincount(rows, minlength=n)
-            out[:, 1] = np.log1p(np.bincount(rows, np.maximum(f, 0), minlength=n))
-            out[:, 2] = np.bincount(rows, f > 0, minlength=n) / np.maximum(count, 1)
+        start, end, row, f = self.window_scores(Sentences(buf, offs))
+        if len(f):
+            words = np.flatnonzero(end - start < LONG_WORD + 2)
+            # Windows that occur again count once; equal scores of equal lengths are taken for equal windows.
+            key = np.stack([row, np.round(f * 1e5).astype(np.int64) * 4096 + np.minimum(end - start, 4095)])[:, words]
+            order = np.lexsort(key[::-1])
+            first = np.ones(len(order), bool)
+            first[1:] = (key[:, order[1:]] != key[:, order[:-1]]).any(axis=0)
+            i = words[order[first]]
+            row, f = row[i], f[i]
+            np.maximum.at(out[:, 0], row, f)
+            count = np.bincount(row, minlength=n)
+            out[:, 1] = np.log1p(np.bincount(row, np.maximum(f, 0), minlength=n))
+            out[:, 2] = np.bincount(row, f > 0, minlength=n) / np.maximum(count, 1)
         return np.clip(out, -3, 10)
 
     def probability(self, inputs: np.ndarray) -> np.ndarray:
@@ -205,34 +268,69 @@ def train_svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 1e-
     return w[:-1], float(w[-1])
 
 
-def fit_words(positive: list[str], negative: list[tuple[str, int]], landmarks: int = LANDMARKS) -> SubsequenceMachine:
-    """A machine that tells positive words from negative ones (with their counts)."""
-    words = [w for w, _ in negative]
-    marks = positive[: landmarks // 2]
-    near = kernel(words, marks).max(axis=1) if words else np.zeros(0)
-    hard = [words[i] for i in np.argsort(-near, kind="stable")[: landmarks - len(marks)]]
-    marks = list(dict.fromkeys([*marks, *hard]))
+def _evenly(items: list[bytes], n: int) -> list[bytes]:
+    """``n`` of the items, evenly along the list."""
+    return [items[i] for i in np.unique(np.linspace(0, len(items) - 1, min(n, len(items))).astype(int))] if items else []
+
+
+def fit_windows(positive: list[bytes], negative: list[bytes], landmarks: int = LANDMARKS) -> SubsequenceMachine:
+    """A machine that tells toxic windows from others, each list from the most toxic down."""
+    marks = _evenly(list(dict.fromkeys(positive)), landmarks // 2)
+    others = list(dict.fromkeys(negative))
+    marks = list(dict.fromkeys([*marks, *others[: landmarks // 4], *_evenly(others, landmarks // 4)]))
     gram = kernel(marks, marks)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     good = values > 1e-4 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    every = [*positive, *words]
-    z = kernel(every, marks) @ root
-    y = np.r_[np.ones(len(positive)), -np.ones(len(words))]
-    counts = np.r_[np.full(len(positive), len(words) / max(1, len(positive)) + 1.0), 1 + 9 * near**4]
-    w, bias = train_svm(z, y, counts)
+    z = kernel([*positive, *negative], marks) @ root
+    y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
+    w, bias = train_svm(z, y, np.r_[np.full(len(positive), 1 / len(positive)), np.full(len(negative), 1 / len(negative))])
     beta = root @ w
-    weights = np.zeros(1 << 18)
-    codes, offs = words_matrix(marks)
-    word = np.repeat(np.arange(len(marks)), np.diff(offs))
-    norm = NORM[np.diff(offs)]
-    for at, k, weight in triples(codes, offs):
-        np.add.at(weights, k, beta[word[at]] / norm[word[at]] * weight)
+    weights = np.zeros(SYMBOLS**3)
+    for mark, b in zip(marks, beta):
+        n = len(mark) - SPAN + 1
+        for k, weight in triples(np.frombuffer(mark, np.uint8)):
+            np.add.at(weights, k[:n], b / norms(np.array([n]))[0] * weight)
+    weights[0] = 0
     return SubsequenceMachine(weights, bias)
 
 
+def _mean_difference(rows: DataFrame, toxic: int, total: int) -> SubsequenceMachine:
+    """The first ranking: by how far more documents of the toxic class hold a subsequence than chance allows."""
+
+    def count(batches):
+        lean_worker()
+        seen, held = np.full(SYMBOLS**3, -1, np.int32), np.zeros((2, SYMBOLS**3), np.int32)
+        number = 0
+        for batch in batches:
+            buf, offs = text_bytes(batch.column(2))
+            for a, b, y in zip(offs[:-1].tolist(), offs[1:].tolist(), batch.column(1).to_pylist()):
+                codes = Sentences(buf[a:b], np.array([0, b - a])).codes
+                for k, _ in triples(codes):
+                    seen[k] = number
+                held[y] += seen == number
+                number += 1
+        held[:, 0] = 0
+        some = np.flatnonzero(held.sum(axis=0))
+        for i in range(0, len(some), 200_000):
+            part = some[i : i + 200_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(held[1, part].astype(np.int64)), pa.array(held[:, part].sum(axis=0, dtype=np.int64))], names=["k", "t", "n"])
+
+    base = toxic / total
+    found = rows.coalesce(4).mapInArrow(count, "k int, t long, n long").groupBy("k").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    score = (F.col("t") - base * F.col("n")) / F.sqrt(F.col("n") * base * (1 - base) + 1.0)
+    got = found.where(F.col("t") > 1).select("k", score.alias("z")).where(F.col("z") > SURE).toArrow()  # at most one row for each subsequence
+    weights = np.zeros(SYMBOLS**3)
+    weights[got.column("k").to_numpy()] = got.column("z").to_numpy()
+    return SubsequenceMachine(weights, 0.0)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0, max_train: int = MAX_TRAIN, doc_id: str = "doc_id", text: str = "text") -> SubsequenceMachine | None:
-    """A machine fitted outside the held-out fold; None without labelled rows of both kinds."""
+    """A machine fitted outside the held-out fold; None without labelled rows of both kinds.
+
+    At most ``max_train`` labelled documents are used, the least by a hash of doc_id; of a repeated
+    doc_id its rows all count, null texts as empty.  The driver sees ``TOP`` windows of each.
+    """
     chosen = training_rows(labels, label, folds, held, max_train)
     toxic = sum(y for _, y in chosen)
     if not toxic or toxic == len(chosen):
@@ -240,41 +338,49 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds
     spark = docs.sparkSession
     wanted = F.broadcast(spark.createDataFrame(chosen, "_id long, y int"))  # at most max_train rows
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("text")).join(wanted, "_id").select("_id", "y", "text")
-
-    def cut(batches):
-        for batch in batches:
-            buf, offs = text_bytes(batch.column(2))
-            for a, b in row_blocks(offs):
-                body, at = clean_words(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-                starts, ends, which, h = word_spans(body, at)
-                _, first = np.unique(np.stack([which.astype(np.uint64), h]), axis=1, return_index=True) if len(h) else (None, np.zeros(0, int))
-                raw = body.tobytes()
-                tokens = [raw[starts[i] : ends[i]].decode("latin-1") for i in first.tolist()]
-                ys = batch.column(1).slice(a, b - a).to_numpy()[which[first]] if len(first) else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(ys, pa.int32())], names=["word", "y"])
-
-    counts = rows.mapInArrow(cut, "word string, y int").where(F.length("word").between(2, PIECE)).groupBy("word").agg(F.sum("y").alias("t"), F.count(F.lit(1)).alias("n"))
-    base = toxic / len(chosen)
-    ranked = counts.where("t >= 3").orderBy(F.desc(F.col("t") - F.lit(2 * base) * F.col("n")), "word").limit(5000).collect()
-    scored = [(r["t"] * math.log(max(r["t"] / r["n"], 1e-9) / base) + (r["n"] - r["t"]) * math.log(max(1 - r["t"] / r["n"], 1e-9) / (1 - base)), r) for r in ranked]
-    strong = [(x, r) for x, r in scored if r["t"] / r["n"] > max(0.6, 2 * base) and x > -math.log(CHANCE)]
-    positive = [r["word"] for _, r in sorted(strong, key=lambda p: (-p[0], p[1]["word"]))[: 4 * LANDMARKS]]
-    if not positive:
-        return None
-    taken = set(positive)
-    others = counts.where(F.col("t") <= F.lit(1.5 * base) * F.col("n") + 1).orderBy(F.desc("n"), "word").limit(MAX_NEGATIVES).collect()
-    machine = fit_words(positive, [(r["word"], r["n"]) for r in others if r["word"] not in taken])
-    shared = spark.sparkContext.broadcast(machine)
-
-    def measure(batches):
-        for batch in batches:
-            buf, offs = text_bytes(batch.column(2))
-            for a, b in row_blocks(offs):
-                x = shared.value.row_inputs(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *(pa.array(x[:, j]) for j in range(3))], names=["_id", "y", "a", "b", "c"])
-
-    got = rows.mapInArrow(measure, "_id long, y int, a double, b double, c double").orderBy("_id", "a", "b", "c").limit(2 * max_train).toPandas()
-    machine.calibrate(got[["a", "b", "c"]].to_numpy(), got["y"].to_numpy().astype(float))
+    rows = materialize(rows.repartition(spark.sparkContext.defaultParallelism), "labelled")
+
+    def ranked(machine: SubsequenceMachine):
+        """For each labelled document its best windows and its inputs, in the order of doc_id and text."""
+        shared = spark.sparkContext.broadcast(machine)
+
+        def top(batches):
+            lean_worker()
+            for batch in batches:
+                buf, offs = text_bytes(batch.column(2))
+                out = []
+                for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
+                    part = Sentences(buf[a:b], np.array([0, b - a]))
+                    start, end, _, f = shared.value.window_scores(part)
+                    raw = part.codes.tobytes()
+                    best = np.lexsort((start, end - start, -f))[: 8 * TOP]
+                    windows: dict[bytes, float] = {}
+                    free = np.ones(len(raw) + 1, bool)
+                    for i in best.tolist():  # windows that overlap a better one tell nothing new
+                        if free[start[i] + 1 : end[i]].all() and len(windows) < TOP:
+                            free[start[i] : end[i]] = False
+                            windows.setdefault(raw[start[i] : end[i]] + (raw[end[i] : end[i] + SPAN - 1]).ljust(SPAN - 1, b"\0"), float(f[i]))
+                    out.append((list(windows), list(windows.values())))
+                inputs = [shared.value.row_inputs(buf[a:b], np.array([0, b - a]))[0] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array([w for w, _ in out], pa.list_(pa.binary())), pa.array([s for _, s in out], pa.list_(pa.float64())), pa.array([x.tolist() for x in inputs], pa.list_(pa.float64()))],
+                    names=["_id", "y", "windows", "scores", "inputs"],
+                )
+
+        got = rows.mapInArrow(top, "_id long, y int, windows array<binary>, scores array<double>, inputs array<double>").toArrow().to_pylist()
+        shared.destroy()
+        return sorted(got, key=lambda r: (r["_id"], r["windows"], r["inputs"]))
+
+    machine = _mean_difference(rows, toxic, len(chosen))
+    for _ in range(ROUNDS):
+        found = ranked(machine)
+        positive = sorted(((r["scores"][0], r["windows"][0]) for r in found if r["y"] and r["windows"]), reverse=True)
+        negative = sorted(((s, w) for r in found if not r["y"] for s, w in zip(r["scores"], r["windows"])), reverse=True)
+        if not positive or not negative:
+            return None
+        machine = fit_windows([w for _, w in positive], [w for _, w in negative])
+    found = ranked(machine)
+    machine.calibrate(np.array([r["inputs"] for r in found]), np.array([r["y"] for r in found], float))
     return machine
 
 
@@ -283,10 +389,12 @@ def score_toxicity(docs: DataFrame, machine: SubsequenceMachine | None, doc_id:
 
     Null and empty texts get the score of a text without words.  Without a machine every score is 0.
     One row for each input row, repeated and null doc_ids included; other columns are not read.
+    A text may be of any length, and is read whole.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(machine)  # about a megabyte at any input
+    shared = docs.sparkSession.sparkContext.broadcast(machine)  # eight megabytes at any input
 
     def work(batches):
+        lean_worker()
         svm = shared.value
         for batch in batches:
             buf, offs = text_bytes(batch.column(1))
