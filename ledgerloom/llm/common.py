@@ -53,7 +53,7 @@ def shared_path(spark: SparkSession, tag: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, tag: str, folders: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, tag: str, folders: list[str] | None = None, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage and its shuffle files end there.
 
     The folder is added to ``folders``, so that the caller can remove it with ``clear_path``.
@@ -65,7 +65,7 @@ def materialize(df: DataFrame, tag: str, folders: list[str] | None = None) -> Da
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,21 +3,22 @@
 Documents are written once in document order, cut into *blocks* of consecutive documents; a
 position is (block, byte), so positions order as the documents do.  Then:
 
-1. *Which positions are worth sorting.*  Any ``threshold`` bytes hold an anchor: the place where
-   the ``BASE``-byte prefix has the least fingerprint.  Equal strings have their anchor at the same
-   offset, so consecutive string starts with one anchor form a *run*, and anchors are sorted first.
-   A run whose anchor prefix is unique holds no repeat and leaves; one whose bytes all came before
-   is a repeat as a whole; the starts of the others are *open*.
-2. *Rank at ``BASE`` bytes.*  The prefixes at all open positions are sorted and numbered.
+1. *Length 32, sampled.*  Any ``threshold`` bytes hold an anchor: the place where the ``BASE``-byte
+   prefix has the least fingerprint.  Equal strings have their anchor at the same offset, so
+   consecutive string starts with one anchor form a *run*, and anchors are sorted first.  A run
+   whose anchor prefix is unique holds no repeat and leaves; one whose bytes all came before is a
+   repeat as a whole; the starts of the others are *open*.
+2. *Length 64.*  The prefixes at all positions that open starts need are sorted and numbered.
 3. *Doubling.*  Pairs (rank here, rank ``offset`` further on) are sorted and numbered again, at
-   offsets 32, 64, ... until they cover ``threshold`` bytes.  Positions that have become unique
-   leave before every round, and with them all starts whose string holds one.
+   offsets 64, 128, ... until they cover ``threshold`` bytes (at 100 bytes once, 36 further on).
+   Positions that have become unique leave before every round, and with them all starts whose
+   string holds one.
 4. Starts whose ``threshold``-byte rank also stands at an earlier position are repeats.
 
 What Spark shuffles are packed arrays: for each block and range of keys the block's distinct
 pairs, and back their ranks.  A string that a third of all rows share is sent once by each block,
-so no group grows with its copies.  Ranges and blocks are sized in bytes.  Base names and whole
-runs are told apart by 128 bits of fingerprint; all later ranks are exact.
+so no group grows with its copies.  Ranges and blocks are sized in bytes.  Whole runs are told
+apart by 128 bits of fingerprint, names of 64 bytes by 96; all later ranks are exact.
 
 Sorting every byte's position instead would shuffle about 16 bytes for each byte and round.
 """
@@ -62,7 +63,7 @@ def _ints(data: bytes | None, kind: str = "<u4") -> np.ndarray:
 
 def doubling_lengths(threshold: int) -> list[int]:
     """The lengths at which positions are ranked: a base, its doubles, the threshold."""
-    length = min(BASE, threshold)
+    length = min(2 * BASE, threshold)
     out = [length]
     while length < threshold:
         length = min(2 * length, threshold)
@@ -168,15 +169,12 @@ def _range_of(a: np.ndarray, b: np.ndarray, ranges: int) -> np.ndarray:
     return ((mixed >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
-def _ask(block: int, a: np.ndarray, b: np.ndarray, starts: np.ndarray, positions: np.ndarray, ranges: int) -> list[dict]:
-    """A block's distinct pairs, to their ranges; and its state: where it is open and which pair stands at each position.
-
-    In a message ``place`` is the range and ``d`` tells whether the block holds the pair twice.
-    """
+def _numbered(a: np.ndarray, b: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs by range: one place of each, whether there are more, the cuts between ranges, and each entry's number."""
     order = np.lexsort((b, a))
     first = _first_of(a[order], b[order])
     group = np.cumsum(first) - 1
-    count = np.bincount(group) if len(group) else np.zeros(0, np.int64)
+    twice = np.bincount(group, minlength=1) > 1
     keys = order[first]
     which = _range_of(a[keys], b[keys], ranges)
     by = np.argsort(which, kind="stable")
@@ -184,73 +182,101 @@ def _ask(block: int, a: np.ndarray, b: np.ndarray, starts: np.ndarray, positions
     number[by] = np.arange(len(by))
     pair = np.empty(len(a), np.int64)
     pair[order] = number[group]
-    cut = np.searchsorted(which[by], np.arange(ranges + 1))
+    return keys[by], twice[: len(keys)][by], np.searchsorted(which[by], np.arange(ranges + 1)), pair
+
+
+def _ask(block: int, a: np.ndarray, b: np.ndarray, ranges: int, state: tuple[np.ndarray, np.ndarray] | None = None) -> list[dict]:
+    """A block's distinct pairs, to their ranges (``place``), with a bit for those that it holds twice.
+
+    ``state`` (open starts, positions) travels along, for rounds that cannot be told from the texts.
+    """
+    keys, twice, cut, pair = _numbered(a, b, ranges)
     out = []
     for r in np.flatnonzero(np.diff(cut)).tolist():
-        i = by[cut[r] : cut[r + 1]]
-        out.append(_row("ask", block, r, a[keys[i]], b[keys[i]], np.array([cut[r]], "<u4"), (count[i] > 1).astype(np.uint8)))
-    if len(a):
-        out.append(_row("state", block, block % ranges, np.concatenate(_stretches(starts)), np.concatenate(_stretches(positions)), pair.astype("<u4")))
+        i = slice(cut[r], cut[r + 1])
+        out.append(_row("ask", block, r, a[keys[i]], b[keys[i]], np.packbits(twice[i])))
+    if state is not None and len(a):
+        out.append(_row("state", block, block % ranges, *(np.concatenate(_stretches(x)) for x in state), pair.astype("<u4"), cut.astype("<u4")))
     return out
 
 
-def _pairs_of(rows: list[dict]):
-    """All asked pairs of a range: a, b, the message of each, its number in the block, whether it is there twice."""
-    asks = [r for r in rows if r["kind"] == "ask"]
-    if not asks:
-        return (asks, *(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, bool)))
-    a, b, twice = (np.concatenate([_ints(r[c], k) for r in asks]) for c, k in (("a", "<u8"), ("b", "<u8"), ("d", np.uint8)))
-    sizes = [len(r["d"]) for r in asks]
-    number = np.concatenate([int(_ints(r["c"])[0]) + np.arange(n) for r, n in zip(asks, sizes)])
-    return asks, a, b, np.repeat(np.arange(len(asks)), sizes), number, twice.astype(bool)
-
-
 def _ranked(group: pa.Table) -> pa.Table:
-    """A range's pairs sorted and numbered; those that stand at one position only get no rank."""
+    """A range's pairs sorted and numbered; those that stand at one position only get no rank.
+
+    A block is answered in the order of its own message: a bit for each pair that has a rank, and the ranks.
+    """
     rows = group.to_pylist()
-    asks, a, b, source, number, twice = _pairs_of(rows)
-    order = np.lexsort((b, a))
-    first = _first_of(a[order], b[order])
-    key = np.cumsum(first) - 1
-    often = np.bincount(key, 1 + twice[order], minlength=1) > 1
-    keep = often[key] if len(key) else np.zeros(0, bool)
-    base = np.uint64(rows[0]["place"] + 1) << np.uint64(32)
-    at, rank = order[keep], base + key[keep].astype(np.uint64)
+    asks = [r for r in rows if r["kind"] == "ask"]
     out = [r for r in rows if r["kind"] != "ask"]
-    by = np.argsort(source[at], kind="stable")
-    at, rank = at[by], rank[by]
-    cut = np.searchsorted(source[at], np.arange(len(asks) + 1))
-    for k, r in enumerate(asks):
-        i = slice(cut[k], cut[k + 1])
-        if cut[k + 1] > cut[k]:
-            out.append(_row("rank", r["block"], 0, number[at[i]].astype("<u4"), rank[i]))
+    if not asks:
+        return _table(out)
+    sizes = [len(r["a"]) // 8 for r in asks]
+    a = np.concatenate([_ints(r["a"], "<u8") for r in asks])
+    b = np.concatenate([_ints(r["b"], f"<u{len(r['b']) // n}") for r, n in zip(asks, sizes)])
+    twice = np.concatenate([np.unpackbits(_ints(r["c"], np.uint8), count=n) for r, n in zip(asks, sizes)])
+    order = np.lexsort((b, a))
+    key = np.cumsum(_first_of(a[order], b[order])) - 1
+    often = np.bincount(key, 1 + twice[order]) > 1
+    rank = np.zeros(len(a), np.uint64)
+    rank[order] = np.where(often[key], (np.uint64(rows[0]["place"] + 1) << np.uint64(32)) + key.astype(np.uint64), np.uint64(0))
+    for r, i, n in zip(asks, np.cumsum(sizes) - sizes, sizes):
+        part = rank[i : i + n]
+        if part.any():
+            out.append(_row("rank", r["block"], r["place"], np.packbits(part > 0), part[part > 0]))
     return _table(out)
 
 
-def _doubled(rows: list[dict], length: int, longer: int, threshold: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """From a block's state and ranks at ``length``: block, open starts, positions, and their rank pairs at ``longer``."""
-    state = next((r for r in rows if r["kind"] == "state"), None)
-    if state is None:
-        return None
-    starts, positions = (_spread(*x.astype(np.int64).reshape(2, -1)) for x in (_ints(state["a"]), _ints(state["b"])))
-    pair = _ints(state["c"])
-    by_pair = np.zeros(int(pair.max()) + 1, np.uint64)
+def _answers(rows: list[dict], cut: np.ndarray) -> np.ndarray:
+    """The rank of each of a block's pairs, by number; 0 for unique ones."""
+    rank = np.zeros(int(cut[-1]), np.uint64)
     for r in rows:
         if r["kind"] == "rank":
-            by_pair[_ints(r["a"])] = _ints(r["b"], "<u8")
-    rank = by_pair[pair]
+            i, j = int(cut[r["place"]]), int(cut[r["place"] + 1])
+            rank[i:j][np.unpackbits(_ints(r["a"], np.uint8), count=j - i).astype(bool)] = _ints(r["b"], "<u8")
+    return rank
+
+
+def _needed(starts: np.ndarray, more: int) -> np.ndarray:
+    """Ascending positions from each start to ``more`` behind it."""
+    edges = np.zeros(int(starts[-1]) + more + 2, np.int32)
+    edges[starts] = 1
+    np.add.at(edges, starts + more + 1, -1)
+    return np.flatnonzero(np.cumsum(edges) > 0)
+
+
+def _doubled(starts: np.ndarray, positions: np.ndarray, rank: np.ndarray, length: int, longer: int, threshold: int):
+    """Starts that stay open, the positions that they need at ``longer``, and the rank pairs there; from the ranks at ``length``."""
     # A start stays open if no position that its string needs has become unique.
     gone = np.concatenate([[0], np.cumsum(rank == 0)])
     at = np.searchsorted(positions, starts)
     starts = starts[gone[at + threshold - length + 1] == gone[at]]
     if not len(starts):
         return None
-    edges = np.zeros(int(positions[-1]) + threshold + 2, np.int32)
-    np.add.at(edges, starts, 1)
-    np.add.at(edges, starts + threshold - longer + 1, -1)
-    needed = np.flatnonzero(np.cumsum(edges) > 0)
+    needed = _needed(starts, threshold - longer)
     at = np.searchsorted(positions, needed)
-    return state["block"], starts, needed, rank[at], rank[at + longer - length]
+    return starts, needed, rank[at], rank[at + longer - length]
+
+
+def _next_messages(block: int, found, longer: int, threshold: int, ranges: int) -> pa.Table:
+    if found is None:
+        return _table([])
+    starts, positions, a, b = found
+    return _table(_ask(block, a, b, ranges, (starts, positions)) if longer < threshold else _last(block, a, b, positions, ranges))
+
+
+def _round(length: int, longer: int, threshold: int, ranges: int) -> Callable[[pa.Table], pa.Table]:
+    """The step of a block from its state and ranks at ``length`` to pairs at ``longer``."""
+
+    def step(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        state = next((r for r in rows if r["kind"] == "state"), None)
+        if state is None:
+            return _table([])
+        starts, positions = (_spread(*_ints(state[c]).astype(np.int64).reshape(2, -1)) for c in "ab")
+        rank = _answers(rows, _ints(state["d"]))[_ints(state["c"])]
+        return _next_messages(state["block"], _doubled(starts, positions, rank, length, longer, threshold), longer, threshold, ranges)
+
+    return step
 
 
 # The corpus ---------------------------------------------------------------------------------------
@@ -273,7 +299,7 @@ class Corpus:
         self.texts = self.table.select(F.col(self.block).alias("block"), F.col(self.at).alias("at"), F.col(f"`{text}`").alias("text"))
 
     def _keep(self, df: DataFrame, tag: str) -> DataFrame:
-        return materialize(df, tag, self.folders)
+        return materialize(df, tag, self.folders, "zstd")
 
     def _in_order(self, docs: DataFrame, doc_id: str) -> DataFrame:
         """Rows by doc_id (nulls first), equal ones by a hash of the text, with block and place in the block."""
@@ -325,23 +351,39 @@ class Corpus:
         runs_by_name = self.texts.mapInArrow(anchors, MESSAGE).groupBy("place")
         settled = self._keep(runs_by_name.applyInArrow(_settled, MESSAGE), "runs")
 
+        base = lengths[0]
+
+        def open_positions(left: pa.Table, right: pa.Table):
+            """A block's number, open starts, the positions that they need, and the names there."""
+            _, buf, _, _ = _block_rows(left, 1, 2)
+            starts = np.sort(_marked(right.filter(pc.equal(right.column("kind"), "open"))))
+            positions = _needed(starts, threshold - base)
+            a, b = base_names(buf, positions, base)
+            return left.column(0)[0].as_py(), starts, positions, a, (b >> np.uint64(32)).astype("<u4")
+
         def first_round(left: pa.Table, right: pa.Table) -> pa.Table:
             if not left.num_rows or not right.num_rows:
                 return _table([])
-            _, buf, _, _ = _block_rows(left, 1, 2)
-            starts = np.sort(_marked(right))
-            edges = np.zeros(len(buf) + threshold + 1, np.int32)
-            np.add.at(edges, starts, 1)
-            np.add.at(edges, starts + threshold - lengths[0] + 1, -1)
-            positions = np.flatnonzero(np.cumsum(edges) > 0)
-            a, b = base_names(buf, positions, lengths[0])
-            return _table(_ask(left.column(0)[0].as_py(), a, b, starts, positions, ranges) if len(lengths) > 1 else _last(left.column(0)[0].as_py(), a, b, positions, ranges))
+            block, starts, positions, a, b = open_positions(left, right)
+            return _table(_ask(block, a, b, ranges) if base < threshold else _last(block, a, b, positions, ranges))
+
+        def second_round(left: pa.Table, right: pa.Table) -> pa.Table:
+            rows = right.filter(pc.equal(right.column("kind"), "rank")).to_pylist()
+            if not left.num_rows or not rows:
+                return _table([])
+            block, starts, positions, a, b = open_positions(left, right)
+            _, _, cut, pair = _numbered(a, b, ranges)
+            return _next_messages(block, _doubled(starts, positions, _answers(rows, cut)[pair], base, lengths[1], threshold), lengths[1], threshold, ranges)
 
         opened = settled.where("kind = 'open'")
-        asked = self.texts.groupBy("block").cogroup(opened.groupBy("block")).applyInArrow(first_round, MESSAGE)
-        for length, longer in zip(lengths[:-1], lengths[1:]):
+        blocks = self.texts.groupBy("block")
+        asked = blocks.cogroup(opened.groupBy("block")).applyInArrow(first_round, MESSAGE)
+        for k, (length, longer) in enumerate(zip(lengths[:-1], lengths[1:])):
             ranked = self._keep(asked.groupBy("place").applyInArrow(_ranked, MESSAGE), f"rank{length}")
-            asked = ranked.groupBy("block").applyInArrow(_round(length, longer, threshold, ranges), MESSAGE)
+            if k == 0:  # names follow from the texts, so no state travels
+                asked = blocks.cogroup(opened.unionByName(ranked).groupBy("block")).applyInArrow(second_round, MESSAGE)
+            else:
+                asked = ranked.groupBy("block").applyInArrow(_round(length, longer, threshold, ranges), MESSAGE)
         again = asked.groupBy("place").applyInArrow(_came_before, MESSAGE)
         found = self._keep(settled.where("kind = 'repeat'").unionByName(again).select("block", "a", "b"), "marks")
         for folder in self.folders[1:-1]:  # the rounds; the result still reads the blocks and the marks
@@ -404,19 +446,6 @@ def _settled(group: pa.Table) -> pa.Table:
     return _table(out)
 
 
-def _round(length: int, longer: int, threshold: int, ranges: int) -> Callable[[pa.Table], pa.Table]:
-    """The step of a block from ranks at ``length`` to pairs at ``longer``."""
-
-    def step(group: pa.Table) -> pa.Table:
-        found = _doubled(group.to_pylist(), length, longer, threshold)
-        if found is None:
-            return _table([])
-        block, starts, positions, a, b = found
-        return _table(_ask(block, a, b, starts, positions, ranges) if longer < threshold else _last(block, a, b, positions, ranges))
-
-    return step
-
-
 def _last(block: int, a: np.ndarray, b: np.ndarray, places: np.ndarray, ranges: int) -> list[dict]:
     """The block's distinct pairs at the threshold with their first places, to their ranges; later places are repeats."""
     order = np.lexsort((b, a))  # stable, and places ascend
@@ -439,7 +468,8 @@ def _came_before(group: pa.Table) -> pa.Table:
     rows = group.to_pylist()
     out, asks = [r for r in rows if r["kind"] != "ask"], [r for r in rows if r["kind"] == "ask"]
     if asks:
-        a, b, place = (np.concatenate([_ints(r[c], k) for r in asks]) for c, k in (("a", "<u8"), ("b", "<u8"), ("c", "<u4")))
+        a, place = (np.concatenate([_ints(r[c], k) for r in asks]) for c, k in (("a", "<u8"), ("c", "<u4")))
+        b = np.concatenate([_ints(r["b"], f"<u{8 * len(r['b']) // len(r['a'])}") for r in asks])
         block = np.repeat([r["block"] for r in asks], [len(r["c"]) // 4 for r in asks])
         order = np.lexsort((block, b, a))
         again = order[~_first_of(a[order], b[order])]
