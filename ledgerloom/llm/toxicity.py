@@ -5,23 +5,24 @@ subsequences of three characters; an occurrence that spans s characters weighs L
 al., 2002, with spans bounded by ``SPAN``), so inserted and dropped characters cost little, and a
 space is a character like others, so insults of several words have a shape too.  Values are divided
 by the windows' norms, counting occurrences as distinct.  Texts are read through marks and single
-spaced letters: "i.d-i o t" and "IDIOT!!" are both "idiot"; letters of other scripts stay apart as
+spaced letters: "i d i o t", "id-i.ot" and "IDIOT!!" are all "idiot"; letters of other scripts stay apart as
 far as ``SYMBOLS`` allows.
 
-Training takes labelled documents, at most ``max_train`` of them, and their sentences; a label says
-that some window of a document is toxic, not which one, so the machine is a multiple-instance SVM
-(Andrews et al., 2002).  At first windows are ranked by the difference of the two classes' mean
-feature vectors, in units of its spread; the best window of each toxic document and the best ones of
-the others are the instances; a linear SVM is trained on their Nyström features, whose landmarks
-are windows of both kinds; and the trained machine ranks the windows of the next round.  Since the
-kernel has explicit features, a machine collapses into one weight for each subsequence, so scoring
-is linear in the text.  A logistic step maps a document's largest, summed and frequent window
-scores to a probability.
+Training takes labelled documents, at most ``max_train`` of them, and the windows of all their
+sentences; a label says that some window of a document is toxic, not which one, so the machine is a
+multiple-instance SVM (Andrews et al., 2002).  The best windows of each toxic document and those of
+the others are its instances.  Which ones are best is a likelihood ratio over documents in the first
+round; in the next ones the machine of the round before ranks all windows.  A linear SVM is trained
+on the instances' Nyström features, whose landmarks are windows of both kinds.  Since the kernel has
+explicit features, a machine collapses into one weight for each subsequence, so scoring is linear in
+the text.  A logistic step maps a document's largest, summed and frequent window scores to a
+probability.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +33,18 @@ from .common import lean_worker, materialize, row_blocks, text_bytes
 from .quality import training_rows
 
 LAMBDA, SPAN = 0.6, 7
-MOST_WORDS = 3
+MOST_WORDS = 2
 #: Longer words count as several, without a space between them.
 LONG_WORD = 32
 #: Windows of fewer places are measured as if they had so many.
 SHORTEST = 7
 LANDMARKS = 256
-ROUNDS = 3
+ROUNDS = 2
 #: Bounds of the training: labelled documents, and the windows that the driver sees of each in a round.
 MAX_TRAIN = 6000
 TOP = 3
-#: A subsequence counts at first if its classes differ by so many standard deviations.
-SURE = 3.0
+#: In the first round a window counts as toxic from this log-likelihood ratio on.
+SURE = 6.0
 
 #: Symbols of characters: 0 none (between sentences), 1 a space, letters from 2, digits from 28, others from 38.
 SYMBOLS, _BITS = 128, 7
@@ -218,19 +219,19 @@ class SubsequenceMachine:
 
     def row_inputs(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Largest window score, summed positive scores, and the share of positive windows of each row."""
-        n = len(offs) - 1
+        return self.inputs_of(*self.window_scores(Sentences(buf, offs)), len(offs) - 1)
+
+    @staticmethod
+    def inputs_of(start: np.ndarray, end: np.ndarray, row: np.ndarray, f: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros((n, 3))
         out[:, 0] = -3.0
-        start, end, row, f = self.window_scores(Sentences(buf, offs))
         if len(f):
-            words = np.flatnonzero(end - start < LONG_WORD + 2)
             # Windows that occur again count once; equal scores of equal lengths are taken for equal windows.
-            key = np.stack([row, np.round(f * 1e5).astype(np.int64) * 4096 + np.minimum(end - start, 4095)])[:, words]
+            key = np.stack([row, np.round(f * 1e5).astype(np.int64) * 4096 + np.minimum(end - start, 4095)])
             order = np.lexsort(key[::-1])
             first = np.ones(len(order), bool)
             first[1:] = (key[:, order[1:]] != key[:, order[:-1]]).any(axis=0)
-            i = words[order[first]]
-            row, f = row[i], f[i]
+            row, f = row[order[first]], f[order[first]]
             np.maximum.at(out[:, 0], row, f)
             count = np.bincount(row, minlength=n)
             out[:, 1] = np.log1p(np.bincount(row, np.maximum(f, 0), minlength=n))
@@ -295,34 +296,30 @@ def fit_windows(positive: list[bytes], negative: list[bytes], landmarks: int = L
     return SubsequenceMachine(weights, bias)
 
 
-def _mean_difference(rows: DataFrame, toxic: int, total: int) -> SubsequenceMachine:
-    """The first ranking: by how far more documents of the toxic class hold a subsequence than chance allows."""
+def _windows_of(text: Sentences) -> list[bytes]:
+    """The distinct windows of a text: their symbols with the ``SPAN - 1`` following places, of which only a space is kept."""
+    start, end, _ = text.windows()
+    raw = text.codes.tobytes()
+    return sorted({(raw[s:e] + raw[e : e + 1]).ljust(e - s + SPAN - 1, b"\0") for s, e in zip(start.tolist(), end.tolist())})
+
+
+def _first_ranking(rows: DataFrame, toxic: int, total: int) -> dict[bytes, float]:
+    """Windows that stand in toxic documents beyond chance, with the log-likelihood ratio of that."""
 
-    def count(batches):
+    def cut(batches):
         lean_worker()
-        seen, held = np.full(SYMBOLS**3, -1, np.int32), np.zeros((2, SYMBOLS**3), np.int32)
-        number = 0
         for batch in batches:
             buf, offs = text_bytes(batch.column(2))
             for a, b, y in zip(offs[:-1].tolist(), offs[1:].tolist(), batch.column(1).to_pylist()):
-                codes = Sentences(buf[a:b], np.array([0, b - a])).codes
-                for k, _ in triples(codes):
-                    seen[k] = number
-                held[y] += seen == number
-                number += 1
-        held[:, 0] = 0
-        some = np.flatnonzero(held.sum(axis=0))
-        for i in range(0, len(some), 200_000):
-            part = some[i : i + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(held[1, part].astype(np.int64)), pa.array(held[:, part].sum(axis=0, dtype=np.int64))], names=["k", "t", "n"])
+                found = _windows_of(Sentences(buf[a:b], np.array([0, b - a])))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([y] * len(found), pa.int32())], names=["w", "y"])
 
     base = toxic / total
-    found = rows.coalesce(4).mapInArrow(count, "k int, t long, n long").groupBy("k").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-    score = (F.col("t") - base * F.col("n")) / F.sqrt(F.col("n") * base * (1 - base) + 1.0)
-    got = found.where(F.col("t") > 1).select("k", score.alias("z")).where(F.col("z") > SURE).toArrow()  # at most one row for each subsequence
-    weights = np.zeros(SYMBOLS**3)
-    weights[got.column("k").to_numpy()] = got.column("z").to_numpy()
-    return SubsequenceMachine(weights, 0.0)
+    counts = rows.mapInArrow(cut, "w binary, y int").groupBy("w").agg(F.sum("y").alias("t"), F.count(F.lit(1)).alias("n")).where("t >= 3")
+    t, n = F.col("t"), F.col("n")
+    ratio = t * F.log(t / n / base) + F.when(t < n, (n - t) * F.log((1 - t / n) / (1 - base))).otherwise(0.0)
+    found = counts.where(t / n > base).select("w", ratio.alias("score")).where(F.col("score") > SURE)  # of at most max_train documents
+    return {bytes(r["w"]): r["score"] for r in found.collect()}
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0, max_train: int = MAX_TRAIN, doc_id: str = "doc_id", text: str = "text") -> SubsequenceMachine | None:
@@ -340,45 +337,56 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("text")).join(wanted, "_id").select("_id", "y", "text")
     rows = materialize(rows.repartition(spark.sparkContext.defaultParallelism), "labelled")
 
-    def ranked(machine: SubsequenceMachine):
-        """For each labelled document its best windows and its inputs, in the order of doc_id and text."""
-        shared = spark.sparkContext.broadcast(machine)
+    def each(work, schema: str) -> list[dict]:
+        """``work`` on the sentences of every labelled document, in the order of doc_id and result."""
 
-        def top(batches):
+        def run(batches):
             lean_worker()
             for batch in batches:
                 buf, offs = text_bytes(batch.column(2))
-                out = []
-                for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
-                    part = Sentences(buf[a:b], np.array([0, b - a]))
-                    start, end, _, f = shared.value.window_scores(part)
-                    raw = part.codes.tobytes()
-                    best = np.lexsort((start, end - start, -f))[: 8 * TOP]
-                    windows: dict[bytes, float] = {}
-                    free = np.ones(len(raw) + 1, bool)
-                    for i in best.tolist():  # windows that overlap a better one tell nothing new
-                        if free[start[i] + 1 : end[i]].all() and len(windows) < TOP:
-                            free[start[i] : end[i]] = False
-                            windows.setdefault(raw[start[i] : end[i]] + (raw[end[i] : end[i] + SPAN - 1]).ljust(SPAN - 1, b"\0"), float(f[i]))
-                    out.append((list(windows), list(windows.values())))
-                inputs = [shared.value.row_inputs(buf[a:b], np.array([0, b - a]))[0] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array([w for w, _ in out], pa.list_(pa.binary())), pa.array([s for _, s in out], pa.list_(pa.float64())), pa.array([x.tolist() for x in inputs], pa.list_(pa.float64()))],
-                    names=["_id", "y", "windows", "scores", "inputs"],
-                )
-
-        got = rows.mapInArrow(top, "_id long, y int, windows array<binary>, scores array<double>, inputs array<double>").toArrow().to_pylist()
-        shared.destroy()
+                out = [work(Sentences(buf[a:b], np.array([0, b - a]))) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
+                kinds = [pa.list_(pa.binary()), pa.list_(pa.float64()), pa.list_(pa.float64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([o[i] for o in out], k) for i, k in enumerate(kinds))], names=["_id", "y", "windows", "scores", "inputs"])
+
+        got = rows.mapInArrow(run, schema).toArrow().to_pylist()
         return sorted(got, key=lambda r: (r["_id"], r["windows"], r["inputs"]))
 
-    machine = _mean_difference(rows, toxic, len(chosen))
+    def ranked(best, schema="_id long, y int, windows array<binary>, scores array<double>, inputs array<double>") -> list[dict]:
+        shared = spark.sparkContext.broadcast(best)
+
+        def by_table(text: Sentences):
+            """The best windows by the first ranking; of equal ones those with the least checksum."""
+            found = sorted((-shared.value.get(w, 0.0), zlib.crc32(w), w) for w in _windows_of(text))[:TOP]
+            return [w for *_, w in found], [-s for s, *_ in found], []
+
+        def by_machine(text: Sentences):
+            """The best windows that do not overlap, and the document's inputs."""
+            start, end, row, f = shared.value.window_scores(text)
+            raw = text.codes.tobytes()
+            windows: dict[bytes, float] = {}
+            free = np.ones(len(raw) + 1, bool)
+            for i in np.lexsort((start, end - start, -f))[: 8 * TOP].tolist():
+                if free[start[i] + 1 : end[i]].all() and len(windows) < TOP:
+                    free[start[i] : end[i]] = False
+                    windows.setdefault(raw[start[i] : end[i]] + (raw[end[i] : end[i] + SPAN - 1]).ljust(SPAN - 1, b"\0"), float(f[i]))
+            return list(windows), list(windows.values()), shared.value.inputs_of(start, end, row, f, 1)[0].tolist()
+
+        out = each(by_table if isinstance(best, dict) else by_machine, schema)
+        shared.destroy()
+        return out
+
+    best, others = _first_ranking(rows, toxic, len(chosen)), dict[bytes, float]()
     for _ in range(ROUNDS):
-        found = ranked(machine)
-        positive = sorted(((r["scores"][0], r["windows"][0]) for r in found if r["y"] and r["windows"]), reverse=True)
-        negative = sorted(((s, w) for r in found if not r["y"] for s, w in zip(r["scores"], r["windows"])), reverse=True)
-        if not positive or not negative:
-            return None
-        machine = fit_windows([w for _, w in positive], [w for _, w in negative])
+        found = ranked(best)
+        least = SURE if isinstance(best, dict) else 0.0
+        positive = sorted(((s, w) for r in found if r["y"] for s, w in zip(r["scores"], r["windows"]) if s > least), reverse=True)
+        others.update((w, s) for r in found if not r["y"] for s, w in zip(r["scores"], r["windows"]))
+        if not positive or not others:
+            break
+        best = fit_windows([w for _, w in positive], sorted(others, key=lambda w: (-others[w], w)))
+    if isinstance(best, dict):
+        return None
+    machine = best
     found = ranked(machine)
     machine.calibrate(np.array([r["inputs"] for r in found]), np.array([r["y"] for r in found], float))
     return machine

@@ -361,23 +361,73 @@ def test_toxicity(spark, odd, none):
     assert toxicity.fit_toxicity(docs, labels.withColumn("toxic", F.lit(0))) is None
 
 
+def window(text):
+    """A text of one sentence as a window: its symbols, and a space behind."""
+    codes = toxicity.Sentences(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])).codes
+    return codes.tobytes()[: -toxicity.SPAN + 1].ljust(len(codes) - 1, b"\0")
+
+
 def test_kernel_by_definition():
     def subsequences(w):
-        w, out = f"^{w}$", {}
-        for i in range(len(w)):
+        w, out = f"_{w}_", {}
+        for i in range(len(w) - 1):
             for j in range(i + 1, len(w)):
                 for k in range(j + 1, min(len(w), i + toxicity.SPAN)):
                     u = w[i] + w[j] + w[k]
                     out[u] = out.get(u, 0) + toxicity.LAMBDA ** (k - i + 1)
         return out
 
-    some = ["idiot", "idxiot", "moron", "cat", "at"]
+    some = ["idiot", "idxiot", "moron", "catty", "go_to_hell", "go_to_help"]
     for a in some:
         for b in some:
             x, y = subsequences(a), subsequences(b)
-            want = sum(v * y.get(u, 0) for u, v in x.items()) / toxicity.NORM[len(a) + 2] / toxicity.NORM[len(b) + 2]
-            assert toxicity.kernel([a], [b])[0, 0] == pytest.approx(want)
-    assert toxicity.kernel(["idxiot"], ["idiot"])[0, 0] > 0.4 > toxicity.kernel(["moron"], ["idiot"])[0, 0]
+            size = toxicity.norms(np.array([len(a) + 1, len(b) + 1]))
+            want = sum(v * y.get(u, 0) for u, v in x.items()) / size[0] / size[1]
+            assert toxicity.kernel([window(a.replace("_", " "))], [window(b.replace("_", " "))])[0, 0] == pytest.approx(want, rel=1e-5)
+    near = lambda a, b: toxicity.kernel([window(a)], [window(b)])[0, 0]
+    assert near("idxiot", "idiot") > 0.3 > near("moron", "idiot") and near("i.d-i-o-t!!", "I D I O T") == near("idiot", "idiot")
+    assert near("дурак", "дурак") > 0.5 and near("дурак", "слово") < 0.1 and near("é", "é") == near("ß", "ß")
+
+
+def test_scores_by_definition():
+    """The collapsed machine's window scores against the kernel sum over its landmarks."""
+    rng = random.Random(3)
+    marks = [window(words(2, i)) for i in range(12)]
+    machine = toxicity.fit_windows([window(f"{w} idiot") for w in ("you", "an", "big")] + [window("stupid cow")], [*marks, window("nice day")], 8)
+    body = " ".join(rng.choice(["you", "idiot", "stupid", "cow", "day,", "é", "x" * 70, "a b c", "end."]) for _ in range(200))
+    text = toxicity.Sentences(np.frombuffer(body.encode(), np.uint8), np.array([0, len(body.encode())]))
+    start, end, row, f = machine.window_scores(text)
+    raw = text.codes.tobytes()
+    for s, e, got in list(zip(start.tolist(), end.tolist(), f.tolist()))[::7]:
+        code = raw[s:e] + raw[e : e + toxicity.SPAN - 1].ljust(toxicity.SPAN - 1, b"\0")
+        want = machine.bias
+        c = [*code]
+        for i in range(e - s):
+            for j in range(i + 1, len(c)):
+                for k in range(j + 1, min(len(c), i + toxicity.SPAN)):
+                    if c[i] and c[j] and c[k]:
+                        want += float(machine.weights[c[i] << 14 | c[j] << 7 | c[k]]) * toxicity.LAMBDA ** (k - i + 1) / toxicity.norms(np.array([e - s]))[0]
+        assert got == pytest.approx(want, abs=1e-4)
+    assert (row == 0).all() and not any(0 in raw[s + 1 : e] for s, e in zip(start.tolist(), end.tolist()))
+
+
+def test_insults_of_several_and_long_words(spark):
+    """Two harmless words that insult together, and a compound of over sixteen characters."""
+    rng, docs, labels = random.Random(17), [], []
+    plain = [f"w{i}" for i in range(60)] + ["stinking", "goat", "weather", "farmyard"]
+    for i in range(600):
+        w = rng.choices(plain, k=rng.randrange(30, 80))
+        rude = i % 3 == 0
+        if rude:
+            w[rng.randrange(len(w))] = rng.choice(["stinking goat", "Schwachkopfverein"])
+        else:
+            w = [x for x, y in zip(w, [*w[1:], ""]) if (x, y) != ("stinking", "goat")]
+        docs.append((i, " ".join(w) + "."))
+        labels.append((i, int(rude)))
+    machine = toxicity.fit_toxicity(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    tries = [(1, "w1 w2 stinking goat w3 " + words(20, 1, 60)), (2, "w5 w6 Schwachkopf-verein w9 " + words(20, 2, 60)), (3, "the goat w4. stinking weather " + words(20, 3, 60)), (4, words(30, 4, 60))]
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(frame(spark, tries), machine).collect()}
+    assert min(scores[1], scores[2]) > 0.5 > max(scores[3], scores[4])
 
 
 # 7, 9 ------------------------------------------------------------------------------------------
