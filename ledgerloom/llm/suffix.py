@@ -41,7 +41,7 @@ BASE = 32
 SEGMENT = 1 << 18
 #: Bytes of text in a block, and bytes of text for which there is one range of keys: the least and the most.
 BLOCK_BYTES = 8 << 20, 64 << 20
-RANGE_BYTES = 32 << 20, 128 << 20
+RANGE_BYTES = 4 << 20, 128 << 20
 #: One message: from a block to a range of keys (kind ``ask``, ``run``), back (``rank``), or a block's own (``state``, ``repeat``, ``open``).
 MESSAGE = "kind string, block long, place long, a binary, b binary, c binary, d binary"
 _TYPES = [("kind", pa.string()), ("block", pa.int64()), ("place", pa.int64()), *((c, pa.binary()) for c in "abcd")]
