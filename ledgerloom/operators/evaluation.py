@@ -50,13 +50,16 @@ def no_answer_accuracy(answerable: str = "expected_answerable", excluded: str =
 def latency_stats(results: DataFrame, latency: str, dims: list[str]) -> DataFrame:
     """Mean, median, and the 95th percentile at index round-half-even(0.95 (n - 1)).
 
-    The rank is counted within each group, so groups are as large as a run's segment.
+    Values are counted first, so a group is ranked by its distinct values, not by its rows.
     """
-    rows = results.where(F.col(latency).isNotNull())
-    by = Window.partitionBy(*dims)
-    numbered = rows.withColumns({"_i": F.row_number().over(by.orderBy(latency)) - 1, "_n": F.count(F.lit(1)).over(by)})
-    p95 = F.max(F.when(F.col("_i") == F.bround(F.lit(0.95) * (F.col("_n") - 1)).cast("long"), F.col(latency)))
-    return numbered.groupBy(*dims).agg(F.avg(latency).alias("mean_latency"), F.percentile(latency, 0.5).alias("median_latency"), p95.alias("p95_latency"))
+    value = F.col(latency)
+    counts = results.where(value.isNotNull()).groupBy(*dims, value.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*dims).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumns({"_upto": upto, "_n": F.sum("_c").over(Window.partitionBy(*dims))})
+    at = lambda i: F.min(F.when(F.col("_upto") > i, F.col("_v")))
+    middle = (at(F.floor((F.col("_n") - 1) / 2)) + at(F.floor(F.col("_n") / 2))) / 2
+    p95 = at(F.bround(F.lit(0.95) * (F.col("_n") - 1)).cast("long"))
+    return ranked.groupBy(*dims).agg((F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean_latency"), middle.alias("median_latency"), p95.alias("p95_latency"))
 
 
 def metrics_by_segment(results: DataFrame, metrics: list[Column], mode: str = "mode", segment: str = "segment") -> DataFrame:

@@ -43,9 +43,17 @@ def stem(words: pd.Series) -> pd.Series:
     return words.map(known)
 
 
-def text_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stemming: bool = False, stop_words: bool = False) -> tuple[DataFrame, DataFrame]:
-    """R2: postings (term, doc_id, tf, positions) and document lengths (doc_id, n_terms)."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(tokens(F.col(text))).alias("place", "term"))
+def text_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stemming: bool = False, stop_words: bool = False, terms: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """R2: postings (term, doc_id, tf, positions) and document lengths (doc_id, n_terms).
+
+    With ``terms`` only their postings are made, and no other word leaves its document.  For many
+    searches write both tables once (``write_index``).
+    """
+    if terms is None or stemming:
+        rows = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(tokens(F.col(text))).alias("place", "term"))
+    else:
+        numbered = F.transform(tokens(F.col(text)), lambda t, i: F.struct(i.alias("place"), t.alias("term")))
+        rows = docs.select(F.col(doc_id).alias("doc_id"), F.inline(F.filter(numbered, lambda x: x["term"].isin(terms))))
     if stop_words:
         rows = rows.where(~F.col("term").isin(sorted(STOP_WORDS)))
     if stemming:
@@ -56,15 +64,44 @@ def text_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stem
     return postings, lengths
 
 
+def write_index(index: tuple[DataFrame, DataFrame], path: str) -> tuple[DataFrame, DataFrame]:
+    """R2: the index as files sorted by term, so that a search reads the row groups of its terms; and read back."""
+    postings, lengths = index
+    postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+    lengths.write.parquet(f"{path}/lengths")
+    read = postings.sparkSession.read
+    return read.schema(postings.schema).parquet(f"{path}/postings"), read.schema(lengths.schema).parquet(f"{path}/lengths")
+
+
+def search_many(questions: DataFrame, index: tuple[DataFrame, DataFrame], k: int) -> DataFrame:
+    """R3 for a table of questions (query_id, query) in one plan: query_id, doc_id, score, rank; blank questions find nothing.
+
+    Questions meet the postings in one join on terms, so the index is read once for all of them.
+    """
+    postings, lengths = index
+    words = F.array_distinct(tokens(F.col("query")))
+    asked = questions.select("query_id", F.size(words).alias("wanted"), F.explode(words).alias("term"))
+    df = postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("n_terms").alias("mean"))
+    met = asked.join(df, "term").join(postings.select("term", "doc_id", "tf"), "term").join(lengths, "doc_id").crossJoin(F.broadcast(stats))  # one row
+    found = met.groupBy("query_id", "wanted", "doc_id").agg(F.sum(_part()).alias("score"), F.count(F.lit(1)).alias("m")).where("m = wanted")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "doc_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
+
+
+def _part() -> Column:
+    """What a term adds to a document's score."""
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.col("mean")))
+
+
 def _bm25(hits: DataFrame, postings: DataFrame, lengths: DataFrame, terms: list[str]) -> DataFrame:
     """doc_id and score of the documents in ``hits`` over ``terms``."""
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("n_terms").alias("mean"))
     own = postings.where(F.col("term").isin(terms))
     df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     met = own.join(hits, "doc_id", "left_semi").join(F.broadcast(df), "term").join(lengths, "doc_id").crossJoin(F.broadcast(stats))  # one row for each query term; one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.col("mean")))
-    return met.groupBy("doc_id").agg(F.sum(part).alias("score"))
+    return met.groupBy("doc_id").agg(F.sum(_part()).alias("score"))
 
 
 def _ranked(scored: DataFrame, docs: DataFrame, k: int, doc_id: str, created: str | None) -> DataFrame:
@@ -78,7 +115,7 @@ def _ranked(scored: DataFrame, docs: DataFrame, k: int, doc_id: str, created: st
 def search_plain(docs: DataFrame, query: str, k: int, doc_id: str = "doc_id", text: str = "text", created: str | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Documents with all words of the query; doc_id, score, rank.  A blank query finds nothing."""
     terms = sorted(set(re.findall("[a-z]+", query.lower())))
-    postings, lengths = index or text_index(docs, doc_id, text)
+    postings, lengths = index or text_index(docs, doc_id, text, terms=terms)
     all_ = postings.where(F.col("term").isin(terms)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") == max(len(terms), 1))
     return _ranked(_bm25(all_.select("doc_id"), postings, lengths, terms), docs, k, doc_id, created)
 
@@ -102,8 +139,8 @@ def _moved(by: int) -> Column:
 
 def search_web(docs: DataFrame, query: str, k: int, doc_id: str = "doc_id", text: str = "text", created: str | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Web syntax; words of a clause in a row make a phrase when they were quoted together."""
-    postings, lengths = index or text_index(docs, doc_id, text)
     clauses = parse_web_query(query)
+    postings, lengths = index or text_index(docs, doc_id, text, terms=sorted({w for c in clauses for _, words in c for w in words}))
 
     def holding(words: list[str]) -> DataFrame:
         if len(words) == 1:

@@ -55,29 +55,24 @@ CASCADE = [
 def cascade_delete(tables: dict[str, DataFrame], root: str, root_key: str, ids: DataFrame, edges: list[tuple[str, str, str, str]] = CASCADE) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     """(survivors, doomed) of every table when rows of ``root`` go; ``ids`` has the column ``root_key``.
 
-    Each table's doomed rows are those whose reference is a doomed key of a parent, so the plan is
-    one semi join down each edge and one anti join for the survivors.
+    A row is doomed if one of its references is a doomed key of a parent.  Each edge is one left
+    join with the distinct doomed keys; only keys travel, and equal rows stay or go on their own.
     """
-    doomed: dict[str, DataFrame] = {root: tables[root].join(ids.select(root_key).distinct(), root_key, "left_semi")}
-    for parent, key, child, ref in edges:
-        if parent not in doomed or child not in tables:
+    gone = {root: ids.select(root_key).distinct()}
+    mark = F.lit(True).alias("_gone0")
+    flagged = {root: tables[root].join(gone[root].select(root_key, mark), root_key, "left")}
+    doomed: dict[str, DataFrame] = {root: flagged[root].where("_gone0").select(*tables[root].columns)}
+    survivors = dict(tables) | {root: flagged[root].where("_gone0 IS NULL").select(*tables[root].columns)}
+    for child in dict.fromkeys(c for _, _, c, _ in edges):
+        own = [(parent, key, ref) for parent, key, c, ref in edges if c == child and parent in doomed and child in tables]
+        if not own:
             continue
-        hit = tables[child].join(doomed[parent].select(F.col(key).alias(ref)).distinct(), ref, "left_semi").select(*tables[child].columns)
-        doomed[child] = hit if child not in doomed else doomed[child].unionByName(hit).dropDuplicates()
-    survivors = {}
-    for name, df in tables.items():
-        if name in doomed:
-            columns = df.columns
-            left = df
-            gone = doomed[name].select(*columns).distinct()
-            on = [df[c].eqNullSafe(gone[c]) for c in columns if df.schema[c].dataType.typeName() not in ("map",)]
-            cond = on[0]
-            for c in on[1:]:
-                cond = cond & c
-            left = df.join(gone, cond, "left_anti")
-            survivors[name] = left
-        else:
-            survivors[name] = df
+        rows, marks = tables[child], []
+        for i, (parent, key, ref) in enumerate(own):
+            marks.append(f"_gone{i}")
+            rows = rows.join(doomed[parent].select(F.col(key).alias(ref)).distinct().withColumn(marks[-1], F.lit(True)), ref, "left")
+        hit = F.coalesce(*[F.col(m) for m in marks], F.lit(False))
+        doomed[child], survivors[child] = rows.where(hit).select(*tables[child].columns), rows.where(~hit).select(*tables[child].columns)
     return survivors, doomed
 
 

@@ -132,8 +132,10 @@ def feedback_summary(feedback: DataFrame, keys: list[str] | None = None) -> Data
     return counts.fillna(0, ["up", "down"])
 
 
-def pulse_sections(decisions: DataFrame, n: int = 3, section: str = "record_type", order: list[Column] | None = None, label: str = "decision_statement") -> DataFrame:
-    """For each section its size, its top rows and how many more there are."""
+def pulse_sections(decisions: DataFrame, n: int = 3, section: str = "record_type", order: list[Column] | None = None, label: str = "decision_statement", start=None, end=None, created: str = "created_at") -> DataFrame:
+    """For each section its size, its top rows and how many more there are; of a period if ``start`` and ``end`` (days) are given."""
+    if start is not None:
+        decisions = decisions.where((F.col(created) >= F.lit(start).cast("timestamp")) & (F.col(created) < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp")))
     order = order or [F.desc("confidence"), F.desc("created_at"), F.asc("id")]
     ranked = decisions.withColumn("rank", F.row_number().over(Window.partitionBy(section).orderBy(*order))).where(F.col("rank") <= n)
     counts = decisions.groupBy(section).agg(F.count(F.lit(1)).alias("total"))

@@ -1,7 +1,6 @@
 """Vector search and similarity joins.
 
-Searches send the queries, a table of bounded size, to every task; beyond the bound they are
-blocked.  Similarity self-joins run inside blocks (tenant and record type).  A block is cut into
+Searches meet in tiles of queries and vectors.  Similarity self-joins run inside blocks (tenant and record type).  A block is cut into
 tiles of at most ``TILE`` vectors and a task gets one pair of tiles, so neither a large tenant
 nor one that holds a third of all rows ever sits in one task.
 """
@@ -16,7 +15,6 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 
 TILE = 2048
-MAX_QUERY_BYTES = 64 << 20
 
 
 def _matrix(column: pa.ListArray, size: int) -> np.ndarray:
@@ -32,45 +30,58 @@ def check_dimension(vectors: DataFrame, size: int, column: str = "embedding") ->
     return vectors.withColumn(column, F.when(good, F.col(column)).otherwise(F.raise_error(F.lit(f"vector without {size} numbers")).cast(vectors.schema[column].dataType)))
 
 
+def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """L2: the ``k`` (1..50) best rows."""
+    if not 1 <= k <= 50:
+        raise ValueError("k must be between 1 and 50")
+    return df.orderBy(*order).limit(k)
+
+
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, size: int, query_id: str = "query_id", vec_id: str = "vec_id", column: str = "embedding", block: str | None = None) -> DataFrame:
     """For each query the ``k`` (1..50) vectors of highest cosine, ties by id.
 
     Columns: query_id, vec_id, similarity, rank.  With ``block`` only vectors of the query's own
-    block count.  Each task keeps its own best ``k`` of each query, so what is shuffled is
-    queries x k x tasks rows.  Queries go out in slices of at most ``MAX_QUERY_BYTES``.
+    block count.  Queries and vectors are dealt to tiles of at most ``TILE`` rows; a task meets one
+    tile of each and returns its best ``k`` of each query, so nothing passes through the driver and
+    what is shuffled is queries x k x vector tiles rows.  A vector is sent once for each query tile.
     """
     if not 1 <= k <= 50:
         raise ValueError("k must be between 1 and 50")
     ship_package(queries.sparkSession)
-    wanted = queries.select(F.col(query_id).cast("long").alias("q"), F.col(column).cast("array<double>").alias("v"), (F.col(block).cast("string") if block else F.lit("")).alias("b"))
-    per_slice = max(1, MAX_QUERY_BYTES // (8 * size))
-    total = wanted.count()
-    slices = max(1, -(-total // per_slice))
-    rows = vectors.select(F.col(vec_id).cast("long").alias("i"), F.col(column).cast("array<double>").alias("v"), (F.col(block).cast("string") if block else F.lit("")).alias("b"))
-    out = None
-    for s in range(slices):
-        part = wanted.where(F.pmod(F.xxhash64("q"), F.lit(slices)) == s) if slices > 1 else wanted
-        got = part.orderBy("q").toArrow()
-        shared = queries.sparkSession.sparkContext.broadcast((got.column("q").to_numpy(), _matrix(got.column("v").combine_chunks(), size) if got.num_rows else np.zeros((0, size)), np.array(got.column("b").to_pylist(), object)))
-
-        def best(batches, shared=shared):
-            ids, m, blocks = shared.value
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                sims = m @ _matrix(batch.column(1), size).T
-                own = batch.column(0).to_numpy()
-                if block:
-                    sims = np.where(blocks[:, None] == np.array(batch.column(2).to_pylist(), object)[None, :], sims, -np.inf)
-                order = np.lexsort((np.broadcast_to(own, sims.shape), -sims), axis=1)[:, :k]
-                top = np.take_along_axis(sims, order, 1)
-                good = np.isfinite(top)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])[good.ravel()]), pa.array(own[order][good]), pa.array(top[good])], names=["query_id", "vec_id", "similarity"])
-
-        found = rows.mapInArrow(best, "query_id long, vec_id long, similarity double")
-        out = found if out is None else out.unionByName(found)
+    own = lambda df, key, name: df.select(F.col(key).cast("long").alias(name), F.col(column).cast("array<float>").alias("v"), (F.col(block).cast("string") if block else F.lit("")).alias("b"))
+    wanted, rows = own(queries, query_id, "i"), own(vectors, vec_id, "i")
+    sizes = wanted.agg(F.count(F.lit(1)).alias("q")).crossJoin(rows.agg(F.count(F.lit(1)).alias("v"))).first()  # two counts
+    across, down = max(1, -(-sizes["q"] // TILE)), max(1, -(-sizes["v"] // (4 * TILE)))
+    tile = lambda n: F.pmod(F.xxhash64("i"), F.lit(n)).cast("int")
+    asked = wanted.select("i", "v", "b", F.lit(True).alias("ask"), tile(across).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("y"))
+    given = rows.select("i", "v", "b", F.lit(False).alias("ask"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("x"), tile(down).alias("y"))
+
+    def best(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        ids, ask = group.column("i").to_numpy(), group.column("ask").to_numpy()
+        m, blocks = _matrix(group.column("v").combine_chunks(), size), np.array(group.column("b").to_pylist(), object)
+        order = np.argsort(ids[~ask], kind="stable")  # equal values keep the order of ids
+        q, v, vi = np.flatnonzero(ask), np.flatnonzero(~ask)[order], ids[~ask][order]
+        out: list[list[np.ndarray]] = [[], [], []]
+        for start in range(0, len(q) if len(v) else 0, 256):
+            part = q[start : start + 256]
+            sims = m[part] @ m[v].T
+            if block:
+                sims = np.where(blocks[part][:, None] == blocks[v][None, :], sims, -np.inf)
+            most = min(k, sims.shape[1])
+            floor = np.partition(sims, sims.shape[1] - most, axis=1)[:, sims.shape[1] - most]
+            r, c = np.nonzero((sims >= floor[:, None]) & np.isfinite(sims))
+            at = np.lexsort((c, -sims[r, c], r))
+            r, c = r[at], c[at]
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            for o, x in zip(out, (ids[part][r], vi[c], sims[r, c])):
+                o.append(x[place < k])
+        cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+        return pa.table({"query_id": cat(out[0], np.int64), "vec_id": cat(out[1], np.int64), "similarity": cat(out[2], np.float64)})
+
+    found = asked.unionByName(given).groupBy("x", "y").applyInArrow(best, "query_id long, vec_id long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def similar_pairs(vectors: DataFrame, floor: float, size: int, block: list[str], id_col: str = "vec_id", column: str = "embedding", tile: int = TILE) -> DataFrame:

@@ -152,7 +152,7 @@ def outcome_counts(spark, d):
     tenants = e.select(F.col("tenant_id").alias("id")).distinct().select("id", (F.col("id") == "t1").alias("learning_paused"), (F.col("id") == "t3").alias("core_knowledge_only"))
     connections = tenants.select(F.concat(F.lit("c-"), "id").alias("id"), F.col("id").alias("tenant_id"), F.lit("slack").alias("source"), F.when(F.col("id") == "t2", "paused").otherwise("active").alias("status"), F.lit("2024-01-01").alias("created_at"))
     word = F.when(F.col("event_type") == "error", "DISCARD").when(F.col("event_type") == "click", "UNCERTAIN").otherwise("KEEP")
-    outputs = e.select(key.alias("source_key"), word.alias("decision"), (F.col("value") / 500).alias("confidence"), F.when(F.col("event_type") == "signup", "blocker").otherwise("decision").alias("record_type"))
+    outputs = e.select("tenant_id", F.lit("slack").alias("source"), key.alias("source_id"), word.alias("decision"), (F.col("value") / 500).alias("confidence"), F.when(F.col("event_type") == "signup", "blocker").otherwise("decision").alias("record_type"))
     return counts(ingest.outcome_router(envelopes, ledger, connections, tenants, outputs))
 
 

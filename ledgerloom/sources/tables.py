@@ -109,7 +109,7 @@ def sources_view(connections: DataFrame, name: str = "sources") -> DataFrame:
 
 
 #: The first bytes of a sealed payload.
-MAGIC = bytes.fromhex("5345414c3031")
+MAGIC = b"SEAL01"
 
 
 def seal(payload: Column, secret: str) -> Column:

@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.text import redact_financial
+from ..functions.text import redact_json
 from ..operators.ingest import KEYS, outcome_router, retry_pending
 from ..session import ship_package
-from ..sources.tables import split_envelopes, stream_envelopes
+from ..sources.tables import ENVELOPE, split_envelopes, stream_envelopes
 
 
 def stream_dedup(stream: DataFrame, keys: list[str] = KEYS, ingested: str = "ingested_at", ttl: str = "30 days") -> DataFrame:
@@ -30,24 +31,35 @@ def ingest_stream(spark: SparkSession, in_path: str, out_path: str, tables: dict
     """Landed envelopes to outcomes, rejects and persisted rows, batch by batch.
 
     Sinks are folders named by the batch id and written with overwrite, so a batch that is run
-    again after a failure replaces what it wrote.  A key that an earlier batch stored is read back
-    from those folders and counts as done.
+    again after a failure replaces what it wrote.  A key that an earlier batch stored as done is
+    read back from those folders.  A message that the model has not judged yet is pending: it is
+    kept and taken up by the next batch (T3) together with what has landed since.
     """
     ledger_path = f"{out_path}/ledger"
 
-    def batch(rows: DataFrame, batch_id: int) -> None:
-        good, bad = split_envelopes(rows)
-        good = good.withColumn("raw_content", redact_financial("raw_content"))
+    def stored(path: str, schema: str) -> DataFrame:
         try:
-            ledger = spark.read.parquet(ledger_path).where(F.col("batch") != batch_id)
-        except Exception as e:  # the first batch has no ledger yet
+            return spark.read.schema(schema).parquet(path)
+        except Exception as e:  # nothing has been written yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            ledger = spark.createDataFrame([], f"{', '.join(f'{k} string' for k in KEYS)}, pipeline_status string, batch long")
-        routed = outcome_router(good, ledger, tables["source_connections"], tables["tenants"], model_outputs).withColumn("batch", F.lit(batch_id))
+            return spark.createDataFrame([], schema)
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        good, bad = split_envelopes(rows)
+        good = good.withColumn("raw_content", redact_json("raw_content"))
+        ledger = stored(ledger_path, f"{', '.join(f'{k} string' for k in KEYS)}, pipeline_status string, batch long").where(F.col("batch") < batch_id)
+        waiting = stored(f"{out_path}/pending/batch={batch_id - 1}", ENVELOPE)
+        good = good.unionByName(retry_pending(waiting, ledger))
+        routed = outcome_router(good, ledger, tables["source_connections"], tables["tenants"], model_outputs)
+        judged = model_outputs.select(*KEYS).distinct().withColumn("_judged", F.lit(True))
+        pending = (F.col("outcome") == "discarded") & F.col("_judged").isNull()
+        routed = routed.join(judged, KEYS, "left").withColumn("outcome", F.when(pending, "pending").otherwise(F.col("outcome"))).drop("_judged")
         routed.write.mode("overwrite").parquet(f"{out_path}/outcomes/batch={batch_id}")
-        bad.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out_path}/rejected/batch={batch_id}")
-        done = spark.read.parquet(f"{out_path}/outcomes/batch={batch_id}").where(~F.col("outcome").isin("duplicate_skipped", "duplicate_on_insert", "abandoned_no_active_connection", "learning_paused"))
+        bad.write.mode("overwrite").parquet(f"{out_path}/rejected/batch={batch_id}")
+        kept = spark.read.parquet(f"{out_path}/outcomes/batch={batch_id}")
+        kept.where(F.col("outcome") == "pending").drop("outcome").write.mode("overwrite").parquet(f"{out_path}/pending/batch={batch_id}")
+        done = kept.where(~F.col("outcome").isin("pending", "duplicate_skipped", "duplicate_on_insert", "abandoned_no_active_connection", "learning_paused"))
         done.select(*KEYS, F.lit("done").alias("pipeline_status")).distinct().write.mode("overwrite").parquet(f"{ledger_path}/batch={batch_id}")
 
     source = stream_envelopes(spark, in_path, files_per_batch)
@@ -83,19 +95,33 @@ def fixed_window_limits(events: DataFrame, n: int, window_seconds: int, key: str
     """Each event admitted or not under ``n`` admissions in windows anchored at their first event.
 
     A window ends when an event comes ``window_seconds`` or more after its start (``strict``: only
-    later than that); denied events do not count.  One key's events are followed in order.
+    later than that); denied events do not count.  Keys are dealt to tasks and their events sorted
+    there by Spark, so a task follows its rows once and holds a batch and one (start, used) at a time.
     """
     ship_package(events.sparkSession)
     width = window_seconds * 1_000_000
     rows = events.select(F.col(key).alias("key"), F.unix_micros(ts).alias("at"), F.col(event_id).alias("event_id"))
 
-    def follow(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["at", "event_id"])
-        out, _, _ = _admit(group["at"].tolist(), n, width, strict, None, 0)
-        return group[["key", "event_id"]].assign(window_start=[s for s, _, _ in out], used=[c for _, c, _ in out], allowed=[ok for _, _, ok in out])
+    def follow(batches):
+        last, start, used = object(), None, 0
+        for batch in batches:
+            keys, times = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            starts, counts, good = [], [], []
+            for k, t in zip(keys, times):
+                if k != last:
+                    last, start, used = k, None, 0
+                if start is None or (t > start + width if strict else t >= start + width):
+                    start, used = t, 0
+                ok = used < n
+                used += ok
+                starts.append(start)
+                counts.append(used)
+                good.append(ok)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(good, pa.bool_())], names=["key", "event_id", "window_start", "used", "allowed"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    out = rows.groupBy("key").applyInPandas(follow, f"key {kinds['key']}, event_id {kinds['event_id']}, window_start long, used long, allowed boolean")
+    out = rows.where("key IS NOT NULL AND at IS NOT NULL").repartition("key").sortWithinPartitions("key", "at", "event_id")
+    out = out.mapInArrow(follow, f"key {kinds['key']}, event_id {kinds['event_id']}, window_start long, used long, allowed boolean")
     return out.withColumn("window_start", F.timestamp_micros("window_start"))
 
 
@@ -134,10 +160,17 @@ def usage_remaining(limits: DataFrame, n: int, window_seconds: int, as_of: Colum
 
 
 def daily_budget(calls: DataFrame, cost: Column, ts: str, call_id: str, cap: float = 5.0) -> DataFrame:
-    """Each call with what its day had cost before it, and whether it is allowed."""
-    before = F.sum(cost).over(Window.partitionBy(F.to_date(ts)).orderBy(ts, call_id).rowsBetween(Window.unboundedPreceding, -1))
-    spent = F.coalesce(before, F.lit(0.0))
-    return calls.select(F.col(call_id), F.to_date(ts).alias("day"), spent.alias("spent_before"), (F.round(spent, 6) < cap).alias("allowed"))
+    """Each call with what its day had cost before it, and whether it is allowed.
+
+    What minutes cost is added up first; a call then adds what came before it in its own minute, so
+    a day is 1,440 tasks' worth of sorting and its running total is over minutes.
+    """
+    rows = calls.select(F.col(call_id), F.to_date(ts).alias("day"), F.date_trunc("minute", ts).alias("_minute"), F.col(ts).alias("_at"), cost.alias("_cost"))
+    earlier = Window.partitionBy("day").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("day", "_minute").agg(F.sum("_cost").alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0))).drop("_sum")
+    own = F.coalesce(F.sum("_cost").over(Window.partitionBy("day", "_minute").orderBy("_at", call_id).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    spent = rows.withColumn("_own", own).join(base, ["day", "_minute"]).withColumn("spent_before", F.col("_base") + F.col("_own"))
+    return spent.select(call_id, "day", "spent_before", (F.round("spent_before", 6) < cap).alias("allowed"))
 
 
 __all__ = ["WindowLimiter", "daily_budget", "embedding_queue", "fixed_window_limits", "ingest_stream", "late_and_bad", "retry_pending", "stream_dedup", "stream_limits", "tumbling_counts", "usage_remaining"]
