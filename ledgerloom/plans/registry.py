@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import detail_queries, register_queries, report_queries, search_queries, stream_queries, text_queries  # noqa: F401
+from . import detail_queries, ingest_queries, register_queries, report_queries, search_queries, stream_queries, text_queries  # noqa: F401
 from .base import ORACLES, QUERIES
 
 FLAGSHIP = "rrf"

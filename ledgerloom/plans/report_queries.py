@@ -210,3 +210,117 @@ def time_ago(spark, d):
 @query(f"SELECT event_id, round(1 + pow(0.5, greatest(0, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ts)) / 86400000000.0) / 14), 9) AS weight FROM events")
 def recency_weight(spark, d):
     return table(spark, d, "events").select("event_id", F.round(scalars.recency_weight("ts", F.lit(AS_OF).cast("timestamp")), 9).alias("weight"))
+
+
+#: Questions with expected and excluded ids, and what was cited.
+ASKED = """
+WITH q AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 5 = 0 THEN [] WHEN doc_id % 5 = 1 THEN ['a' || doc_id, 'b' || doc_id] ELSE ['a' || doc_id] END AS expected, CASE WHEN doc_id % 3 = 0 THEN ['x' || doc_id] ELSE [] END AS excluded,
+  CASE doc_id % 4 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['b' || doc_id, 'a' || doc_id] WHEN 2 THEN ['z', 'a' || doc_id] ELSE ['x' || doc_id] END AS cited, doc_id % 5 <> 0 AS answerable, doc_id % 5 = 1 AS multi, lang, n_chars FROM documents),
+r AS (SELECT *, len(list_intersect(cited, excluded)) > 0 AS leaked, len(list_intersect(cited, expected)) AS hits FROM q),
+s AS (SELECT *, CASE WHEN leaked THEN false WHEN NOT answerable THEN len(excluded) > 0 OR len(cited) = 0 WHEN multi THEN hits = len(expected) ELSE hits > 0 END AS good FROM r)
+"""
+
+
+def asked(spark, d):
+    n, none = F.col("doc_id"), F.array().cast("array<string>")
+    name = lambda letter: F.concat(F.lit(letter), n.cast("string"))
+    rows = table(spark, d, "documents").select(
+        n.alias("query_id"), F.when(n % 5 == 0, none).when(n % 5 == 1, F.array(name("a"), name("b"))).otherwise(F.array(name("a"))).alias("expected_decision_ids"), F.when(n % 3 == 0, F.array(name("x"))).otherwise(none).alias("excluded_decision_ids"),
+        F.when(n % 4 == 0, none).when(n % 4 == 1, F.array(name("b"), name("a"))).when(n % 4 == 2, F.array(F.lit("z"), name("a"))).otherwise(F.array(name("x"))).alias("cited"), (n % 5 != 0).alias("expected_answerable"), (n % 5 == 1).alias("is_multi"), "lang", "n_chars",
+    )
+    return rows.drop("cited"), rows.select("query_id", "cited")
+
+
+@query(ASKED + """SELECT query_id, CASE WHEN good THEN 'PASS' ELSE 'FAIL' END AS status, leaked, (SELECT min(p) FROM (SELECT unnest(list_transform(expected, lambda e: nullif(list_position(cited, e), 0))) AS p)) AS first_expected_rank, round(CASE WHEN len(expected) > 0 THEN hits / len(expected) END, 6) AS recall FROM s""")
+def score_queries(spark, d):
+    """Each question passed or failed, and the rank of its first expected citation."""
+    out = evaluation.score_queries(*asked(spark, d))
+    return out.select("query_id", "status", "leaked", F.col("first_expected_rank").cast("long").alias("first_expected_rank"), F.round("decision_level_recall", 6).alias("recall"))
+
+
+@query(ASKED + """SELECT lang, round(avg(CASE WHEN len(cited) > 0 THEN hits / len(cited) END), 6) AS citation_precision, round(avg(CASE WHEN len(expected) > 0 THEN hits / len(expected) END), 6) AS citation_recall,
+  round(avg(good::INT), 6) AS multi_strict, round(avg(coalesce(CASE WHEN len(expected) > 0 THEN hits / len(expected) END, 0)), 6) AS multi_recall, round(avg(CASE WHEN len(excluded) > 0 THEN good::INT END), 6) AS permission, round(avg(CASE WHEN NOT answerable AND len(excluded) = 0 THEN good::INT END), 6) AS no_answer FROM s GROUP BY 1""")
+def answer_metrics(spark, d):
+    """Citation, several-answer, permission and no-answer metrics by language."""
+    rows = evaluation.score_queries(*asked(spark, d))
+    metrics = [evaluation.citation_precision("cited", "expected_decision_ids").alias("citation_precision"), evaluation.citation_recall("cited", "expected_decision_ids").alias("citation_recall"), *evaluation.multi_accuracy(), evaluation.permission_accuracy("excluded_decision_ids").alias("permission"), evaluation.no_answer_accuracy(excluded="excluded_decision_ids").alias("no_answer")]
+    out = rows.groupBy("lang").agg(*metrics)
+    return out.select("lang", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
+
+
+@query(ASKED + """
+SELECT query_id, 'reranked beyond authorized' AS finding FROM s WHERE query_id % 7 = 0 UNION ALL SELECT query_id, 'cited beyond authorized' FROM s WHERE len(list_filter(cited, lambda x: NOT list_contains(expected, x))) > 0
+UNION ALL SELECT query_id, 'excluded row cited' FROM s WHERE leaked UNION ALL SELECT query_id, 'refusal with citations' FROM s WHERE query_id % 2 = 1 AND len(cited) > 0""")
+def security_findings(spark, d):
+    """Rows that break a rule of what may be read, cited or refused."""
+    rows = evaluation.score_queries(*asked(spark, d))
+    reranked = F.when(F.col("query_id") % 7 == 0, F.array(F.lit("w"))).otherwise(F.col("expected_decision_ids"))
+    return evaluation.security_findings(rows.select("query_id", reranked.alias("reranked_ids"), F.col("expected_decision_ids").alias("authorized_ids"), "cited", F.col("excluded_decision_ids").alias("excluded"), (F.col("query_id") % 2 == 1).alias("is_refusal")))
+
+
+@query(ASKED + """
+SELECT query_id, CASE WHEN query_id % 6 = 0 AND query_id % 12 = 0 THEN 'PASS' WHEN query_id % 6 = 0 THEN 'ERROR' WHEN good THEN 'PASS' ELSE 'FAIL' END AS status, CASE WHEN query_id % 12 = 0 THEN -1 ELSE n_chars END AS latency FROM s""")
+def merge_retries(spark, d):
+    """Results in error replaced by their retries."""
+    rows = evaluation.score_queries(*asked(spark, d))
+    bad = F.when(F.col("query_id") % 6 == 0, "ERROR").otherwise(F.col("status"))
+    results_ = rows.select("query_id", bad.alias("status"), F.col("n_chars").cast("long").alias("latency"))
+    again = results_.where("query_id % 4 = 0").withColumns({"status": F.lit("PASS"), "latency": F.lit(-1).cast("long")})
+    return evaluation.merge_retries(results_, again)
+
+
+@query(ASKED + """
+, refs AS (SELECT DISTINCT query_id, unnest(list_distinct(list_concat(expected, excluded))) AS ref FROM q)
+SELECT query_id, 'missing ' || ref AS violation FROM refs WHERE ref NOT IN (SELECT 'a' || doc_id FROM documents WHERE doc_id % 10 <> 7) AND left(ref, 1) = 'a'
+UNION ALL SELECT query_id, 'missing ' || ref FROM refs WHERE left(ref, 1) <> 'a' UNION ALL SELECT query_id, 'expected and excluded' FROM q WHERE query_id % 30 = 9 UNION ALL SELECT query_id, 'answerable does not match' FROM q WHERE query_id % 11 = 0""")
+def reference_check(spark, d):
+    """Questions that refer to missing rows or contradict themselves."""
+    questions, _ = asked(spark, d)
+    n = F.col("query_id")
+    questions = questions.withColumns({"excluded_decision_ids": F.when(n % 30 == 9, F.concat("excluded_decision_ids", F.col("expected_decision_ids"))).otherwise(F.col("excluded_decision_ids")), "expected_answerable": F.when(n % 11 == 0, ~F.col("expected_answerable")).otherwise(F.col("expected_answerable"))})
+    corpus = table(spark, d, "documents").where("doc_id % 10 <> 7").select(F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("source_message_id"))
+    return evaluation.reference_check(questions, corpus)
+
+
+@query("""
+WITH s AS (SELECT 'retrieve' AS stage, n_chars::DOUBLE AS ms FROM documents UNION ALL SELECT 'rerank', n_chars * 2.0 FROM documents WHERE doc_id % 2 = 0)
+SELECT stage, round(avg(ms), 4) AS mean_ms, count(*) AS n FROM s GROUP BY 1""")
+def stage_latency(spark, d):
+    """The mean time of each stage."""
+    both = F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("retrieve"), F.col("n_chars").cast("double"), F.lit("rerank"), F.col("n_chars") * 2.0)).otherwise(F.create_map(F.lit("retrieve"), F.col("n_chars").cast("double")))
+    return evaluation.stage_latency(table(spark, d, "documents").select(both.alias("stage_latency_ms"))).withColumn("mean_ms", F.round("mean_ms", 4))
+
+
+@query("""
+WITH l AS (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000)
+SELECT event_type AS source, count(*) AS n, round(avg((value > 100)::INT), 3) AS bulk_share, round(sum(length(props)) / count(*), 3) AS mean_chars, (SELECT count(DISTINCT (user_id, event_type)) FROM l) AS unique_keys FROM l GROUP BY 1""")
+def latest_sample(spark, d):
+    """A4, A5: the reports over the latest thousand rows."""
+    e, order = table(spark, d, "events"), [F.desc("ts"), F.desc("event_id")]
+    keys = reports.unique_vs_total(e, ["user_id", "event_type"], order).select("unique_keys")
+    return reports.sample_by_source(e, F.col("event_type"), F.col("value") > 100, F.col("props"), order).crossJoin(keys)  # one row
+
+
+@query("""
+SELECT event_type, rank, event_id::VARCHAR AS label, total, CASE WHEN total > 2 THEN (total - 2) || ' more' ELSE '' END AS more FROM (
+  SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, ts DESC, event_id) AS rank, count(*) OVER (PARTITION BY event_type) AS total FROM events WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15') WHERE rank <= 2""")
+def pulse_of_week(spark, d):
+    """The sections of one week."""
+    rows = table(spark, d, "events").withColumn("label", F.col("event_id").cast("string"))
+    return reports.pulse_sections(rows, 2, "event_type", [F.desc("value"), F.desc("ts"), F.asc("event_id")], "label", "2024-01-08", "2024-01-14", "ts")
+
+
+@query(f"SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (WHERE event_type = 'click') AS user_messages, count(DISTINCT user_id) AS sessions FROM events WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY GROUP BY 1")
+def chat_volume_window(spark, d):
+    """The window is held to at least a day."""
+    rows = table(spark, d, "events").withColumn("role", F.when(F.col("event_type") == "click", "user").otherwise("assistant"))
+    return reports.chat_volume(rows, "ts", "user_id", "role", F.lit(AS_OF).cast("timestamp"), 0).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@query("""
+SELECT a.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS likeness FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def neighbour_cosine(spark, d):
+    """The cosine of each vector and the next one, from stored norms."""
+    v = table(spark, d, "embeddings").select("vec_id", "embedding", scalars.norm("embedding").alias("norm"))
+    after = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"), F.col("norm").alias("other_norm"))
+    return v.join(after, "vec_id").select(F.col("vec_id").alias("id"), F.round(scalars.cosine("embedding", "other", F.col("norm"), F.col("other_norm")), 6).alias("likeness"))

@@ -49,13 +49,56 @@ def looks_like_html(spark, d):
     return pages.unionByName(table(spark, d, "documents").select((-F.col("doc_id") - 1).alias("id"), tx.looks_like_html("text").alias("html")))
 
 
-@query()
+def repaired_sql(c: str) -> str:
+    """Latin-1 characters reread as UTF-8 where that is valid, else the text."""
+    raw = f"unhex(array_to_string(list_transform(string_split({c}, ''), lambda x: printf('%02x', unicode(x))), ''))"
+    return f"CASE WHEN {c} = '' OR NOT regexp_matches({c}, '^[\\t\\n\\r\\x{{20}}-\\x{{FF}}]*$') THEN {c} ELSE coalesce(TRY(decode({raw})), {c}) END"
+
+
+def trimmed_sql(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, '^[\\s\\x{{00A0}}\\x{{FEFF}}]+', ''), '[\\s\\x{{00A0}}\\x{{FEFF}}]+$', '')"
+
+
+_ARTIFACT = r"'^\d{1,3}\s+((?:• )?[A-Z])', '\1'"
+#: Neighbours that share a character between them are found by the second pass.
+_EMPHASIS = [(r"(^|[^*])\*([^\s*][^*\n]*?)\*([^*]|$)", r"\1\2\3")] * 2
+
+
+@query(f"""
+WITH t AS (SELECT page_id AS id, html AS body FROM pages UNION ALL SELECT -doc_id - 1, text FROM documents),
+c0 AS MATERIALIZED (SELECT id, {repaired_sql("coalesce(body, '')")} AS c0 FROM t),
+c1 AS MATERIALIZED (SELECT *, regexp_matches(c0, {sql_text(tx.HTML_SHAPE)}) OR len(regexp_extract_all(c0, {sql_text(tx.HTML_TAG)})) >= 3 AS html FROM c0),
+c2 AS MATERIALIZED (SELECT *, CASE WHEN html THEN {clean_sql("c0")} ELSE c0 END AS c1 FROM c1),
+c3 AS MATERIALIZED (SELECT *, {trimmed_sql(replaced("c1", tx.CSS_STEPS))} AS c2 FROM c2),
+c4 AS MATERIALIZED (SELECT *, regexp_replace(c2, {_ARTIFACT}) AS c3 FROM c3),
+c5 AS MATERIALIZED (SELECT *, {trimmed_sql(replaced("c3", [(tx.QUOTE_MARK, ""), *_EMPHASIS]))} AS c4 FROM c4)
+SELECT id, CASE WHEN c4 = '' OR ((html OR c2 <> c1 OR c3 <> c2) AND len(list_filter(string_split_regex(c4, '\\s+'), lambda w: length(w) >= 2 AND regexp_matches(w, {sql_text(tx.READABLE_WORD)}))) < 4) THEN '{tx.PLACEHOLDER}' ELSE c4 END AS clean_text FROM c5""")
 def display_text(spark, d):
-    """The whole cleaning job on pages and documents (its patterns look around, so there is no SQL)."""
+    """The whole cleaning job on pages and documents."""
     rows = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("body")).unionByName(table(spark, d, "documents").select((-F.col("doc_id") - 1).alias("id"), F.col("text").alias("body")))
     return tx.clean_display_text(rows, "body").select("id", "clean_text")
 
 
+@query(f"""
+SELECT doc_id, text AS repaired, {trimmed_sql(replaced("'12 ' || text || ' .a { color: red } x: y; '", tx.CSS_STEPS))} AS styled, regexp_replace('12  T' || source, {_ARTIFACT}) AS headed,
+  {replaced("'> ' || source || E'\n >> *' || lang || '* and **' || lang || '**'", [(tx.QUOTE_MARK, ""), *_EMPHASIS])} AS plain FROM documents""")
+def text_repairs(spark, d):
+    """Texts read in the wrong encoding repaired; style remnants, leading numbers, quote and emphasis marks dropped."""
+    wrong = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    quoted = F.concat(F.lit("> "), F.col("source"), F.lit("\n >> *"), F.col("lang"), F.lit("* and **"), F.col("lang"), F.lit("**"))
+    styled = F.concat(F.lit("12 "), F.col("text"), F.lit(" .a { color: red } x: y; "))
+    return table(spark, d, "documents").select("doc_id", tx.repair_mojibake(wrong).alias("repaired"), tx.strip_css(styled).alias("styled"), tx.strip_artifact(F.concat(F.lit("12  T"), F.col("source"))).alias("headed"), tx.strip_plain_marks(quoted).alias("plain"))
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat, lang, source FROM documents)
+SELECT doc_id, CASE WHEN length(flat) > 80 THEN rtrim(left(flat, 80)) || '…' ELSE flat END AS excerpt, E'Source: ' || lang || E'\nActor: unknown\nThread: ' || source || E'\nScope: ["' || lang || E'"]\nContent: body' AS described FROM t""")
+def event_descriptions(spark, d):
+    """Excerpts of texts, and events as a model reads them."""
+    rows = table(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("source"), F.lit(None).cast("string").alias("actor"), F.col("source").alias("thread_ref"), F.array("lang").alias("permission_scope"), F.lit("body").alias("raw_content"))
+    return rows.select("doc_id", tx.excerpt("text", 80).alias("excerpt"), tx.model_input(rows).alias("described"))
+
+
 _DIGITS = "regexp_replace(m, '[ -]', '', 'g')"
 _CARD = r"'\b(?:\d[ -]?){13,19}\b'"
 _LUHN = f"""len({_DIGITS}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, len({_DIGITS}) + 1), lambda i:
@@ -69,9 +112,19 @@ WITH c AS (SELECT doc_id, string_split_regex(text, {_CARD}) AS parts, list_trans
 t AS (SELECT doc_id, array_to_string(list_transform(range(1, len(parts) + 1), lambda j: parts[j] || coalesce(cards[j], '')), '') AS body FROM c)
 SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(body, '\b[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}\b', '[REDACTED-IBAN]', 'g'), '\b\d{{3}}-\d{{2}}-\d{{4}}\b', '[REDACTED-SSN]', 'g'), '\b\d{{9,}}\b', '[REDACTED-NUMBER]', 'g') AS redacted FROM t""")
 def redact_documents(spark, d):
+    """Financial numbers in documents."""
     return table(spark, d, "documents").select("doc_id", tx.redact_financial("text").alias("redacted"))
 
 
+@query("SELECT doc_id, '{\"n\":123456789012,\"k\":\"[REDACTED-CARD]' || lang || '\",\"in\":[\"<@123456789012345678> [REDACTED-NUMBER]\",5]}' AS raw, '[REDACTED-SSN]|ok|[REDACTED-IBAN]' AS deep FROM documents")
+def redact_nested(spark, d):
+    """Strings inside JSON texts, arrays, structs and maps; numbers, keys and mentions stay."""
+    raw = F.concat(F.lit('{"n":123456789012,"k":"4111-1111-1111-1111 '), F.col("lang"), F.lit('","in":["<@123456789012345678> 123456789",5]}'))
+    deep = F.struct(F.array(F.lit("078-05-1120"), F.lit("ok")).alias("a"), F.create_map(F.lit("k"), F.lit("DE89 3704 0044 0532 0130")).alias("m"))
+    out = tx.redact_deep(table(spark, d, "documents").select("doc_id", tx.redact_json(raw).alias("raw"), deep.alias("deep")), ["deep"])
+    return out.select("doc_id", "raw", F.array_join(F.concat("deep.a", F.map_values("deep.m")), "|").alias("deep"))
+
+
 @query(f"""
 SELECT conv_id, turn, trim(text) <> '' AND (trim(regexp_replace(lower(trim(text)), '[!.?]+$', '')) IN ({", ".join(map(sql_text, tx.ACKS))}) OR regexp_matches(trim(text), {sql_text(tx.PICTOGRAPHS)})) AS trivial FROM conversations""")
 def trivial_prefilter(spark, d):
@@ -86,7 +139,7 @@ def trim_quotes(spark, d):
 
 
 @query("""
-SELECT d.doc_id, repeat('-', 50) || E'\\nDecision ' || (d.doc_id + 1) || E'\\nStatement: ' || left(d.text, 60) || E'\\nRationale: ' || coalesce('quality ' || l.quality, 'Not provided')
+SELECT d.doc_id, repeat('-', 50) || E'\\nDecision ' || (d.doc_id + 1) || E'\\nStatement: ' || d.text || E'\\nRationale: ' || coalesce('quality ' || l.quality, 'Not provided')
   || E'\\nAlternatives: ' || CASE WHEN d.lang = 'en' THEN 'None' ELSE d.lang || ', ' || d.source END || E'\\nConfidence: ' || floor(coalesce(l.quality, 0) * 0.945 * 100 + 0.5)::BIGINT || '%' || E'\\n' || repeat('-', 50) AS block,
   floor(length(d.text) / 4)::BIGINT AS tokens FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def context_blocks(spark, d):
@@ -101,7 +154,7 @@ def context_blocks(spark, d):
     return rows.select("doc_id", register.context_block(F.col("doc_id") + 1).alias("block"), tx.token_estimate("text").alias("tokens"))
 
 
-@query("SELECT doc_id, 'Decision: ' || left(text, 40) || CASE WHEN lang = 'fr' THEN '' ELSE E'\\nRationale: ' || source END || CASE WHEN lang = 'en' THEN E'\\nAlternatives considered: ' || lang || ', ' || source ELSE '' END AS body FROM documents")
+@query("SELECT doc_id, 'Decision: ' || text || CASE WHEN lang = 'fr' THEN '' ELSE E'\\nRationale: ' || source END || CASE WHEN lang = 'en' THEN E'\\nAlternatives considered: ' || lang || ', ' || source ELSE '' END AS body FROM documents")
 def searchable_text(spark, d):
     rationale = F.when(F.col("lang") != "fr", F.col("source"))
     options = F.when(F.col("lang") == "en", F.array("lang", "source")).otherwise(F.array().cast("array<string>"))
