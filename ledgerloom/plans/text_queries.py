@@ -66,12 +66,12 @@ _EMPHASIS = [(r"(^|[^*])\*([^\s*][^*\n]*?)\*([^*]|$)", r"\1\2\3")] * 2
 
 @query(f"""
 WITH t AS (SELECT page_id AS id, html AS body FROM pages UNION ALL SELECT -doc_id - 1, text FROM documents),
-c0 AS MATERIALIZED (SELECT id, {repaired_sql("coalesce(body, '')")} AS c0 FROM t),
-c1 AS MATERIALIZED (SELECT *, regexp_matches(c0, {sql_text(tx.HTML_SHAPE)}) OR len(regexp_extract_all(c0, {sql_text(tx.HTML_TAG)})) >= 3 AS html FROM c0),
-c2 AS MATERIALIZED (SELECT *, CASE WHEN html THEN {clean_sql("c0")} ELSE c0 END AS c1 FROM c1),
-c3 AS MATERIALIZED (SELECT *, {trimmed_sql(replaced("c1", tx.CSS_STEPS))} AS c2 FROM c2),
-c4 AS MATERIALIZED (SELECT *, regexp_replace(c2, {_ARTIFACT}) AS c3 FROM c3),
-c5 AS MATERIALIZED (SELECT *, {trimmed_sql(replaced("c3", [(tx.QUOTE_MARK, ""), *_EMPHASIS]))} AS c4 FROM c4)
+c0 AS (SELECT id, unnest([{repaired_sql("coalesce(body, '')")}]) AS c0 FROM t),
+c1 AS (SELECT *, regexp_matches(c0, {sql_text(tx.HTML_SHAPE)}) OR len(regexp_extract_all(c0, {sql_text(tx.HTML_TAG)})) >= 3 AS html FROM c0),
+c2 AS (SELECT *, unnest([CASE WHEN html THEN {clean_sql("c0")} ELSE c0 END]) AS c1 FROM c1),
+c3 AS (SELECT *, unnest([{trimmed_sql(replaced("c1", tx.CSS_STEPS))}]) AS c2 FROM c2),
+c4 AS (SELECT *, regexp_replace(c2, {_ARTIFACT}) AS c3 FROM c3),
+c5 AS (SELECT *, unnest([{trimmed_sql(replaced("c3", [(tx.QUOTE_MARK, ""), *_EMPHASIS]))}]) AS c4 FROM c4)
 SELECT id, CASE WHEN c4 = '' OR ((html OR c2 <> c1 OR c3 <> c2) AND len(list_filter(string_split_regex(c4, '\\s+'), lambda w: length(w) >= 2 AND regexp_matches(w, {sql_text(tx.READABLE_WORD)}))) < 4) THEN '{tx.PLACEHOLDER}' ELSE c4 END AS clean_text FROM c5""")
 def display_text(spark, d):
     """The whole cleaning job on pages and documents."""
