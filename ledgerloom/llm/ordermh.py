@@ -1,15 +1,21 @@
 """Order MinHash fingerprints (Marçais et al., 2019) with built-in functions only.
 
 The k-mers of a text (``k`` words in a row) are numbered by occurrence, so a repeated k-mer counts
-each time, and every numbered k-mer gets a place on a ring of hash values.  Each of ``positions``
-evenly spaced points of the ring is one permutation, namely the cyclic order from there on
-(circulant permutations as in C-MinHash, Li & Li, 2022): its ``l`` least k-mers are the next ones
-on the ring.  They are put in text order and hashed as a tuple.  Moving text changes that order,
-so signatures follow edit distance, not only the set of k-mers.
-
-All of it is array expressions inside one projection: two sorts of longs for each text and no
-shuffle.  ``Let`` steps bind an intermediate array once, where a plain column would be inlined
-into the lambdas that read it.
+each time.  A signature position is a permutation of the numbered k-mers: its ``l`` least ones are
+put in text order and hashed as a tuple.  Moving text changes that order, so signatures follow
+edit distance, not only the set of k-mers.
+
+Permutations come as ``RINGS`` independent hashes, each with evenly spaced points from which the
+hash values are read in cyclic order (circulant permutations, C-MinHash, Li & Li, 2022).  With eight
+points on each of eight rings the likeness has no more variance than with 64 independent hashes,
+for texts of five k-mers too, at an eighth of their cost.
+
+Words are runs without white space.  Characters of scripts that set no spaces are words of their
+own, and runs of over ``LONG`` characters are cut after vowels and some digits, that is by content,
+so that an edit changes few words there as well.
+
+All of it is array expressions: a shuffle is needed for the next document only.  ``_once`` binds an
+intermediate array as a column, where a plain expression would be inlined wherever it is read.
 """
 
 from __future__ import annotations
@@ -20,10 +26,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-POSITIONS, TUPLE, WORDS = 64, 2, 2
+RINGS, POINTS, TUPLE, WORDS = 8, 8, 2, 2
+POSITIONS = RINGS * POINTS
+LONG = 16
 #: A packed long holds 38 bits of hash and 26 bits of word position.
 PLACE_BITS = 26
 PLACE = (1 << PLACE_BITS) - 1
+_WHITE = r"[\x20\x09-\x0D]"
+_ALONE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+_UNSPACED = rf"{_ALONE}|[^\x20\x09-\x0D]{{{LONG + 1}}}"
+_CUTS = rf"{_WHITE}+|(?<={_ALONE})(?=[^\x20\x09-\x0D])|(?<=[^\x20\x09-\x0D])(?={_ALONE})|(?<=[aeiouAEIOU05])(?<=[^\x20\x09-\x0D]{{{LONG}}})(?=[^\x20\x09-\x0D])"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -66,38 +78,60 @@ def _numbered(kmers: Column) -> Column:
     return let(starts, number)
 
 
-def signature(text: Column, positions: int = POSITIONS, take: int = TUPLE, words: int = WORDS) -> Column:
-    """The signature of a text: ``positions`` 16-bit integers; empty for a text without words."""
-    points = [((j << 64) // positions - (1 << 63)) & ~PLACE | PLACE for j in range(positions)]
-    points = [p if p < 1 << 63 else p - (1 << 64) for p in points]
-    marks = F.array(*[F.lit(p).cast("long") for p in points])
+def _words(text: Column) -> Column:
+    split = F.when(text.rlike(_UNSPACED), F.split(text, _CUTS)).otherwise(F.split(text, rf"{_WHITE}+"))
+    return F.array_remove(split, "")
+
+
+def _kmers(w: Column, words: int) -> Column:
+    """Packed k-mers sorted by hash; a text of fewer words is one."""
+    count = F.when(F.size(w) > 0, F.greatest(F.lit(1), F.size(w) - (words - 1))).otherwise(0)
+    return F.sort_array(F.transform(_upto(count), lambda i: _packed(F.xxhash64(*[_at(w, i + k) for k in range(words)]), F.least(i, F.lit(PLACE - 1).cast("long")))))
+
+
+def _in_text_order(numbered: Column) -> Column:
+    """Hashes of numbered k-mers in the order of their places."""
+    low = 63 - PLACE_BITS  # bits of the hash that stay below the place
+    mask = F.lit((1 << low) - 1)
+    by_place = F.sort_array(F.transform(numbered, lambda v: F.shiftleft(v.bitwiseAND(F.lit(PLACE)), low).bitwiseOR(_hash_of(v).bitwiseAND(mask))))
+    return F.transform(by_place, lambda v: v.bitwiseAND(mask))
+
 
-    def kmers(w: Column) -> Column:
-        count = F.when(F.size(w) > 0, F.greatest(F.lit(1), F.size(w) - (words - 1))).otherwise(0)
-        return F.sort_array(F.transform(_upto(count), lambda i: _packed(F.xxhash64(*[_at(w, i + k) for k in range(words)]), F.least(i, F.lit(PLACE - 1).cast("long")))))
+def _point(j: int, points: int) -> int:
+    """Where the j-th reading of a ring starts: behind all hashes up to there."""
+    p = ((j << 64) // points - (1 << 63)) & ~PLACE | PLACE
+    return p if p < 1 << 63 else p - (1 << 64)
 
-    def tuples(ring: Column) -> Column:
-        n = F.size(ring)
 
-        def cut(merged: Column) -> Column:
-            # The j-th point stands behind j points and all k-mers below it.
-            found = F.filter(_upto(F.size(merged)), lambda t: _at(merged, t).bitwiseAND(F.lit(PLACE)) == PLACE)
+def _ring(hashes: Column, number: int, points: int) -> Column:
+    """One ring: hashes of its own for the k-mers, with their ranks in the text, and the points, in order."""
+    own = F.transform(hashes, lambda h, i: _packed(F.xxhash64(h, F.lit(number)), i.cast("long")))
+    return F.sort_array(F.concat(own, F.array(*[F.lit(_point(j, points)).cast("long") for j in range(points)])))
 
-            def one(t: Column, j: Column) -> Column:
-                members = [_at(ring, F.pmod(t - j + o, n)) for o in range(take)]
-                ordered = F.array_sort(F.array(*members), lambda a, b: (a.bitwiseAND(F.lit(PLACE)) - b.bitwiseAND(F.lit(PLACE))).cast("int"))
-                if take == 2:
-                    a, b = members
-                    early = a.bitwiseAND(F.lit(PLACE)) <= b.bitwiseAND(F.lit(PLACE))
-                    return F.xxhash64(_hash_of(F.when(early, a).otherwise(b)), _hash_of(F.when(early, b).otherwise(a))).bitwiseAND(F.lit(0xFFFF)).cast("int")
-                return F.xxhash64(F.transform(ordered, _hash_of)).bitwiseAND(F.lit(0xFFFF)).cast("int")
 
-            return F.transform(found, one)
+def _reading(ring: Column, j: int, points: int, take: int) -> Column:
+    """The tuple of the j-th permutation of a ring: its next ``take`` k-mers, in text order, as 16 bits."""
+    around = F.concat(ring, F.slice(ring, 1, points + take))
+    ahead = F.slice(around, F.array_position(ring, F.lit(_point(j, points)).cast("long")).cast("int") + 1, points + take)
+    rank = lambda v: v.bitwiseAND(F.lit(PLACE))
+    members = F.filter(ahead, lambda v: rank(v) != PLACE)
+    if take == 2:
+        pair = lambda m: F.struct(F.get(m, F.lit(0)).alias("a"), F.coalesce(F.get(m, F.lit(1)), F.get(m, F.lit(0))).alias("b"))
+        joined = lambda x: F.when(rank(x["a"]) <= rank(x["b"]), F.xxhash64(_hash_of(x["a"]), _hash_of(x["b"]))).otherwise(F.xxhash64(_hash_of(x["b"]), _hash_of(x["a"])))
+        return let(pair(members), lambda x: joined(x).bitwiseAND(F.lit(0xFFFF)).cast("int"))
+    ordered = F.array_sort(F.slice(members, 1, take), lambda a, b: (rank(a) - rank(b)).cast("int"))
+    return F.xxhash64(F.transform(ordered, _hash_of)).bitwiseAND(F.lit(0xFFFF)).cast("int")
 
-        return F.when(n > 0, let(F.sort_array(F.concat(ring, marks)), cut)).otherwise(F.array().cast("array<int>"))
 
-    split = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return let(split, lambda w: let(kmers(w), lambda s: let(F.sort_array(_numbered(s)), tuples)))
+def with_signature(df: DataFrame, text: str, name: str, rings: int = RINGS, points: int = POINTS, take: int = TUPLE, words: int = WORDS) -> DataFrame:
+    """``df`` with the signatures of its texts: ``rings`` x ``points`` 16-bit integers; empty for a text without words."""
+    keep = [F.col(f"`{c}`") for c in df.columns]
+    step = _once(df, "_w", _words(F.col(f"`{text}`")))
+    step = _once(step.select(*keep, _kmers(F.col("_w"), words).alias("_k")), "_n", _numbered(F.col("_k"))).select(*keep, "_n")
+    step = _once(step, "_t", _in_text_order(F.col("_n"))).select(*keep, "_t")
+    step = _once(step, "_r", F.array(*[_ring(F.col("_t"), r, points) for r in range(rings)])).select(*keep, "_t", "_r")
+    read = F.transform("_r", lambda ring: F.array(*[_reading(ring, j, points, take) for j in range(points)]))
+    return step.select(*keep, F.when(F.size("_t") > 0, F.flatten(read)).otherwise(F.array().cast("array<int>")).alias(name))
 
 
 def fingerprint(sig: Column) -> Column:
@@ -119,35 +153,34 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 def with_next(docs: DataFrame, order: str, columns: list[str], tie: str, keys: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
     """Each row with ``columns`` of the next row by ``order`` as ``next_<column>``; the last one meets the first.
 
-    Rows are dealt to ranges of ``order`` whose bounds come from approximate quantiles.  The first
+    Rows are dealt to ranges of ``order`` whose bounds Spark's range partitioning finds.  The first
     row of each range is sent to the range before as well, so each range finds all its next rows
     by itself: one shuffle, and no task sees more than its range.  Nulls come first.  ``keys``
     has the same ``order`` values where ``docs`` is costly to make; the ranges are found in it.
     """
     keys = docs.select(order) if keys is None else keys
     spark = docs.sparkSession
-    buckets = buckets or max(2, docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    error = min(0.001, 0.2 / buckets)
-    bounds = sorted(set(keys.where(F.col(order).isNotNull()).stat.approxQuantile(order, [i / buckets for i in range(1, buckets)], error)))
-    bounds = [int(b) for b in bounds]
+    buckets = buckets or 4 * max(2, docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt_keys = keys.where(F.col(order).isNotNull()).repartitionByRange(buckets, order).groupBy(F.spark_partition_id().alias("p")).agg(F.min(order).alias("least"))
+    bounds = sorted(r["least"] for r in dealt_keys.collect())[1:]  # one row for each range
+    table = spark.createDataFrame([(bounds,)], "_bounds array<long>")
+    steps = max(1, math.ceil(math.log2(len(bounds) + 1)))
 
-    def range_of(value: Column) -> Column:
-        if not bounds:
-            return F.lit(0)
-        table = F.array(*[F.lit(b).cast("long") for b in bounds])
-        steps = F.array(*[F.lit(i) for i in range(max(1, math.ceil(math.log2(len(bounds) + 1))))])
+    def range_of(df: DataFrame) -> DataFrame:
+        """``df`` with the range of each row, by halving: the bounds travel as one row."""
 
         def halve(s: Column, _: Column) -> Column:
             middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-            above = F.get(table, middle) <= value
+            above = F.get(F.col("_bounds"), middle) <= F.col(order)
             open_ = s["lo"] < s["hi"]
             return F.struct(F.when(open_ & above, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~above, middle).otherwise(s["hi"]).alias("hi"))
 
-        found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), halve, lambda s: s["lo"])
-        return F.coalesce(F.when(value.isNotNull(), found), F.lit(0))
+        start = F.struct(F.lit(0).alias("lo"), F.size("_bounds").alias("hi"))
+        found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: s["lo"])
+        return df.crossJoin(F.broadcast(table)).withColumn("_range", F.when(F.col(order).isNull(), 0).otherwise(found)).drop("_bounds")
 
-    placed = docs.withColumn("_range", range_of(F.col(order)))
-    firsts = keys.withColumn("_range", range_of(F.col(order))).groupBy("_range").agg(F.max(F.col(order).isNull()).alias("null"), F.min(order).alias("least")).orderBy("_range").collect()
+    placed = range_of(docs)
+    firsts = range_of(keys).groupBy("_range").agg(F.max(F.col(order).isNull()).alias("null"), F.min(order).alias("least")).orderBy("_range").collect()
     # One row for each range at most: the order value that opens a range, and the range before it.
     ghosts = [(None if r["null"] else r["least"], firsts[i - 1]["_range"]) for i, r in enumerate(firsts)]
     small = F.broadcast(spark.createDataFrame(ghosts, "_least long, _before int"))
@@ -159,15 +192,16 @@ def with_next(docs: DataFrame, order: str, columns: list[str], tie: str, keys: D
     return ahead.where("_ghost = 0").drop("_range", "_ghost")
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", positions: int = POSITIONS, take: int = TUPLE, words: int = WORDS) -> DataFrame:
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rings: int = RINGS, points: int = POINTS, take: int = TUPLE, words: int = WORDS) -> DataFrame:
     """Each text's fingerprint: doc_id, fingerprint (hex), signature.
 
     Null and empty texts, and those of white space only, have an empty fingerprint.  A text of
     fewer words than ``words`` is one k-mer.  Positions beyond 67 million words count as the last
-    one.  One row for each input row; other columns are not read.
+    one.  One row for each input row, repeated and null doc_ids included; equal texts have equal
+    fingerprints; an empty table gives no rows; other columns are not read.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = _once(rows, "signature", signature(F.col("_text"), positions, take, words))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+    rows = with_signature(rows, "_text", "signature", rings, points, take, words)
     return rows.select("doc_id", fingerprint(F.col("signature")).alias("fingerprint"), "signature")
 
 
@@ -176,16 +210,18 @@ def edited_likeness(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     The edit replaces the last quarter of the code points by as many from the start of the next
     document's text.  Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next.  Rows of equal doc_id follow each other in the order of their texts.
+    near_edited, near_next.  Rows of equal doc_id follow each other in the order of their texts,
+    null ids first.  Null texts count as empty; an empty table gives no rows; one document is its
+    own next one.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = _once(rows, "sig", signature(F.col("text")))
-    rows = with_next(rows, "doc_id", ["text", "sig"], "text", docs.select(F.col(doc_id).cast("long").alias("doc_id")))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rows = with_signature(rows, "text", "sig")
+    rows = with_next(rows, "doc_id", ["text", "sig"], "text", docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id")))
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - quarter), F.substring(F.col("next_text"), F.lit(1), quarter))
     rows = _once(rows, "edited", edited).drop("text", "next_text")
-    rows = _once(rows, "edited_sig", signature(F.col("edited")))
+    rows = with_signature(rows, "edited", "edited_sig")
     return rows.select(
         "doc_id",
         "n_chars",
