@@ -2,11 +2,12 @@
 
 A file holds the ids of whole documents in order.  Every id takes ``bits`` bits, the fewest that
 hold the vocabulary, low bit first.  Ids are packed in blocks of ``BLOCK_IDS``; the block table
-gives each block's byte offset, so any range of ids is found and unpacked with numpy alone:
+gives each block's byte offset, so any range of ids is found and unpacked with numpy alone.  Blocks
+are written as they fill, so the tables stand at the end:
 
+    packed blocks | block offsets u64 x (blocks + 1) | document ends u64 x documents
+    doc_ids i64 x documents | null marks u8 x documents
     magic "LLBP" | bits u32 | ids per block u32 | blocks u32 | documents u64 | ids u64
-    block offsets u64 x (blocks + 1) | document ends u64 x documents | doc_ids i64 x documents
-    null marks u8 x documents | packed blocks
 
 Files are written by the tasks through ``pyarrow.fs`` into the shared folder, one for each range
 of doc_ids, under a name that is unique to the attempt; the manifest row that a task returns is
@@ -15,6 +16,7 @@ what makes a file count, so a lost or repeated attempt leaves nothing that is re
 
 from __future__ import annotations
 
+import contextlib
 import struct
 import uuid
 import zlib
@@ -31,6 +33,7 @@ from .common import caches, lean_worker, shared_path
 
 MAGIC, HEAD = b"LLBP", struct.Struct("<4sIIIQQ")
 BLOCK_IDS = 1 << 14
+PART_BYTES = 32 << 20
 MANIFEST = "part int, path string, first_id long, n_docs long, n_ids long, bytes long"
 
 
@@ -60,70 +63,84 @@ def unpack(data: bytes, bits: int, count: int) -> np.ndarray:
 
 
 class PackedWriter:
-    """Packs ids as they come; only full blocks leave the buffer, so memory is that of the packed ids."""
+    """Packs ids as they come and writes every block that is full; what it holds is one block and the tables."""
 
-    def __init__(self, bits: int, block: int = BLOCK_IDS):
-        self.bits, self.block = bits, block
-        self.blocks: list[bytes] = []
+    def __init__(self, stream, bits: int, block: int = BLOCK_IDS):
+        self.stream, self.bits, self.block = stream, bits, block
         self.rest: list[np.ndarray] = []
-        self.held = 0
-        self.ends: list[int] = []
-        self.doc_ids: list[int | None] = []
-        self.total = 0
+        self.held = self.total = 0
+        self.offsets, self.ends, self.doc_ids, self.null = array("Q", [0]), array("Q"), array("q"), bytearray()
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.total += len(ids)
         self.ends.append(self.total)
-        self.doc_ids.append(doc_id)
+        self.doc_ids.append(doc_id or 0)
+        self.null.append(doc_id is None)
         self.rest.append(ids)
         self.held += len(ids)
         if self.held >= self.block:
             ids = np.concatenate(self.rest)
             full = len(ids) // self.block * self.block
             for i in range(0, full, self.block):
-                self.blocks.append(pack(ids[i : i + self.block], self.bits))
+                self._put(ids[i : i + self.block])
             self.rest, self.held = [ids[full:]], len(ids) - full
 
-    def write(self, stream) -> int:
-        blocks = [*self.blocks, pack(np.concatenate(self.rest), self.bits)] if self.held else self.blocks
-        offsets = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype("<u8")
-        head = HEAD.pack(MAGIC, self.bits, self.block, len(blocks), len(self.ends), self.total)
-        parts = [head, offsets.tobytes(), np.array(self.ends, "<u8").tobytes(), np.array([d or 0 for d in self.doc_ids], "<i8").tobytes(), np.array([d is None for d in self.doc_ids], np.uint8).tobytes(), *blocks]
+    def _put(self, ids: np.ndarray) -> None:
+        data = pack(ids, self.bits)
+        self.stream.write(data)
+        self.offsets.append(self.offsets[-1] + len(data))
+
+    def close(self) -> int:
+        """Write what is left and the tables; returns the file's size."""
+        if self.held:
+            self._put(np.concatenate(self.rest))
+        head = HEAD.pack(MAGIC, self.bits, self.block, len(self.offsets) - 1, len(self.ends), self.total)
+        parts = [np.array(self.offsets, "<u8").tobytes(), np.array(self.ends, "<u8").tobytes(), np.array(self.doc_ids, "<i8").tobytes(), bytes(self.null), head]
         for part in parts:
-            stream.write(part)
-        return sum(map(len, parts))
+            self.stream.write(part)
+        return self.offsets[-1] + sum(map(len, parts))
 
 
 class PackedReader:
-    """Random access to the documents of a file."""
+    """Random access to the documents of a file, and one pass over them."""
 
     def __init__(self, stream):
         self.stream = stream
+        size = stream.seek(0, 2)
+        size = stream.tell() if size is None else size
+        stream.seek(size - HEAD.size)
         magic, self.bits, self.block, blocks, docs, self.total = HEAD.unpack(stream.read(HEAD.size))
         if magic != MAGIC:
             raise ValueError("not a packed token file")
+        stream.seek(size - HEAD.size - 17 * docs - 8 * (blocks + 1))
         read = lambda kind, n: np.frombuffer(stream.read(n * np.dtype(kind).itemsize), kind)
-        self.offsets, self.ends, ids, null = read("<u8", blocks + 1), read("<u8", docs), read("<i8", docs), read(np.uint8, docs)
-        self.doc_ids = [None if z else int(i) for i, z in zip(ids, null)]
-        self.start = stream.tell()
+        self.offsets, self.ends, self._ids, self._null = read("<u8", blocks + 1), read("<u8", docs), read("<i8", docs), read(np.uint8, docs)
+
+    def _block(self, b: int) -> np.ndarray:
+        data = self.stream.read(int(self.offsets[b + 1] - self.offsets[b]))
+        return unpack(data, self.bits, min(self.block, self.total - b * self.block))
 
     def ids(self, first: int, last: int) -> np.ndarray:
         """The ids numbered from ``first`` to before ``last``."""
         if last <= first:
             return np.zeros(0, np.uint32)
         b0, b1 = first // self.block, (last - 1) // self.block
-        self.stream.seek(self.start + int(self.offsets[b0]))
-        out = []
-        for b in range(b0, b1 + 1):
-            data = self.stream.read(int(self.offsets[b + 1] - self.offsets[b]))
-            out.append(unpack(data, self.bits, min(self.block, self.total - b * self.block)))
-        return np.concatenate(out)[first - b0 * self.block : last - b0 * self.block]
+        self.stream.seek(int(self.offsets[b0]))
+        return np.concatenate([self._block(b) for b in range(b0, b1 + 1)])[first - b0 * self.block : last - b0 * self.block]
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """(doc_id, number of its first id, ids) of each document in order."""
-        first = 0
-        for doc, end in zip(self.doc_ids, self.ends.tolist()):
-            yield doc, first, self.ids(first, end)
+        """(doc_id, number of its first id, ids) of each document in order; each block is read once."""
+        self.stream.seek(0)
+        held, held_from, b, first = np.zeros(0, np.uint32), 0, 0, 0
+        for doc, null, end in zip(self._ids.tolist(), self._null.tolist(), self.ends.tolist()):
+            if held_from + len(held) < end:
+                parts = [held[first - held_from :]]
+                held_from, upto = first, held_from + len(held)
+                while upto < end:
+                    parts.append(self._block(b))
+                    upto, b = upto + len(parts[-1]), b + 1
+                held = np.concatenate(parts)
+            yield None if null else doc, first, held[first - held_from : end - held_from]
             first = end
 
 
@@ -194,36 +211,49 @@ def _open(path: str):
     return system, inner
 
 
-def write_packed(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, vocabulary: int = 49_408, parts: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def vocabulary_size(tokenizer: str) -> int:
+    """One more than the largest id of a tokenizer file, added tokens included."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()) + 1
+
+
+def write_packed(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, vocabulary: int | None = None, parts: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode all texts and write them in ascending doc_id order; returns the manifest of the files.
 
-    Null doc_ids come first, equal ones in the order of their texts; null texts hold only the end
-    id.  An empty table writes no file.  ``folder`` is a URI that all executors reach.
+    Null doc_ids come first, equal ones by a hash of their texts, so that one id may fill several
+    files; null texts hold only the end id.  A file holds about ``PART_BYTES`` of text.  An empty
+    table writes no file.  ``folder`` is a URI that all executors reach; ``vocabulary`` is the
+    tokenizer's own where it is not given.
     """
-    bits = bits_for(vocabulary)
-    spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").withColumn("part", F.spark_partition_id())
+    bits = bits_for(max(vocabulary or vocabulary_size(tokenizer), end_id + 1))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{text}`").alias("mark"))
+    if parts is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(1, -(-size // PART_BYTES))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("mark")]
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def work(batches: Iterable[pa.RecordBatch]):
         lean_worker("packed")
-        encoder, writer, part = _encoder(tokenizer), PackedWriter(bits), None
+        encoder, writer, part, first = _encoder(tokenizer), None, None, None
         end = np.array([end_id], np.uint32)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                piece = batch.slice(i, 500)
-                part = piece.column(2)[0].as_py()
-                texts = [x or "" for x in piece.column(1).to_pylist()]
-                for doc, ids in zip(piece.column(0).to_pylist(), encoder.encode(texts)):
-                    writer.add(doc, np.concatenate([ids, end]))
-        if part is not None:
-            path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.llbp"
-            system, inner = _open(path)
-            system.create_dir(inner.rpartition("/")[0], recursive=True)
-            with system.open_output_stream(inner) as stream:
-                size = writer.write(stream)
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "first_id": pa.array([writer.doc_ids[0]], pa.int64()), "n_docs": [len(writer.ends)], "n_ids": [writer.total], "bytes": [size]})
+        with contextlib.ExitStack() as files:
+            for batch in batches:
+                for i in range(0, batch.num_rows, 500):
+                    piece = batch.slice(i, 500)
+                    ids = piece.column(0).to_pylist()
+                    if writer is None:
+                        part, first = piece.column(2)[0].as_py(), ids[0]
+                        path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.llbp"
+                        system, inner = _open(path)
+                        system.create_dir(inner.rpartition("/")[0], recursive=True)
+                        writer = PackedWriter(files.enter_context(system.open_output_stream(inner)), bits)
+                    for doc, tokens in zip(ids, encoder.encode([x or "" for x in piece.column(1).to_pylist()])):
+                        writer.add(doc, np.concatenate([tokens, end]))
+            size = writer.close() if writer else 0
+        if writer:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "first_id": pa.array([first], pa.int64()), "n_docs": [len(writer.ends)], "n_ids": [writer.total], "bytes": [size]})
 
     return ordered.mapInArrow(work, MANIFEST)
 
@@ -243,13 +273,20 @@ def read_packed(manifest: DataFrame) -> DataFrame:
                     out: list[tuple] = []
                     for doc, first, ids in PackedReader(stream).documents():
                         out.append((doc, base + first, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                    cols = list(zip(*out))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                        if len(out) == 10_000:
+                            yield _rows(out)
+                            out = []
+                    if out:
+                        yield _rows(out)
 
     return files.select("path", "base").mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def pack_and_read(docs: DataFrame, tokenizer: str, end_id: int = 2, vocabulary: int = 49_408) -> DataFrame:
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
+def pack_and_read(docs: DataFrame, tokenizer: str, end_id: int = 2, vocabulary: int | None = None) -> DataFrame:
     """Write all documents into the shared folder and read the files back."""
     spark: SparkSession = docs.sparkSession
     manifest = write_packed(docs, tokenizer, shared_path(spark, "packed"), end_id, vocabulary)
