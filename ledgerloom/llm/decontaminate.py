@@ -5,8 +5,8 @@ through it.  For every token it gives the longest stretch of item words that end
 that reaches the window, the covered words are hit, and the state tells which items hold it.
 
 The items go into automata of at most ``BLOCK_WORDS`` words each.  A task keeps one of them
-built at a time and runs its batch of documents through each in turn, so that a large set of
-items costs time, not memory.  Items of more than ``MAX_ITEM_BYTES`` in all are broadcast slice by
+built at a time and runs its whole batch of documents through each in turn, so that a large set of
+items costs time, in proportion to its blocks, not memory.  Items of more than ``MAX_ITEM_BYTES`` in all are broadcast slice by
 slice: the documents stream through the blocks of each slice, only hits are written, and the
 spans of all slices are merged by document.  Results are the same at every size.
 """
@@ -150,14 +150,17 @@ class _Blocks:
             yield self.built
 
 
-def item_blocks(rows: list[tuple[int, str | None]], block_words: int = BLOCK_WORDS) -> list[list[tuple[int, list[bytes]]]]:
+def item_blocks(rows: list[tuple[int, str | None]], block_words: int | None = None) -> list[list[tuple[int, list[bytes]]]]:
+    """Items with words in blocks of at most ``block_words`` (``BLOCK_WORDS``) words; a longer item is a block by itself."""
+    most = BLOCK_WORDS if block_words is None else block_words
     blocks, words = [[]], 0
     for item, text in rows:
         w = normal_words((text or "").encode())
         if not w:
             continue
-        if words + len(w) > block_words and blocks[-1]:
-            blocks, words = [*blocks, []], 0
+        if words + len(w) > most and blocks[-1]:
+            blocks.append([])
+            words = 0
         blocks[-1].append((item, w))
         words += len(w)
     return [b for b in blocks if b]
@@ -168,39 +171,44 @@ def _hits(batch_text: pa.Array, automata: _Blocks):
     buf, offs = text_bytes(batch_text)
     low = np.arange(256, dtype=np.uint8)
     low[65:91] += 32
-    out = []
-    for r0, r1 in row_blocks(offs):
-        part = buf[offs[r0] : offs[r1]]
-        local = offs[r0 : r1 + 1] - offs[r0]
-        starts, ends, rows, hashes = word_spans(part, local, ALNUM)
-        first = np.searchsorted(rows, np.arange(r1 - r0 + 1))
-        text = low[part].tobytes()
-        spans: dict[int, list] = {}
-        items: dict[int, set] = {}
-        for auto in automata:
-            known = _word_hashes(auto)
-            at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-            inside = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
+    spans: dict[int, list] = {}
+    items: dict[int, set] = {}
+    slices = list(row_blocks(offs))
+    for auto in automata:  # each is built once for the batch
+        known = _word_hashes(auto)
+        for r0, r1 in slices:
+            part = buf[offs[r0] : offs[r1]]
+            starts, ends, rows, hashes = word_spans(part, offs[r0 : r1 + 1] - offs[r0], ALNUM)
+            if not len(known) or not len(hashes):
+                continue
+            first = np.searchsorted(rows, np.arange(r1 - r0 + 1))
+            inside = known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
             # Only runs of item words that are long enough for a window pass through the automaton.
             edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]])))
             cuts = np.unique(np.concatenate([edge, first[(first > 0) & (first < len(inside))]]))
-            cuts = cuts[cuts <= len(inside)]
+            text = None
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if b - a >= auto.shortest and inside[a]:
+                    text = low[part].tobytes() if text is None else text
                     row = int(rows[a])
                     words = [text[s:e] for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist())]
                     got: set[int] = set()
-                    auto.scan(words, int(a), spans.setdefault(row, []), got)
-                    items.setdefault(row, set()).update(auto.ids[i] for i in got)
+                    auto.scan(words, int(a - first[row]), spans.setdefault(r0 + row, []), got)
+                    items.setdefault(r0 + row, set()).update(auto.ids[i] for i in got)
+    out = []
+    for r0, r1 in slices:
+        local = offs[r0 : r1 + 1] - offs[r0]
+        starts, ends, rows, _ = word_spans(buf[offs[r0] : offs[r1]], local, ALNUM)
+        first = np.searchsorted(rows, np.arange(r1 - r0 + 1))
         for row in range(r1 - r0):
             merged: list[list[int]] = []
-            for a, b in sorted(spans.get(row, ())):
+            for a, b in sorted(spans.get(r0 + row, ())):
                 if merged and a <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], b)
                 else:
                     merged.append([a, b])
             base = int(first[row])
-            out.append((int(first[row + 1]) - base, [[a - base, b - base] for a, b in merged], [(int(starts[a]) - int(local[row]), int(ends[b - 1]) - int(local[row])) for a, b in merged], items.get(row, set())))
+            out.append((int(first[row + 1]) - base, merged, [(int(starts[base + a]) - int(local[row]), int(ends[base + b - 1]) - int(local[row])) for a, b in merged], items.get(r0 + row, set())))
     return out
 
 
@@ -347,6 +355,8 @@ def remove_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW
 
     All columns stay, with ``text`` cut (and ``n_chars`` recounted where it exists).  Null texts
     stay as they are.  Words that a cut separated are never joined: one space takes its place.
+    Repeated rows and null ids are rows like others; no items change nothing; an empty table gives
+    no rows; texts may be of any length.
     """
     names, schema = docs.columns, docs.schema
     at = names.index(text)
