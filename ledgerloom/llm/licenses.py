@@ -53,7 +53,27 @@ SENTENCES: list[tuple[str, str]] = [
     ("bsd-binary", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("bsd-endorse", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("isc-permit", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("bsd-endorse", "neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-endorse", "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission"),
     ("mpl2-subject", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("apache2-text", "apache license version 2 0 january 2004"),
+    ("gpl3-text", "gnu general public license version 3 29 june 2007"),
+    ("gpl2-text", "gnu general public license version 2 june 1991"),
+    ("lgpl3-text", "gnu lesser general public license version 3 29 june 2007"),
+    ("agpl3-text", "gnu affero general public license version 3 19 november 2007"),
+    ("mpl2-text", "mozilla public license version 2 0"),
+    ("epl2-text", "eclipse public license v 2 0"),
+    ("gpl3-only", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3 of the license"),
+    ("gpl2-only", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license"),
+    ("agpl3-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl21-free", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lgpl3-free", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl-hope", "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("boost-grant", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"),
+    ("zlib-grant", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("zlib-origin", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("wtfpl-terms", "you just do what the fuck you want to"),
+    ("cc0-text", "creative commons legal code cc0 1 0 universal"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("reserved", "all rights reserved"),
 ]
@@ -82,11 +102,37 @@ RULES: list[tuple[str, list[str]]] = [
     ("BSD-3-Clause", ["bsd-permit", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("ISC", ["isc-permit"]),
     ("MPL-2.0", ["mpl2-subject"]),
+    ("MPL-2.0", ["mpl2-text"]),
+    ("Apache-2.0", ["apache2-text"]),
+    ("Apache-2.0", ["apache2-copy", "apache2-as-is", "apache2-limits"]),
+    ("GPL-3.0-only", ["gpl3-text"]),
+    ("GPL-2.0-only", ["gpl2-text"]),
+    ("GPL-3.0-only", ["gpl3-only", "gpl-hope"]),
+    ("GPL-2.0-only", ["gpl2-only", "gpl-hope"]),
+    ("LGPL-3.0-only", ["lgpl3-text"]),
+    ("AGPL-3.0-only", ["agpl3-text"]),
+    ("AGPL-3.0-or-later", ["agpl3-free", "gpl-hope"]),
+    ("LGPL-2.1-or-later", ["lgpl21-free", "lgpl-hope"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free", "lgpl-hope"]),
+    ("EPL-2.0", ["epl2-text"]),
+    ("BSL-1.0", ["boost-grant"]),
+    ("Zlib", ["zlib-grant", "zlib-origin"]),
+    ("WTFPL", ["wtfpl-terms"]),
+    ("CC0-1.0", ["cc0-text"]),
     ("Unlicense", ["unlicense"]),
 ]
 
+#: A license is not named beside another one whose text holds its own, or whose notice says more.
+WIDER: dict[str, list[str]] = {
+    "BSD-2-Clause": ["BSD-3-Clause"],
+    "GPL-2.0-only": ["GPL-2.0-or-later"],
+    "GPL-3.0-only": ["GPL-3.0-or-later"],
+    "LGPL-3.0-only": ["LGPL-3.0-or-later"],
+    "AGPL-3.0-only": ["AGPL-3.0-or-later"],
+}
+
 #: Identifiers of titles: too short to mean anything inside a sentence, they fill a line or a sentence.
-TITLES = {"mit-title"}
+TITLES = {"mit-title", "mpl2-text", "epl2-text"}
 
 _LINE_END = r"(?>\r\n?|\n)"
 #: Comment marks that are words; those of other signs are no words anyway.
@@ -104,7 +150,7 @@ def trigger_pattern(sentences: list[tuple[str, str]] = SENTENCES) -> str:
         counts: dict[str, int] = {}
         for s in left:
             for w in set(s):
-                if len(w) >= 6:
+                if len(w) >= min(6, max(map(len, s))):  # of short words the longest
                     counts[w] = counts.get(w, 0) + 1
         best = max(sorted(counts), key=counts.get)
         words.append(best)
@@ -156,7 +202,9 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     line = F.concat(F.lit(","), F.array_join("_ids", ","), F.lit(","))
     wanted = [F.when(line.rlike("," + ",(?:[^,]+,)*".join(steps) + ","), F.lit(name)) for name, steps in rules]
     names = F.array_sort(F.array_distinct(F.filter(F.array(*wanted), lambda k: k.isNotNull())))
-    found = found.withColumn("_names", F.when(F.size("_ids") > 0, names).otherwise(empty))
+    found = found.withColumn("_all", F.when(F.size("_ids") > 0, names).otherwise(empty))
+    narrow = [F.when(F.arrays_overlap("_all", F.array(*map(F.lit, others))), F.lit(name)) for name, others in WIDER.items()]
+    found = found.withColumn("_names", F.array_except("_all", F.array(*narrow)))
     return found.select(
         "doc_id",
         F.array_join("_ids", ",").alias("sentence_ids"),
@@ -171,6 +219,7 @@ def duckdb_sql() -> str:
     known = dict((s, k) for k, s in SENTENCES)
     pairs = ", ".join(f"('{s}', '{k}')" for s, k in known.items())
     checks = ", ".join(f"CASE WHEN regexp_matches(line, '{',' + ',(?:[^,]+,)*'.join(steps) + ','}') THEN '{name}' END" for name, steps in RULES)
+    narrow = ", ".join(f"CASE WHEN list_has_any(all_names, [{', '.join(repr(o) for o in others)}]) THEN '{name}' END" for name, others in WIDER.items())
     return rf"""
 WITH known(sentence, id) AS (VALUES {pairs}),
 parts AS (
@@ -181,6 +230,7 @@ met AS (SELECT p.doc_id, string_agg(k.id, ',' ORDER BY p.i) AS ids, count(*) AS
         FROM parts p JOIN known k ON trim(regexp_replace(lower(p.s), '[^a-z0-9]+', ' ', 'g')) = k.sentence GROUP BY p.doc_id),
 lines AS (SELECT d.doc_id, coalesce(m.ids, '') AS ids, coalesce(m.n, 0) AS n, ',' || coalesce(m.ids, '') || ',' AS line
           FROM documents d LEFT JOIN met m ON d.doc_id = m.doc_id),
-named AS (SELECT *, list_sort(list_distinct(list_filter([{checks}], lambda x: x IS NOT NULL))) AS names FROM lines)
+every AS (SELECT *, list_sort(list_distinct(list_filter([{checks}], lambda x: x IS NOT NULL))) AS all_names FROM lines),
+named AS (SELECT *, list_filter(all_names, lambda x: NOT list_contains([{narrow}], x)) AS names FROM every)
 SELECT doc_id, ids AS sentence_ids, array_to_string(names, ',') AS licenses, n AS n_sentences, len(names) AS n_licenses FROM named
 """

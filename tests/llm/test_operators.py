@@ -145,16 +145,48 @@ def test_fingerprints_by_definition(spark):
         counts[i, h] = counts.get((i, h), 0) + 1
         numbered.append((i, p, h, counts[i, h] - 1))
     rows = spark.createDataFrame(numbered, "i long, p long, h long, o long").select("i", "p", F.xxhash64("h", "o").alias("v")).collect()
+    order = {i: [r["v"] >> 26 & (1 << 37) - 1 for r in sorted((r for r in rows if r["i"] == i), key=lambda r: r["p"])] for i in range(len(texts))}
+    salted = spark.createDataFrame([(i, k, h, r) for i, hs in order.items() for k, h in enumerate(hs) for r in range(8)], "i long, k long, h long, r int").select("i", "k", "r", F.xxhash64("h", "r").alias("v")).collect()
+    pairs = []
     for i in range(len(texts)):
-        ring = sorted(((r["v"] >> 26), r["p"]) for r in rows if r["i"] == i)
-        pairs = []
-        for j in range(64):
-            point = ((j << 64) // 64 - (1 << 63)) >> 26
-            s = sum(1 for v, _ in ring if v < point or v == point)
-            two = sorted((ring[(s + k) % len(ring)] for k in range(2)), key=lambda x: x[1])
-            pairs.append((two[0][0], two[1][0]))
-        want = [r[0] & 0xFFFF for r in spark.createDataFrame([(k, *x) for k, x in enumerate(pairs)], "k int, a long, b long").orderBy("k").select(F.xxhash64("a", "b")).collect()]
-        assert got[i] == want, texts[i][:40]
+        for r in range(8):
+            ring = sorted((x["v"] >> 26, x["k"]) for x in salted if x["i"] == i and x["r"] == r)
+            for j in range(8):
+                point = ((j << 64) // 8 - (1 << 63)) >> 26
+                s = sum(1 for v, _ in ring if v <= point)
+                two = sorted((ring[(s + k) % len(ring)] for k in range(2)), key=lambda x: x[1])
+                pairs.append((i, 8 * r + j, two[0][0], two[1][0]))
+    want = {}
+    for r in spark.createDataFrame(pairs, "i long, n int, a long, b long").orderBy("i", "n").select("i", F.xxhash64("a", "b").alias("x")).collect():
+        want.setdefault(r["i"], []).append(r["x"] & 0xFFFF)
+    for i, t in enumerate(texts):
+        assert got[i] == want[i], t[:40]
+
+
+def test_likeness_varies_like_independent_positions(spark):
+    """The standard deviation of the likeness of edited texts, against that of 64 independent draws."""
+    rng = random.Random(12)
+    for n in (10, 30, 300):
+        rows = []
+        for k in range(120):
+            w = [f"v{rng.randrange(10**9)}" for _ in range(n + 1)]
+            changed = {2 * n // 3}  # two of n k-mers of every text change
+            for copy in range(2):
+                rows.append((2 * k + copy, " ".join(f"c{k}-{i}" if copy and i in changed else x for i, x in enumerate(w))))
+        got = {r["doc_id"]: r["signature"] for r in ordermh.fingerprints(frame(spark, rows)).collect()}
+        like = np.array([np.mean([a == b for a, b in zip(got[2 * k], got[2 * k + 1])]) for k in range(120)])
+        p = like.mean()
+        assert 0.4 < p < 1 and like.std() <= 1.2 * np.sqrt(p * (1 - p) / 64) * (1 + 2 / np.sqrt(2 * 119)), (n, p, like.std())
+
+
+def test_texts_without_spaces_have_words(spark):
+    rng = random.Random(4)
+    han = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(400))
+    genes = "".join(rng.choices("acgt", k=3000))
+    rows = [(1, han), (2, han[:200] + han[203:]), (3, genes), (4, genes[:1500] + "gg" + genes[1500:]), (5, han[::-1]), (6, "one plain text of words"), (7, "one plain text of words")]
+    got = {r["doc_id"]: r["signature"] for r in ordermh.fingerprints(frame(spark, rows)).collect()}
+    same = lambda a, b: np.mean([x == y for x, y in zip(got[a], got[b])])
+    assert same(1, 2) > 0.8 and same(3, 4) > 0.8 and same(1, 5) < 0.2 and got[6] == got[7]
 
 
 # 3 ---------------------------------------------------------------------------------------------
@@ -261,21 +293,23 @@ def brute_hits(text, items, window=10):
 ITEMS = [(1, words(25, 50)), (2, "Short item here"), (11, words(14, 51)), (3, None), (4, "...,"), (5, words(25, 50)), (6, "é a Short item")]
 
 
-@pytest.mark.parametrize("path", ["automaton", "blocks", "join"])
-def test_decontamination(spark, odd, none, path):
+@pytest.mark.parametrize("path", ["automaton", "blocks", "slices"])
+def test_decontamination(spark, odd, none, path, monkeypatch):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     body = ITEMS[0][1].split()
     rows = [*ODD, (20, "x " + " ".join(body[:12]) + " y " + " ".join(body[5:]).upper() + "!"), (21, "a short, ITEM here. " + " ".join(body[3:12])), (22, "é a short item here"), (23, ITEMS[2][1].replace(" ", ", "))]
     want = sorted(str((i, *brute_hits(t, ITEMS))) for i, t in rows)
     docs = frame(spark, rows)
-    if path == "join":
+    if path == "slices":
         got = decontaminate.find_contamination(docs, items, max_item_bytes=1)
     else:
-        kept, decontaminate.BLOCK_WORDS = decontaminate.BLOCK_WORDS, 200_000
         if path == "blocks":
-            blocks = decontaminate.item_blocks(ITEMS, 20)
-            assert len(blocks) > 2
+            monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 14)
+            assert len(decontaminate.item_blocks(ITEMS)) == 5
         got = decontaminate.find_contamination(docs, items)
+        cut = decontaminate.remove_contamination(docs, items).collect()
+        monkeypatch.undo()
+        assert sorted(map(str, cut)) == sorted(map(str, decontaminate.remove_contamination(docs, items, max_item_bytes=1).collect()))
     assert sorted(str((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"])) for r in got.collect()) == want
     assert decontaminate.find_contamination(none, items).count() == 0
     assert decontaminate.find_contamination(odd, items.where("false")).where("contaminated").count() == 0
@@ -480,7 +514,8 @@ def test_packed_files(spark, odd, none):
     path = P.path("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)
     rows = [*ODD, *[(50 + i, t) for i, t in enumerate(TEXTS)]]
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    marks = {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for _, t in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, marks[r[1]]))
     start, want = 0, []
     for i, t in rows:
         ids = np.array(lib.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
@@ -489,6 +524,10 @@ def test_packed_files(spark, odd, none):
     got = [tuple(r) for r in bitpack.pack_and_read(frame(spark, rows[::-1]), path).orderBy("start").collect()]
     assert got == want
     assert bitpack.pack_and_read(none, path).count() == 0
+    many = bitpack.write_packed(frame(spark, rows), path, bitpack.shared_path(spark, "packed"), parts=7)  # one id may fill several files
+    files = many.collect()
+    assert len(files) > 3 and sum(r["n_docs"] for r in files) == len(rows)
+    assert [tuple(r) for r in bitpack.read_packed(spark.createDataFrame(files, bitpack.MANIFEST)).orderBy("start").collect()] == want
 
 
 @pytest.mark.parametrize("vocabulary", [2, 200, 256, 49_408, 65_537, 300_000])
@@ -498,14 +537,13 @@ def test_bit_packing_round_trip(vocabulary):
     rng = np.random.default_rng(vocabulary)
     bits = bitpack.bits_for(vocabulary)
     assert 2**bits >= vocabulary > 2 ** (bits - 1)
-    writer, docs = bitpack.PackedWriter(bits, 64), []
+    out, docs = io.BytesIO(), []
+    writer = bitpack.PackedWriter(out, bits, 64)
     for i, n in enumerate([0, 1, 63, 64, 65, 500, 0, 3]):
         ids = rng.integers(0, vocabulary, n).astype(np.uint32)
         docs.append((None if i == 2 else i, ids))
         writer.add(docs[-1][0], ids)
-    out = io.BytesIO()
-    assert writer.write(out) == len(out.getvalue())
-    out.seek(0)
+    assert writer.close() == len(out.getvalue())
     reader = bitpack.PackedReader(out)
     for (doc, ids), (got, _, back) in zip(docs, reader.documents(), strict=True):
         assert doc == got and (ids == back).all()
@@ -582,13 +620,19 @@ def test_wrapped_licenses(spark):
         (MIT_FILE.replace("\n", "\r\n"), "mit-title,mit-grant,mit-notice,as-is,mit-liability", "MIT"),
         ("/*\n" + remark(" * ", MIT_FILE) + " */\nint x;", "mit-title,mit-grant,mit-notice,as-is,mit-liability", "MIT"),
         (BSD_FILE, "bsd-permit,bsd-source,bsd-binary", "BSD-2-Clause"),
-        (remark("# ", BSD_FILE + BSD_THIRD), "bsd-permit,bsd-source,bsd-binary,bsd-endorse", "BSD-2-Clause,BSD-3-Clause"),
+        (remark("# ", BSD_FILE + BSD_THIRD), "bsd-permit,bsd-source,bsd-binary,bsd-endorse", "BSD-3-Clause"),
         (remark("dnl ", GPL_NOTICE), "gpl-free,gpl-hope,gpl-details", "GPL-3.0-or-later"),
         (remark("// ", GPL_NOTICE.replace("version 3", "version 2")), "gpl2-free,gpl-hope,gpl-details", "GPL-2.0-or-later"),
         ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "isc-permit", "ISC"),
         ("To the extent possible under law, the author has waived all\ncopyright and related or neighboring rights to this work.", "cc0", "CC0-1.0"),
         ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy", "mpl2-subject", "MPL-2.0"),
         ("This file is licensed under the MIT License.", "mit-licensed", "MIT"),
+        (remark("## ", GPL_NOTICE.replace("either version 3 of the License, or\n(at your option) any later version.", "version 2 of the License.")), "gpl2-only,gpl-hope,gpl-details", "GPL-2.0-only"),
+        ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\n" + GPL_NOTICE, "gpl3-text,gpl-free,gpl-hope,gpl-details", "GPL-3.0-or-later"),
+        (remark("; ", GPL_NOTICE.replace("GNU General", "GNU Affero General")), "agpl3-free,gpl-hope", "AGPL-3.0-or-later"),
+        ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/", "apache2-text", "Apache-2.0"),
+        (remark("-- ", "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License."), "apache2-copy,apache2-as-is,apache2-limits", "Apache-2.0"),
+        ("Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not\n   claim that you wrote the original software.", "zlib-grant,zlib-origin", "Zlib"),
         ("x\nThe MIT License\ny", "mit-title", ""),
         ("We like the MIT License a lot. It was\nreleased under\nthe MIT License | ~ for all.", "mit-released", "MIT"),
         ("This file is not licensed under the MIT License.", "", ""),
