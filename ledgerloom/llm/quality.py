@@ -151,13 +151,17 @@ def training_rows(labels: DataFrame, label: str, folds: int, held: int, most: in
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held: int = 1, max_train: int = MAX_TRAIN, doc_id: str = "doc_id", text: str = "text") -> FactorisationMachine | None:
-    """A machine fitted outside the held-out fold, or None if no labelled row is left there."""
+    """A machine fitted outside the held-out fold, or None if no labelled row is left there.
+
+    At most ``max_train`` labelled documents are used, the least by a hash of doc_id; of a repeated
+    doc_id the least text counts, a null text as empty.  Texts may be of any length.
+    """
     chosen = training_rows(labels, label, folds, held, max_train)
     if not chosen:
         return None
     spark = docs.sparkSession
     wanted = F.broadcast(spark.createDataFrame(chosen, "_id long, y int"))  # at most max_train rows
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("text")).join(wanted, "_id").select("_id", "y", "text")
+    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("text")).join(wanted, "_id").groupBy("_id", "y").agg(F.min("text").alias("text"))
 
     def work(batches):
         for batch in batches:
@@ -176,7 +180,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fold
                     names=["_id", "y", "k", "x", "s"],
                 )
 
-    got = rows.mapInArrow(work, "_id long, y int, k array<int>, x array<double>, s array<double>").limit(2 * max_train).toArrow()
+    got = rows.mapInArrow(work, "_id long, y int, k array<int>, x array<double>, s array<double>").toArrow()  # at most max_train rows
     if not got.num_rows:
         return None
     got = got.combine_chunks()
@@ -209,7 +213,11 @@ def score_quality(docs: DataFrame, machine: FactorisationMachine | None, doc_id:
 
 
 def keep_quality(docs: DataFrame, machine: FactorisationMachine | None, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows whose score reaches ``threshold``, with all their columns; without a machine all rows stay."""
+    """The rows whose score reaches ``threshold``, with all their columns; without a machine all rows stay.
+
+    Null and empty texts are scored as texts without words; a score equal to the threshold stays;
+    repeated rows and null ids are rows like others; an empty table gives no rows.
+    """
     if machine is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(machine)

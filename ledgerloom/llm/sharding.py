@@ -24,7 +24,8 @@ from .common import materialize
 
 EXACT_SIZES = 1 << 16
 SIGNIFICANT_BITS = 11
-CLASS_PARTS = 64
+#: A class of groups is ranked in at least so many hashed parts, of about so many groups each.
+CLASS_PARTS, PART_GROUPS = 64, 1_000_000
 
 
 class CapacityTree:
@@ -190,9 +191,10 @@ def shard_rows(docs: DataFrame, shards: int | None = 16, capacity: int | None =
     # Two texts that share key, checksum and size would only be kept together.
     group = ["_key", "text_crc32", "size"]
     groups = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_copies")).withColumn("_class", _size_class(F.col("size") * F.col("_copies")))
-    groups = materialize(groups.withColumn("_part", F.pmod(F.col("_key"), F.lit(CLASS_PARTS)).cast("int")), "groups")
+    groups = materialize(groups, "groups")
     counted = groups.groupBy("_class").agg(F.count(F.lit(1)).alias("n"), F.sum("_copies").alias("rows")).collect()
     classes = [(r["_class"], r["n"]) for r in counted]
+    groups = groups.withColumn("_part", F.pmod(F.col("_key"), F.lit(max(CLASS_PARTS, max((n for _, n in classes), default=0) // PART_GROUPS))).cast("int"))
     placed = (best_fit(classes, capacity) if capacity else pack_near_equal(classes, shards)) if classes else []
     runs: dict[int, list[tuple[int, int]]] = {}
     for size, shard, n in placed:

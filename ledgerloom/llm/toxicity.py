@@ -326,7 +326,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds
     """A machine fitted outside the held-out fold; None without labelled rows of both kinds.
 
     At most ``max_train`` labelled documents are used, the least by a hash of doc_id; of a repeated
-    doc_id its rows all count, null texts as empty.  The driver sees ``TOP`` windows of each.
+    doc_id the least text counts, a null text as empty.  The driver sees ``TOP`` windows of each.
     """
     chosen = training_rows(labels, label, folds, held, max_train)
     toxic = sum(y for _, y in chosen)
@@ -334,7 +334,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds
         return None
     spark = docs.sparkSession
     wanted = F.broadcast(spark.createDataFrame(chosen, "_id long, y int"))  # at most max_train rows
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("text")).join(wanted, "_id").select("_id", "y", "text")
+    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("text")).join(wanted, "_id").groupBy("_id", "y").agg(F.min("text").alias("text"))
     rows = materialize(rows.repartition(spark.sparkContext.defaultParallelism), "labelled")
 
     def each(work, schema: str) -> list[dict]:
