@@ -176,10 +176,17 @@ def test_outcomes(spark):
     ledger = spark.createDataFrame([("t1", "slack", "8", "done"), ("t1", "slack", "7", "pending")], "tenant_id string, source string, source_id string, pipeline_status string")
     connections = rows(spark, "source_connections", dict(id="c1", tenant_id="t1", source="slack", status="active"), dict(id="c2", tenant_id="t1", source="gmail", status="active"), dict(id="c3", tenant_id="t3", source="slack", status="active"))
     tenants = rows(spark, "tenants", dict(id="t1", core_knowledge_only=True), dict(id="t2"), dict(id="t3", learning_paused=True))
-    outputs = spark.createDataFrame([("1", "KEEP", 0.9, "decision"), ("6", "DISCARD", 0.9, None), ("7", "UNCERTAIN", 0.69, None), ("9", "KEEP", 0.9, "action_item")], "source_key string, decision string, confidence double, record_type string")
+    judged = [("1", "KEEP", 0.9, "decision"), ("6", "DISCARD", 0.9, None), ("7", "UNCERTAIN", 0.69, None), ("9", "KEEP", 0.9, "action_item")]
+    shape = "tenant_id string, source string, source_id string, decision string, confidence double, record_type string"
+    outputs = spark.createDataFrame([("t1", "slack", *r) for r in judged] + [("t9", "slack", "1", "DISCARD", 0.9, None)], shape)
     got = sorted((r["source_id"], r["outcome"]) for r in ingest.outcome_router(envelopes, ledger, connections, tenants, outputs).collect())
     assert got == [("1", "duplicate_on_insert"), ("1", "persisted"), ("2", "prefiltered_trivial_ack"), ("3", "prefiltered_bulk_mail"), ("4", "abandoned_no_active_connection"), ("5", "learning_paused"), ("6", "discarded"), ("7", "uncertain_held_out"), ("8", "duplicate_skipped"), ("9", "core_knowledge_only_filtered")]
     assert ids(ingest.retry_pending(envelopes, ledger), "source_id").count("8") == 0
+    # Messages without a time, and two tenants with the same message, each with its own output.
+    both = spark.createDataFrame([(t, "slack", "1", None, None, [], '{"text":"hello world"}', None, None, None, None, None, []) for t in ("t1", "t3")], ENVELOPE)
+    words = spark.createDataFrame([("t1", "slack", "1", "KEEP", 0.9, "decision"), ("t3", "slack", "1", "DISCARD", 0.9, None)], shape)
+    open_ = tenants.withColumn("learning_paused", F.lit(False))
+    assert sorted((r["tenant_id"], r["outcome"]) for r in ingest.outcome_router(both, ledger, connections, open_, words).collect()) == [("t1", "persisted"), ("t3", "discarded")]
 
 
 def test_validation_and_actors(spark):
@@ -199,8 +206,8 @@ def test_validation_and_actors(spark):
     assert len(new) == 1 and new[0]["slack_user_id"] == "U9" and new[0]["display_name"] == "Zed"
     again, none = ingest.find_or_create_actors(refs, actors.unionByName(added, allowMissingColumns=True))
     assert none.count() == 0
-    envelopes = spark.createDataFrame([("1", [("Xavier", "id-x")])], "source_id string, known_actors array<struct<name:string,source_actor_id:string>>")
-    named = spark.createDataFrame([("1", [("xavier", "mentioned"), ("other", "mentioned")])], "source_key string, actors array<struct<source_actor_id:string,role:string>>")
+    envelopes = spark.createDataFrame([("t", "slack", "1", [("Xavier", "id-x")]), ("t2", "slack", "1", [("Xavier", "id-y")])], "tenant_id string, source string, source_id string, known_actors array<struct<name:string,source_actor_id:string>>")
+    named = spark.createDataFrame([("t", "slack", "1", [("xavier", "mentioned"), ("other", "mentioned")])], "tenant_id string, source string, source_id string, actors array<struct<source_actor_id:string,role:string>>")
     assert [a["source_actor_id"] for a in ingest.match_known_actors(named, envelopes).first()["actors"]] == ["id-x", "other"]
 
 

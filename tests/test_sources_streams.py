@@ -95,9 +95,11 @@ def test_envelopes_and_ingest_stream(spark, tmp_path):
     assert good.count() == 3 and sorted(r["reason"] for r in bad.collect()) == ["malformed", "source_id is missing"]
     conn = spark.createDataFrame([("c1", "t1", "slack", "active", T0)], "id string, tenant_id string, source string, status string, created_at timestamp")
     tenants = spark.createDataFrame([("t1", False, False)], "id string, learning_paused boolean, core_knowledge_only boolean")
-    outputs = spark.createDataFrame([("k1", "KEEP", 0.9, "decision"), ("k5", "KEEP", 0.9, "decision")], "source_key string, decision string, confidence double, record_type string")
+    shape = "tenant_id string, source string, source_id string, decision string, confidence double, record_type string"
+    judged = [("t1", "slack", "k1", "KEEP", 0.9, "decision"), ("t1", "slack", "k5", "KEEP", 0.9, "decision"), ("t2", "slack", "k9", "KEEP", 0.9, "decision")]
+    outputs = spark.createDataFrame(judged, shape)
     out = str(tmp_path / "out")
-    run = lambda: jobs.ingest_stream(spark, str(folder), out, {"source_connections": conn, "tenants": tenants}, outputs, str(tmp_path / "state")).awaitTermination()
+    run = lambda outputs=outputs: jobs.ingest_stream(spark, str(folder), out, {"source_connections": conn, "tenants": tenants}, outputs, str(tmp_path / "state")).awaitTermination()
     run()
     (folder / "b.json").write_text("\n".join([landed(5), landed(6, key="k1", text="card 4111111111111111")]) + "\n")
     run()
@@ -106,6 +108,34 @@ def test_envelopes_and_ingest_stream(spark, tmp_path):
     assert sorted((r["source_id"], r["outcome"]) for r in rows.collect()) == [("k1", "duplicate_on_insert"), ("k1", "duplicate_skipped"), ("k1", "persisted"), ("k3", "prefiltered_trivial_ack"), ("k5", "persisted")]
     assert "REDACTED-CARD" in rows.where("outcome = 'duplicate_skipped'").first()["raw_content"]
     assert spark.read.parquet(f"{out}/rejected").count() == 2
+    # A message that no model has judged (not even by another tenant's output) waits, and is taken up once it has been.
+    (folder / "c.json").write_text(landed(9, text="number 123456789012") + "\n")
+    run()
+    (folder / "d.json").write_text(landed(10, key="k1") + "\n")
+    run()
+    (folder / "e.json").write_text(landed(11, key="k1") + "\n")
+    run(spark.createDataFrame([*judged, ("t1", "slack", "k9", "KEEP", 0.9, "decision")], shape))
+    (folder / "f.json").write_text(landed(12, key="k1") + "\n")
+    run()
+    waited = spark.read.parquet(f"{out}/outcomes").where("source_id = 'k9'").orderBy("batch").collect()
+    assert [r["outcome"] for r in waited] == ["pending", "pending", "persisted"] and "[REDACTED-NUMBER]" in waited[0]["raw_content"]
+
+
+def test_redaction_keeps_json_whole(spark):
+    from ledgerloom.functions import text as tx
+
+    raw = [
+        '{"id":123456789012,"text":"call 123456789012 \\n4111111111111111","list":["078-05-1120",7,null],"123456789012":"key"}',
+        "plain 123456789012",
+        '{"broken": "4111111111111111',
+        "",
+        None,
+        '["<@123456789012345678> 4111 1111 1111 1111"]',
+    ]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, raw string")
+    got = [r["out"] for r in df.select("i", tx.redact_json("raw").alias("out")).orderBy("i").collect()]
+    assert json.loads(got[0]) == {"id": 123456789012, "text": "call [REDACTED-NUMBER] \n[REDACTED-CARD]", "list": ["[REDACTED-SSN]", 7, None], "123456789012": "key"}
+    assert got[1:] == ["plain [REDACTED-NUMBER]", '{"broken": "[REDACTED-CARD]', "", None, '["<@123456789012345678> [REDACTED-CARD]"]']
 
 
 @pytest.mark.parametrize("strict", [False, True])
