@@ -23,14 +23,8 @@ def replaced(expr: str, steps: list[tuple[str, str]]) -> str:
 
 def clean_sql(expr: str) -> str:
     """The HTML steps without the constructs that the other engine's patterns lack."""
-    steps: list[tuple[str, str]] = []
-    for pattern, to in tx.HTML_STEPS:
-        if r"\1" in pattern:
-            steps += [(rf"(?is)<{tag}[^>]*>.*?</{tag}>", to) for tag in ("script", "style")]
-        elif "(?=" in pattern:
-            steps.append((r"\n{2,}• ", "\n• "))
-        else:
-            steps.append((pattern, to.replace("$1", r"\1")))
+    scripts = [(rf"(?is)<{tag}[^>]*>.*?</{tag}>", " ") for tag in ("script", "style")]
+    steps = [*scripts, *tx.BLOCKS[1:], *tx.ENTITIES, *tx.LINES]
     body = replaced(expr, steps)
     return f"regexp_replace(regexp_replace({body}, '^[\\s\\x{{00A0}}\\x{{FEFF}}]+', ''), '[\\s\\x{{00A0}}\\x{{FEFF}}]+$', '')"
 
