@@ -65,7 +65,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, size: int, query
         out: list[list[np.ndarray]] = [[], [], []]
         for start in range(0, len(q) if len(v) else 0, 256):
             part = q[start : start + 256]
-            sims = m[part] @ m[v].T
+            sims = np.round(m[part] @ m[v].T, 12)  # as equal vectors may differ in the last bits from tile to tile
             if block:
                 sims = np.where(blocks[part][:, None] == blocks[v][None, :], sims, -np.inf)
             most = min(k, sims.shape[1])

@@ -154,3 +154,34 @@ def test_scoring_rules(spark):
     assert bad == {("4", "missing z"), ("5", "missing z")}
     sec = spark.createDataFrame([("1", ["a"], ["a", "b"], ["c"], [], True), ("2", ["a"], ["a"], ["a"], [], False)], "query_id string, reranked_ids array<string>, authorized_ids array<string>, cited array<string>, excluded array<string>, is_refusal boolean")
     assert {r["finding"] for r in evaluation.security_findings(sec).collect()} == {"cited beyond authorized", "refusal with citations"}
+
+
+@pytest.mark.parametrize("tile", [3, 2048])
+@pytest.mark.parametrize("block", [None, "label"])
+def test_topk_in_tiles(spark, monkeypatch, tile, block):
+    """Ties by id, zero vectors, blocks, fewer vectors than k; in one tile and in many."""
+    monkeypatch.setattr(similarity, "TILE", tile)
+    rows = vectors(40) + [(40 + i, e, label, at) for i, e, label, at in vectors(15)] + [(90, [0.0] * 8, 0, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, at long")
+    q = df.where("vec_id % 7 = 0").withColumnRenamed("vec_id", "query_id")
+    got = {}
+    for r in similarity.vector_topk(q, df, 6, 8, block=block).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    v = {i: np.array(e, np.float32).astype(float) for i, e, _, _ in rows}
+    label = {i: x for i, _, x, _ in rows}
+    for i in v:
+        if i % 7 == 0:
+            near = sorted((-round(cosine(v[i], v[j]), 9), j) for j in v if block is None or label[i] == label[j])[:6]
+            assert [j for _, j in sorted(got[i])] == [j for _, j in near], i
+    assert similarity.vector_topk(q.where("false"), df, 6, 8).count() == 0 and similarity.vector_topk(q, df.where("false"), 6, 8).count() == 0
+
+
+def test_many_questions_equal_single_ones(spark):
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(["red", "green", "blue", "old", "new"], k=rng.randrange(0, 12)))) for i in range(80)] + [(99, None)], "doc_id long, text string")
+    index = fulltext.text_index(docs)
+    asked = ["red new", "old", "blue! GREEN", "absent", "", "red absent"]
+    rows = fulltext.search_many(spark.createDataFrame(list(enumerate(asked)), "query_id long, query string"), index, 9).collect()
+    for i, query in enumerate(asked):
+        one = [(r["doc_id"], round(r["score"], 6), r["rank"]) for r in fulltext.search_plain(docs, query, 9).orderBy("rank").collect()]
+        assert sorted(((r["doc_id"], round(r["score"], 6), r["rank"]) for r in rows if r["query_id"] == i), key=lambda x: x[2]) == one

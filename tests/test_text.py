@@ -86,3 +86,28 @@ def test_blocks_hold_whole_texts(spark, tmp_path):
     assert f"\nStatement: {text}\nRationale: quality 1\n" in block
     body = registry.queries()["searchable_text"](spark, str(tmp_path)).first()["body"]
     assert body == f"Decision: {text}\nRationale: wiki"
+
+
+def test_html_line_ends_come_from_tags(spark):
+    cases = {
+        "a\nb<br/>c</p>\n\n<p>d": "a b c d",
+        "<h2>T</h2>\n<h3>U</h3>x": "§§T\n\n§§U\n\nx",
+        "x<ul>\n<li>a\n<li>b</ul>y": "x\n• a\n• b y",
+        "<h1>&nbsp;</h1>": "§§",
+        "1 &lt; 2 &amp;&amp; &quot;q&quot; &#39;s&#39;": "1 < 2 && \"q\" 's'",
+        "a<SCRIPT type=x>\nvar b;</script>c": "a c",
+        "<p>one</p><h1>two</h1><li>three": "one\n\n§§two\n• three",
+        "": "",
+    }
+    assert apply(spark, tx.html_to_text, list(cases)) == list(cases.values())
+
+
+def test_pictographs_at_the_borders_of_their_ranges(spark):
+    yes = ["\u00a9", "\u2702", "\u2764\ufe0f", "\U0001f44d", "\U0001f468\u200d\U0001f469", "\U0001faf8 \u2b50"]
+    no = ["\u2776", "\u27bf x", "\u2701", "\u2606", "1", "#", "\u27c0", "a\u2764"]
+    assert apply(spark, tx.is_trivial_ack, yes + no) == [True] * len(yes) + [False] * len(no)
+
+
+def test_mentions_keep_their_digits(spark):
+    rows = ["<@123456789012345678> pay 4111 1111 1111 1111 or <#987654321098765432>", "⟦Mabc⟧ 123456789", "<@123456789012345678>", "nothing 12345678"]
+    assert apply(spark, tx.redact_financial, rows) == ["<@123456789012345678> pay [REDACTED-CARD]or <#987654321098765432>", "⟦Mabc⟧ [REDACTED-NUMBER]", "<@123456789012345678>", "nothing 12345678"]
