@@ -121,7 +121,7 @@ def test_fingerprints(spark, odd, none):
         want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest()))
     assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["n_chars"], r["edited_sha256"])) for r in got)
     prints = {r["doc_id"]: r["fingerprint"] for r in got}
-    assert prints[0] == prints[4] and prints[2] == prints[3] == "" and len(prints[9]) == 256
+    assert prints[0] == prints[4] and prints[2] == prints[3] == "" and len(prints[9]) == 4 * ordermh.POSITIONS
     by = {r["doc_id"]: r for r in got}
     assert 0.2 < by[9]["near_edited"] < 0.8 and by[9]["near_next"] <= 0.05 and by[2]["near_edited"] == 1.0
     assert ordermh.edited_likeness(none).count() == 0
@@ -145,17 +145,16 @@ def test_fingerprints_by_definition(spark):
         counts[i, h] = counts.get((i, h), 0) + 1
         numbered.append((i, p, h, counts[i, h] - 1))
     rows = spark.createDataFrame(numbered, "i long, p long, h long, o long").select("i", "p", F.xxhash64("h", "o").alias("v")).collect()
-    order = {i: [r["v"] >> 26 & (1 << 37) - 1 for r in sorted((r for r in rows if r["i"] == i), key=lambda r: r["p"])] for i in range(len(texts))}
-    salted = spark.createDataFrame([(i, k, h, r) for i, hs in order.items() for k, h in enumerate(hs) for r in range(8)], "i long, k long, h long, r int").select("i", "k", "r", F.xxhash64("h", "r").alias("v")).collect()
-    pairs = []
+    salted = spark.createDataFrame([(x["i"], x["p"], x["v"] >> 26, r) for x in rows for r in range(4)], "i long, p long, h long, r int").select("i", "p", "r", F.xxhash64("h", "r").alias("v")).collect()
+    pairs, low = [], (1 << 37) - 1
     for i in range(len(texts)):
-        for r in range(8):
-            ring = sorted((x["v"] >> 26, x["k"]) for x in salted if x["i"] == i and x["r"] == r)
-            for j in range(8):
-                point = ((j << 64) // 8 - (1 << 63)) >> 26
+        for r in range(4):
+            ring = sorted((x["v"] >> 26, x["p"]) for x in salted if x["i"] == i and x["r"] == r)
+            for j in range(16):
+                point = ((j << 64) // 16 - (1 << 63)) >> 26
                 s = sum(1 for v, _ in ring if v <= point)
                 two = sorted((ring[(s + k) % len(ring)] for k in range(2)), key=lambda x: x[1])
-                pairs.append((i, 8 * r + j, two[0][0], two[1][0]))
+                pairs.append((i, 16 * r + j, two[0][0] & low, two[1][0] & low))
     want = {}
     for r in spark.createDataFrame(pairs, "i long, n int, a long, b long").orderBy("i", "n").select("i", F.xxhash64("a", "b").alias("x")).collect():
         want.setdefault(r["i"], []).append(r["x"] & 0xFFFF)
