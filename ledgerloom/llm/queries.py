@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .bitpack import pack_and_read
 from .bpe import encode_documents
 from .common import read_table
+from .conversations import repair_report
 from .decontaminate import find_contamination
 from .licenses import duckdb_sql as licenses_sql
 from .licenses import scan_licenses
@@ -105,6 +106,27 @@ def op10_suffix_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(read_table(spark, sf_dir, "documents"), threshold=100)
 
 
+def damaged_conversations(rows: DataFrame) -> DataFrame:
+    """The rows with the damage that op11 repairs, by crc32 of ``conv_id:turn``; dropped ones are marked in ``gone``."""
+    space = F.lit(" ")
+    rows = rows.select("conv_id", "turn", *(F.coalesce(c, space).alias(c) for c in ("role", "text")))
+    key = F.concat(*(F.coalesce(F.col(c).cast("string"), space) if c else F.lit(":") for c in ("conv_id", "", "turn")))
+    rows = rows.withColumn("kind", F.crc32(F.encode(key, "utf-8")) % 20)
+    return rows.select(
+        "conv_id",
+        "turn",
+        F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+        (F.col("kind") == 0).alias("gone"),
+        F.explode(F.when(F.col("kind") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
+    ).drop("copy")
+
+
+def op11_ida_star_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations after the damage: faults, cheapest edits and the digest of the repaired rows."""
+    return repair_report(damaged_conversations(read_table(spark, sf_dir, "conversations")), gone="gone")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if re.match(r"op\d+_", name)}
 
