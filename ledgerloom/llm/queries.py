@@ -18,6 +18,7 @@ from .licenses import duckdb_sql as licenses_sql
 from .licenses import scan_licenses
 from .neardup import near_duplicates
 from .ordermh import edited_likeness
+from .periodic import find_runs
 from .quality import fit_quality, label_fold, score_quality
 from .sharding import shard_rows
 from .suffix import repeated_bytes
@@ -127,6 +128,35 @@ def op11_ida_star_conversation_repair(spark: SparkSession, sf_dir: str) -> DataF
     return repair_report(damaged_conversations(read_table(spark, sf_dir, "conversations")), gone="gone")
 
 
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """The documents with the repeats that op13 finds: of each tenth one by crc32(doc_id) words from one on repeat."""
+    docs = docs.select("doc_id", "text", F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")).alias("h"))
+    docs = docs.withColumn("w", F.when(F.col("h") % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")))
+    docs = docs.withColumn("g", F.floor(F.col("h") / 10)).withColumn("n", F.when(F.size("w") > 0, F.size("w")))
+    docs = docs.withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    docs = docs.withColumn("p", F.expr("1 + cast((n - a) div (3 + g % 8) as int)"))
+    tail = F.expr("array_join(concat(slice(w, 1, a), transform(sequence(0, n - a - 1), k -> w[a + k % p])), ' ')")
+    return docs.select("doc_id", F.when(F.col("n").isNotNull(), tail).otherwise(F.col("text")).alias("text"))
+
+
+def op13_synchronising_set_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in all documents, a tenth of them with planted repeats."""
+    found = find_runs(repeated_tails(read_table(spark, sf_dir, "documents")))
+    best = F.expr("array_max(transform(runs, r -> struct(r.length, -r.start AS start, -r.period AS period)))")
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("(1000 * best.length) div -best.period").alias("exponent_milli"),
+        F.sha2(F.encode(F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), ""), "utf-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "utf-8"), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if re.match(r"op\d+_", name)}
 
