@@ -22,6 +22,7 @@ from .periodic import find_runs
 from .quality import fit_quality, label_fold, score_quality
 from .sharding import shard_rows
 from .suffix import repeated_bytes
+from .tokencounts import count_tokens
 from .toxicity import fit_toxicity, score_toxicity
 
 
@@ -128,6 +129,12 @@ def op11_ida_star_conversation_repair(spark: SparkSession, sf_dir: str) -> DataF
     return repair_report(damaged_conversations(read_table(spark, sf_dir, "conversations")), gone="gone")
 
 
+def op12_distinct_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all texts, summed from the counts of distinct pre-tokens."""
+    out = count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 def repeated_tails(docs: DataFrame) -> DataFrame:
     """The documents with the repeats that op13 finds: of each tenth one by crc32(doc_id) words from one on repeat."""
     docs = docs.select("doc_id", "text", F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")).alias("h"))
