@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,10 @@ SHORT = 256
 PIECE = 64
 #: Ids around a cut that are contracted again at first, on either side; four times as many after each miss.
 REACH = 8
+#: Ids that one query decodes, and characters of a text from which its words are encoded in runs of so many.
+IDS_AT_ONCE = 200_000
+LONG = 1 << 22
+WORDS_IN_RUN = 200_000
 MOST_FITTING = 200_000
 NO_PAIR = np.iinfo(np.int64).max
 
@@ -72,7 +77,8 @@ class DuckBpe:
 
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.split = regex.compile(pattern).findall
+        cut = regex.compile(pattern)
+        self.split, self.each = cut.findall, cut.finditer
         self.most, self.cache = cached, dict[str, bytes]()
         self.decimals = list(map(str, range(max(self.ranks.values()) + 1)))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
@@ -201,7 +207,13 @@ class DuckBpe:
         return np.where(self.pair_keys[at] == key, self.pair_merged[at], NO_PAIR)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.split(t) for t in texts]
+        """The ids of each text; the words of a long one in runs, so that they are never all in memory."""
+        if len(texts) == 1 and len(texts[0]) > LONG:
+            words = (m.group() for m in self.each(texts[0]))
+            return [np.concatenate([self._encode([run])[0] for run in iter(lambda: list(islice(words, WORDS_IN_RUN)), [])])]
+        return self._encode([self.split(t) for t in texts])
+
+    def _encode(self, cut: list[list[str]]) -> list[np.ndarray]:
         if len(self.cache) > self.most:
             self.cache = {}
         fresh = list(set().union(*cut).difference(self.cache))
@@ -215,17 +227,24 @@ class DuckBpe:
 
     def digest(self, ids: np.ndarray) -> str:
         """The SHA-256 of the decimal ids, joined by spaces."""
-        return hashlib.sha256(" ".join(map(self.decimals.__getitem__, ids.tolist())).encode()).hexdigest()
+        found, joint = hashlib.sha256(), ""
+        for i in range(0, len(ids), IDS_AT_ONCE):
+            found.update((joint + " ".join(map(self.decimals.__getitem__, ids[i : i + IDS_AT_ONCE].tolist()))).encode())
+            joint = " "
+        return found.hexdigest()
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        """The bytes of each id sequence, gathered by an ordered aggregate."""
+        """The bytes of each id sequence, gathered by an ordered aggregate over ``IDS_AT_ONCE`` ids at a time."""
         flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
         row = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-        self.db.register("tokens", pa.table({"number": row, "place": np.arange(len(flat)), "id": flat}))
-        got = self.db.execute("SELECT t.number, string_agg(v.hex, '' ORDER BY t.place) AS hex FROM tokens t JOIN vocabulary v ON v.id = t.id GROUP BY t.number").fetchall()
-        self.db.unregister("tokens")
-        found = dict(got)
-        return [bytes.fromhex(found.get(i, "")) for i in range(len(ids))]
+        out: list[list[str]] = [[] for _ in ids]
+        for i in range(0, len(flat), IDS_AT_ONCE):
+            part = slice(i, i + IDS_AT_ONCE)
+            self.db.register("tokens", pa.table({"number": row[part], "place": np.arange(len(flat[part])), "id": flat[part]}))
+            for number, text in self.db.execute("SELECT t.number, string_agg(v.hex, '' ORDER BY t.place) AS hex FROM tokens t JOIN vocabulary v ON v.id = t.id GROUP BY t.number").fetchall():
+                out[number].append(text)
+            self.db.unregister("tokens")
+        return [b"".join(map(bytes.fromhex, x)) for x in out]
 
 
 _encoders: dict[tuple, DuckBpe] = caches.setdefault("bpe", {})
@@ -254,6 +273,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, doc_id: str = "do
 
     Null texts count as empty and have no tokens.  One row for each input row, repeated and null
     doc_ids included; other columns are not read.  ``path`` must exist on every executor.
+    Texts may have any length: the words of a long one are encoded, and its ids decoded, in runs.
     ``cached`` words stay in a worker and ``piece`` characters are worked on at a time: less of
     either takes less memory and more time.
     """

@@ -729,3 +729,18 @@ def test_words_are_found_in_blocks():
         assert hashes is None or (hashes == h).all()
         hashes = h
     assert Fraction("4/5") == Fraction(4, 5)
+
+
+def test_bpe_of_a_very_long_text(spark):
+    """12 MB in one text, encoded and decoded in runs."""
+    import tiktoken
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    text = words(200_000, 3, 9000) + "é \n" + "The same words come again, 1234 times.  " * 300_000
+    rows = spark.createDataFrame([(1, text), (2, "short"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in bpe.encode_documents(rows, path, P.PATTERN).collect()}
+    ids = library.encode_ordinary(text)
+    assert len(text) > 12_000_000 and got[1]["n_tokens"] == len(ids) and got[1]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    assert got[1]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest() and got[3]["n_tokens"] == 0 and got[2]["n_tokens"] == len(library.encode_ordinary("short"))
