@@ -1,173 +1,341 @@
-"""Full-text search over an inverted index, ranked by BM25 (Robertson & Zaragoza, 2009)."""
+"""Full-text search ranked by BM25 (Robertson & Zaragoza, 2009): an index in blocks of documents for tables of questions, a scan for one.
+
+The index cuts documents into blocks of like length and keeps, beside the postings, the peak that
+any document of a block can add for a term.  A search first looks at these peaks only: blocks
+without the words of some alternative go, the best few are scored, and of the others only those
+are read whose peaks could still reach the k-th best score.  So a frequent word does not score the whole corpus.
+"""
 
 from __future__ import annotations
 
-import re
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import remove_folder, ship_package, written
 
 K1, B = 1.2, 0.75
 # English function words that are not searched for.
 STOP_WORDS = set("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
+#: Letters, marks and digits make words, in any script.
+NO_WORD = r"[^\p{L}\p{M}\p{N}]+"
+WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+#: Documents of a block, about; blocks of each question that are scored before the others are weighed against them.
+BLOCK = 512
+FIRST_BLOCKS = 8
+#: Bits of a mask; scores of equal rounding may differ by so much.
+BITS = 62
+SLACK = 1e-5
+#: Numbers of rows up to which the counts of documents by length, and the distinct words of all questions, are broadcast.
+MOST_CLASSES = 100_000
+MOST_TERMS = 200_000
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters: the portable tokenizer."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+"), lambda t: t != "")
+    """The lower-case words of a text."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NO_WORD), lambda t: t != "")
 
 
-def stem(words: pd.Series) -> pd.Series:
+def stem_word(w: str) -> str:
     """A light English stemmer: plurals, -ing and -ed with their doubled letter or dropped e."""
-
-    def one(w: str) -> str:
-        if len(w) <= 3:
-            return w
-        if w.endswith("sses"):
-            w = w[:-2]
-        elif w.endswith("ies"):
-            w = w[:-3] + "y"
-        elif w.endswith("s") and not w.endswith(("ss", "us", "is")):
-            w = w[:-1]
-        for end in ("ing", "ed"):
-            root = w[: -len(end)]
-            if w.endswith(end) and len(root) >= 3 and re.search("[aeiouy]", root):
-                w = root[:-1] if len(root) > 3 and root[-1] == root[-2] and root[-1] not in "lsz" else root
-                break
+    if len(w) <= 3:
         return w
+    if w.endswith("sses"):
+        w = w[:-2]
+    elif w.endswith("ies"):
+        w = w[:-3] + "y"
+    elif w.endswith("s") and not w.endswith(("ss", "us", "is")):
+        w = w[:-1]
+    for end in ("ing", "ed"):
+        root = w[: -len(end)]
+        if w.endswith(end) and len(root) >= 3 and regex.search("[aeiouy]", root):
+            w = root[:-1] if len(root) > 3 and root[-1] == root[-2] and root[-1] not in "lsz" else root
+            break
+    return w
 
-    known = {w: one(w) for w in words.unique()}
+
+def stem(words: pd.Series) -> pd.Series:
+    known = {w: stem_word(w) for w in words.unique()}
     return words.map(known)
 
 
-def text_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stemming: bool = False, stop_words: bool = False, terms: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """R2: postings (term, doc_id, tf, positions) and document lengths (doc_id, n_terms).
+class TextIndex(NamedTuple):
+    """R2: postings (scope, term, block, doc_id, tf, n_terms), the places of words (scope, term, block, doc_id, place),
+    peaks (scope, term, block, df, peak: the most a document can add, but for the term's rarity), sizes (scope, n, mean)."""
 
-    With ``terms`` only their postings are made, and no other word leaves its document.  For many
-    searches write both tables once (``write_index``).
-    """
-    if terms is None or stemming:
-        rows = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(tokens(F.col(text))).alias("place", "term"))
-    else:
-        numbered = F.transform(tokens(F.col(text)), lambda t, i: F.struct(i.alias("place"), t.alias("term")))
-        rows = docs.select(F.col(doc_id).alias("doc_id"), F.inline(F.filter(numbered, lambda x: x["term"].isin(terms))))
+    postings: DataFrame
+    places: DataFrame
+    peaks: DataFrame
+    sizes: DataFrame
+    stemming: bool = False
+    stop_words: bool = False
+
+
+def _words(docs: DataFrame, doc_id: str, text: str, scope: str | None) -> DataFrame:
+    words = docs.select((F.coalesce(F.col(scope).cast("string"), F.lit("")) if scope else F.lit("")).alias("scope"), F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("w"))
+    return words.withColumn("n_terms", F.size("w").cast("long"))
+
+
+def _sizes(words: DataFrame) -> DataFrame:
+    return words.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg("n_terms").alias("mean"))
+
+
+def _placed(words: DataFrame) -> DataFrame:
+    """Words in blocks of about ``BLOCK`` documents of like length."""
+    words = words.withColumn("class", F.floor(F.log2(F.col("n_terms") + 1) * 4))
+    parts = words.groupBy("scope", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    if parts.limit(MOST_CLASSES + 1).count() <= MOST_CLASSES:
+        parts = F.broadcast(parts)
+    block = F.col("class") * (1 << 40) + F.pmod(F.xxhash64("doc_id"), F.col("parts"))
+    return words.join(parts, ["scope", "class"]).select("scope", block.alias("block"), "doc_id", "n_terms", "w")
+
+
+def _rows(placed: DataFrame, stemming: bool, stop_words: bool) -> DataFrame:
+    rows = placed.select("scope", "block", "doc_id", "n_terms", F.posexplode("w").alias("place", "term"))
     if stop_words:
         rows = rows.where(~F.col("term").isin(sorted(STOP_WORDS)))
     if stemming:
-        ship_package(docs.sparkSession)
+        ship_package(placed.sparkSession)
         rows = rows.withColumn("term", F.pandas_udf(stem, "string")("term"))
-    postings = rows.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("place")).alias("positions"))
-    lengths = docs.select(F.col(doc_id).alias("doc_id"), F.size(tokens(F.col(text))).cast("long").alias("n_terms"))
-    return postings, lengths
+    return rows
 
 
-def write_index(index: tuple[DataFrame, DataFrame], path: str) -> tuple[DataFrame, DataFrame]:
-    """R2: the index as files sorted by term, so that a search reads the row groups of its terms; and read back."""
-    postings, lengths = index
-    postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
-    lengths.write.parquet(f"{path}/lengths")
-    read = postings.sparkSession.read
-    return read.schema(postings.schema).parquet(f"{path}/postings"), read.schema(lengths.schema).parquet(f"{path}/lengths")
+def _postings(rows: DataFrame) -> DataFrame:
+    found = rows.groupBy("scope", "block", "term", "doc_id", "n_terms").agg(F.count(F.lit(1)).alias("tf"))
+    return found.select("scope", "term", "block", "doc_id", "tf", "n_terms")
 
 
-def search_many(questions: DataFrame, index: tuple[DataFrame, DataFrame], k: int) -> DataFrame:
-    """R3 for a table of questions (query_id, query) in one plan: query_id, doc_id, score, rank; blank questions find nothing.
+def _weight() -> Column:
+    """What a term adds to a document's score, but for its rarity."""
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.col("mean")))
 
-    Questions meet the postings in one join on terms, so the index is read once for all of them.
-    """
-    postings, lengths = index
-    words = F.array_distinct(tokens(F.col("query")))
-    asked = questions.select("query_id", F.size(words).alias("wanted"), F.explode(words).alias("term"))
-    df = postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("n_terms").alias("mean"))
-    met = asked.join(df, "term").join(postings.select("term", "doc_id", "tf"), "term").join(lengths, "doc_id").crossJoin(F.broadcast(stats))  # one row
-    found = met.groupBy("query_id", "wanted", "doc_id").agg(F.sum(_part()).alias("score"), F.count(F.lit(1)).alias("m")).where("m = wanted")
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "doc_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
 
+def _rarity() -> Column:
+    return F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
 
-def _part() -> Column:
-    """What a term adds to a document's score."""
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.col("mean")))
 
+def _peaks(postings: DataFrame, sizes: DataFrame) -> DataFrame:
+    return postings.join(sizes, "scope").groupBy("scope", "term", "block").agg(F.count(F.lit(1)).alias("df"), F.max(_weight()).alias("peak"))
 
-def _bm25(hits: DataFrame, postings: DataFrame, lengths: DataFrame, terms: list[str]) -> DataFrame:
-    """doc_id and score of the documents in ``hits`` over ``terms``."""
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("n_terms").alias("mean"))
-    own = postings.where(F.col("term").isin(terms))
-    df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    met = own.join(hits, "doc_id", "left_semi").join(F.broadcast(df), "term").join(lengths, "doc_id").crossJoin(F.broadcast(stats))  # one row for each query term; one row
-    return met.groupBy("doc_id").agg(F.sum(_part()).alias("score"))
 
+def text_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: str | None = None, stemming: bool = False, stop_words: bool = False) -> TextIndex:
+    """R2: the index of all texts, made anew by each search; ``write_index`` keeps it.
 
-def _ranked(scored: DataFrame, docs: DataFrame, k: int, doc_id: str, created: str | None) -> DataFrame:
-    order = [F.desc(F.round("score", 6)), *([F.desc("_created")] if created else []), F.asc("doc_id")]
-    if created:
-        scored = scored.join(docs.select(F.col(doc_id).alias("doc_id"), F.col(created).alias("_created")), "doc_id")
-    top = scored.orderBy(*order).limit(k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("doc_id", "score", "rank")  # at most k rows
+    ``scope`` (a tenant) parts the index: what a search finds, and how rare a word is, comes from the
+    documents of its own scope.  Null texts have no words.  Repeated ids are one document.
+    """
+    words = _words(docs, doc_id, text, scope)
+    rows = _rows(_placed(words), stemming, stop_words)
+    postings, sizes = _postings(rows), _sizes(words)
+    return TextIndex(postings, rows.select("scope", "term", "block", "doc_id", "place"), _peaks(postings, sizes), sizes, stemming, stop_words)
 
 
-def search_plain(docs: DataFrame, query: str, k: int, doc_id: str = "doc_id", text: str = "text", created: str | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """Documents with all words of the query; doc_id, score, rank.  A blank query finds nothing."""
-    terms = sorted(set(re.findall("[a-z]+", query.lower())))
-    postings, lengths = index or text_index(docs, doc_id, text, terms=terms)
-    all_ = postings.where(F.col("term").isin(terms)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") == max(len(terms), 1))
-    return _ranked(_bm25(all_.select("doc_id"), postings, lengths, terms), docs, k, doc_id, created)
+def write_index(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", scope: str | None = None, stemming: bool = False, stop_words: bool = False) -> TextIndex:
+    """R2: the index as files, each sorted by term and falling peak, so that a search reads the row groups of its terms; and read back."""
+    spark = docs.sparkSession
+    _words(docs, doc_id, text, scope).write.parquet(f"{path}/words")
+    words = spark.read.parquet(f"{path}/words")
+    _sizes(words).write.parquet(f"{path}/sizes")
+    sizes = spark.read.parquet(f"{path}/sizes")
+    # Each block goes to one partition, as lists of words, so postings are counted there without another shuffle.
+    rows = _rows(_placed(words).repartition("scope", "block"), stemming, stop_words)
+    _postings(rows).sortWithinPartitions("scope", "term", "block").write.parquet(f"{path}/postings")
+    rows.select("scope", "term", "block", "doc_id", "place").sortWithinPartitions("scope", "term", "block", "doc_id").write.parquet(f"{path}/places")
+    _peaks(spark.read.parquet(f"{path}/postings"), sizes).sortWithinPartitions("scope", "term", F.desc("peak")).write.parquet(f"{path}/peaks")
+    remove_folder(spark, f"{path}/words")
+    return read_index(spark, path, stemming, stop_words)
+
+
+def read_index(spark: SparkSession, path: str, stemming: bool = False, stop_words: bool = False) -> TextIndex:
+    """R2: a written index."""
+    return TextIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "places", "peaks", "sizes")), stemming, stop_words)
+
+
+# Queries --------------------------------------------------------------------------------------------
 
 
 def parse_web_query(query: str) -> list[list[tuple[bool, list[str]]]]:
     """A web query as alternatives of (wanted, words) clauses: quotes make phrases, ``-`` excludes, OR separates."""
-    found = [(bool(m[1]), re.findall("[a-z]+", (m[2] or m[3]).lower()), m[0]) for m in ((m.group(0), m.group(1), m.group(2), m.group(3)) for m in re.finditer(r'(-?)(?:"([^"]*)"|(\S+))', query))]
     clauses: list[list[tuple[bool, list[str]]]] = [[]]
-    for negative, words, raw in found:
-        if raw.upper() == "OR":
+    for m in regex.finditer(r'(-?)(?:"([^"]*)"|(\S+))', query):
+        words = WORD.findall((m[2] or m[3] or "").lower())
+        if m[0].upper() == "OR":
             clauses.append([])
         elif words:
-            clauses[-1].append((not negative, words))
+            clauses[-1].append((not m[1], words))
     return [c for c in clauses if any(wanted for wanted, _ in c)]
 
 
-def _moved(by: int) -> Column:
-    """Where a phrase would start if its word number ``by`` stood at these positions."""
-    return F.transform("positions", lambda p: p - by)
+def parse_plain_query(query: str) -> list[list[tuple[bool, list[str]]]]:
+    """All words of a query, wanted one by one."""
+    words = sorted(set(WORD.findall(query.lower())))
+    return [[(True, [w]) for w in words]] if words else []
 
 
-def search_web(docs: DataFrame, query: str, k: int, doc_id: str = "doc_id", text: str = "text", created: str | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """Web syntax; words of a clause in a row make a phrase when they were quoted together."""
-    clauses = parse_web_query(query)
-    postings, lengths = index or text_index(docs, doc_id, text, terms=sorted({w for c in clauses for _, words in c for w in words}))
-
-    def holding(words: list[str]) -> DataFrame:
-        if len(words) == 1:
-            return postings.where(F.col("term") == words[0]).select("doc_id")
-        at = None
-        for i, w in enumerate(words):
-            one = postings.where(F.col("term") == w).select("doc_id", _moved(i).alias(f"p{i}"))
-            at = one if at is None else at.join(one, "doc_id")
-        starts = F.col("p0")
-        for i in range(1, len(words)):
-            starts = F.array_intersect(starts, F.col(f"p{i}"))
-        return at.where(F.size(starts) > 0).select("doc_id")
-
-    hits = None
+_PARSED = "words array<struct<no:int,term:string,scored:boolean>>, phrases array<struct<no:int,at:int,term:string,size:int>>, clauses array<struct<words:array<long>,need:array<long>,ban:array<long>>>, width int"
+
+
+def _masks(numbers: set[int], width: int) -> list[int]:
+    return [sum(1 << (n - BITS * i) for n in numbers if BITS * i <= n < BITS * (i + 1)) for i in range(width)]
+
+
+def _parse(query: str | None, web: bool, stemming: bool, stop_words: bool) -> tuple:
+    """The rows of one question: its words and phrases, numbered together, and what each alternative wants and bans."""
+    clauses = (parse_web_query if web else parse_plain_query)(query or "")
+    number: dict[tuple, int] = {}
+    wanted: set[int] = set()
+    phrases, parsed = [], []
+    of = lambda key: number.setdefault(key, len(number))
     for clause in clauses:
-        own = None
-        for wanted, words in clause:
-            if wanted:
-                own = holding(words) if own is None else own.join(holding(words), "doc_id", "left_semi")
-        for wanted, words in clause:
-            if not wanted:
-                own = own.join(holding(words), "doc_id", "left_anti")
-        hits = own if hits is None else hits.unionByName(own)
+        need, ban, own = set(), set(), set()
+        for positive, words in clause:
+            kept = [(i, stem_word(w) if stemming else w) for i, w in enumerate(words) if not (stop_words and w in STOP_WORDS)]
+            if not kept:
+                continue
+            terms = {of((w,)) for _, w in kept}
+            part = min(terms)
+            if len(kept) > 1:
+                key = ("phrase", *((i - kept[0][0], w) for i, w in kept))
+                known = key in number
+                part = of(key)
+                if not known:
+                    phrases += [(part, at, w, len(kept)) for at, w in key[1:]]
+            (need if positive else ban).add(part)
+            if positive:
+                own |= terms
+        if need:
+            wanted |= own
+            parsed.append((own, need | own, ban))
+    width = -(-max(len(number), 1) // BITS)
+    words = [(n, key[0], n in wanted) for key, n in number.items() if key[0] != "phrase" or len(key) == 1]
+    return words, phrases, [tuple(_masks(x, width) for x in c) for c in parsed], width
+
+
+def parse_questions(questions: DataFrame, web: bool = True, stemming: bool = False, stop_words: bool = False, scope: str | None = None) -> DataFrame:
+    """Questions (query_id, query) with their words, phrases and clauses, as arrays of rows."""
+    ship_package(questions.sparkSession)
+
+    @F.pandas_udf(f"struct<{_PARSED.replace(' array', ':array').replace(' int', ':int')}>")
+    def parse(queries: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_parse(q, web, stemming, stop_words) for q in queries], columns=["words", "phrases", "clauses", "width"])
+
+    own = F.coalesce(F.col(scope).cast("string"), F.lit("")) if scope else F.lit("")
+    return questions.select("query_id", own.alias("scope"), parse(F.col("query").cast("string")).alias("p")).select("query_id", "scope", "p.*")
+
+
+def _bits(no: Column, width: int) -> list[Column]:
+    """The masks of a part's number."""
+    one = F.lit(1).cast("long")
+    return [F.bit_or(F.when(F.floor(no / BITS) == i, F.call_function("shiftleft", one, (no % BITS).cast("int"))).otherwise(F.lit(0).cast("long"))).alias(f"m{i}") for i in range(width)]
+
+
+def _holds(width: int, need: str, ban: str | None = None) -> Column:
+    """Whether some clause has all that it needs in the masks, and nothing that it bans."""
+
+    def one(clause: Column) -> Column:
+        met = F.lit(True)
+        for i in range(width):  # a question with fewer parts has fewer masks
+            want = F.coalesce(F.get(clause[need], F.lit(i)), F.lit(0).cast("long"))
+            met &= F.col(f"m{i}").bitwiseAND(want) == want
+            if ban:
+                met &= F.col(f"m{i}").bitwiseAND(F.coalesce(F.get(clause[ban], F.lit(i)), F.lit(0).cast("long"))) == 0
+        return met
+
+    return F.exists("clauses", one)
+
+
+def _of_terms(part: DataFrame, words: DataFrame) -> DataFrame:
+    """The rows of an index for the words (scope, term) of the questions, before anything is shuffled where those are few."""
+    own = words.select("scope", "term").distinct()
+    few = own.limit(MOST_TERMS + 1).count() <= MOST_TERMS
+    return part.join(F.broadcast(own) if few else own, ["scope", "term"], "left_semi")
+
+
+def search_many(questions: DataFrame, index: TextIndex, k: int, web: bool = True, scope: str | None = None) -> DataFrame:
+    """R3, R4 for a table of questions (query_id, query): query_id, doc_id, score, rank.
+
+    ``web`` queries know OR, phrases and ``-``; plain ones want all their words.  Blank questions, and
+    those that only exclude, find nothing.  The ``k`` best of each question by score (six places),
+    then by id.  Scores count the wanted words of all alternatives.  ``scope`` names the questions' scope.
+    Exact: blocks are left out only if no document of theirs can match or reach the k-th best score.
+    The words of the questions and their weights, the blocks' bounds and the first hits are written, as later steps read them more than once.
+    """
+    asked = written(parse_questions(questions, web, index.stemming, index.stop_words, scope), "asked")
+    width = (asked.agg(F.max("width").alias("width")).first() or [None])[0] or 1  # one number
+    clauses = asked.select("query_id", "clauses")
+    words = asked.select("query_id", "scope", F.inline("words"))
+    peaks, postings = (_of_terms(x, words) for x in (index.peaks, index.postings))
+    places = _of_terms(index.places, asked.select("scope", F.inline("phrases")))
+    df = peaks.groupBy("scope", "term").agg(F.sum("df").alias("df"))
+    weights = words.join(df, ["scope", "term"]).join(index.sizes, "scope").select("query_id", "scope", "term", "no", F.when(F.col("scored"), _rarity()).otherwise(0.0).alias("rarity"), "mean")
+    weights = written(weights, "weights")
+    bounds = weights.join(peaks.select("scope", "term", "block", "peak"), ["scope", "term"])
+    bounds = bounds.groupBy("query_id", "scope", "block").agg(F.sum(F.col("rarity") * F.col("peak")).alias("bound"), *_bits(F.col("no"), width))
+    bounds = written(bounds.join(clauses, "query_id").where(_holds(width, "words")).select("query_id", "scope", "block", "bound"), "bounds")
+
+    def hits(chosen: DataFrame) -> DataFrame:
+        """The documents of (query_id, scope, block) that match, with their scores."""
+        met = chosen.join(weights, ["query_id", "scope"]).join(postings, ["scope", "term", "block"])
+        met = met.groupBy("query_id", "scope", "block", "doc_id").agg(F.sum(F.col("rarity") * _weight()).alias("score"), *_bits(F.col("no"), width))
+        met = met.join(clauses, "query_id").where(_holds(width, "words"))
+        # Phrases: places moved back by the place in the phrase meet at its start.
+        spots = met.select("query_id", "scope", "block", "doc_id").join(asked.select("query_id", F.inline("phrases")), "query_id")
+        spots = spots.join(places, ["scope", "term", "block", "doc_id"]).groupBy("query_id", "doc_id", "no", "size", (F.col("place") - F.col("at")).alias("start"))
+        whole = spots.agg(F.size(F.collect_set("at")).alias("n")).where("n = size").groupBy("query_id", "doc_id").agg(*(c.alias(f"p{i}") for i, c in enumerate(_bits(F.col("no"), width))))
+        both = met.join(whole, ["query_id", "doc_id"], "left").withColumns({f"m{i}": F.col(f"m{i}").bitwiseOR(F.coalesce(f"p{i}", F.lit(0).cast("long"))) for i in range(width)})
+        return both.where(_holds(width, "need", "ban")).select("query_id", "doc_id", "score")
+
+    ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block"))
+    first = bounds.withColumn("_n", ranked).where(F.col("_n") <= FIRST_BLOCKS).select("query_id", "scope", "block")
+    best = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "doc_id")
+    early = written(hits(first).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"), "early")
+    floor = early.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
+    late = bounds.join(first, ["query_id", "scope", "block"], "left_anti").join(floor, "query_id", "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - SLACK))
+    found = early.unionByName(hits(late.select("query_id", "scope", "block")))
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
+
+
+# One query over a table that has no index ----------------------------------------------------------------
+
+
+def _scan(docs: DataFrame, clauses: list, k: int, doc_id: str, text: str, created: str | None) -> DataFrame:
+    """One pass for the counts and one for the hits; no word leaves its document."""
+    order = [F.desc(F.round("score", 6)), *([F.desc("_created")] if created else []), F.asc("doc_id")]
     terms = sorted({w for c in clauses for wanted, words in c if wanted for w in words})
-    if hits is None:
-        return docs.select(F.col(doc_id).alias("doc_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where(F.lit(False))
-    return _ranked(_bm25(hits.distinct(), postings, lengths, terms), docs, k, doc_id, created)
+    body = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), NO_WORD, " ")), F.lit(" "))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *([F.col(created).alias("_created")] if created else []), body.alias("body"))
+    holds = lambda words: F.contains("body", F.lit(f" {' '.join(words)} "))
+    n_terms = F.when(F.col("body") == "  ", 0).otherwise(F.length("body") - F.length(F.replace(F.col("body"), F.lit(" "))) - 1)
+    counts = rows.select(n_terms.alias("n_terms"), *(holds([t]).alias(f"h{i}") for i, t in enumerate(terms)))
+    counts = counts.agg(F.count(F.lit(1)).alias("n"), F.avg("n_terms").alias("mean"), *(F.count_if(f"h{i}").alias(f"df{i}") for i in range(len(terms))))
+    match = F.lit(False)
+    for clause in clauses:
+        own = F.lit(True)
+        for wanted, words in clause:
+            own &= holds(words) if wanted else ~holds(words)
+        match |= own
+    hits = rows.where(match).withColumn("n_terms", n_terms).withColumn("w", F.split("body", " ")).crossJoin(F.broadcast(counts))  # one row
+    score = F.lit(0.0)
+    for i, t in enumerate(terms):
+        tf = F.size(F.filter("w", lambda x: x == t))  # noqa: B023
+        part = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_terms") / F.col("mean")))
+        score += F.when(holds([t]), part).otherwise(0.0)
+    scored = hits.select("doc_id", *(["_created"] if created else []), score.alias("score"))
+    top = scored.orderBy(*order).limit(k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("doc_id", "score", "rank")  # at most k rows
+
+
+def search_plain(docs: DataFrame, query: str, k: int, doc_id: str = "doc_id", text: str = "text", created: str | None = None) -> DataFrame:
+    """Documents with all words of the query; doc_id, score, rank.  A blank query finds nothing."""
+    return _scan(docs, parse_plain_query(query), k, doc_id, text, created)
+
+
+def search_web(docs: DataFrame, query: str, k: int, doc_id: str = "doc_id", text: str = "text", created: str | None = None) -> DataFrame:
+    """Web syntax; words of a clause in a row make a phrase when they were quoted together."""
+    return _scan(docs, parse_web_query(query), k, doc_id, text, created)
 
 
 def or_query(keywords: Column, question: Column) -> Column:

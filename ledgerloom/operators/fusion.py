@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import recency_weight
+from ..session import written
+from .fulltext import TextIndex, search_many
 from .register import build_context, permission_filter
+from .similarity import vector_topk
 
 RRF_K = 60
 ENTITY_BOOST = 0.5
@@ -90,16 +93,18 @@ def resolve_citations(answers: DataFrame, matches: DataFrame, item: str = "decis
     return cited.join(matches.select("query_id", "position", item), ["query_id", "position"])
 
 
-def search_batch(questions: DataFrame, ranked: DataFrame, decisions: DataFrame, top_k: int = 5, scores: DataFrame | None = None) -> DataFrame:
+def search_batch(questions: DataFrame, ranked: DataFrame, decisions: DataFrame, top_k: int = 5, scores: DataFrame | None = None, as_of: Column | None = None) -> DataFrame:
     """Many questions in one plan: fusion, permission, rerank, cut, context and counts.
 
     ``questions`` has query_id, scopes and entities; ``ranked`` the lists of each query
-    (query_id, list, rank, decision_id); ``scores`` optional model scores.
+    (query_id, list, rank, decision_id); ``scores`` optional model scores.  With ``as_of`` newer
+    decisions weigh more (R7).
     """
     k, fetch = effective_k(top_k)
-    fused = rrf(ranked, top_k=fetch)
+    keyed = decisions.withColumnRenamed("id", "decision_id")
+    fused = rrf(ranked, top_k=fetch) if as_of is None else rrf_recent(ranked, keyed, as_of, top_k=fetch)
     text = F.concat_ws("\n", "decision_statement", "rationale")
-    rows = fused.join(decisions.withColumnRenamed("id", "decision_id"), "decision_id").join(questions.select("query_id", "scopes"), "query_id")
+    rows = fused.join(keyed, "decision_id").join(questions.select("query_id", "scopes"), "query_id")
     allowed = permission_filter(rows, F.col("scopes")).withColumn("rank", F.col("position")).withColumn("text", text).drop("position")
     scores = scores if scores is not None else allowed.select("query_id", "decision_id", F.lit(None).cast("double").alias("score")).where(F.lit(False))
     final = entity_boost_rerank(allowed, scores, questions, k)
@@ -113,6 +118,35 @@ def search_batch(questions: DataFrame, ranked: DataFrame, decisions: DataFrame,
     return out.fillna(0, ["retrieved", "authorized", "final", "tokens"])
 
 
+def ranked_lists(questions: DataFrame, vectors: DataFrame | None, index: TextIndex | None, size: int, mode: str = "hybrid_rrf", top_k: int = 5, multi: bool = False) -> DataFrame:
+    """The lists of a mode (semantic_only, keyword_only, hybrid_rrf) for a table of questions: query_id, list, rank, decision_id.
+
+    ``questions`` has query_id, tenant_id, query (web syntax) and embedding; ``vectors`` id, tenant_id and
+    embedding; ``index`` is scoped by tenant.  Either list is as long as L3 asks for, and of the question's tenant only.
+    """
+    fetch = effective_k(top_k, multi)[1]
+    lists = []
+    if mode in ("semantic_only", "hybrid_rrf"):
+        near = vector_topk(questions.where("embedding IS NOT NULL"), vectors, fetch, size, vec_id="id", block="tenant_id", most=2 * MAX_TOP_K)
+        lists.append(near.select("query_id", F.lit("a_semantic").alias("list"), "rank", F.col("vec_id").alias("decision_id")))
+    if mode in ("keyword_only", "hybrid_rrf"):
+        words = search_many(questions, index, fetch, scope="tenant_id")
+        lists.append(words.select("query_id", F.lit("b_keyword").alias("list"), "rank", F.col("doc_id").alias("decision_id")))
+    if not lists:
+        raise ValueError("mode must be semantic_only, keyword_only or hybrid_rrf")
+    lists = [written(x, "ranked") for x in lists]  # short, and read by every part of the answer
+    return lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
+
+
+def search_questions(questions: DataFrame, decisions: DataFrame, vectors: DataFrame | None, index: TextIndex | None, size: int, mode: str = "hybrid_rrf", top_k: int = 5, scores: DataFrame | None = None, as_of: Column | None = None) -> DataFrame:
+    """R10 from the questions themselves: vector and full-text search, fusion, permissions, rerank, cut, context.
+
+    One row for each question, with counts, the decisions of the answer in order and its context text.
+    See ``ranked_lists`` and ``search_batch`` for the columns of the inputs.
+    """
+    return search_batch(questions, ranked_lists(questions, vectors, index, size, mode, top_k), decisions, top_k, scores, as_of)
+
+
 def tool_usage(calls: DataFrame) -> DataFrame:
     """Logged tool calls and their results: calls, mean latency and distinct decisions for each tenant and tool."""
     each = calls.withColumn("d", F.explode_outer("result_decision_ids"))

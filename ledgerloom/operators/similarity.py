@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,49 +38,52 @@ def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, size: int, query_id: str = "query_id", vec_id: str = "vec_id", column: str = "embedding", block: str | None = None) -> DataFrame:
-    """For each query the ``k`` (1..50) vectors of highest cosine, ties by id.
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, size: int, query_id: str = "query_id", vec_id: str = "vec_id", column: str = "embedding", block: str | None = None, most: int = 50) -> DataFrame:
+    """For each query the ``k`` (1 to ``most``) vectors of highest cosine, ties by id.
 
-    Columns: query_id, vec_id, similarity, rank.  With ``block`` only vectors of the query's own
-    block count.  Queries and vectors are dealt to tiles of at most ``TILE`` rows; a task meets one
-    tile of each and returns its best ``k`` of each query, so nothing passes through the driver and
-    what is shuffled is queries x k x vector tiles rows.  A vector is sent once for each query tile.
+    Columns: query_id, vec_id (numbers or strings, as they come), similarity, rank.  With ``block`` only
+    vectors of the query's own block count.  Queries and vectors are dealt to tiles of at most ``TILE``
+    rows; a task meets one tile of each and returns its best ``k`` of each query, so nothing passes
+    through the driver and what is shuffled is queries x k x vector tiles rows.  A vector is sent once
+    for each query tile.
     """
-    if not 1 <= k <= 50:
-        raise ValueError("k must be between 1 and 50")
+    if not 1 <= k <= most:
+        raise ValueError(f"k must be between 1 and {most}")
     ship_package(queries.sparkSession)
-    own = lambda df, key, name: df.select(F.col(key).cast("long").alias(name), F.col(column).cast("array<float>").alias("v"), (F.col(block).cast("string") if block else F.lit("")).alias("b"))
-    wanted, rows = own(queries, query_id, "i"), own(vectors, vec_id, "i")
+    own = lambda df, key, name: df.select(F.col(key).alias(name), F.col(column).cast("array<float>").alias("v"), (F.col(block).cast("string") if block else F.lit("")).alias("b"))
+    wanted, rows = own(queries, query_id, "q"), own(vectors, vec_id, "i")
+    kinds = wanted.schema["q"].dataType.simpleString(), rows.schema["i"].dataType.simpleString()
     sizes = wanted.agg(F.count(F.lit(1)).alias("q")).crossJoin(rows.agg(F.count(F.lit(1)).alias("v"))).first()  # two counts
     across, down = max(1, -(-sizes["q"] // TILE)), max(1, -(-sizes["v"] // (4 * TILE)))
-    tile = lambda n: F.pmod(F.xxhash64("i"), F.lit(n)).cast("int")
-    asked = wanted.select("i", "v", "b", F.lit(True).alias("ask"), tile(across).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("y"))
-    given = rows.select("i", "v", "b", F.lit(False).alias("ask"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("x"), tile(down).alias("y"))
+    tile = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    asked = wanted.select("q", F.lit(None).cast(kinds[1]).alias("i"), "v", "b", F.lit(True).alias("ask"), tile("q", across).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("y"))
+    given = rows.select(F.lit(None).cast(kinds[0]).alias("q"), "i", "v", "b", F.lit(False).alias("ask"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("x"), tile("i", down).alias("y"))
 
     def best(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        ids, ask = group.column("i").to_numpy(), group.column("ask").to_numpy()
+        ask = group.column("ask").to_numpy()
+        keys, ids = (group.column(c).filter(pa.array(mask)).combine_chunks() for c, mask in (("q", ask), ("i", ~ask)))
         m, blocks = _matrix(group.column("v").combine_chunks(), size), np.array(group.column("b").to_pylist(), object)
-        order = np.argsort(ids[~ask], kind="stable")  # equal values keep the order of ids
-        q, v, vi = np.flatnonzero(ask), np.flatnonzero(~ask)[order], ids[~ask][order]
-        out: list[list[np.ndarray]] = [[], [], []]
+        order = pc.sort_indices(ids)  # equal values keep the order of ids
+        ids, v, q = ids.take(order), np.flatnonzero(~ask)[order.to_numpy()], np.flatnonzero(ask)
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
         for start in range(0, len(q) if len(v) else 0, 256):
             part = q[start : start + 256]
             sims = np.round(m[part] @ m[v].T, 12)  # as equal vectors may differ in the last bits from tile to tile
             if block:
                 sims = np.where(blocks[part][:, None] == blocks[v][None, :], sims, -np.inf)
-            most = min(k, sims.shape[1])
-            floor = np.partition(sims, sims.shape[1] - most, axis=1)[:, sims.shape[1] - most]
+            least = min(k, sims.shape[1])
+            floor = np.partition(sims, sims.shape[1] - least, axis=1)[:, sims.shape[1] - least]
             r, c = np.nonzero((sims >= floor[:, None]) & np.isfinite(sims))
             at = np.lexsort((c, -sims[r, c], r))
             r, c = r[at], c[at]
             place = np.arange(len(r)) - np.searchsorted(r, r)
-            for o, x in zip(out, (ids[part][r], vi[c], sims[r, c])):
+            for o, x in zip(out, (start + r, c, sims[r, c])):
                 o.append(x[place < k])
-        cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        return pa.table({"query_id": cat(out[0], np.int64), "vec_id": cat(out[1], np.int64), "similarity": cat(out[2], np.float64)})
+        rows_, found, sims = map(np.concatenate, out)
+        return pa.table({"query_id": keys.take(pa.array(rows_)), "vec_id": ids.take(pa.array(found)), "similarity": sims})
 
-    found = asked.unionByName(given).groupBy("x", "y").applyInArrow(best, "query_id long, vec_id long, similarity double")
+    found = asked.unionByName(given).groupBy("x", "y").applyInArrow(best, f"query_id {kinds[0]}, vec_id {kinds[1]}, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -9,7 +9,7 @@ from ..operators import fulltext, fusion, governance, ingest, register, reports,
 from ..sources import tables as stored
 from .base import query, table
 from .model import REGISTER, register_tables, text
-from .search_queries import RANKED, SIZE, bm25_sql, ranked
+from .search_queries import RANKED, SIZE, WORDS, bm25_sql, ranked, word_index
 
 LIVE = "EXISTS (SELECT 1 FROM decisions d WHERE d.id = x.decision_id)"
 ACTORS = """
@@ -318,22 +318,18 @@ def search_batch(spark, d):
     return out.select("query_id", "retrieved", "authorized", "final", F.coalesce(F.array_join(F.transform("decision_ids", lambda x: x.cast("string")), "|"), F.lit("")).alias("ids"))
 
 
-@query("""
-WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents),
-n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t), q(query_id, term) AS (VALUES (1, 'that'), (1, 'with'), (2, 'worthless'), (2, 'the'), (3, 'edble'), (5, 'nosuchword'), (5, 'the')),
-wanted AS (SELECT query_id, count(*) AS wanted FROM q GROUP BY 1), terms AS (SELECT DISTINCT term FROM q),
-p AS (SELECT doc_id, len(w) AS dl, term, len(list_filter(w, lambda x: x = term)) AS tf FROM t, terms), f AS (SELECT term, count(*) AS df FROM p WHERE tf > 0 GROUP BY 1),
-s AS (SELECT query_id, doc_id, sum(ln(1 + (n.n - f.df + 0.5) / (f.df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / n.mean))) AS score, count(*) AS m FROM q JOIN p USING (term) JOIN f USING (term), n WHERE tf > 0 GROUP BY 1, 2)
+@query(rf"""{WORDS},
+n AS (SELECT count(*) AS n, avg(dl) AS mean FROM b),
+q AS (SELECT doc_id AS query_id, unnest(list_distinct(list_filter([w[1], w[9]], lambda x: x IS NOT NULL))) AS term FROM b WHERE doc_id % 20 = 0 UNION ALL SELECT doc_id, 'nosuchword' FROM b WHERE doc_id % 100 = 0),
+wanted AS (SELECT query_id, count(*) AS wanted FROM q GROUP BY 1),
+p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, dl, unnest(w) AS term FROM b) WHERE term IN (SELECT term FROM q) GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+s AS (SELECT query_id, doc_id, sum(ln(1 + (n.n - f.df + 0.5) / (f.df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / n.mean))) AS score, count(*) AS m FROM q JOIN p USING (term) JOIN f USING (term), n GROUP BY 1, 2)
 SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s JOIN wanted USING (query_id) WHERE m = wanted QUALIFY rank <= 40""")
 def search_many(spark, d):
-    """A table of questions against a written index, in one plan."""
-    from uuid import uuid4
-
-    from ..session import shared_folder
-
-    index = fulltext.write_index(fulltext.text_index(table(spark, d, "documents")), f"{shared_folder(spark)}/index-{uuid4().hex}")
-    asked = spark.createDataFrame([(1, "That with"), (2, "the WORTHLESS, the"), (3, "edble"), (4, "  "), (5, "the nosuchword")], "query_id int, query string")
-    return fulltext.search_many(asked, index, 40).withColumn("score", F.round("score", 6))
+    """All words of a question, for a question of each twentieth document, against a written index."""
+    docs = table(spark, d, "documents").where("doc_id % 20 = 0").withColumn("w", fulltext.tokens(F.col("text")))
+    words = F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(8)), F.when(F.col("doc_id") % 100 == 0, "NoSuchWord"))
+    return fulltext.search_many(docs.select(F.col("doc_id").alias("query_id"), words.alias("query")), word_index(spark, d), 40, web=False).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'q ' || source ELSE lang || ' OR ' || source END AS question FROM documents")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
 from ..operators import fulltext, fusion, register, similarity
+from ..session import shared_folder
 from .base import query, table
 from .report_queries import AS_OF
 
@@ -80,16 +82,19 @@ def near_dup_report(spark, d):
     return similarity.near_dup_pair_report(pairs(spark, d, 0.3).select(F.col("a").alias("older"), F.col("b").alias("newer"), "similarity"))
 
 
+WORDS = r"""
+WITH t AS (SELECT doc_id, lang, source, text, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT *, len(w) AS dl, ' ' || array_to_string(w, ' ') || ' ' AS body FROM t)"""
+
+
 def bm25_sql(terms: list[str], where: str) -> str:
     words = ", ".join(f"'{t}'" for t in terms)
-    return f"""
-WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents),
-n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t),
-p AS (SELECT doc_id, len(w) AS dl, term, len(list_filter(w, lambda x: x = term)) AS tf FROM t, (SELECT unnest([{words}]) AS term)),
+    return f"""{WORDS},
+n AS (SELECT count(*) AS n, avg(dl) AS mean FROM b),
+p AS (SELECT doc_id, dl, term, len(list_filter(w, lambda x: x = term)) AS tf FROM b, (SELECT unnest([{words}]) AS term)),
 f AS (SELECT term, count(*) AS df FROM p WHERE tf > 0 GROUP BY 1),
-hits AS (SELECT doc_id, ' ' || array_to_string(w, ' ') || ' ' AS body FROM t),
 s AS (SELECT p.doc_id, sum(ln(1 + (n.n - f.df + 0.5) / (f.df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / n.mean))) AS score
-  FROM p JOIN f ON f.term = p.term, n WHERE tf > 0 AND p.doc_id IN (SELECT doc_id FROM hits WHERE {where}) GROUP BY 1),
+  FROM p JOIN f ON f.term = p.term, n WHERE tf > 0 AND p.doc_id IN (SELECT doc_id FROM b WHERE {where}) GROUP BY 1),
 r AS (SELECT doc_id, score, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s)
 SELECT doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 50"""
 
@@ -104,6 +109,75 @@ def search_web(spark, d):
     return fulltext.search_web(table(spark, d, "documents"), 'edble "of the" -idiot OR worthless', 50).withColumn("score", F.round("score", 6))
 
 
+def word_index(spark, d, **options):
+    """An index of all documents in the shared folder."""
+    return fulltext.write_index(table(spark, d, "documents"), f"{shared_folder(spark)}/index-{uuid4().hex}", **options)
+
+
+def questions(spark, d):
+    """A question for each twentieth vector, made of words of its document: two alternatives, a phrase, a banned word; its language is the tenant."""
+    v = table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    docs = table(spark, d, "documents").withColumn("w", fulltext.tokens(F.col("text")))
+    word = lambda i: F.coalesce(F.get("w", F.lit(i)), F.lit(""))
+    asked = F.concat(F.lit('"'), word(1), F.lit('" OR "'), word(3), F.lit(" "), word(4), F.lit('" -'), word(6))
+    docs = docs.select(F.col("doc_id").alias("query_id"), F.col("lang").alias("tenant_id"), asked.alias("query"), F.array(word(1)).alias("entities"), F.array(F.lit("src1"), F.lit("src2"), F.lit("src3"), F.lit("src7")).alias("scopes"))
+    return v.join(docs, "query_id")
+
+
+#: The same questions, and their documents by score; {scope} is the language or nothing.
+def asked_sql(scoped: bool, k: int) -> str:
+    same = "b.lang = q.lang" if scoped else "TRUE"
+    size = "lang, count(*) AS n, avg(dl) AS mean FROM b GROUP BY 1" if scoped else "count(*) AS n, avg(dl) AS mean FROM b"
+    return f"""{WORDS},
+q AS (SELECT v.vec_id AS query_id, v.embedding, t.lang, coalesce(t.w[2], '') AS a, trim(coalesce(t.w[4], '') || ' ' || coalesce(t.w[5], '')) AS p, coalesce(t.w[7], '') AS c FROM embeddings v JOIN t ON t.doc_id = v.vec_id WHERE v.vec_id % 20 = 0),
+n AS (SELECT {size}),
+terms AS (SELECT DISTINCT query_id, lang, term FROM (SELECT query_id, lang, a AS term FROM q UNION ALL SELECT query_id, lang, unnest(string_split(p, ' ')) FROM q) WHERE term <> ''),
+own AS (SELECT DISTINCT {"lang, " if scoped else ""}term FROM terms),
+tf AS (SELECT b.doc_id, b.lang, b.dl, u.term, count(*) AS tf FROM b, unnest(b.w) AS u(term) WHERE u.term IN (SELECT term FROM own) GROUP BY ALL),
+df AS (SELECT {"lang, " if scoped else ""}term, count(*) AS df FROM tf GROUP BY ALL),
+hit AS (SELECT q.query_id, b.doc_id FROM q JOIN b ON {same} WHERE (q.a <> '' AND contains(b.body, ' ' || q.a || ' ')) OR (q.p <> '' AND contains(b.body, ' ' || q.p || ' ') AND (q.c = '' OR NOT contains(b.body, ' ' || q.c || ' ')))),
+s AS (SELECT h.query_id, h.doc_id, sum(ln(1 + (n.n - df.df + 0.5) / (df.df + 0.5)) * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * tf.dl / n.mean))) AS score
+  FROM hit h JOIN terms t ON t.query_id = h.query_id JOIN tf ON tf.doc_id = h.doc_id AND tf.term = t.term JOIN df ON df.term = t.term {"AND df.lang = tf.lang JOIN n ON n.lang = tf.lang" if scoped else "CROSS JOIN n"} GROUP BY 1, 2),
+found AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s QUALIFY rank <= {k})
+"""
+
+
+@query(asked_sql(False, 40) + "SELECT * FROM found")
+def search_questions_web(spark, d):
+    """R2, R4 for a table of questions: alternatives, phrases and banned words against a written index, in one plan."""
+    return fulltext.search_many(questions(spark, d), word_index(spark, d), 40).withColumn("score", F.round("score", 6))
+
+
+@query(asked_sql(True, 20) + """
+, sem AS (SELECT q.query_id, v.vec_id AS doc_id, row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 12) DESC, v.vec_id) AS rank
+  FROM q JOIN b ON b.lang = q.lang JOIN embeddings v ON v.vec_id = b.doc_id QUALIFY rank <= 20),
+modes AS (SELECT unnest(['semantic_only', 'keyword_only', 'hybrid_rrf']) AS mode),
+l AS (SELECT mode, query_id, 'a_semantic' AS list, doc_id, rank FROM sem, modes WHERE mode <> 'keyword_only' UNION ALL SELECT mode, query_id, 'b_keyword', doc_id, rank FROM found, modes WHERE mode <> 'semantic_only'),
+f AS (SELECT mode, query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min((list, rank)) AS first FROM l GROUP BY ALL),
+o AS (SELECT mode, query_id, doc_id, row_number() OVER (PARTITION BY mode, query_id ORDER BY round(score, 12) DESC, first, doc_id) AS position FROM f QUALIFY position <= 20),
+v AS (SELECT o.*, b.text, q.a, CASE WHEN o.query_id % 40 = 0 THEN ((doc_id * 31 + o.query_id) % 100) / 100.0 + CASE WHEN q.a <> '' AND contains(lower(b.text), q.a) THEN 0.5 ELSE 0 END END AS final_score
+  FROM o JOIN b USING (doc_id) JOIN q ON q.query_id = o.query_id WHERE b.source IN ('src1', 'src2', 'src3', 'src7')),
+r AS (SELECT *, row_number() OVER (PARTITION BY mode, query_id ORDER BY final_score DESC NULLS LAST, position, doc_id) AS place FROM v QUALIFY place <= 7),
+x AS (SELECT mode, query_id, count(*) AS final, string_agg(doc_id::VARCHAR, '|' ORDER BY place) AS ids, string_agg(repeat('-', 50) || E'\\nDecision ' || place || E'\\nStatement: ' || text || E'\\nRationale: Not provided\\nAlternatives: None\\nConfidence: 50%\\n' || repeat('-', 50), E'\\n\\n' ORDER BY place) AS context FROM r GROUP BY ALL)
+SELECT m.mode, q.query_id, (SELECT count(*) FROM o WHERE o.mode = m.mode AND o.query_id = q.query_id) AS retrieved, (SELECT count(*) FROM v WHERE v.mode = m.mode AND v.query_id = q.query_id) AS authorized,
+  coalesce(x.final, 0) AS final, coalesce(x.ids, '') AS ids, md5(coalesce(x.context, '')) AS context_md5, coalesce(floor(length(x.context) / 4)::BIGINT, 0) AS tokens
+FROM q CROSS JOIN modes m LEFT JOIN x ON x.mode = m.mode AND x.query_id = q.query_id""")
+def search_questions(spark, d):
+    """From questions to answers in each mode: R1 and R4, fusion, permissions, rerank, cut, context text and counts."""
+    docs = table(spark, d, "documents")
+    asked, index = questions(spark, d), word_index(spark, d, scope="lang")
+    vectors = table(spark, d, "embeddings").join(docs.select(F.col("doc_id").alias("vec_id"), F.col("lang").alias("tenant_id")), "vec_id").withColumnRenamed("vec_id", "id")
+    decisions = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("decision_statement"), F.lit(None).cast("string").alias("rationale"), F.array().cast("array<string>").alias("alternatives_considered"), F.lit(0.5).alias("confidence"), F.array("source").alias("permission_scope"))
+    judged = asked.where("query_id % 40 = 0").select("query_id", F.col("tenant_id").alias("lang")).join(docs, "lang")
+    scores = judged.select("query_id", F.col("doc_id").alias("decision_id"), ((F.col("doc_id") * 31 + F.col("query_id")) % 100 / 100.0).alias("score"))
+    out = None
+    for mode in ("semantic_only", "keyword_only", "hybrid_rrf"):
+        one = fusion.search_questions(asked, decisions, vectors, index, SIZE, mode, 5, scores).withColumn("mode", F.lit(mode))
+        out = one if out is None else out.unionByName(one)
+    ids = F.array_join(F.transform("decision_ids", lambda x: x.cast("string")), "|")
+    return out.select("mode", "query_id", "retrieved", "authorized", "final", F.coalesce(ids, F.lit("")).alias("ids"), F.md5(F.coalesce("context", F.lit(""))).alias("context_md5"), "tokens")
+
+
 #: Two rankings of each language's documents: by size, and by how often e occurs.
 RANKED = """
 WITH l AS (SELECT lang AS query_id, 'a' AS list, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents

@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import zipfile
 from pathlib import Path
+from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -57,3 +58,17 @@ def shared_folder(spark: SparkSession) -> str:
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="ledgerloom-"))
     return _own_folder[0]
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as a table in the shared folder: what several parts of a plan read is computed once and outlives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{tag}-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -87,9 +87,12 @@ def test_full_text(spark):
     assert found(fulltext.search_web(df, "brown -dogs", 9)) == [1, 5]
     assert found(fulltext.search_web(df, "lazy OR foxes", 9)) == [2, 3]
     assert found(fulltext.search_web(df, "-quick", 9)) == []
-    postings, lengths = fulltext.text_index(df, stemming=True, stop_words=True)
-    terms = {r["term"] for r in postings.collect()}
-    assert "dog" in terms and "dogs" not in terms and "the" not in terms and lengths.count() == 5
+    index = fulltext.text_index(df, stemming=True, stop_words=True)
+    terms = {r["term"] for r in index.postings.collect()}
+    assert "dog" in terms and "dogs" not in terms and "the" not in terms and index.sizes.first()["n"] == 5
+    asked = spark.createDataFrame([(1, '"the dog"'), (2, "foxes jumped OR sleeping"), (3, "the"), (4, None)], "query_id long, query string")
+    got = {(r["query_id"], r["doc_id"]) for r in fulltext.search_many(asked, index, 9).collect()}
+    assert got == {(1, 2), (1, 3), (2, 3)}
     one = df.select(F.array(F.lit("a"), F.lit("b")).alias("k"), F.array().cast("array<string>").alias("e")).limit(1)
     assert tuple(one.select(fulltext.or_query(F.col("k"), F.lit("q")), fulltext.or_query(F.col("e"), F.lit("q"))).first()) == ("a OR b", "q")
 
@@ -176,12 +179,75 @@ def test_topk_in_tiles(spark, monkeypatch, tile, block):
     assert similarity.vector_topk(q.where("false"), df, 6, 8).count() == 0 and similarity.vector_topk(q, df.where("false"), 6, 8).count() == 0
 
 
-def test_many_questions_equal_single_ones(spark):
+SINGLE = {}
+COLOURS = ["red", "green", "blue", "old", "new", "très", "größe", "東京"]
+
+
+@pytest.mark.parametrize("many_blocks", [False, True])
+def test_many_questions_equal_single_ones(spark, monkeypatch, tmp_path, many_blocks):
+    """Words, alternatives, phrases and banned words; in one block, and in many with few scored first."""
+    if many_blocks:
+        monkeypatch.setattr(fulltext, "BLOCK", 3)
+        monkeypatch.setattr(fulltext, "FIRST_BLOCKS", 1)
     rng = random.Random(2)
-    docs = spark.createDataFrame([(i, " ".join(rng.choices(["red", "green", "blue", "old", "new"], k=rng.randrange(0, 12)))) for i in range(80)] + [(99, None)], "doc_id long, text string")
-    index = fulltext.text_index(docs)
-    asked = ["red new", "old", "blue! GREEN", "absent", "", "red absent"]
-    rows = fulltext.search_many(spark.createDataFrame(list(enumerate(asked)), "query_id long, query string"), index, 9).collect()
-    for i, query in enumerate(asked):
-        one = [(r["doc_id"], round(r["score"], 6), r["rank"]) for r in fulltext.search_plain(docs, query, 9).orderBy("rank").collect()]
-        assert sorted(((r["doc_id"], round(r["score"], 6), r["rank"]) for r in rows if r["query_id"] == i), key=lambda x: x[2]) == one
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(COLOURS, k=rng.randrange(0, 14)))) for i in range(120)] + [(199, None)], "doc_id long, text string")
+    asked = ["red new", "old", "blue! GREEN", "absent", "", "red absent", "-red", "red -new", '"red new" OR "blue old green"', 'TRÈS -"größe red" OR 東京', "red OR -blue", '"red red"', " ".join(f"absent{i} OR" for i in range(70)) + " blue"]
+    index = fulltext.write_index(docs, f"{tmp_path}/index") if many_blocks else fulltext.text_index(docs)
+    questions = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    for web, single in ((True, fulltext.search_web), (False, fulltext.search_plain)):
+        rows = fulltext.search_many(questions, index, 9, web=web).collect()
+        for i, query in enumerate(asked if web else asked[:6]):
+            if (web, i) not in SINGLE:
+                SINGLE[web, i] = [(r["doc_id"], round(r["score"], 5), r["rank"]) for r in single(docs, query, 9).orderBy("rank").collect()]
+            assert sorted(((r["doc_id"], round(r["score"], 5), r["rank"]) for r in rows if r["query_id"] == i), key=lambda x: x[2]) == SINGLE[web, i], query
+    if many_blocks:
+        assert index.peaks.select("block").distinct().count() > 20
+        scoped = fulltext.write_index(docs.withColumn("t", F.lit("a")), f"{tmp_path}/scoped", scope="t")
+        text = plan(fulltext.search_many(questions.withColumn("t", F.lit("a")), scoped, 9, scope="t"))
+        assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_frequent_words_do_not_score_every_document(spark, monkeypatch, tmp_path):
+    """Every block holds the word; the peaks leave out most of them, and the best five are still exact."""
+    monkeypatch.setattr(fulltext, "BLOCK", 10)
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat(repeat('the ', cast(id % 40 as int)), 'the ', repeat('x ', cast(id % 199 as int))) AS text")
+    index = fulltext.write_index(docs, f"{tmp_path}/index")
+    out = fulltext.search_many(spark.createDataFrame([(1, "the")], "query_id long, query string"), index, 5).orderBy("rank").collect()
+    one = fulltext.search_plain(docs, "the", 5).orderBy("rank").collect()
+    assert [(r["doc_id"], r["rank"]) for r in out] == [(r["doc_id"], r["rank"]) for r in one]
+    peaks = index.peaks.where("term = 'the'")
+    reach = peaks.where(F.col("peak") * float(np.log(1 + 0.5 / 2000.5)) >= out[-1]["score"] - fulltext.SLACK)
+    assert peaks.count() > 150 and reach.count() < peaks.count() / 2
+
+
+def test_scopes_are_searched_apart(spark):
+    """A tenant's question finds that tenant's decisions only, and its words are as rare as they are there."""
+    docs = spark.createDataFrame([(1, "a", "red house"), (2, "b", "red car"), (3, "b", "blue car"), (4, None, "red")], "doc_id long, tenant_id string, text string")
+    index = fulltext.text_index(docs, scope="tenant_id")
+    asked = spark.createDataFrame([(1, "a", "red"), (2, "b", "red OR blue"), (3, "c", "red")], "query_id long, tenant_id string, query string")
+    got = sorted((r["query_id"], r["doc_id"]) for r in fulltext.search_many(asked, index, 9, scope="tenant_id").collect())
+    assert got == [(1, 1), (2, 2), (2, 3)]
+
+
+def test_questions_to_answers(spark, tmp_path):
+    """String ids, three modes, tenants, questions without a vector or without words."""
+    rng = np.random.default_rng(4)
+    rows = [(f"d{i:02}", f"t{i % 2}", f"{'red' if i % 3 else 'blue'} plan {i}", None, [], 0.5, ["x"] if i % 5 == 0 else [], float(i)) for i in range(60)]
+    decisions = spark.createDataFrame(rows, "id string, tenant_id string, decision_statement string, rationale string, alternatives_considered array<string>, confidence double, permission_scope array<string>, at double")
+    unit = {r[0]: rng.normal(size=8) for r in rows}
+    vectors = spark.createDataFrame([(r[0], r[1], [float(x) for x in unit[r[0]]]) for r in rows], "id string, tenant_id string, embedding array<float>")
+    index = fulltext.write_index(decisions, f"{tmp_path}/index", "id", "decision_statement", scope="tenant_id")
+    asked = [("q1", "t0", "red", [float(x) for x in unit["d04"]], [], []), ("q2", "t1", None, [float(x) for x in unit["d05"]], ["x"], []), ("q3", "t1", "blue plan", None, [], []), ("q4", "t9", "blue", None, [], [])]
+    questions = spark.createDataFrame(asked, "query_id string, tenant_id string, query string, embedding array<float>, scopes array<string>, entities array<string>")
+    for mode in ("semantic_only", "keyword_only", "hybrid_rrf"):
+        got = {r["query_id"]: r for r in fusion.search_questions(questions, decisions, vectors, index, 8, mode).collect()}
+        near = {q: sorted((r[0] for r in rows if r[1] == t), key=lambda i: (-round(cosine(np.array(e, np.float32), unit[i].astype(np.float32)), 9), i))[:20] for q, t, _, e, _, _ in asked if e}
+        if mode == "semantic_only":
+            allowed = [i for i in near["q1"] if int(i[1:]) % 5][:7]
+            assert got["q1"]["decision_ids"] == allowed and got["q1"]["retrieved"] == 20 and got["q3"]["final"] == 0
+            assert got["q2"]["decision_ids"] == near["q2"][:7]
+        if mode == "keyword_only":
+            assert got["q3"]["final"] == 7 and all(int(i[1:]) % 3 == 0 and int(i[1:]) % 2 == 1 for i in got["q3"]["decision_ids"]) and got["q2"]["final"] == 0
+        assert got["q4"]["final"] == 0 and got["q4"]["retrieved"] == 0
+    with pytest.raises(ValueError):
+        fusion.ranked_lists(questions, vectors, index, 8, "other")
