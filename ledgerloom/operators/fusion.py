@@ -16,9 +16,25 @@ ENTITY_BOOST = 0.5
 MAX_TOP_K, CANDIDATES, MULTI_FLOOR, RERANK_FLOOR = 50, 20, 10, 7
 
 
-def rank_positions(lists: DataFrame, order: list[Column], keys: list[str] | None = None) -> DataFrame:
-    """1-based ranks in each list of each query."""
-    return lists.withColumn("rank", F.row_number().over(Window.partitionBy(*(keys or ["query_id", "list"])).orderBy(*order)))
+def rank_positions(lists: DataFrame, order: list[Column], keys: list[str] | None = None, most: int | None = None, name: str = "rank") -> DataFrame:
+    """1-based ranks in each list of each query; with ``most`` only the first ones of each list.
+
+    ``order`` must tell rows of a list apart.  The first ``most`` are picked task by task before any
+    list comes together.  Whole lists are ranked without ever being in one task: rows are sorted in
+    ranges of (list, order) and written, and a row's rank is its place in its range and the sum of the
+    list's rows in the ranges before.
+    """
+    keys = keys or ["query_id", "list"]
+    if most is not None:
+        return lists.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= most)
+    by = [*(F.col(k).asc() for k in keys), *order]
+    placed = written(lists.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    placed = placed.withColumn("_range", F.shiftright("_at", 33))
+    parts = placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_start"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("_before", F.coalesce(before, F.lit(0)) - F.col("_start")).drop("_n", "_start")
+    met = placed.alias("x").join(parts.alias("y"), [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in (*keys, "_range")])
+    return met.select(*(F.col(f"x.{c}") for c in lists.columns), (F.col("x._at") + F.col("y._before") + 1).cast("int").alias(name))
 
 
 def first_per_key(ranked: DataFrame, keys: list[str], rank: str = "rank") -> DataFrame:
@@ -32,20 +48,22 @@ def rrf(ranked: DataFrame, k: int = RRF_K, top_k: int | None = None, item: str =
     An item counts once for each list, by its best rank.  Ties keep the order of first sight: the
     lists by name, then the rank, then the item.
     """
+    scored = _fused(ranked, k, item)
+    return rank_positions(scored, [F.desc(F.round("score", 12)), F.asc("_first"), F.asc(item)], ["query_id"], top_k, "position").drop("_first")
+
+
+def _fused(ranked: DataFrame, k: int, item: str) -> DataFrame:
+    """Fusion scores, and where each item was seen first."""
     once = ranked.groupBy("query_id", "list", item).agg(F.min("rank").alias("rank"))
-    scored = once.groupBy("query_id", item).agg(F.sum(1.0 / (F.lit(float(k)) + F.col("rank"))).alias("score"), F.min(F.struct("list", "rank")).alias("_first"))
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "_first", item)
-    out = scored.withColumn("position", F.row_number().over(order)).drop("_first")
-    return out if top_k is None else out.where(F.col("position") <= top_k)
+    return once.groupBy("query_id", item).agg(F.sum(1.0 / (F.lit(float(k)) + F.col("rank"))).alias("score"), F.min(F.struct("list", "rank")).alias("_first"))
 
 
 def rrf_recent(ranked: DataFrame, created: DataFrame, as_of: Column, k: int = RRF_K, top_k: int | None = None, item: str = "decision_id") -> DataFrame:
-    """Fusion scores weighed by age; ``created`` has item and created_at."""
-    scored = rrf(ranked, k, None, item).join(created.select(item, "created_at"), item, "left")
-    scored = scored.withColumn("score", F.col("score") * recency_weight("created_at", as_of))
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "position", item)
-    out = scored.withColumn("position", F.row_number().over(order)).select("query_id", item, "score", "position")
-    return out if top_k is None else out.where(F.col("position") <= top_k)
+    """Fusion scores weighed by age, equal ones as fusion has them; ``created`` has item and created_at."""
+    scored = _fused(ranked, k, item).join(created.select(item, "created_at"), item, "left")
+    scored = scored.withColumn("_plain", F.round("score", 12)).withColumn("score", F.col("score") * recency_weight("created_at", as_of))
+    order = [F.desc(F.round("score", 12)), F.desc("_plain"), F.asc("_first"), F.asc(item)]
+    return rank_positions(scored, order, ["query_id"], top_k, "position").select("query_id", item, "score", "position")
 
 
 def retrieve(semantic: DataFrame | None, keyword: DataFrame | None, mode: str, top_k: int, item: str = "decision_id", created: DataFrame | None = None, as_of: Column | None = None) -> DataFrame:

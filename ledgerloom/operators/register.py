@@ -38,9 +38,9 @@ def filter_decisions(decisions: DataFrame, decision_actors: DataFrame | None = N
 
 
 def decisions_of_actor(decisions: DataFrame, decision_actors: DataFrame, actor_id: str) -> DataFrame:
-    """Decisions that name an actor."""
-    own = decision_actors.where(F.col("actor_id") == actor_id).select(F.col("decision_id").alias("id"))
-    return decisions.join(own, "id", "left_semi")
+    """Decisions that name an actor of their tenant."""
+    own = decision_actors.where(F.col("actor_id") == actor_id).select(F.col("decision_id").alias("id"), "tenant_id")
+    return decisions.join(own, ["id", "tenant_id"], "left_semi")
 
 
 def page(df: DataFrame, order: list[Column], limit: int = 50, offset: int = 0) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 
 TILE = 2048
+#: Cells of a block, about, at most; larger cells are cut into more tiles.
+MOST_PIVOTS = 1024
 
 
 def _matrix(column: pa.ListArray, size: int) -> np.ndarray:
@@ -88,38 +90,96 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, size: int, query
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _cells(rows: DataFrame, floor: float, size: int, tile: int) -> DataFrame:
+    """Each vector in its own cell, and in those where a partner of a lesser cell could be.
+
+    Of a block of more than ``tile`` vectors about one in ``tile`` (by a hash of its id) is a pivot; a
+    vector's own cell is that of the nearest pivot.  With u the angle of ``floor``, a partner y of a
+    vector x in the cell of p is at most u from x, and x is as near to p as to y's own pivot q, so
+    angle(y, p) <= angle(y, q) + 2u.  No other cell can hold a partner.
+    """
+    counts = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    counted = rows.join(counts, "block")
+    alone = counted.where(F.col("n") <= tile).select("i", "v", "block", F.lit(0).alias("cell"), F.lit(0).alias("own"))
+    large = counted.where(F.col("n") > tile)
+    dealt = F.pmod(F.xxhash64("i"), F.lit(1 << 30)) / float(1 << 30)
+    pivots = large.where(dealt * F.col("n") < F.least(F.col("n") / tile, F.lit(float(MOST_PIVOTS)))).select("block", "i", "v", "n")
+    chunks = F.ceil(F.col("n") / (8 * tile)).cast("int")
+    chunked = large.select("block", F.pmod(F.xxhash64("i", F.lit(1)), chunks).cast("int").alias("chunk"), "i", "v")
+    sent = pivots.select(F.col("block").alias("pivot_block"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("pivot_chunk"), F.col("i").alias("pivot"), F.col("v").alias("at"))
+    reach = 2 * float(np.arccos(np.clip(floor, -1, 1))) + 1e-6
+
+    def assign(vectors: pa.Table, near: pa.Table) -> pa.Table:
+        if not vectors.num_rows:
+            return vectors.select(["i", "v", "block"]).append_column("cell", pa.array([], pa.int32())).append_column("own", pa.array([], pa.int32()))
+        m = _matrix(vectors.column("v").combine_chunks(), size)
+        if near.num_rows:
+            near = near.sort_by("pivot")
+            p = _matrix(near.column("at").combine_chunks(), size)
+            row, cell, own = [], [], []
+            for start in range(0, len(m), 1024):
+                angle = np.arccos(np.clip(m[start : start + 1024] @ p.T, -1, 1))
+                home = angle.argmin(axis=1)
+                least = angle[np.arange(len(angle)), home]
+                # The own cell, and lesser ones within reach: a pair of two cells meets in the lesser one.
+                r, c = np.nonzero((angle <= least[:, None] + reach) & (np.arange(len(p))[None, :] <= home[:, None]))
+                row.append(start + r)
+                cell.append(c)
+                own.append(home[r])
+            row, cell, own = map(np.concatenate, (row, cell, own))
+        else:
+            row, cell, own = np.arange(len(m)), np.zeros(len(m), int), np.zeros(len(m), int)
+        out = vectors.select(["i", "v", "block"]).take(pa.array(row))
+        return out.append_column("cell", pa.array(cell, pa.int32())).append_column("own", pa.array(own, pa.int32()))
+
+    kind = rows.schema["i"].dataType.simpleString()
+    placed = chunked.groupBy("block", "chunk").cogroup(sent.groupBy("pivot_block", "pivot_chunk")).applyInArrow(assign, f"i {kind}, v array<double>, block string, cell int, own int")
+    return alone.unionByName(placed)
+
+
 def similar_pairs(vectors: DataFrame, floor: float, size: int, block: list[str], id_col: str = "vec_id", column: str = "embedding", tile: int = TILE) -> DataFrame:
-    """Unordered pairs (a < b, similarity) inside blocks with cosine at the floor or above.
+    """Unordered pairs (a < b, similarity) inside blocks with cosine at the floor or above; exact.
 
-    Every vector is sent to the tile pairs of its block that it takes part in: as many as the
-    block has tiles, which is one for blocks of up to ``tile`` vectors.
+    Large blocks are parted into cells around pivots, and a vector is sent only to cells that can hold
+    a partner (``_cells``): the higher the floor, the fewer.  A cell is cut into tiles of about ``tile``
+    vectors, and a task gets two of them, so no cell has to fit in one task either.  Ids may be
+    numbers or strings.
     """
     ship_package(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(column).cast("array<double>").alias("v"), F.to_json(F.struct(*block)).alias("block"))
-    counts = rows.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
-    placed = rows.join(counts, "block").withColumn("t", F.pmod(F.xxhash64("i"), F.col("tiles")).cast("int"))
-    # A tile meets itself and every other tile of the block once: (least, greatest).
-    sent = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumns({"lo": F.least("t", "o"), "hi": F.greatest("t", "o")})
+    rows = vectors.select(F.col(id_col).alias("i"), F.col(column).cast("array<double>").alias("v"), F.to_json(F.struct(*block)).alias("block"))
+    kind = rows.schema["i"].dataType.simpleString()
+    # Vectors that live in a cell meet each other and its guests, which do not meet each other.
+    placed = _cells(rows, floor, size, tile).withColumn("guest", F.col("own") != F.col("cell"))
+    parts = placed.groupBy("block", "cell").agg(F.ceil(F.count_if(~F.col("guest")) / tile).cast("int").alias("homes"), F.ceil(F.count_if("guest") / tile).cast("int").alias("guests"))
+    met = placed.join(parts, ["block", "cell"])
+    number = F.pmod(F.xxhash64("i", F.lit(2)), F.when(F.col("guest"), F.col("guests")).otherwise(F.col("homes"))).cast("int")
+    met = met.withColumn("t", number + F.when(F.col("guest"), F.col("homes")).otherwise(0))
+    # Tiles are numbered homes first; two tiles meet as (least, greatest), one of them of homes.
+    others = F.sequence(F.lit(0), F.when(F.col("guest"), F.col("homes") - 1).otherwise(F.col("homes") + F.col("guests") - 1))
+    sent = met.where(F.col("homes") > 0).withColumn("o", F.explode(others)).withColumns({"lo": F.least("t", "o"), "hi": F.greatest("t", "o")})
 
     def pairs(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        ids, tiles, lo, hi = (group.column(c).to_numpy() for c in ("i", "t", "lo", "hi"))
+        ids, tiles, lo, hi = group.column("i"), *(group.column(c).to_numpy() for c in ("t", "lo", "hi"))
+        order = pc.rank(ids, tiebreaker="min").to_numpy().astype(np.int64)
         m = _matrix(group.column("v").combine_chunks(), size)
         x, y = np.flatnonzero(tiles == lo[0]), np.flatnonzero(tiles == hi[0])
-        out_a, out_b, out_s = [], [], []
+        out_a, out_b, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for start in range(0, len(x), 512):
             part = x[start : start + 512]
             sims = m[part] @ m[y].T
             r, c = np.nonzero(sims >= floor)
-            a, b, s = ids[part[r]], ids[y[c]], sims[r, c]
-            keep = a < b if lo[0] == hi[0] else a != b
-            out_a.append(np.minimum(a, b)[keep])
-            out_b.append(np.maximum(a, b)[keep])
-            out_s.append(s[keep])
-        cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        return pa.table({"a": cat(out_a, np.int64), "b": cat(out_b, np.int64), "similarity": cat(out_s, np.float64)})
+            a, b, s = part[r], y[c], sims[r, c]
+            keep = order[a] < order[b] if lo[0] == hi[0] else order[a] != order[b]
+            a, b, s = a[keep], b[keep], s[keep]
+            turn = order[a] > order[b]
+            out_a.append(np.where(turn, b, a))
+            out_b.append(np.where(turn, a, b))
+            out_s.append(s)
+        a, b, s = map(np.concatenate, (out_a, out_b, out_s))
+        return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b)), "similarity": s})
 
-    return sent.select("i", "v", "t", "lo", "hi", "block").groupBy("block", "lo", "hi").applyInArrow(pairs, "a long, b long, similarity double")
+    return sent.select("i", "v", "t", "lo", "hi", "block", "cell").groupBy("block", "cell", "lo", "hi").applyInArrow(pairs, f"a {kind}, b {kind}, similarity double")
 
 
 def near_duplicate_pairs(decisions: DataFrame, floor: float = 0.96, size: int = 1024, block: list[str] | None = None, id_col: str = "id", created: str = "created_at", method: str = "exact", bands: int = 16, bits: int = 12) -> DataFrame:
@@ -131,7 +191,7 @@ def near_duplicate_pairs(decisions: DataFrame, floor: float = 0.96, size: int =
     block = block or ["tenant_id", "record_type"]
     live = decisions.where(F.col("superseded_by").isNull()) if "superseded_by" in decisions.columns else decisions
     found = similar_pairs(live, floor, size, block, id_col) if method == "exact" else lsh_pairs(live, floor, size, block, id_col, bands=bands, bits=bits)
-    at = live.select(F.col(id_col).cast("long").alias("i"), F.col(created).alias("at"))
+    at = live.select(F.col(id_col).alias("i"), F.col(created).alias("at"))
     met = found.join(at.select(F.col("i").alias("a"), F.col("at").alias("ta")), "a").join(at.select(F.col("i").alias("b"), F.col("at").alias("tb")), "b").where("ta != tb")
     first = F.col("ta") < F.col("tb")
     return met.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("older"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("newer"), "similarity")
@@ -161,11 +221,19 @@ def lsh_pairs(vectors: DataFrame, floor: float, size: int, block: list[str], id_
 
 
 def conflict_candidates(vectors: DataFrame, floor: float = 0.72, k: int = 3, size: int = 1024, block: list[str] | None = None, id_col: str = "id", new_ids: DataFrame | None = None) -> DataFrame:
-    """For each (new) row its ``k`` most similar others of the tenant at the floor or above."""
-    pairs = similar_pairs(vectors, floor, size, block or ["tenant_id"], id_col)
-    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other_id"), "similarity").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other_id"), "similarity"))
+    """For each (new) row its ``k`` most similar others of the tenant at the floor or above.
+
+    With ``new_ids`` only those rows are compared with the others of their block, as a search of each.
+    """
+    block = block or ["tenant_id"]
     if new_ids is not None:
-        both = both.join(new_ids.select(F.col("id").cast("long").alias("id")).distinct(), "id", "left_semi")
+        keyed = vectors.select(id_col, "embedding", F.to_json(F.struct(*block)).alias("_block"))
+        asked = keyed.join(new_ids.select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi")
+        near = vector_topk(asked, keyed, k + 1, size, id_col, id_col, block="_block")  # the row itself is one of them
+        both = near.where((F.col("query_id") != F.col("vec_id")) & (F.col("similarity") >= floor)).select(F.col("query_id").alias("id"), F.col("vec_id").alias("other_id"), "similarity")
+    else:
+        pairs = similar_pairs(vectors, floor, size, block, id_col)
+        both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other_id"), "similarity").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other_id"), "similarity"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other_id"))
     return both.withColumn("rank", rank).where(F.col("rank") <= k)
 

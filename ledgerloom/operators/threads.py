@@ -15,17 +15,28 @@ def thread_context(decisions: DataFrame, raw_events: DataFrame, decision_sources
 
     The origin and linked events give the thread and the time range; siblings are events of the
     same thread within ``window`` of it.  Without a thread only the linked events count.
+
+    Threads are cut into buckets of the window's width, and ranges meet events bucket by bucket, so
+    a long thread is many tasks.  Of a bucket that a range enters at its start only the first
+    ``cap`` events can matter; only keys and times are joined, and each decision's ``cap`` earliest
+    are picked before any event is fetched.
     """
     linked = union_ids(decisions, decision_sources).withColumnRenamed("raw_event_id", "id")
-    own = linked.join(raw_events.select("id", "tenant_id", "thread_ref", "received_at"), ["id", "tenant_id"])
+    times = raw_events.select("id", "tenant_id", "thread_ref", "received_at")
+    width = F.expr(f"unix_seconds(timestamp_seconds(0) + INTERVAL {window})")  # a constant
+    bucket = lambda c: F.floor(F.unix_seconds(c) / width)
+    own = linked.join(times, ["id", "tenant_id"])
     spans = own.where("thread_ref IS NOT NULL").groupBy("tenant_id", "decision_id", "thread_ref")
     spans = spans.agg((F.min("received_at") - F.expr(f"INTERVAL {window}")).alias("_from"), (F.max("received_at") + F.expr(f"INTERVAL {window}")).alias("_to"))
-    near = raw_events.join(spans, ["tenant_id", "thread_ref"]).where(F.col("received_at").between(F.col("_from"), F.col("_to"))).select("decision_id", "tenant_id", "id")
-    ids = near.unionByName(linked.select("decision_id", "tenant_id", "id")).distinct()
-    flagged = ids.join(linked.withColumn("_source", F.lit(True)), ["decision_id", "tenant_id", "id"], "left")
-    rows = flagged.join(raw_events, ["id", "tenant_id"]).withColumn("is_source", F.coalesce("_source", F.lit(False))).drop("_source")
-    turn = F.row_number().over(Window.partitionBy("tenant_id", "decision_id").orderBy("received_at", "id"))
-    return rows.withColumn("turn", turn).where(F.col("turn") <= cap)
+    spans = spans.withColumn("_first", bucket(F.col("_from"))).withColumn("_bucket", F.explode(F.sequence("_first", bucket(F.col("_to")))))
+    placed = times.where("thread_ref IS NOT NULL AND received_at IS NOT NULL").withColumn("_bucket", bucket(F.col("received_at")))
+    placed = placed.withColumn("_n", F.row_number().over(Window.partitionBy("tenant_id", "thread_ref", "_bucket").orderBy("received_at", "id")))
+    met = placed.join(spans, ["tenant_id", "thread_ref", "_bucket"]).where((F.col("_n") <= cap) | (F.col("_bucket") == F.col("_first")))
+    met = met.where(F.col("received_at").between(F.col("_from"), F.col("_to"))).select("decision_id", "tenant_id", "id", "received_at")
+    by = Window.partitionBy("tenant_id", "decision_id").orderBy("received_at", "id")
+    near = met.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= cap).select("decision_id", "tenant_id", "id", F.lit(False).alias("is_source"))
+    ids = near.unionByName(linked.select("decision_id", "tenant_id", "id", F.lit(True).alias("is_source"))).groupBy("decision_id", "tenant_id", "id").agg(F.bool_or("is_source").alias("is_source"))
+    return ids.join(raw_events, ["id", "tenant_id"]).withColumn("turn", F.row_number().over(by)).where(F.col("turn") <= cap)
 
 
 def thread_relevance(thread: DataFrame, similarity: DataFrame, min_messages: int = 12, k: int = 20) -> DataFrame:
@@ -41,12 +52,14 @@ def thread_relevance(thread: DataFrame, similarity: DataFrame, min_messages: int
 
 
 def mention_names(messages: DataFrame, actors: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
-    """Mentions of known people as @name; unknown ones stay."""
-    found = messages.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(MENTION), 1))).alias("discord_user_id"))
-    named = actors.where("discord_user_id IS NOT NULL").groupBy("discord_user_id").agg(F.min(F.coalesce("display_name", "email")).alias("name")).where("name IS NOT NULL")
-    names = found.join(named, "discord_user_id").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("discord_user_id", "name"))).alias("_names"))
+    """Mentions of people whom the message's tenant knows as @name; others stay.  Blank names count as none."""
+    own = ["tenant_id", key]
+    found = messages.select(*own, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(MENTION), 1))).alias("discord_user_id"))
+    name = F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in ("display_name", "email")))
+    named = actors.where("discord_user_id IS NOT NULL").groupBy("tenant_id", "discord_user_id").agg(F.min(name).alias("name")).where("name IS NOT NULL")
+    names = found.join(named, ["tenant_id", "discord_user_id"]).groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("discord_user_id", "name"))).alias("_names"))
     put = lambda t, n: F.replace(F.replace(t, F.concat(F.lit("<@"), n["discord_user_id"], F.lit(">")), F.concat(F.lit("@"), n["name"])), F.concat(F.lit("<@!"), n["discord_user_id"], F.lit(">")), F.concat(F.lit("@"), n["name"]))
-    met = messages.join(names, key, "left")
+    met = messages.join(names, own, "left")
     return met.withColumn(text, F.when(F.col("_names").isNull(), F.col(text)).otherwise(F.aggregate("_names", F.col(text), put))).drop("_names")
 
 

@@ -278,13 +278,20 @@ def thread_relevance(spark, d):
 
 
 @query(REGISTER + """
-SELECT event_id, 'ask ' || CASE WHEN n.name IS NULL THEN '<@' || m || '>' ELSE '@' || n.name END || ' or <@99999999999999999>' AS text
-FROM (SELECT event_id, user_id, '1' || lpad(user_id::VARCHAR, 16, '0') AS m FROM events) e LEFT JOIN (SELECT discord_user_id, coalesce(display_name, email) AS name FROM actors) n ON n.discord_user_id = e.m""")
+, people AS (SELECT tenant_id, discord_user_id AS m, coalesce(nullif(trim(display_name), ''), email) AS name FROM actors
+  UNION ALL SELECT 't' || ((c_custkey + 1) % 10), '1' || lpad(c_custkey::VARCHAR, 16, '0'), 'B ' || c_name FROM customer),
+e AS (SELECT event_id, 't' || (user_id % 10) AS tenant_id, '1' || lpad(user_id::VARCHAR, 16, '0') AS m, '1' || lpad((user_id - 1)::VARCHAR, 16, '0') AS k FROM events)
+SELECT event_id, 'ask ' || coalesce('@' || a.name, '<@' || e.m || '>') || ' or ' || coalesce('@' || b.name, '<@!' || e.k || '>') || ' or <@99999999999999999>' AS text
+FROM e LEFT JOIN people a ON a.tenant_id = e.tenant_id AND a.m = e.m LEFT JOIN people b ON b.tenant_id = e.tenant_id AND b.m = e.k""")
 def mention_names(spark, d):
-    """Mentions of known people by name."""
-    t = register_tables(spark, d)
-    rows = table(spark, d, "events").select(F.col("event_id").alias("id"), text("ask <@1", F.lpad(F.col("user_id").cast("string"), 16, "0"), "> or <@99999999999999999>").alias("text"))
-    return threads.mention_names(rows, t["actors"]).select(F.col("id").alias("event_id"), "text")
+    """Mentions of known people by the name that the message's tenant knows; two tenants know each id, by different names."""
+    actors = register_tables(spark, d)["actors"]
+    k, number = F.col("c_custkey"), lambda c: F.lpad(c.cast("string"), 16, "0")
+    other = table(spark, d, "customer").select(text("t", (k + 1) % 10).alias("tenant_id"), text("1", number(k)).alias("discord_user_id"), text("B ", F.col("c_name")).alias("display_name"), F.lit(None).cast("string").alias("email"))
+    people = actors.select(*other.columns).unionByName(other)
+    u = F.col("user_id")
+    rows = table(spark, d, "events").select(F.col("event_id").alias("id"), text("t", u % 10).alias("tenant_id"), text("ask <@1", number(u), "> or <@!1", number(u - 1), "> or <@99999999999999999>").alias("text"))
+    return threads.mention_names(rows, people).select(F.col("id").alias("event_id"), "text")
 
 
 # Retrieval ------------------------------------------------------------------------------------------

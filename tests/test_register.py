@@ -120,10 +120,32 @@ def test_thread_rules(spark, tables):
     assert fixed["r6"] == "m6" and fixed["r2"] == "C12345678" and fixed["r1"] == "th"
 
 
+def test_hot_thread_in_buckets(spark):
+    """One thread with most events: each decision's earliest, as a plain reading of the rules has them."""
+    events = [(f"e{i:04d}", "t", "hot" if i % 5 else None, T0 + timedelta(minutes=7 * i)) for i in range(1500)]
+    raw = spark.createDataFrame(events, "id string, tenant_id string, thread_ref string, received_at timestamp")
+    decisions = spark.createDataFrame([(f"d{i}", "t", f"e{i * 37 % 1500:04d}") for i in range(60)], "id string, tenant_id string, origin_raw_event_id string")
+    links = spark.createDataFrame([("t", "d1", "e0400"), ("t", "d1", "e0401"), ("t", "d2", "e1400")], "tenant_id string, decision_id string, raw_event_id string")
+    got = {}
+    for r in threads.thread_context(decisions, raw, links, "2 hours", 12).collect():
+        got.setdefault(r["decision_id"], []).append((r["turn"], r["id"], r["is_source"]))
+    at = {e[0]: e[3] for e in events}
+    for i in range(60):
+        own = {f"e{i * 37 % 1500:04d}", *{1: ("e0400", "e0401"), 2: ("e1400",)}.get(i, ())}
+        threaded = [at[e] for e in own if int(e[1:]) % 5]
+        near = {e for e, _, th, t in events if th and threaded and min(threaded) - timedelta(hours=2) <= t <= max(threaded) + timedelta(hours=2)}
+        want = sorted(own | near, key=lambda e: (at[e], e))[:12]
+        assert sorted(got[f"d{i}"]) == [(n + 1, e, e in own) for n, e in enumerate(want)]
+    text = threads.thread_context(decisions, raw, links)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in text and "Cartesian" not in text and "_bucket" in text
+
+
 def test_mentions_and_runs(spark, tables):
-    people = rows(spark, "actors", dict(id="a", tenant_id="t", display_name="Ann", discord_user_id="123456789012345678"))
-    messages = spark.createDataFrame([("m", "hi <@123456789012345678> and <@999999999999999999>")], "id string, text string")
-    assert threads.mention_names(messages, people).first()["text"] == "hi @Ann and <@999999999999999999>"
+    one = dict(discord_user_id="123456789012345678")
+    people = rows(spark, "actors", dict(id="a", tenant_id="t", display_name="Ann", **one), dict(id="b", tenant_id="u", display_name="  ", email="a@u.org", **one), dict(id="c", tenant_id="v", display_name=None, **one))
+    messages = spark.createDataFrame([(t, "m", "hi <@!123456789012345678> and <@999999999999999999>") for t in "tuvw"], "tenant_id string, id string, text string")
+    got = {r["tenant_id"]: r["text"].split(" and")[0] for r in threads.mention_names(messages, people).collect()}
+    assert got == {"t": "hi @Ann", "u": "hi @a@u.org", "v": "hi <@!123456789012345678>", "w": "hi <@!123456789012345678>"}
     m = spark.createDataFrame([("t", "a", 1), ("t", "a", 2), ("t", "b", 3), ("t", "a", 4), ("t", None, 5), ("t", None, 6)], "th string, who string, n int")
     runs = threads.group_consecutive(m, "th", "who", [F.col("n")], "n").orderBy("run_no").collect()
     assert [(r["who"], r["n_messages"]) for r in runs] == [("a", 2), ("b", 1), ("a", 1), (None, 2)]
@@ -170,6 +192,18 @@ def test_sealing(spark):
     assert row["n"] == 6 + 12 + 5 + 16 and bytes(row["open"]) == b"hello" and row["wrong"] is None and bytes(row["plain"]) == b"hello"
 
 
+def _stored(spark, connections, tenants, outputs, turned=False):
+    """Which of five copies that came at the same time is stored."""
+    copies = [("t1", "slack", "1", None, None, [], '{"text":"hello world %d"}' % i, T0, None, None, None, None, []) for i in range(5)]
+    envelopes = spark.createDataFrame(copies[::-1] if turned else copies, ENVELOPE).repartition(3 if turned else 1)
+    routed = ingest.outcome_router(envelopes, no_ledger(spark), connections, tenants, outputs)
+    return [r["raw_content"] for r in routed.where("outcome = 'persisted'").collect()]
+
+
+def no_ledger(spark):
+    return spark.createDataFrame([], "tenant_id string, source string, source_id string, pipeline_status string")
+
+
 def test_outcomes(spark):
     env = [("t1", "slack", "1", "hello world", None), ("t1", "slack", "1", "hello again", None), ("t1", "slack", "2", "ok", None), ("t1", "gmail", "3", "sale", True), ("t2", "slack", "4", "x y z", None), ("t3", "slack", "5", "x y z", None), ("t1", "slack", "6", "x", None), ("t1", "slack", "7", "maybe we do", None), ("t1", "slack", "8", "done before", None), ("t1", "slack", "9", "todo item", None)]
     envelopes = spark.createDataFrame([(t, s, i, None, None, [], '{"text":"%s"}' % x, T0 + timedelta(seconds=k), None, None, None, b, []) for k, (t, s, i, x, b) in enumerate(env)], ENVELOPE)
@@ -186,6 +220,8 @@ def test_outcomes(spark):
     both = spark.createDataFrame([(t, "slack", "1", None, None, [], '{"text":"hello world"}', None, None, None, None, None, []) for t in ("t1", "t3")], ENVELOPE)
     words = spark.createDataFrame([("t1", "slack", "1", "KEEP", 0.9, "decision"), ("t3", "slack", "1", "DISCARD", 0.9, None)], shape)
     open_ = tenants.withColumn("learning_paused", F.lit(False))
+    one = _stored(spark, connections, open_, words)
+    assert len(one) == 1 and one == _stored(spark, connections, open_, words, turned=True)
     assert sorted((r["tenant_id"], r["outcome"]) for r in ingest.outcome_router(both, ledger, connections, open_, words).collect()) == [("t1", "persisted"), ("t3", "discarded")]
 
 

@@ -52,6 +52,47 @@ def test_topk_and_lsh(spark):
         similarity.check_dimension(df, 9).collect()
 
 
+def test_cells_equal_brute_force(spark, monkeypatch):
+    """Many cells, string ids, equal vectors, a zero vector; new rows alone; what is sent falls with the floor."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 16))
+    made = [centres[i % 12] + rng.normal(size=16) * (0.05 if i % 2 else 0.6) for i in range(300)]
+    made += [made[5], made[5], np.zeros(16)]
+    rows = [(f"v{i:03}", "t" if i % 10 else "u", [float(x) for x in v]) for i, v in enumerate(made)]
+    df = spark.createDataFrame(rows, "id string, tenant_id string, embedding array<float>")
+    v = np.array([r[2] for r in rows], np.float32).astype(float)
+    unit = v / np.where(np.linalg.norm(v, axis=1, keepdims=True) > 0, np.linalg.norm(v, axis=1, keepdims=True), 1)
+    sims = unit @ unit.T
+    sent = {}
+    for floor in (0.35, 0.9, 0.97):
+        got = {(r["a"], r["b"]) for r in similarity.similar_pairs(df, floor, 16, ["tenant_id"], "id", tile=20).collect()}
+        want = {(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i + 1, len(rows)) if rows[i][1] == rows[j][1] and sims[i, j] >= floor}
+        assert got == want
+        plain = df.select(F.col("id").alias("i"), F.col("embedding").cast("array<double>").alias("v"), F.col("tenant_id").alias("block"))
+        sent[floor] = similarity._cells(plain, floor, 16, 20).count()
+    assert sent[0.97] < sent[0.9] < sent[0.35] and sent[0.97] < 3 * len(rows)
+    new = spark.createDataFrame([("v005",), ("v077",), ("v302",)], "id string")
+    some = {(r["id"], r["other_id"], r["rank"]) for r in similarity.conflict_candidates(df, 0.9, 3, 16, new_ids=new).collect()}
+    every = {(r["id"], r["other_id"], r["rank"]) for r in similarity.conflict_candidates(df, 0.9, 3, 16).where("id IN ('v005', 'v077', 'v302')").collect()}
+    assert some == every and len(some) == 6
+
+
+def test_whole_lists_are_ranked_without_one_window(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["q", "q", "q", "r", None]), "a", rng.randrange(50), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "query_id string, list string, size int, id int")
+    order = [F.desc("size"), F.asc("id")]
+    ranked = fusion.rank_positions(df, order)
+    want = {}
+    for q, _, size, i in sorted(rows, key=lambda r: (str(r[0]), -r[2], r[3])):
+        want.setdefault(q, []).append(i)
+    got = {(r["query_id"], r["rank"]): r["id"] for r in ranked.collect()}
+    assert got == {(q, n + 1): i for q, ids in want.items() for n, i in enumerate(ids)}
+    assert {(r["query_id"], r["rank"]): r["id"] for r in fusion.rank_positions(df, order, most=7).collect()} == {k: i for k, i in got.items() if k[1] <= 7}
+    windows = [x for x in plan(ranked).splitlines() if "Window" in x]
+    assert windows and all("_range" in x for x in windows)  # over the counts of ranges, not over rows
+
+
 def test_superseding(spark):
     d = spark.createDataFrame([(1, None), (2, None), (3, 1), (4, None)], "id long, superseded_by long")
     pairs = spark.createDataFrame([(1, 2, 0.97), (1, 4, 0.99), (3, 4, 0.98), (2, 4, 0.96)], "older long, newer long, similarity double")
