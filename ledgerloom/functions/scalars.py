@@ -44,10 +44,10 @@ def time_ago(ts: Column | str, as_of: Column) -> Column:
 
 
 def sync_label(synced: Column | str, status: Column | str, as_of: Column) -> Column:
-    """The same with minutes; connections that are not active or never synced say so."""
-    minutes = F.floor((F.unix_timestamp(as_of) - F.unix_timestamp(col(synced))) / 60)
+    """When a connection was synced, to the minute; times to come are now; others that are not active or never synced say so."""
+    minutes = F.greatest(F.lit(0), F.floor((F.unix_micros(as_of) - F.unix_micros(col(synced))) / 60_000_000))
     near = F.when(minutes < 1, "just now").when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m ago"))).otherwise(time_ago(synced, as_of))
-    return F.when((col(status) != "active") | col(synced).isNull(), "Not yet synced").otherwise(near)
+    return F.when(F.coalesce(col(status) == "active", F.lit(False)) & col(synced).isNotNull(), F.concat(F.lit("Synced "), near)).otherwise("Not yet synced")
 
 
 def norm(v: Column | str) -> Column:

@@ -72,6 +72,13 @@ def stage_latency(results: DataFrame, stages: str = "stage_latency_ms") -> DataF
     return results.select(F.explode(stages).alias("stage", "ms")).groupBy("stage").agg(F.avg("ms").alias("mean_ms"), F.count(F.lit(1)).alias("n"))
 
 
+def failed_open(results: DataFrame, flags: list[str]) -> DataFrame:
+    """How many results went on without a step that failed, for each step's flag."""
+    counts = results.agg(*(F.count_if(F.coalesce(f, F.lit(False))).alias(f) for f in flags), F.count(F.lit(1)).alias("_all"))
+    cells = F.array(*(F.struct(F.lit(f).alias("step"), F.col(f).alias("failed_open"), F.col("_all").alias("n")) for f in flags))
+    return counts.select(F.inline(cells))
+
+
 def score_queries(questions: DataFrame, answers: DataFrame) -> DataFrame:
     """PASS or FAIL of each question, and the rank of the first expected citation.
 

@@ -7,9 +7,9 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import ingest
+from ..operators import governance, ingest
 from ..session import shared_folder
-from ..sources import connectors
+from ..sources import connectors, store
 from ..sources import tables as stored
 from ..streaming import jobs
 from .base import query, table
@@ -286,6 +286,64 @@ def queue_steps(spark, d):
     return out
 
 
+@query("""
+WITH t AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'KEEP' WHEN 'click' THEN 'DISCARD' WHEN 'error' THEN 'UNCERTAIN' ELSE 'keep' END AS decision, CASE WHEN event_id % 9 = 0 THEN NULL ELSE value / 400 END AS confidence,
+  ['EXPLICIT_DECISION', 'SOCIAL_CHATTER', 'AWAITING_APPROVAL', 'NO_SUCH_CODE', NULL][event_id % 5 + 1] AS code FROM events),
+r AS (SELECT *, decision = 'keep' AS a, confidence IS NULL OR confidence NOT BETWEEN 0 AND 1 AS b, code IS NULL OR code = 'NO_SUCH_CODE' AS c FROM t)
+SELECT event_id, CASE WHEN a OR b OR c THEN NULL WHEN decision = 'KEEP' THEN 'kept' WHEN decision = 'DISCARD' THEN 'discarded' ELSE 'uncertain' END AS result,
+  concat_ws('|', CASE WHEN a THEN 'unknown decision' END, CASE WHEN b THEN 'confidence out of range' END, CASE WHEN c THEN 'unknown reason code' END) AS reasons FROM r""")
+def triage_results(spark, d):
+    """P20: the model's words, confidences and reason codes as stored results, and why others are rejected."""
+    e, n = F.col("event_type"), F.col("event_id")
+    word = F.when(e == "view", "KEEP").when(e == "click", "DISCARD").when(e == "error", "UNCERTAIN").otherwise("keep")
+    code = F.when(n % 5 == 0, "EXPLICIT_DECISION").when(n % 5 == 1, "SOCIAL_CHATTER").when(n % 5 == 2, "AWAITING_APPROVAL").when(n % 5 == 3, "NO_SUCH_CODE")
+    good, bad = ingest.validate_triage(table(spark, d, "events").select("event_id", word.alias("decision"), F.when(n % 9 != 0, F.col("value") / 400).alias("confidence"), code.alias("reason_code")))
+    return good.select("event_id", F.col("triage_result").alias("result"), F.lit("").alias("reasons")).unionByName(bad.select("event_id", F.lit(None).cast("string").alias("result"), F.array_join("reasons", "|").alias("reasons")))
+
+
+@query("""
+WITH new AS (SELECT o_orderkey, o_totalprice + 1 AS price, CASE WHEN o_orderkey % 3 = 0 THEN 'new' END AS note FROM orders WHERE o_custkey % 20 = 0),
+old AS (SELECT o_orderkey, o_totalprice AS price, 'old' AS note, 1 AS seen FROM orders WHERE o_orderkey % 2 = 0),
+kept AS (SELECT o_orderkey, coalesce(n.price, o.price) AS price, coalesce(n.note, o.note) AS note, coalesce(o.seen, 0) + CASE WHEN n.o_orderkey IS NULL THEN 0 ELSE 1 END AS seen FROM old o FULL JOIN new n USING (o_orderkey))
+SELECT 'row' AS part, o_orderkey::VARCHAR AS key, round(price, 2) AS price, note, seen::BIGINT AS seen FROM kept
+UNION ALL SELECT 'event', event_id::VARCHAR, NULL, event_type, NULL FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND (event_id % 2 = 0 OR event_id % 3 = 0)
+UNION ALL SELECT 'added', NULL, NULL, NULL, (SELECT count(*) FROM events WHERE event_id % 3 = 0 AND event_id % 2 <> 0)
+UNION ALL SELECT 'days', NULL, NULL, NULL, (SELECT count(DISTINCT ts::DATE) FROM events WHERE ts < TIMESTAMP '2024-01-10' AND (event_id % 2 = 0 OR event_id % 3 = 0))""")
+def keyed_store(spark, d):
+    """A keyed table upserted twice by the same batch, a table by day with insert-ignore and a purge."""
+    home, n = shared(spark, "store"), F.col("event_id")
+    orders = table(spark, d, "orders")
+    store.create_store(orders.where("o_orderkey % 2 = 0").select("o_orderkey", F.col("o_totalprice").alias("price"), F.lit("old").alias("note"), F.lit(1).alias("seen")), f"{home}/orders", ["o_orderkey"])
+    new = orders.where("o_custkey % 20 = 0").select("o_orderkey", (F.col("o_totalprice") + 1).alias("price"), F.when(F.col("o_orderkey") % 3 == 0, "new").alias("note"), F.lit(1).alias("seen"))
+    for _ in range(2):
+        store.upsert_store(new, f"{home}/orders", "batch 1", {"note": "keep", "seen": "add"})
+    events = table(spark, d, "events").select("event_id", "event_type", "ts")
+    store.create_store(events.where("event_id % 2 = 0"), f"{home}/events", ["event_id"], 4, F.col("ts"))
+    added = store.insert_store(events.where("event_id % 3 = 0"), f"{home}/events", "batch 2", F.col("ts")).count()
+    days = len(store.drop_days(spark, f"{home}/events", "2024-01-10"))
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = store.read_store(spark, f"{home}/orders").select(F.lit("row").alias("part"), F.col("o_orderkey").cast("string").alias("key"), F.round("price", 2).alias("price"), "note", F.col("seen").cast("long").alias("seen"))
+    left = store.read_store(spark, f"{home}/events").select(F.lit("event").alias("part"), n.cast("string").alias("key"), none("double").alias("price"), F.col("event_type").alias("note"), none("long").alias("seen"))
+    counts = spark.createDataFrame([("added", None, None, None, added), ("days", None, None, None, days)], rows.schema)
+    return rows.unionByName(left).unionByName(counts)
+
+
+@query("""
+WITH u AS (SELECT c_custkey AS k, 'u' || c_custkey AS user_id, 'User.' || c_custkey || '@X.org' AS email FROM customer),
+allowed AS (SELECT lower(email) AS m FROM u WHERE k % 2 = 0)
+SELECT count(*) AS tenants, count(DISTINCT slug) AS slugs, count(DISTINCT user_id) AS users, (SELECT count(*) FROM u WHERE lower(email) IN (SELECT m FROM allowed)) AS owners, 0::BIGINT AS again
+FROM (SELECT k, user_id, lower('user-' || k) || k AS slug FROM u WHERE lower(email) IN (SELECT m FROM allowed))""")
+def provisioned_tenants(spark, d):
+    """Tenants and owners for allowed users who have none; a second run adds nothing."""
+    users = table(spark, d, "customer").select(text("u", F.col("c_custkey")).alias("id"), text("User.", F.col("c_custkey"), "@X.org").alias("email"), F.lit(0).alias("created_at"), "c_custkey")
+    none = spark.createDataFrame([], "id string")
+    tenants, members = governance.provision_tenants(users, none, users.where("c_custkey % 2 = 0").select(F.upper("email").alias("email")))
+    again, _ = governance.provision_tenants(users, tenants, users.where("c_custkey % 2 = 0"))
+    counts = tenants.agg(F.count(F.lit(1)).alias("tenants"), F.count_distinct("slug").alias("slugs"))
+    owners = members.where("role = 'owner'").agg(F.count_distinct("user_id").alias("users"), F.count(F.lit(1)).alias("owners"))
+    return counts.crossJoin(owners).crossJoin(again.agg(F.count(F.lit(1)).alias("again")))  # one row each
+
+
 @query("""
 WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 w AS (SELECT user_id, us AS start, 1 AS used, i FROM e WHERE i = 1

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import evaluation, reports, threads
 from .base import query, table
+from .model import REGISTER, register_tables
 
 AS_OF = "2024-01-20 12:00:00"
 
@@ -93,6 +94,71 @@ def corpus_distribution(spark, d):
     return reports.corpus_distribution(rows, ["lang", "source"], "tags")
 
 
+@query("""
+SELECT 'lang' AS dim, lang AS value, count(*) AS n FROM documents GROUP BY 2
+UNION ALL SELECT 'permissions', CASE WHEN doc_id % 3 = 0 THEN 'none' WHEN doc_id % 3 = 1 THEN source ELSE lang || ',' || source END, count(*) FROM documents GROUP BY 2
+UNION ALL SELECT 'tag', tag, count(*) FROM (SELECT 'lang' AS tag FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'source' FROM documents) GROUP BY 2
+UNION ALL SELECT 'distinct_statements', NULL, count(DISTINCT text) FROM documents""")
+def corpus_permissions(spark, d):
+    """Combinations of permissions, tags that some rows lack, and distinct statements."""
+    n, none = F.col("doc_id"), F.array().cast("array<string>")
+    rows = table(spark, d, "documents").withColumns({
+        "scope": F.when(n % 3 == 0, none).when(n % 3 == 1, F.array("source")).otherwise(F.array("lang", "source")),
+        "tags": F.when(n % 2 == 0, F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("source:"), "source"))).otherwise(F.array(F.concat(F.lit("source:"), "source"))),
+    })
+    return reports.corpus_distribution(rows, ["lang"], "tags", "scope", "text")
+
+
+@query(REGISTER + """
+, m AS (SELECT strftime(d.created_at, '%Y-%m-%d') AS day, EXISTS (SELECT 1 FROM decision_sources s WHERE s.decision_id = d.id AND s.tenant_id = d.tenant_id) AS linked
+  FROM decisions d JOIN raw_events r ON r.id = d.origin_raw_event_id AND r.tenant_id = d.tenant_id WHERE r.source = 'notion')
+SELECT day, count(*) AS total, count(*) FILTER (WHERE linked) AS with_link, count(*) FILTER (WHERE NOT linked) AS without_link FROM m GROUP BY GROUPING SETS ((day), ())""")
+def link_coverage_by_day(spark, d):
+    """Links of one source's decisions, by day and in all."""
+    t = register_tables(spark, d)
+    out = reports.source_coverage(t["decisions"], t["raw_events"], t["decision_sources"], "notion")
+    return out.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@query("SELECT count(*) FILTER (WHERE event_type = 'click') AS user_messages, count(DISTINCT user_id) AS sessions FROM events")
+def chat_totals(spark, d):
+    """User messages and sessions of all time."""
+    rows = table(spark, d, "events").withColumn("role", F.when(F.col("event_type") == "click", "user").otherwise("assistant"))
+    return reports.chat_totals(rows, "user_id", "role")
+
+
+@query("SELECT event_type, count(*) AS n, TRUE AS near, TRUE AS merged FROM events GROUP BY 1")
+def sketched_users(spark, d):
+    """Distinct users by kind from daily sketches: within 3 % of the exact count, and the same as one sketch over all days."""
+    events = table(spark, d, "events")
+    daily = reports.daily_sketches(events, F.to_date("ts"), ["event_type"], ["user_id"])
+    whole = reports.daily_sketches(events, F.lit(None).cast("date"), ["event_type"], ["user_id"]).select("event_type", F.hll_sketch_estimate("sketch").alias("whole"))
+    exact = events.groupBy("event_type").agg(F.count_distinct("user_id").alias("exact"))
+    out = reports.merged_sketches(daily, ["event_type"]).join(whole, "event_type").join(exact, "event_type")
+    return out.select("event_type", "n", (F.abs(F.col("distinct") - F.col("exact")) <= 0.03 * F.col("exact")).alias("near"), (F.col("distinct") == F.col("whole")).alias("merged"))
+
+
+@query("""
+SELECT 'query_understanding_failed_open' AS step, count(*) FILTER (WHERE doc_id % 7 = 0) AS failed_open, count(*) AS n FROM documents
+UNION ALL SELECT 'reranking_failed_open', count(*) FILTER (WHERE doc_id % 5 = 1), count(*) FROM documents""")
+def failed_open(spark, d):
+    """Answers that went on without a step that failed."""
+    n = F.col("doc_id")
+    rows = table(spark, d, "documents").select((n % 7 == 0).alias("query_understanding_failed_open"), F.when(n % 2 == 1, n % 5 == 1).otherwise(F.when(n % 5 == 1, True)).alias("reranking_failed_open"))
+    return evaluation.failed_open(rows, ["query_understanding_failed_open", "reranking_failed_open"])
+
+
+@query(f"""
+WITH e AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'paused' WHEN event_id % 5 <> 1 THEN 'active' END AS status, CASE WHEN event_id % 7 <> 0 THEN ts + INTERVAL 1 MINUTE * (event_id % 90) END AS synced FROM events),
+m AS (SELECT *, greatest(0, floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(synced)) / 60000000))::BIGINT AS m, floor((epoch(TIMESTAMP '{AS_OF}') - floor(epoch(synced))) / 3600)::BIGINT AS h FROM e)
+SELECT event_id, CASE WHEN status IS NULL OR status <> 'active' OR synced IS NULL THEN 'Not yet synced' WHEN m < 1 THEN 'Synced just now' WHEN m < 60 THEN 'Synced ' || m || 'm ago' WHEN h < 1 THEN 'Synced just now' WHEN h < 24 THEN 'Synced ' || h || 'h ago' ELSE 'Synced ' || floor(h / 24)::BIGINT || 'd ago' END AS label FROM m""")
+def sync_labels(spark, d):
+    """When a connection was synced, in words."""
+    n = F.col("event_id")
+    rows = table(spark, d, "events").select("event_id", F.when(n % 5 == 0, "paused").when(n % 5 != 1, "active").alias("status"), F.when(n % 7 != 0, F.col("ts") + F.make_interval(mins=(n % 90).cast("int"))).alias("synced"))
+    return rows.select("event_id", scalars.sync_label("synced", "status", F.lit(AS_OF).cast("timestamp")).alias("label"))
+
+
 @query("SELECT d.doc_id AS id, f.first_id FROM documents d JOIN (SELECT text, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1) f ON d.text = f.text WHERE d.doc_id <> f.first_id")
 def exact_duplicates(spark, d):
     return reports.exact_duplicates(table(spark, d, "documents"), "doc_id", "text")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import reports
 from ledgerloom.sources import connectors as c
+from ledgerloom.sources import store
 from ledgerloom.sources.tables import SCHEMAS, read_envelopes, read_register
 from ledgerloom.streaming import jobs
 
@@ -203,3 +204,39 @@ def test_register_files_and_reports(spark, tmp_path):
     assert tuple(reports.source_link_coverage(d, links, distinct=False).first()) == (4, 2, 2)
     counts = reports.outcome_counts(spark.createDataFrame([("a", "e1"), ("a", None), ("b", "e2")], "outcome string, err string"), "err")
     assert {r["outcome"]: (r["n"], r["first_errors"]) for r in counts.collect()} == {"a": (2, ["e1"]), "b": (1, ["e2"])}
+
+
+def test_store_rewrites_only_its_buckets(spark, tmp_path):
+    """Ten keys touch at most ten partitions; a repeated batch, null keys and the empty batch change nothing more."""
+    path = str(tmp_path / "store")
+    rows = spark.range(2000).selectExpr("IF(id = 7, NULL, id) AS id", "id * 2 AS v", "1 AS seen")
+    store.create_store(rows, path, ["id"], 64)
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "store" / "rows").rglob("*.parquet")}
+    before = files()
+    new = spark.createDataFrame([*((i * 100, 5, 1) for i in range(9)), (None, 6, 1), (5000, 1, 1)], "id long, v long, seen int")
+    for _ in range(2):
+        assert store.upsert_store(new, path, "b1", {"seen": "add"}) <= 11
+    after = files()
+    gone = {p.parent.name for p in before if p not in after}
+    assert 0 < len(gone) <= 11 and {p.parent.name for p in after if p not in before} <= gone | {p.parent.name for p in after if p.parent.name not in {q.parent.name for q in before}}
+    got = {r["id"]: (r["v"], r["seen"]) for r in store.read_store(spark, path).collect()}
+    assert len(got) == 2001 and got[None] == (6, 2) and got[100] == (5, 2) and got[5000] == (1, 1) and got[1] == (2, 1)
+    assert store.upsert_store(new.where("false"), path, "b2") == 0
+    assert store.insert_store(new, path, "b3").count() == 0
+
+
+def test_store_by_day(spark, tmp_path):
+    """New keys are added once, days go as folders, and no row is read for it."""
+    path = str(tmp_path / "log")
+    rows = spark.range(100).selectExpr("id", "date_add(DATE'2024-01-01', cast(id % 10 as int)) AS at")
+    store.create_store(rows, path, ["id"], 4, F.col("at"))
+    more = spark.range(90, 120).selectExpr("id", "DATE'2024-02-01' AS at")
+    assert store.insert_store(more, path, "b", F.col("at")).count() == 20
+    assert store.insert_store(more, path, "b", F.col("at")).count() == 20  # a repeated attempt finds its own rows
+    assert store.read_store(spark, path).count() == 120
+    for p in (tmp_path / "log" / "rows" / "_day=2024-01-01").rglob("*.parquet"):
+        p.write_bytes(b"cannot be read")
+    assert store.drop_days(spark, path, "2024-01-04") == ["2024-01-01", "2024-01-02", "2024-01-03"]
+    assert store.read_store(spark, path).count() == 90 and store.drop_days(spark, path, "2024-01-04") == []
+    with pytest.raises(ValueError):
+        store.upsert_store(more, path, "c")
