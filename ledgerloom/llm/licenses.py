@@ -14,6 +14,8 @@ of a sentence.  Titles alone must fill a line or a sentence.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +70,8 @@ SENTENCES: list[tuple[str, str]] = [
     ("agpl3-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("lgpl21-free", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
     ("lgpl3-free", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl21-only", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation version 2 1 of the license"),
+    ("lgpl3-only", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation version 3 of the license"),
     ("lgpl-hope", "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("boost-grant", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"),
     ("zlib-grant", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
@@ -112,6 +116,8 @@ RULES: list[tuple[str, list[str]]] = [
     ("LGPL-3.0-only", ["lgpl3-text"]),
     ("AGPL-3.0-only", ["agpl3-text"]),
     ("AGPL-3.0-or-later", ["agpl3-free", "gpl-hope"]),
+    ("LGPL-2.1-only", ["lgpl21-only", "lgpl-hope"]),
+    ("LGPL-3.0-only", ["lgpl3-only", "lgpl-hope"]),
     ("LGPL-2.1-or-later", ["lgpl21-free", "lgpl-hope"]),
     ("LGPL-3.0-or-later", ["lgpl3-free", "lgpl-hope"]),
     ("EPL-2.0", ["epl2-text"]),
@@ -122,11 +128,92 @@ RULES: list[tuple[str, list[str]]] = [
     ("Unlicense", ["unlicense"]),
 ]
 
+#: Licenses and the names that notices and SPDX lines give them, without the words license and version;
+#: the SPDX identifier itself is always one of them.  GNU licenses are named "-only" unless "or later" follows.
+NAMES: dict[str, list[str]] = {
+    "0BSD": ["zero clause bsd", "bsd zero clause", "bsd 0 clause"],
+    "AFL-3.0": ["academic free 3 0"],
+    "AGPL-1.0-only": ["affero general public 1"],
+    "AGPL-3.0-only": ["gnu affero general public 3", "gnu affero general public 3 0", "affero general public 3", "gnu agpl 3", "gnu agpl 3 0", "agpl 3", "agpl 3 0", "agpl3"],
+    "Apache-1.1": ["apache software 1 1", "apache 1 1"],
+    "Apache-2.0": ["apache 2", "apache 2 0", "apache software 2 0", "apache software 2", "apache2", "asl 2 0"],
+    "APSL-2.0": ["apple public source 2 0"],
+    "Artistic-1.0": ["artistic 1 0"],
+    "Artistic-2.0": ["artistic 2 0", "artistic 2"],
+    "Beerware": ["beer ware", "beerware"],
+    "BlueOak-1.0.0": ["blue oak model 1 0 0"],
+    "BSD-1-Clause": ["1 clause bsd", "bsd 1 clause"],
+    "BSD-2-Clause": ["2 clause bsd", "bsd 2 clause", "simplified bsd", "freebsd"],
+    "BSD-3-Clause": ["3 clause bsd", "bsd 3 clause", "new bsd", "modified bsd", "revised bsd"],
+    "BSD-3-Clause-Clear": ["bsd 3 clause clear", "clear bsd"],
+    "BSD-4-Clause": ["4 clause bsd", "bsd 4 clause", "original bsd"],
+    "BSL-1.0": ["boost software 1 0", "boost 1 0"],
+    "BUSL-1.1": ["business source 1 1"],
+    "CAL-1.0": ["cryptographic autonomy 1 0"],
+    "CC-BY-3.0": ["cc by 3 0", "creative commons attribution 3 0", "creative commons attribution 3 0 unported"],
+    "CC-BY-4.0": ["cc by 4 0", "creative commons attribution 4 0", "creative commons attribution 4 0 international"],
+    "CC-BY-NC-4.0": ["cc by nc 4 0", "creative commons attribution noncommercial 4 0", "creative commons attribution noncommercial 4 0 international"],
+    "CC-BY-NC-ND-4.0": ["cc by nc nd 4 0", "creative commons attribution noncommercial noderivatives 4 0 international"],
+    "CC-BY-NC-SA-4.0": ["cc by nc sa 4 0", "creative commons attribution noncommercial sharealike 4 0 international"],
+    "CC-BY-ND-4.0": ["cc by nd 4 0", "creative commons attribution noderivatives 4 0 international"],
+    "CC-BY-SA-3.0": ["cc by sa 3 0", "creative commons attribution sharealike 3 0", "creative commons attribution share alike 3 0 unported"],
+    "CC-BY-SA-4.0": ["cc by sa 4 0", "creative commons attribution sharealike 4 0", "creative commons attribution sharealike 4 0 international"],
+    "CC0-1.0": ["cc0", "cc0 1 0", "cc0 1 0 universal", "creative commons zero 1 0 universal", "creative commons zero 1 0"],
+    "CDDL-1.0": ["common development and distribution 1 0", "cddl 1 0"],
+    "CDDL-1.1": ["common development and distribution 1 1", "cddl 1 1"],
+    "CECILL-2.1": ["cecill 2 1"],
+    "CPL-1.0": ["common public 1 0"],
+    "ECL-2.0": ["educational community 2 0"],
+    "EPL-1.0": ["eclipse public 1 0", "epl 1 0"],
+    "EPL-2.0": ["eclipse public 2 0", "eclipse public 2", "epl 2 0"],
+    "EUPL-1.1": ["european union public 1 1", "eupl 1 1"],
+    "EUPL-1.2": ["european union public 1 2", "eupl 1 2"],
+    "GFDL-1.3-only": ["gnu free documentation 1 3"],
+    "GPL-1.0-only": ["gnu general public 1", "gpl 1 0"],
+    "GPL-2.0-only": ["gnu general public 2", "gnu general public 2 0", "gnu gpl 2", "gnu gpl 2 0", "gpl 2", "gpl 2 0", "gpl2"],
+    "GPL-3.0-only": ["gnu general public 3", "gnu general public 3 0", "gnu gpl 3", "gnu gpl 3 0", "gpl 3", "gpl 3 0", "gpl3"],
+    "HPND": ["historical permission notice and disclaimer"],
+    "IPL-1.0": ["ibm public 1 0"],
+    "ISC": ["isc"],
+    "LGPL-2.0-only": ["gnu library general public 2", "lgpl 2 0"],
+    "LGPL-2.1-only": ["gnu lesser general public 2 1", "gnu lgpl 2 1", "lgpl 2 1"],
+    "LGPL-3.0-only": ["gnu lesser general public 3", "gnu lesser general public 3 0", "gnu lgpl 3", "gnu lgpl 3 0", "lgpl 3", "lgpl 3 0", "lgpl3"],
+    "LPPL-1.3c": ["latex project public 1 3c"],
+    "MIT": ["mit", "mit x11", "expat"],
+    "MIT-0": ["mit no attribution", "mit 0"],
+    "MPL-1.1": ["mozilla public 1 1", "mpl 1 1"],
+    "MPL-2.0": ["mozilla public 2 0", "mozilla public 2", "mpl 2 0", "mpl 2"],
+    "MS-PL": ["microsoft public"],
+    "MS-RL": ["microsoft reciprocal"],
+    "MulanPSL-2.0": ["mulan permissive software 2"],
+    "NCSA": ["university of illinois ncsa open source"],
+    "NPL-1.1": ["netscape public 1 1"],
+    "ODbL-1.0": ["open database 1 0", "open data commons open database 1 0"],
+    "OFL-1.1": ["sil open font 1 1", "open font 1 1", "ofl 1 1"],
+    "OpenSSL": ["openssl"],
+    "OSL-3.0": ["open software 3 0"],
+    "PHP-3.01": ["php 3 01"],
+    "PostgreSQL": ["postgresql"],
+    "Python-2.0": ["python 2 0", "python software foundation 2"],
+    "QPL-1.0": ["q public 1 0"],
+    "Ruby": ["ruby"],
+    "SSPL-1.0": ["server side public 1", "server side public 1 0"],
+    "Unlicense": ["unlicense"],
+    "UPL-1.0": ["universal permissive 1 0"],
+    "Vim": ["vim"],
+    "W3C": ["w3c software"],
+    "WTFPL": ["wtfpl", "do what the fuck you want to public"],
+    "X11": ["x11"],
+    "Zlib": ["zlib", "zlib libpng"],
+    "ZPL-2.1": ["zope public 2 1"],
+}
+
 #: A license is not named beside another one whose text holds its own, or whose notice says more.
 WIDER: dict[str, list[str]] = {
     "BSD-2-Clause": ["BSD-3-Clause"],
     "GPL-2.0-only": ["GPL-2.0-or-later"],
     "GPL-3.0-only": ["GPL-3.0-or-later"],
+    "LGPL-2.1-only": ["LGPL-2.1-or-later"],
     "LGPL-3.0-only": ["LGPL-3.0-or-later"],
     "AGPL-3.0-only": ["AGPL-3.0-or-later"],
 }
@@ -143,6 +230,74 @@ SENTENCE_END = _LINE_END + r"[^\p{L}\p{N}\r\n]*" + _MARK + r"[^\p{L}\p{N}\r\n]*(
 PART_END = _LINE_END + r"[^\p{L}\p{N}\r\n]*" + _MARK + r"|[:;]+(?=\s|$)"
 
 
+_GAP = "[ ~]"
+_FILL = "(?:license|licence|version|ver|v)"
+_LATER = f"or{_GAP}(?:at{_GAP}your{_GAP}option{_GAP})?(?:any{_GAP})?(?:later|newer)(?:{_GAP}versions?)?"
+#: What stands before a name: licensed under, released under (and then the word license), "License:", SPDX lines, links.
+_LEAD = f"(?:{_GAP}(?:the|terms|and|conditions|of|a|an))*{_GAP}"
+FRAMES = [
+    f"licen[sc]ed{_GAP}under{_LEAD}",
+    f"(?:released|distributed|available|provided|published|offered|covered|governed){_GAP}(?:under|by){_LEAD}",
+    "licen[sc]e~",
+    f"spdx{_GAP}license{_GAP}identifier{_GAP}",
+    f"opensource{_GAP}org{_GAP}licenses?{_GAP}",
+]
+_LINK = f"creativecommons{_GAP}org{_GAP}licenses{_GAP}"
+
+
+def _plain(name: str) -> str:
+    """An SPDX identifier in the words of a normalised text."""
+    return " ".join(re.sub("[^a-z0-9]+", " ", name.lower()).split())
+
+
+def _slug(name: str) -> str:
+    return "named-" + _plain(name).replace(" ", "-")
+
+
+def named_licenses(names: dict[str, list[str]] = NAMES) -> dict[str, str]:
+    """Every name, as ``_bare`` leaves it, with its license; GNU ones with their later form."""
+    out: dict[str, str] = {}
+    for license_, spoken in names.items():
+        gnu = license_.endswith("-only")
+        base = license_.removesuffix("-only")
+        for name in (_plain(license_), _plain(base), *spoken):
+            name = " ".join(w for w in name.split() if not re.fullmatch(_FILL, w))
+            out.setdefault(name, license_)
+            if gnu:
+                root = name.removesuffix(" only")
+                out.setdefault(f"{root} only", license_)
+                out.setdefault(f"{root} or later", f"{base}-or-later")
+    return out
+
+
+def _name_pattern(names: dict[str, str]) -> str:
+    """Any of the names, with license and version between their words, v before a number, and what follows GNU names."""
+    between = f"(?:{_GAP}{_FILL})*{_GAP}"
+    roots = {n.removesuffix(" only").removesuffix(" or later") for n in names}
+    one = lambda n: between.join(f"v?{w}" if w[0].isdigit() else w for w in n.split())
+    return f"(?:{'|'.join(one(n) for n in sorted(roots, key=lambda n: (-len(n), n)))})(?![a-z0-9])(?:{_GAP}only(?![a-z0-9])|(?:{_GAP}{_FILL})?{_GAP}{_LATER}(?![a-z0-9]))?"
+
+
+def notice_pattern(names: dict[str, str]) -> str:
+    """Notices that name a license, not after a negation: the frame, then a name; SPDX lines hold expressions."""
+    name = _name_pattern(names)
+    word = f"{_GAP}licen[sc]e(?![a-z0-9])"
+    expression = f"{name}(?:{_GAP}with(?:{_GAP}[a-z0-9]+){{1,6}}?{_GAP}exception(?:{_GAP}[0-9]+)*)?"
+    under, offered, field, spdx, link = FRAMES
+    any_of = [f"{under}{name}", f"{offered}{name}{word}", f"{offered}(?=(?:[a-z]+{_GAP}){{1,5}}licen[sc]e{_GAP}(?:version{_GAP})?v?[0-9]){name}", f"{field}{name}(?=[|~]|$)", f"{spdx}{expression}(?:{_GAP}(?:or|and){_GAP}{expression})*", f"{link}{name}", f"{_LINK}by(?:{_GAP}(?:nc|nd|sa))*{_GAP}[0-9]{_GAP}0(?![0-9a-z])"]
+    return rf"(?<![a-z0-9])(?<!\bnot{_GAP})(?<!n{_GAP}t{_GAP})(?:{'|'.join(any_of)})"
+
+
+def _notice_ids(notice: Column, table: Column) -> Column:
+    """The identifiers of the licenses that a notice names, in order."""
+    body = F.regexp_replace(F.translate(notice, "~", " "), "^creativecommons org licenses ", "cc ")
+    body = F.regexp_replace(body, "^(?:" + "|".join(f.replace(_GAP, " ").replace("~", " ") for f in FRAMES) + ")", "")
+    body = F.regexp_replace(body, f"\\b{_LATER.replace(_GAP, ' ')}", "or later")
+    parts = F.split(body, r" (?:or|and) (?!later|distribution\b|disclaimer\b)")
+    bare = lambda p: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(p, " with .*", ""), r"\bv(?=[0-9])", ""), rf"\b{_FILL}\b ?", ""))
+    return F.filter(F.transform(parts, lambda p: F.element_at(table, bare(p))), lambda k: k.isNotNull())
+
+
 def trigger_pattern(sentences: list[tuple[str, str]] = SENTENCES) -> str:
     """Words of which every known sentence has one: a text without any holds no known sentence."""
     left, words = [s.split() for _, s in sentences], []
@@ -158,6 +313,10 @@ def trigger_pattern(sentences: list[tuple[str, str]] = SENTENCES) -> str:
     return "(?i)" + "|".join(words)
 
 
+#: Words of which every notice has one.
+NOTICE_WORDS = "licen[sc]e|spdx|creativecommons|opensource"
+
+
 def _lookup(sentences: list[tuple[str, str]]) -> Column:
     known = dict((s, k) for k, s in sentences)
     return F.map_from_arrays(F.array(*map(F.lit, known)), F.array(*map(F.lit, known.values())))
@@ -180,14 +339,21 @@ def sentence_pattern(sentences: list[tuple[str, str]]) -> str:
 def marked_words(text: Column) -> Column:
     """Lower-case ASCII words and numbers; between two of them a blank, ``~`` (end of a line or part) or ``|`` (of a sentence)."""
     out = F.regexp_replace(F.lower(text), "[|~]", " ")
+    out = F.regexp_replace(out, r"(?<=[0-9])\+(?=[^0-9a-z+]|$)", " or later")  # GPL-2.0+
     for pattern, mark in ((SENTENCE_END, "|"), (PART_END, "~"), ("[^a-z0-9|~]+", " "), (r"[ ~]*\|[ ~|]*", "|"), (" ?~[ ~]*", "~")):
         out = F.regexp_replace(out, pattern, mark)
     return F.trim(out)
 
 
-def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences: list[tuple[str, str]] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
+def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences: list[tuple[str, str]] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES, names: dict[str, list[str]] = NAMES) -> DataFrame:
     """Known license sentences and the licenses they make, for every document.
 
+    Besides ``sentences`` there are notices that name a license: "released under the ... license",
+    "License: ...", SPDX lines with their expressions (exceptions are left out), and links; a name of
+    ``names`` in one is the identifier ``named-...`` and makes its license by itself.  Texts of any
+    length are scanned whole.  Where a sentence and a notice start at the same word the sentence counts;
+    of sentences that start together the longest one.
+
     Columns: doc_id, sentence_ids (comma-joined identifiers in text order), licenses (matched
     names, distinct and sorted, comma-joined), n_sentences (known ones) and n_licenses.  Null and
     empty texts, and those without a known sentence, have empty strings and zeros.  One row for
@@ -195,10 +361,14 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     """
     body = F.coalesce(F.col(text), F.lit(""))
     table = _lookup(sentences)
-    met = F.regexp_extract_all(marked_words(body), F.lit(sentence_pattern(sentences)), F.lit(0))
-    ids = F.transform(met, lambda s: F.element_at(table, F.translate(s, "~", " ")))
+    named = named_licenses(names)
+    slugs = F.map_from_arrays(F.array(*map(F.lit, named)), F.array(*(F.lit(_slug(k)) for k in named.values())))
+    rules = [*rules, *((k, [_slug(k)]) for k in sorted(set(named.values())))]
+    met = F.regexp_extract_all(marked_words(body), F.lit(f"{sentence_pattern(sentences)}|{notice_pattern(named)}"), F.lit(0))
+    known = lambda s: F.element_at(table, F.translate(s, "~", " "))
+    ids = F.flatten(F.transform(met, lambda s: F.when(known(s).isNotNull(), F.array(known(s))).otherwise(_notice_ids(s, slugs))))
     empty = F.array().cast("array<string>")
-    found = docs.select(F.col(doc_id).alias("doc_id"), F.when(body.rlike(trigger_pattern(sentences)), ids).otherwise(empty).alias("_ids"))
+    found = docs.select(F.col(doc_id).alias("doc_id"), F.when(body.rlike(f"{trigger_pattern(sentences)}|{NOTICE_WORDS}"), ids).otherwise(empty).alias("_ids"))
     line = F.concat(F.lit(","), F.array_join("_ids", ","), F.lit(","))
     wanted = [F.when(line.rlike("," + ",(?:[^,]+,)*".join(steps) + ","), F.lit(name)) for name, steps in rules]
     names = F.array_sort(F.array_distinct(F.filter(F.array(*wanted), lambda k: k.isNotNull())))
@@ -215,19 +385,26 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
 
 def duckdb_sql() -> str:
-    """The scan as DuckDB SQL over the view ``documents``, for texts whose known sentences are whole lines or sentences of a line."""
+    """The scan as DuckDB SQL over the view ``documents``, for texts whose known sentences and notices are whole lines or sentences of a line."""
     known = dict((s, k) for k, s in SENTENCES)
     pairs = ", ".join(f"('{s}', '{k}')" for s, k in known.items())
-    checks = ", ".join(f"CASE WHEN regexp_matches(line, '{',' + ',(?:[^,]+,)*'.join(steps) + ','}') THEN '{name}' END" for name, steps in RULES)
+    named = named_licenses()
+    spoken = ", ".join(f"('{n}', '{_slug(k)}')" for n, k in named.items())
+    lead = "(?:the |terms |and |conditions |of |a |an )*"
+    frame = f"^(?:licen[sc]ed under {lead}(.*)|(?:released|distributed|available|provided|published|offered|covered|governed) (?:under|by) {lead}(.*licen[sc]e.*)|spdx license identifier (.*))$"
+    every_rule = [*RULES, *((k, [_slug(k)]) for k in sorted(set(named.values())))]
+    checks = ", ".join(f"CASE WHEN regexp_matches(line, '{',' + ',(?:[^,]+,)*'.join(steps) + ','}') THEN '{name}' END" for name, steps in every_rule)
     narrow = ", ".join(f"CASE WHEN list_has_any(all_names, [{', '.join(repr(o) for o in others)}]) THEN '{name}' END" for name, others in WIDER.items())
     return rf"""
-WITH known(sentence, id) AS (VALUES {pairs}),
+WITH known(sentence, id) AS (VALUES {pairs}), spoken(name, id) AS (VALUES {spoken}),
 parts AS (
   SELECT doc_id, unnest(string_split_regex(regexp_replace(coalesce(text, ''), '[.!?:;]+(\s|$)', E'\n', 'g'), '[\r\n]+')) AS s,
          generate_subscripts(string_split_regex(regexp_replace(coalesce(text, ''), '[.!?:;]+(\s|$)', E'\n', 'g'), '[\r\n]+'), 1) AS i
   FROM documents),
-met AS (SELECT p.doc_id, string_agg(k.id, ',' ORDER BY p.i) AS ids, count(*) AS n
-        FROM parts p JOIN known k ON trim(regexp_replace(lower(p.s), '[^a-z0-9]+', ' ', 'g')) = k.sentence GROUP BY p.doc_id),
+plain AS (SELECT doc_id, i, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS s FROM parts),
+bare AS (SELECT *, trim(regexp_replace(regexp_replace(concat(regexp_extract(s, '{frame}', 1), regexp_extract(s, '{frame}', 2), regexp_extract(s, '{frame}', 3)), 'v([0-9])', '', 'g'), '(?:license|licence|version|ver|v) ?', '', 'g')) AS name FROM plain),
+met AS (SELECT p.doc_id, string_agg(coalesce(k.id, n.id), ',' ORDER BY p.i) AS ids, count(*) AS n
+        FROM bare p LEFT JOIN known k ON p.s = k.sentence LEFT JOIN spoken n ON p.name = n.name WHERE k.id IS NOT NULL OR n.id IS NOT NULL GROUP BY p.doc_id),
 lines AS (SELECT d.doc_id, coalesce(m.ids, '') AS ids, coalesce(m.n, 0) AS n, ',' || coalesce(m.ids, '') || ',' AS line
           FROM documents d LEFT JOIN met m ON d.doc_id = m.doc_id),
 every AS (SELECT *, list_sort(list_distinct(list_filter([{checks}], lambda x: x IS NOT NULL))) AS all_names FROM lines),

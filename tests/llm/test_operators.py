@@ -563,6 +563,48 @@ def test_licenses(spark, odd, none):
     assert all(any(w in s.split() for w in words_) for _, s in licenses.SENTENCES)
 
 
+LGPL_NOTICE = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; version 2.1 of the License.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+NOTICES = {
+    "// SPDX-License-Identifier: MIT\nint main;": "MIT",
+    "# SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0-only",
+    "SPDX-License-Identifier: (MIT OR Apache-2.0)": "Apache-2.0,MIT",
+    "/* SPDX-License-Identifier: GPL-2.0+ WITH Classpath-exception-2.0 AND BSD-3-Clause */": "BSD-3-Clause,GPL-2.0-or-later",
+    "It is released under the Apache 2.0 license.": "Apache-2.0",
+    "This is distributed under the GNU Lesser General Public License v2.1, see COPYING.": "LGPL-2.1-only",
+    "License: BSD-3-Clause\nAuthor: someone": "BSD-3-Clause",
+    "The code is licensed under the terms of the BSD 3-Clause license": "BSD-3-Clause",
+    "Distributed under the MIT license.": "MIT",
+    "This Font Software is licensed under the SIL Open Font License,\n# Version 1.1.": "OFL-1.1",
+    "Licensed under the EUPL, Version 1.2": "EUPL-1.2",
+    "CC BY 4.0, https://creativecommons.org/licenses/by/4.0/": "CC-BY-4.0",
+    "see https://creativecommons.org/licenses/by-nc-sa/4.0/": "CC-BY-NC-SA-4.0",
+    "Licensed under the GNU GPL v3 or any later version": "GPL-3.0-or-later",
+    "Available under the Common Development and Distribution License, version 1.1 licence": "CDDL-1.1",
+    "This is not licensed under the MIT No Attribution license": "",
+    "we talked about a license for mit students": "",
+    "distributed under the MIT umbrella": "",
+    LGPL_NOTICE: "LGPL-2.1-only",
+}
+
+
+def test_license_notices(spark):
+    """Names in notices, fields, SPDX expressions and links; every license by its identifier and by each of its names."""
+    rows = list(enumerate(NOTICES))
+    every = [(f"SPDX-License-Identifier: {k}", k) for k in licenses.NAMES] + [(f"This is licensed under the {n.title()} License.", licenses.named_licenses()[n]) for names in licenses.NAMES.values() for n in names]
+    rows += [(1000 + i, t) for i, (t, _) in enumerate(every)]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(licenses.NAMES) >= 60
+    assert {t: got[i] for i, t in enumerate(NOTICES)} == NOTICES
+    assert {t: got[1000 + i] for i, (t, _) in enumerate(every)} == dict(every)
+
+
 MIT_FILE = """MIT License
 
 Copyright (c) 2026 Somebody
@@ -635,7 +677,7 @@ def test_wrapped_licenses(spark):
         ("x\nThe MIT License\ny", "mit-title", ""),
         ("We like the MIT License a lot. It was\nreleased under\nthe MIT License | ~ for all.", "mit-released", "MIT"),
         ("This file is not licensed under the MIT License.", "", ""),
-        ("This is licensed under the GNU General Public License, version 3 or (at your option) any later version.", "", ""),
+        ("This is licensed under the GNU General Public License, version 3 or (at your option) any later version.", "named-gpl-3-0-or-later", "GPL-3.0-or-later"),
         ("It was released under the\n\nMIT License", "mit-title", ""),
     ]
     rows = frame(spark, [(i, t) for i, (t, _, _) in enumerate(cases)])
