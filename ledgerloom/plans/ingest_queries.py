@@ -375,7 +375,7 @@ def ingest_stream(spark, d):
     register = {"source_connections": connections, "tenants": tenants}
     run = lambda judged: jobs.ingest_stream(spark, f"{home}/in", f"{home}/out", register, judged, f"{home}/state", 10_000).awaitTermination()
     run(outputs.where("event_type <> 'view'"))
-    spark.range(1).select(F.lit('{"tenant_id": "t1", "source": "slack", "source_id": "late"}').alias("value")).write.mode("append").text(f"{home}/in")
+    jobs.wake(spark, f"{home}/in")
     run(outputs.where("event_id % 2 = 0"))
     out = spark.read.parquet(f"{home}/out/outcomes")
     first = out.where("batch = 0 AND get_json_object(raw_content, '$.id') = '123456789012'").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum(F.contains("raw_content", F.lit("[REDACTED-CARD]")).cast("long")).alias("redacted"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import register
+from ..operators import ingest, register
 from .base import query, table
 
 
@@ -110,6 +110,25 @@ def redact_documents(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.redact_financial("text").alias("redacted"))
 
 
+@query(rf"""
+WITH w AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || ' 4111 1111 1111 1111' ELSE text END AS text, lang, source FROM documents),
+c AS (SELECT doc_id, lang, source, string_split_regex(text, {_CARD}) AS parts, list_transform(regexp_extract_all(text, {_CARD}), lambda m: CASE WHEN {_LUHN} THEN '[REDACTED-CARD]' ELSE m END) AS cards FROM w),
+t AS (SELECT doc_id, lang, source, array_to_string(list_transform(range(1, len(parts) + 1), lambda j: parts[j] || coalesce(cards[j], '')), '') AS body FROM c),
+r AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(body, '\b[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}\b', '[REDACTED-IBAN]', 'g'), '\b\d{{3}}-\d{{2}}-\d{{4}}\b', '[REDACTED-SSN]', 'g'), '\b\d{{9,}}\b', '[REDACTED-NUMBER]', 'g') AS body_ FROM t)
+SELECT doc_id, md5(body_) AS statement, CASE WHEN doc_id % 2 = 0 THEN lang || ' [REDACTED-SSN]' END AS rationale, source || '|[REDACTED-NUMBER]' AS alternatives FROM r""")
+def redacted_extractions(spark, d):
+    """Statement, rationale and alternatives of extracted decisions."""
+    n = F.col("doc_id")
+    rows = table(spark, d, "documents").select(
+        "doc_id",
+        F.when(n % 3 == 0, F.concat("text", F.lit(" 4111 1111 1111 1111"))).otherwise(F.col("text")).alias("decision_statement"),
+        F.when(n % 2 == 0, F.concat("lang", F.lit(" 078-05-1120"))).alias("rationale"),
+        F.array(F.col("source"), F.lit("123456789012")).alias("alternatives_considered"),
+    )
+    out = ingest.redact_extractions(rows)
+    return out.select("doc_id", F.md5("decision_statement").alias("statement"), "rationale", F.array_join("alternatives_considered", "|").alias("alternatives"))
+
+
 @query("SELECT doc_id, '{\"n\":123456789012,\"k\":\"[REDACTED-CARD]' || lang || '\",\"in\":[\"<@123456789012345678> [REDACTED-NUMBER]\",5]}' AS raw, '[REDACTED-SSN]|ok|[REDACTED-IBAN]' AS deep FROM documents")
 def redact_nested(spark, d):
     """Strings inside JSON texts, arrays, structs and maps; numbers, keys and mentions stay."""

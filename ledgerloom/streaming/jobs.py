@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import date, timedelta
 
 import pandas as pd
 import pyarrow as pa
@@ -16,6 +17,10 @@ from ..session import ship_package
 from ..sources.tables import ENVELOPE, split_envelopes, stream_envelopes
 
 
+#: How long a stored message is known.
+LEDGER_DAYS = 30
+
+
 def stream_dedup(stream: DataFrame, keys: list[str] = KEYS, ingested: str = "ingested_at", ttl: str = "30 days") -> DataFrame:
     """The first row of each key within ``ttl`` of its arrival; state is dropped after that."""
     return stream.withWatermark(ingested, ttl).dropDuplicatesWithinWatermark(keys)
@@ -27,15 +32,19 @@ def tumbling_counts(rows: DataFrame, ts: str, width: str, keys: list[str], water
     return rows.groupBy(F.window(ts, width).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), *keys, "n")
 
 
-def ingest_stream(spark: SparkSession, in_path: str, out_path: str, tables: dict[str, DataFrame], model_outputs: DataFrame, checkpoint: str, files_per_batch: int = 20):
+def ingest_stream(spark: SparkSession, in_path: str, out_path: str, tables: dict[str, DataFrame], model_outputs: DataFrame, checkpoint: str, files_per_batch: int = 20, today: date | None = None):
     """Landed envelopes to outcomes, rejects and persisted rows, batch by batch.
 
     Sinks are folders named by the batch id and written with overwrite, so a batch that is run
-    again after a failure replaces what it wrote.  A key that an earlier batch stored as done is
-    read back from those folders.  A message that the model has not judged yet is pending: it is
-    kept and taken up by the next batch (T3) together with what has landed since.
+    again after a failure replaces what it wrote.  A key that an earlier batch stored as done in the
+    last ``LEDGER_DAYS`` days is read back from those folders, older days are not read; a key that comes
+    again after that is new, as in the raw store, whose rows expire then.  A message that the model has
+    not judged yet is pending: it is kept and taken up by the next batch (T3) together with what has
+    landed since; ``wake`` starts one without new messages.  Messages of a paused tenant or without
+    a connection are not kept: they are not in the ledger, so they count when they are sent again.
     """
     ledger_path = f"{out_path}/ledger"
+    today = today or date.today()
 
     def stored(path: str, schema: str) -> DataFrame:
         try:
@@ -48,7 +57,8 @@ def ingest_stream(spark: SparkSession, in_path: str, out_path: str, tables: dict
     def batch(rows: DataFrame, batch_id: int) -> None:
         good, bad = split_envelopes(rows)
         good = good.withColumn("raw_content", redact_json("raw_content"))
-        ledger = stored(ledger_path, f"{', '.join(f'{k} string' for k in KEYS)}, pipeline_status string, batch long").where(F.col("batch") < batch_id)
+        ledger = stored(ledger_path, f"{', '.join(f'{k} string' for k in KEYS)}, pipeline_status string, day date, batch long")
+        ledger = ledger.where((F.col("day") > F.lit(today - timedelta(days=LEDGER_DAYS))) & (F.col("batch") < batch_id))
         waiting = stored(f"{out_path}/pending/batch={batch_id - 1}", ENVELOPE)
         good = good.unionByName(retry_pending(waiting, ledger))
         routed = outcome_router(good, ledger, tables["source_connections"], tables["tenants"], model_outputs)
@@ -60,12 +70,17 @@ def ingest_stream(spark: SparkSession, in_path: str, out_path: str, tables: dict
         kept = spark.read.parquet(f"{out_path}/outcomes/batch={batch_id}")
         kept.where(F.col("outcome") == "pending").drop("outcome").write.mode("overwrite").parquet(f"{out_path}/pending/batch={batch_id}")
         done = kept.where(~F.col("outcome").isin("pending", "duplicate_skipped", "duplicate_on_insert", "abandoned_no_active_connection", "learning_paused"))
-        done.select(*KEYS, F.lit("done").alias("pipeline_status")).distinct().write.mode("overwrite").parquet(f"{ledger_path}/batch={batch_id}")
+        done.select(*KEYS, F.lit("done").alias("pipeline_status")).distinct().write.mode("overwrite").parquet(f"{ledger_path}/day={today.isoformat()}/batch={batch_id}")
 
     source = stream_envelopes(spark, in_path, files_per_batch)
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def wake(spark: SparkSession, in_path: str) -> None:
+    """A file without messages, so that the next run takes up what waits though nothing has landed."""
+    spark.range(1).select(F.lit("").alias("value")).write.mode("append").text(in_path)
+
+
 def late_and_bad(rows: DataFrame, as_of: Column, horizon: str = "30 days") -> tuple[DataFrame, DataFrame, DataFrame]:
     """T4: usable rows, rejected rows, and rows older than the horizon."""
     good, bad = split_envelopes(rows if "_corrupt" in rows.columns else rows.withColumn("_corrupt", F.lit(None).cast("string")))

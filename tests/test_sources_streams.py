@@ -1,6 +1,6 @@
 import base64
 import json
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,6 +120,17 @@ def test_envelopes_and_ingest_stream(spark, tmp_path):
     run()
     waited = spark.read.parquet(f"{out}/outcomes").where("source_id = 'k9'").orderBy("batch").collect()
     assert [r["outcome"] for r in waited] == ["pending", "pending", "persisted"] and "[REDACTED-NUMBER]" in waited[0]["raw_content"]
+    # What waits is taken up without new messages; a key that was stored over 30 days ago counts as new.
+    (folder / "g.json").write_text(landed(13, key="k13") + "\n")
+    run()
+    judged.append(("t1", "slack", "k13", "KEEP", 0.9, "decision"))
+    jobs.wake(spark, str(folder))
+    run(spark.createDataFrame(judged, shape))
+    (folder / "h.json").write_text(landed(14, key="k5") + "\n")
+    later = jobs.ingest_stream(spark, str(folder), out, {"source_connections": conn, "tenants": tenants}, spark.createDataFrame(judged, shape), str(tmp_path / "state"), today=date.today() + timedelta(days=31))
+    later.awaitTermination()
+    end = spark.read.parquet(f"{out}/outcomes").where("source_id IN ('k13', 'k5')").orderBy("source_id", "batch").collect()
+    assert [(r["source_id"], r["outcome"]) for r in end] == [("k13", "pending"), ("k13", "persisted"), ("k5", "persisted"), ("k5", "persisted")]
 
 
 def test_redaction_keeps_json_whole(spark):
