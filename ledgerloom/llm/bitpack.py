@@ -259,7 +259,11 @@ def write_packed(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2,
 
 
 def read_packed(manifest: DataFrame) -> DataFrame:
-    """One row for each document of the files: doc_id, start (number of its first id over all files), ids' count and crc32."""
+    """One row for each document of the files: doc_id, start (number of its first id over all files), ids' count and crc32.
+
+    Files follow each other by part, documents in a file as they were written.  An empty manifest
+    gives no rows.  A document of any length is read block by block.
+    """
     spark = manifest.sparkSession
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     files = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
@@ -287,7 +291,12 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 
 
 def pack_and_read(docs: DataFrame, tokenizer: str, end_id: int = 2, vocabulary: int | None = None) -> DataFrame:
-    """Write all documents into the shared folder and read the files back."""
+    """Write all documents into the shared folder and read the files back: one row for each, as ``read_packed`` has it.
+
+    Documents go by ascending doc_id, nulls first, equal ids by a hash of their texts; null and empty texts have
+    the end id only; repeated rows are written as often as they come.  Texts may have any length.
+    The files stay in the shared folder.
+    """
     spark: SparkSession = docs.sparkSession
     manifest = write_packed(docs, tokenizer, shared_path(spark, "packed"), end_id, vocabulary)
     rows = manifest.collect()  # one row for each file

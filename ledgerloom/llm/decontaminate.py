@@ -325,6 +325,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     strings) and spans (byte ranges of the hit stretches).  Null and empty texts have no words.
     Items without words match nothing; repeated items count by their id.  Every input row gives
     one row, repeated doc_ids and null ones too.  Columns other than the two named are not read.
+    A text of any length is streamed through the automaton whole.
     """
     docs, begin = _finder(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), items, window, "text", max_item_bytes)
 

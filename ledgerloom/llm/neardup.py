@@ -221,8 +221,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: Fraction | str
     component), kept (doc_id is the least).  A document without words has an empty set, is linked
     with nothing and kept.  Null texts count as empty.  A null doc_id never names a component that
     has another one; a component of null ids only has a null component_id and keeps its rows.
-    Repeated rows appear as often as they come, each kept or not as its doc_id says.  An empty
-    table gives no rows.  Other columns are not read.
+    Repeated rows appear as often as they come, each kept or not as its doc_id says, so rows that
+    share the least doc_id are all kept.  An empty table gives no rows.  Other columns are not read.
+    Texts of any length are shingled whole, a block of bytes at a time.
     """
     share, spark, folders = Fraction(similarity), docs.sparkSession, list[str]()
 

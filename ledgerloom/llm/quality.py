@@ -195,6 +195,7 @@ def score_quality(docs: DataFrame, machine: FactorisationMachine | None, doc_id:
 
     Null and empty texts are scored as texts without words.  Without a machine every score is 0.5.
     One row for each input row, repeated and null doc_ids included; other columns are not read.
+    A text may be of any length, and is read whole; equal texts have equal scores.
     """
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # a few hundred kilobytes at any input
 

@@ -2,8 +2,8 @@
 
 Rows with equal texts form a group.  Groups enter, from the largest down, the shard whose
 remaining capacity is the tightest that still holds them; a balanced search tree keyed on
-remaining capacity finds it.  ``fewest_shards`` opens shards of a fixed capacity as needed;
-``near_equal_shards`` looks for the smallest capacity at which the same rule needs no more
+remaining capacity finds it.  ``best_fit`` opens shards of a fixed capacity as needed;
+``pack_near_equal`` looks for the smallest capacity at which the same rule needs no more
 than a given number of shards.
 
 The rule sees groups only through their size, so it runs over *size classes*: how many groups
@@ -179,7 +179,9 @@ def shard_rows(docs: DataFrame, shards: int | None = 16, capacity: int | None =
     (UTF-8 bytes + 1), text_crc32, shard and slot: a gapless number from 0 within the shard.
 
     Null texts count as empty, and with them form one group.  Null and repeated doc_ids are
-    rows like others.  An empty table gives no rows.  Other columns are not read.
+    rows like others.  An empty table gives no rows.  Other columns are not read.  A text may have
+    any length; a group larger than an even share fills a shard of its own.  Groups of one size are
+    taken in the order of their hashes.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(

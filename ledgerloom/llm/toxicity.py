@@ -397,7 +397,7 @@ def score_toxicity(docs: DataFrame, machine: SubsequenceMachine | None, doc_id:
 
     Null and empty texts get the score of a text without words.  Without a machine every score is 0.
     One row for each input row, repeated and null doc_ids included; other columns are not read.
-    A text may be of any length, and is read whole.
+    A text may be of any length, and is read whole; equal texts have equal scores.
     """
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # eight megabytes at any input
 
