@@ -57,6 +57,7 @@ def cascade_delete(tables: dict[str, DataFrame], root: str, root_key: str, ids:
 
     A row is doomed if one of its references is a doomed key of a parent.  Each edge is one left
     join with the distinct doomed keys; only keys travel, and equal rows stay or go on their own.
+    Ids are UUIDs and so unique over all tenants; where they are not, put the tenant into the keys.
     """
     gone = {root: ids.select(root_key).distinct()}
     mark = F.lit(True).alias("_gone0")

@@ -239,7 +239,7 @@ def conflict_candidates(vectors: DataFrame, floor: float = 0.72, k: int = 3, siz
 
 
 def mark_superseded(decisions: DataFrame, pairs: DataFrame, id_col: str = "id", pointer: str = "superseded_by") -> DataFrame:
-    """Each older row points at the most similar newer one (least id of equal ones); pointers that are set stay."""
+    """Each older row points at the most similar newer one (least id of equal ones); pointers that are set stay.  Ids are unique over all tenants."""
     best = pairs.groupBy("older").agg(F.max(F.struct(F.col("similarity"), (-F.col("newer")).alias("n"))).alias("m")).select(F.col("older").alias(id_col), (-F.col("m.n")).alias("_new"))
     kind = decisions.schema[pointer].dataType
     return decisions.join(best, id_col, "left").withColumn(pointer, F.coalesce(pointer, F.col("_new").cast(kind))).drop("_new")
@@ -253,7 +253,7 @@ def near_dup_pair_report(pairs: DataFrame, n: int = 30) -> DataFrame:
 
 
 def purge_supersede_leaves(decisions: DataFrame, id_col: str = "id", pointer: str = "superseded_by") -> DataFrame:
-    """The register without superseded rows that no other row points to."""
+    """The register without superseded rows that no other row points to.  Ids are unique over all tenants."""
     targets = decisions.where(F.col(pointer).isNotNull()).select(F.col(pointer).alias(id_col)).distinct()
     leaves = decisions.where(F.col(pointer).isNotNull()).join(targets, id_col, "left_anti").select(id_col)
     return decisions.join(leaves, id_col, "left_anti")
