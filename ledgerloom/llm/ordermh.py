@@ -16,6 +16,7 @@ so that an edit changes few words there as well.
 
 All of it is array expressions: a shuffle is needed for the next document only.  ``_once`` binds an
 intermediate array as a column, where a plain expression would be inlined wherever it is read.
+Arrays of k-mers are kept free of nullable elements: such longs are sorted as primitives.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ LONG = 16
 PLACE_BITS = 26
 PLACE = (1 << PLACE_BITS) - 1
 _WHITE = r"[\x20\x09-\x0D]"
-_ALONE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
-_UNSPACED = rf"{_ALONE}|[^\x20\x09-\x0D]{{{LONG + 1}}}"
+#: All these scripts lie above U+0E00; the range in front spares other characters the look-up of their script.
+_ALONE = r"[\x{0E00}-\x{10FFFF}&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]]"
+_RUN = rf"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{{{LONG + 1}}}"
 _CUTS = rf"{_WHITE}+|(?<={_ALONE})(?=[^\x20\x09-\x0D])|(?<=[^\x20\x09-\x0D])(?={_ALONE})|(?<=[aeiouAEIOU05])(?<=[^\x20\x09-\x0D]{{{LONG}}})(?=[^\x20\x09-\x0D])"
 
 
@@ -45,7 +47,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def _upto(n: Column) -> Column:
     """0 .. n - 1 as longs; empty for n = 0."""
-    return F.when(n > 0, F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).otherwise(F.array().cast("array<long>"))
+    return F.slice(F.sequence(F.lit(0).cast("long"), F.greatest(n.cast("long") - 1, F.lit(0).cast("long"))), F.lit(1), n.cast("int"))
 
 
 def _at(a: Column, i: Column) -> Column:
@@ -61,32 +63,39 @@ def _packed(h: Column, place: Column) -> Column:
 
 
 def _numbered(kmers: Column) -> Column:
-    """Sorted packed k-mers to packed occurrence-numbered ones."""
+    """Sorted packed k-mers to packed occurrence-numbered ones; only repeats of a k-mer are counted, all others are number 0."""
 
-    def number(first: Column) -> Column:
-        n = F.size(kmers)
-        whole = F.transform(kmers, lambda v: _packed(F.xxhash64(_hash_of(v), F.lit(0).cast("long")), v.bitwiseAND(F.lit(PLACE))))
+    def again(v: Column, i: Column) -> Column:
+        return (i > 0) & (_hash_of(v) == _hash_of(_at(kmers, i - 1)))
 
-        def run(start: Column, r: Column) -> Column:
-            end = F.coalesce(_at(first, r + 1), n.cast("long"))
-            one = lambda o: _packed(F.xxhash64(_hash_of(_at(kmers, start + o)), o), _at(kmers, start + o).bitwiseAND(F.lit(PLACE)))
-            return F.transform(_upto(end - start), one)
+    def first(found: Column) -> Column:
+        return F.transform(found, lambda v: _packed(F.xxhash64(_hash_of(v), F.lit(0).cast("long")), v.bitwiseAND(F.lit(PLACE))))
 
-        return F.when(F.size(first) == n, whole).otherwise(F.flatten(F.transform(first, run)))
+    def number(repeated: Column) -> Column:
+        def runs(starts: Column) -> Column:
+            def run(start: Column, r: Column) -> Column:
+                end = F.coalesce(_at(starts, r + 1), F.size(repeated).cast("long"))
+                one = lambda o: _packed(F.xxhash64(_hash_of(_at(repeated, start + o)), o + 1), F.coalesce(_at(repeated, start + o), F.lit(0).cast("long")).bitwiseAND(F.lit(PLACE)))
+                return F.transform(_upto(end - start), one)
 
-    starts = F.filter(_upto(F.size(kmers)), lambda j: (j == 0) | (_hash_of(_at(kmers, j)) != _hash_of(_at(kmers, j - 1))))
-    return let(starts, number)
+            return F.flatten(F.transform(starts, run))
+
+        starts = F.filter(_upto(F.size(repeated)), lambda j: (j == 0) | (_hash_of(_at(repeated, j)) != _hash_of(_at(repeated, j - 1))))
+        return F.when(F.size(repeated) == 0, first(kmers)).otherwise(F.concat(first(F.filter(kmers, lambda v, i: ~again(v, i))), let(starts, runs)))
+
+    return let(F.filter(kmers, again), number)
 
 
 def _words(text: Column) -> Column:
-    split = F.when(text.rlike(_UNSPACED), F.split(text, _CUTS)).otherwise(F.split(text, rf"{_WHITE}+"))
+    split = F.when(text.rlike(_RUN) | text.rlike(_ALONE), F.split(text, _CUTS)).otherwise(F.split(text, rf"{_WHITE}+"))
     return F.array_remove(split, "")
 
 
 def _kmers(w: Column, words: int) -> Column:
     """Packed k-mers sorted by hash; a text of fewer words is one."""
     count = F.when(F.size(w) > 0, F.greatest(F.lit(1), F.size(w) - (words - 1))).otherwise(0)
-    return F.sort_array(F.transform(_upto(count), lambda i: _packed(F.xxhash64(*[_at(w, i + k) for k in range(words)]), F.least(i, F.lit(PLACE - 1).cast("long")))))
+    one = lambda a, i: _packed(F.xxhash64(a, *[_at(w, i + k) for k in range(1, words)]), F.least(i.cast("long"), F.lit(PLACE - 1).cast("long")))
+    return F.sort_array(F.transform(F.slice(w, F.lit(1), count), one))
 
 
 #: The hash bits that stay below the place when a packed k-mer is turned around.
@@ -113,13 +122,16 @@ def _with_points(ring: Column, points: int) -> Column:
     return F.sort_array(F.concat(ring, F.array(*[F.lit(_point(j, points)).cast("long") for j in range(points)])))
 
 
-def _readings(ring: Column, marked: Column, points: int, take: int) -> Column:
+def _found(marked: Column, points: int) -> Column:
+    """Where each point's first k-mer stands on a ring, from 0: behind as many points and all k-mers below it."""
+    return F.array(*[F.array_position(marked, F.lit(_point(j, points)).cast("long")) - (1 + j) for j in range(points)])
+
+
+def _readings(ring: Column, found: Column, take: int) -> Column:
     """The tuples of a ring's permutations: from each point on the next ``take`` k-mers, in text order, as 16 bits."""
-    # The j-th point stands behind j points and all k-mers below it.
-    found = F.array(*[F.array_position(marked, F.lit(_point(j, points)).cast("long")) - 1 for j in range(points)])
 
-    def one(t: Column, j: Column) -> Column:
-        members = [_at(ring, F.pmod(t - j + o, F.size(ring))) for o in range(take)]
+    def one(t: Column) -> Column:
+        members = [_at(ring, F.pmod(t + o, F.size(ring))) for o in range(take)]
         if take == 2:
             early, late = F.least(*map(_turned, members)), F.greatest(*map(_turned, members))
             return F.xxhash64(early.bitwiseAND(F.lit(_LOW)), late.bitwiseAND(F.lit(_LOW))).bitwiseAND(F.lit(0xFFFF)).cast("int")
@@ -135,8 +147,12 @@ def with_signature(df: DataFrame, text: str, name: str, rings: int = RINGS, poin
     step = _once(df, "_w", _words(F.col(f"`{text}`")))
     step = _once(step.select(*keep, _kmers(F.col("_w"), words).alias("_k")), "_n", _numbered(F.col("_k"))).select(*keep, "_n")
     step = _once(step, "_r", F.array(*[_ring(F.col("_n"), r) for r in range(rings)])).select(*keep, "_r")
-    step = _once(step, "_m", F.array(*[_with_points(F.get("_r", F.lit(r)), points) for r in range(rings)]))
-    read = F.concat(*[_readings(F.get("_r", F.lit(r)), F.get("_m", F.lit(r)), points, take) for r in range(rings)])
+    # Bound as columns, ring by ring, the look-ups of the points are generated code that the JVM
+    # compiles: inside a lambda they would be interpreted, and all in one the method would be too large.
+    for r in range(rings):
+        step = _once(step, "_m", _with_points(F.get("_r", F.lit(r)), points))
+        step = _once(step, f"_f{r}", _found(F.col("_m"), points)).drop("_m")
+    read = F.concat(*[_readings(F.get("_r", F.lit(r)), F.col(f"_f{r}"), take) for r in range(rings)])
     return step.select(*keep, F.when(F.size(F.get("_r", F.lit(0))) > 0, read).otherwise(F.array().cast("array<int>")).alias(name))
 
 
