@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 
 from ..operators import fulltext, fusion, register, similarity
-from ..session import shared_folder
+from ..session import shared_folder, written
 from .base import query, table
 from .report_queries import AS_OF
 
@@ -165,11 +165,11 @@ FROM q CROSS JOIN modes m LEFT JOIN x ON x.mode = m.mode AND x.query_id = q.quer
 def search_questions(spark, d):
     """From questions to answers in each mode: R1 and R4, fusion, permissions, rerank, cut, context text and counts."""
     docs = table(spark, d, "documents")
-    asked, index = questions(spark, d), word_index(spark, d, scope="lang")
+    asked, index = written(questions(spark, d), "questions"), word_index(spark, d, scope="lang")
     vectors = table(spark, d, "embeddings").join(docs.select(F.col("doc_id").alias("vec_id"), F.col("lang").alias("tenant_id")), "vec_id").withColumnRenamed("vec_id", "id")
     decisions = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("decision_statement"), F.lit(None).cast("string").alias("rationale"), F.array().cast("array<string>").alias("alternatives_considered"), F.lit(0.5).alias("confidence"), F.array("source").alias("permission_scope"))
-    judged = asked.where("query_id % 40 = 0").select("query_id", F.col("tenant_id").alias("lang")).join(docs, "lang")
-    scores = judged.select("query_id", F.col("doc_id").alias("decision_id"), ((F.col("doc_id") * 31 + F.col("query_id")) % 100 / 100.0).alias("score"))
+    score = ((F.col("decision_id") * 31 + F.col("query_id")) % 100 / 100.0).alias("score")
+    scores = lambda pairs: pairs.where("query_id % 40 = 0").select("query_id", "decision_id", score)
     out = None
     for mode in ("semantic_only", "keyword_only", "hybrid_rrf"):
         one = fusion.search_questions(asked, decisions, vectors, index, SIZE, mode, 5, scores).withColumn("mode", F.lit(mode))

@@ -169,6 +169,22 @@ def test_batch_search(spark):
     assert got["q"]["context"].startswith("-" * 50 + "\nDecision 1\nStatement: statement 1")
 
 
+def test_only_candidates_are_scored(spark):
+    """A function of scores gets the permitted candidates, not every pair of question and decision."""
+    decisions = spark.createDataFrame([(f"d{i:02}", f"statement {i}", None, [], 0.5, [] if i % 2 else ["x"]) for i in range(60)], "id string, decision_statement string, rationale string, alternatives_considered array<string>, confidence double, permission_scope array<string>")
+    ranked = spark.createDataFrame([("q", "a", i + 1, f"d{i:02}") for i in range(60)], "query_id string, list string, rank int, decision_id string")
+    questions = spark.createDataFrame([("q", [], ["Statement 3"])], "query_id string, scopes array<string>, entities array<string>")
+    asked = []
+
+    def scores(pairs):
+        asked.extend(r["decision_id"] for r in pairs.collect())
+        return pairs.withColumn("score", F.substring("decision_id", 2, 2).cast("double") / 1000)
+
+    got = fusion.search_batch(questions, ranked, decisions, scores=scores).first()
+    assert sorted(asked) == [f"d{i:02}" for i in range(1, 20, 2)]
+    assert got["decision_ids"] == ["d03", *(f"d{i:02}" for i in range(19, 7, -2))]
+
+
 def test_metrics(spark):
     rng = random.Random(1)
     rows = [(i, "m" if i % 2 else "n", "s", rng.randrange(1, 9) if i % 3 else None, "PASS" if i % 4 else "FAIL", float(rng.randrange(1000))) for i in range(101)]
