@@ -251,3 +251,21 @@ def test_store_by_day(spark, tmp_path):
     assert store.read_store(spark, path).count() == 90 and store.drop_days(spark, path, "2024-01-04") == []
     with pytest.raises(ValueError):
         store.upsert_store(more, path, "c")
+
+
+def test_messages_are_worked_out_once_and_dealt_evenly(spark):
+    """One workspace holds every page and has many connections: text is made before the join, in no more tasks' rows than pages."""
+    pages = spark.range(40).select(F.lit("w").alias("workspace_id"), F.concat(F.lit("n"), "id").alias("id"), F.lit("u").alias("url"), F.lit("p").alias("last_edited_by"), F.to_timestamp(F.lit("2024-02-01")).alias("last_edited_time"), F.lit('{"Name":{"title":[{"plain_text":"page"}]}}').alias("properties"))
+    connections = spark.range(30).select(F.concat(F.lit("c"), "id").alias("id"), F.lit("t").alias("tenant_id"), F.lit("notion").alias("source"), F.lit("w").alias("external_workspace_id"), F.lit("active").alias("status"), F.when(F.col("id") % 3 == 0, F.to_timestamp(F.lit("2024-03-01"))).alias("last_synced_at"))
+    out = c.normalize_notion(pages, connections, text=F.length("raw_content"))
+    assert out.count() == 40 * 20 and out.select("source_id", "connection_id").distinct().count() == 800
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobin" in plan[plan.index("Join"):]
+
+
+def test_merged_sketches_estimate_as_one(spark):
+    """Beyond the size where a sketch is a list of values: daily sketches merged, and one sketch filled row by row."""
+    rows = spark.range(40_000).coalesce(1).selectExpr("id % 20000 AS user_id", "cast(id % 7 AS int) AS day", "'a' AS kind")
+    daily = reports.daily_sketches(rows, F.col("day"), ["kind"], ["user_id"])
+    whole = reports.daily_sketches(rows, F.lit(0), ["kind"], ["user_id"]).select(reports.sketch_estimate(F.col("sketch")).alias("n")).first()["n"]
+    assert reports.merged_sketches(daily, ["kind"]).first()["distinct"] == whole and abs(whole - 20_000) <= 600
