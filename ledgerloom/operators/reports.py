@@ -98,9 +98,18 @@ def daily_sketches(rows: DataFrame, day: Column, by: list[str], counted: list[st
     return rows.groupBy(day.alias("day"), *by).agg(F.count(F.lit(1)).alias("n"), F.hll_sketch_agg(F.to_json(F.array(*(F.col(c).cast("string") for c in counted))), bits).alias("sketch"))
 
 
+def sketch_estimate(sketch: Column) -> Column:
+    """The estimate of a sketch from its registers alone.
+
+    A sketch that was filled row by row estimates from the order of its rows, a merged one from its registers, so the two
+    differ for the same values; merged with itself a sketch keeps its registers and estimates as any merge does.
+    """
+    return F.hll_sketch_estimate(F.hll_union(sketch, sketch))
+
+
 def merged_sketches(sketches: DataFrame, by: list[str]) -> DataFrame:
     """Rows and estimated distinct values over the days of ``sketches``; the same as one sketch of all rows."""
-    return sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct"))
+    return sketches.groupBy(*by).agg(F.sum("n").alias("n"), sketch_estimate(F.hll_union_agg("sketch")).alias("distinct"))
 
 
 def usage_cost(usage: DataFrame, prices: dict[str, float] = PRICES) -> DataFrame:

@@ -132,7 +132,7 @@ def sketched_users(spark, d):
     """Distinct users by kind from daily sketches: within 3 % of the exact count, and the same as one sketch over all days."""
     events = table(spark, d, "events")
     daily = reports.daily_sketches(events, F.to_date("ts"), ["event_type"], ["user_id"])
-    whole = reports.daily_sketches(events, F.lit(None).cast("date"), ["event_type"], ["user_id"]).select("event_type", F.hll_sketch_estimate("sketch").alias("whole"))
+    whole = reports.daily_sketches(events, F.lit(None).cast("date"), ["event_type"], ["user_id"]).select("event_type", reports.sketch_estimate(F.col("sketch")).alias("whole"))
     exact = events.groupBy("event_type").agg(F.count_distinct("user_id").alias("exact"))
     out = reports.merged_sketches(daily, ["event_type"]).join(whole, "event_type").join(exact, "event_type")
     return out.select("event_type", "n", (F.abs(F.col("distinct") - F.col("exact")) <= 0.03 * F.col("exact")).alias("near"), (F.col("distinct") == F.col("whole")).alias("merged"))
