@@ -263,6 +263,25 @@ def test_messages_are_worked_out_once_and_dealt_evenly(spark):
     assert "RoundRobin" in plan[plan.index("Join"):]
 
 
+PAGES = "workspace_id string, id string, url string, last_edited_by string, last_edited_time timestamp, properties string"
+
+
+def test_connections_meet_messages_in_arrays(spark, monkeypatch):
+    """Connections of one workspace in many arrays of several days, some without a cursor: each pair after its cursor, once; the plan takes arrays apart."""
+    monkeypatch.setattr(c, "ARRAY", 4, raising=False)
+    at = lambda hours: T0 + timedelta(hours=hours)
+    cursors = {f"c{i}": None if i % 10 == 0 else at(7 * i % 96) for i in range(40)}
+    place = lambda i: f"w{i % 3}"
+    connections = spark.createDataFrame([(f"c{i}", f"t{i % 2}", "notion", None if i == 39 else place(i), "paused" if i == 38 else "active", cursors[f"c{i}"]) for i in range(40)], "id string, tenant_id string, source string, external_workspace_id string, status string, last_synced_at timestamp")
+    edited = {f"p{j}": None if j == 20 else at(5 * j - 12) for j in range(25)}
+    pages = spark.createDataFrame([(None if j == 24 else place(j), f"p{j}", "u", "e", edited[f"p{j}"], "{}") for j in range(25)], PAGES)
+    out = c.normalize_notion(pages, connections)
+    later = lambda j, i: cursors[f"c{i}"] is None or (edited[f"p{j}"] is not None and edited[f"p{j}"] > cursors[f"c{i}"])
+    wanted = sorted((f"p{j}", f"c{i}", f"t{i % 2}") for j in range(24) for i in range(38) if place(i) == place(j) and later(j, i))
+    assert sorted((r["source_id"], r["connection_id"], r["tenant_id"]) for r in out.collect()) == wanted
+    assert "Generate inline" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_merged_sketches_estimate_as_one(spark):
     """Beyond the size where a sketch is a list of values: daily sketches merged, and one sketch filled row by row."""
     rows = spark.range(40_000).coalesce(1).selectExpr("id % 20000 AS user_id", "cast(id % 7 AS int) AS day", "'a' AS kind")
