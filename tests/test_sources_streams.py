@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import reports
+from ledgerloom.plans import ingest_queries
 from ledgerloom.sources import connectors as c
 from ledgerloom.sources import store
 from ledgerloom.sources.tables import SCHEMAS, read_envelopes, read_register
@@ -282,6 +283,16 @@ def test_connections_meet_messages_in_arrays(spark, monkeypatch):
     assert "Generate inline" in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_monday_items_of_the_cursor_s_second(spark, tmp_path):
+    """An item updated half a second after its connection's cursor comes, and its key shows seconds."""
+    moment = "TIMESTAMP'2024-01-11 00:00:00.5'"
+    spark.sql(f"SELECT 0L AS event_id, {moment} AS ts, 3L AS user_id, 'view' AS event_type, 1.0D AS value, '{{}}' AS props").write.parquet(str(tmp_path / "events.parquet"))
+    spark.sql("SELECT 6L AS s_suppkey, 3 AS s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))  # active, cursor 2024-01-11
+    spark.sql("SELECT 1L AS c_custkey, 'n' AS c_name").write.parquet(str(tmp_path / "customer.parquet"))
+    got = sorted(tuple(r) for r in ingest_queries.monday_envelopes(spark, str(tmp_path)).collect())
+    assert got == [("t6", "item:i0:2024-01-11 00:00:00", "Item 0\nOwner: me"), ("t6", "update:u0", "upd 0")]
+
+
 def test_merged_sketches_estimate_as_one(spark):
     """Beyond the size where a sketch is a list of values: daily sketches merged, and one sketch filled row by row."""
     rows = spark.range(40_000).coalesce(1).selectExpr("id % 20000 AS user_id", "cast(id % 7 AS int) AS day", "'a' AS kind")
