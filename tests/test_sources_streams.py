@@ -283,6 +283,14 @@ def test_connections_meet_messages_in_arrays(spark, monkeypatch):
     assert "Generate inline" in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_no_text_of_pages_that_no_connection_takes(spark):
+    """Pages of a workspace without connections, and those before every cursor of theirs, go before their texts are made."""
+    connections = spark.createDataFrame([("c1", "t", "notion", "w1", "active", T0), ("c2", "t", "notion", "w1", "active", T0 + timedelta(hours=5)), ("c3", "t", "notion", "w2", "paused", None)], "id string, tenant_id string, source string, external_workspace_id string, status string, last_synced_at timestamp")
+    pages = spark.createDataFrame([("w1", "good", "u", "e", T0 + timedelta(hours=1), "{}"), ("w1", "bad", "u", "e", T0, "{}"), ("w2", "bad", "u", "e", T0, "{}"), ("w3", "bad", "u", "e", T0, "{}")], PAGES)
+    text = F.when(F.col("source_id") == "bad", F.raise_error(F.lit("text made")).cast("string")).otherwise(F.col("raw_content"))
+    assert [(r["source_id"], r["connection_id"], r["text"]) for r in c.normalize_notion(pages, connections, text=text).collect()] == [("good", "c1", '{"properties":{}}')]
+
+
 def test_monday_items_of_the_cursor_s_second(spark, tmp_path):
     """An item updated half a second after its connection's cursor comes, and its key shows seconds."""
     moment = "TIMESTAMP'2024-01-11 00:00:00.5'"
