@@ -65,23 +65,24 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, size: int, query
         group = group.combine_chunks()
         ask = group.column("ask").to_numpy()
         keys, ids = (group.column(c).filter(pa.array(mask)).combine_chunks() for c, mask in (("q", ask), ("i", ~ask)))
-        m, blocks = _matrix(group.column("v").combine_chunks(), size), np.array(group.column("b").to_pylist(), object)
+        m, blocks = _matrix(group.column("v").combine_chunks(), size), group.column("b").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
         order = pc.sort_indices(ids)  # equal values keep the order of ids
         ids, v, q = ids.take(order), np.flatnonzero(~ask)[order.to_numpy()], np.flatnonzero(ask)
         out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
-        for start in range(0, len(q) if len(v) else 0, 256):
-            part = q[start : start + 256]
-            sims = np.round(m[part] @ m[v].T, 12)  # as equal vectors may differ in the last bits from tile to tile
-            if block:
-                sims = np.where(blocks[part][:, None] == blocks[v][None, :], sims, -np.inf)
-            least = min(k, sims.shape[1])
-            floor = np.partition(sims, sims.shape[1] - least, axis=1)[:, sims.shape[1] - least]
-            r, c = np.nonzero((sims >= floor[:, None]) & np.isfinite(sims))
-            at = np.lexsort((c, -sims[r, c], r))
-            r, c = r[at], c[at]
-            place = np.arange(len(r)) - np.searchsorted(r, r)
-            for o, x in zip(out, (start + r, c, sims[r, c])):
-                o.append(x[place < k])
+        for own in np.intersect1d(blocks[q], blocks[v]):
+            asks, gives = np.flatnonzero(blocks[q] == own), np.flatnonzero(blocks[v] == own)
+            given, least = m[v[gives]].T, min(k, len(gives))
+            for start in range(0, len(asks), 256):
+                part = asks[start : start + 256]
+                sims = m[q[part]] @ given
+                floor = np.partition(sims, sims.shape[1] - least, axis=1)[:, sims.shape[1] - least]
+                r, c = np.nonzero(sims >= floor[:, None] - 1e-11)
+                near = np.round(sims[r, c], 12)  # as equal vectors may differ in the last bits from tile to tile
+                at = np.lexsort((c, -near, r))
+                r, c, near = r[at], c[at], near[at]
+                place = np.arange(len(r)) - np.searchsorted(r, r)
+                for o, x in zip(out, (part[r], gives[c], near)):
+                    o.append(x[place < k])
         rows_, found, sims = map(np.concatenate, out)
         return pa.table({"query_id": keys.take(pa.array(rows_)), "vec_id": ids.take(pa.array(found)), "similarity": sims})
 

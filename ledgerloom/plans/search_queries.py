@@ -170,10 +170,7 @@ def search_questions(spark, d):
     decisions = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("decision_statement"), F.lit(None).cast("string").alias("rationale"), F.array().cast("array<string>").alias("alternatives_considered"), F.lit(0.5).alias("confidence"), F.array("source").alias("permission_scope"))
     score = ((F.col("decision_id") * 31 + F.col("query_id")) % 100 / 100.0).alias("score")
     scores = lambda pairs: pairs.where("query_id % 40 = 0").select("query_id", "decision_id", score)
-    out = None
-    for mode in ("semantic_only", "keyword_only", "hybrid_rrf"):
-        one = fusion.search_questions(asked, decisions, vectors, index, SIZE, mode, 5, scores).withColumn("mode", F.lit(mode))
-        out = one if out is None else out.unionByName(one)
+    out = fusion.search_modes(asked, decisions, vectors, index, SIZE, top_k=5, scores=scores)
     ids = F.array_join(F.transform("decision_ids", lambda x: x.cast("string")), "|")
     return out.select("mode", "query_id", "retrieved", "authorized", "final", F.coalesce(ids, F.lit("")).alias("ids"), F.md5(F.coalesce("context", F.lit(""))).alias("context_md5"), "tokens")
 

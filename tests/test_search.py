@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -338,3 +339,46 @@ def test_questions_to_answers(spark, tmp_path):
         assert got["q4"]["final"] == 0 and got["q4"]["retrieved"] == 0
     with pytest.raises(ValueError):
         fusion.ranked_lists(questions, vectors, index, 8, "other")
+
+
+def test_modes_are_answered_together(spark, tmp_path, monkeypatch):
+    """All modes at once answer as each alone does, with and without scores, and search each list once."""
+    rng = np.random.default_rng(5)
+    rows = [(i, f"t{i % 2}", f"{'red' if i % 3 else 'blue'} plan {i}", None, [], 0.5, ["x"] if i % 5 == 0 else []) for i in range(60)]
+    decisions = spark.createDataFrame(rows, "id long, tenant_id string, decision_statement string, rationale string, alternatives_considered array<string>, confidence double, permission_scope array<string>")
+    unit = [(r[0], r[1], [float(x) for x in rng.normal(size=8)]) for r in rows]
+    vectors = spark.createDataFrame(unit, "id long, tenant_id string, embedding array<float>")
+    index = fulltext.write_index(decisions, f"{tmp_path}/index", "id", "decision_statement", scope="tenant_id")
+    questions = spark.createDataFrame([(1, "t0", "red", unit[4][2], [], ["4"]), (2, "t1", None, unit[5][2], ["x"], []), (3, "t1", "blue plan", None, [], ["9"])], "query_id long, tenant_id string, query string, embedding array<float>, scopes array<string>, entities array<string>")
+    scores = lambda pairs: pairs.where("query_id <> 2").withColumn("score", F.col("decision_id") % 7 / 7.0)
+    columns = ["query_id", "retrieved", "authorized", "final", "decision_ids", "context", "tokens"]
+    alone = sorted((mode, *r) for mode in ("semantic_only", "keyword_only", "hybrid_rrf") for r in fusion.search_questions(questions, decisions, vectors, index, 8, mode, 5, scores).select(columns).collect())
+    calls = []
+    for name in ("search_many", "vector_topk"):
+        own = getattr(fusion, name)
+        monkeypatch.setattr(fusion, name, lambda *a, own=own, name=name, **k: calls.append(name) or own(*a, **k))
+    assert sorted(tuple(r) for r in fusion.search_modes(questions, decisions, vectors, index, 8, None, 5, scores).select("mode", *columns).collect()) == alone
+    assert sorted(calls) == ["search_many", "vector_topk"]
+
+
+def test_only_documents_that_reach_are_matched(monkeypatch):
+    """Tiles with thousands of hits: the best are those of all hits, and clauses see few documents."""
+    rng = np.random.default_rng(6)
+    docs = [[f"w{min(int(x), 30)}" for x in rng.geometric(0.12, rng.integers(3, 40))] for _ in range(6000)]
+    question = fulltext._parse('w0 OR w1 OR "w2 w3" -w4 OR "w5 w1"', True, False, False)
+    df = {t: sum(t in d for d in docs) for t in {w for d in docs for w in d}}
+    mean = sum(map(len, docs)) / len(docs)
+    row = {"query_id": 1, "words": [{"no": n, "term": t, "scored": s, "df": df.get(t, 0)} for n, t, s in question[0]], "phrases": [dict(zip(("no", "at", "term"), p)) for p in question[1]], "clauses": [dict(zip(("words", "need", "ban"), p)) for p in question[2]], "n": len(docs), "mean": mean}
+    seen, hits = [], fulltext._Question._hits
+    monkeypatch.setattr(fulltext._Question, "_hits", lambda self, tile, *among: seen.append(len(among[0]) if among and among[0] is not None else len(tile.ids)) or hits(self, tile, *among))
+    asked = fulltext._Question(row, 10)
+    for start in range(0, 6000, 2000):
+        part = docs[start : start + 2000]
+        batch = pa.record_batch([pa.array(range(start, start + 2000)), pa.array([len(d) for d in part]), pa.array(part)], ["doc_id", "n_terms", "w"])
+        asked.ask(fulltext._Tile([batch], mean))
+    follows = lambda d, a, b: any(x == a and y == b for x, y in zip(d, d[1:]))
+    rarity = {t: float(np.log(1 + (6000 - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5))) for t in ("w0", "w1", "w2", "w3", "w5")}
+    score = lambda d: sum(rarity[t] * d.count(t) * 2.2 / (d.count(t) + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in rarity if t in d)
+    good = [i for i, d in enumerate(docs) if "w0" in d or "w1" in d or (follows(d, "w2", "w3") and "w4" not in d) or follows(d, "w5", "w1")]
+    assert len(good) > 2000 and asked.best[1].tolist() == sorted(good, key=lambda i: (-round(score(docs[i]), 6), i))[:10]
+    assert sum(seen) < 600
